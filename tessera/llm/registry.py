@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import simhash
+from tessera.llm import secrets, simhash
 
 
 def queries() -> dict:
-    return {"op1_simhash": simhash.op1_simhash}
+    return {
+        "op1_simhash": simhash.op1_simhash,
+        "op4_secrets": secrets.op4_secrets,
+    }
 
 
 def oracle_sql() -> dict:
