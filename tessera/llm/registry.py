@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import secrets, simhash
+from tessera.llm import licenses, secrets, simhash
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op4_secrets": secrets.op4_secrets,
+        "op8_licenses": licenses.op8_licenses,
     }
 
 
