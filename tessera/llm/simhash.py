@@ -65,8 +65,11 @@ def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def bit_statistics(nodes: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of fingerprints and the 64 x 64 counts of bits set together, over all rows of ``nodes`` (fp)."""
+def bit_statistics(nodes: DataFrame, rows_per_task: int = 200_000) -> tuple[int, np.ndarray]:
+    """Number of fingerprints and the 64 x 64 counts of bits set together, over all rows of ``nodes`` (fp).
+
+    Small partitions are read together, so that the number of Python tasks follows the rows.
+    """
 
     def count(batches):
         both, n = np.zeros((BITS, BITS), dtype=np.float64), 0
@@ -80,7 +83,8 @@ def bit_statistics(nodes: DataFrame) -> tuple[int, np.ndarray]:
             r, c = np.triu_indices(BITS)
             yield pd.DataFrame({"r": r, "c": c, "n": both[r, c].astype(np.int64), "rows": n})
 
-    rows = nodes.select("fp").mapInPandas(count, "r int, c int, n long, rows long").groupBy("r", "c").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).collect()
+    tasks = -(-nodes.count() // rows_per_task)
+    rows = nodes.select("fp").coalesce(max(1, tasks)).mapInPandas(count, "r int, c int, n long, rows long").groupBy("r", "c").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).collect()
     together = np.zeros((BITS, BITS))
     for x in rows:
         together[x["r"], x["c"]] = together[x["c"], x["r"]] = x["n"]
