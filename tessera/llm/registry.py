@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import licenses, secrets, simhash, toxicity
+from tessera.llm import langid, licenses, secrets, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op2_langid": langid.op2_langid,
         "op4_secrets": secrets.op4_secrets,
         "op8_licenses": licenses.op8_licenses,
         "op10_toxicity": toxicity.op10_toxicity,
