@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import langid, licenses, secrets, simhash, toxicity
+from tessera.llm import langid, licenses, lmscore, secrets, simhash, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_simhash": simhash.op1_simhash,
         "op2_langid": langid.op2_langid,
         "op4_secrets": secrets.op4_secrets,
+        "op6_lmscore": lmscore.op6_lmscore,
         "op8_licenses": licenses.op8_licenses,
         "op10_toxicity": toxicity.op10_toxicity,
     }
