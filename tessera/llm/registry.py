@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import langid, licenses, lmscore, secrets, simhash, toxicity
+from tessera.llm import langid, licenses, lmscore, prefixhash, secrets, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op2_langid": langid.op2_langid,
+        "op3_fingerprints": prefixhash.op3_fingerprints,
         "op4_secrets": secrets.op4_secrets,
         "op6_lmscore": lmscore.op6_lmscore,
         "op8_licenses": licenses.op8_licenses,
