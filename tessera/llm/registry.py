@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import langid, licenses, lmscore, prefixhash, secrets, simhash, toxicity
+from tessera.llm import htmltext, langid, licenses, lmscore, prefixhash, secrets, simhash, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_langid": langid.op2_langid,
         "op3_fingerprints": prefixhash.op3_fingerprints,
         "op4_secrets": secrets.op4_secrets,
+        "op5_htmltext": htmltext.op5_htmltext,
         "op6_lmscore": lmscore.op6_lmscore,
         "op8_licenses": licenses.op8_licenses,
         "op10_toxicity": toxicity.op10_toxicity,
