@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import htmltext, langid, licenses, lmscore, prefixhash, secrets, simhash, toxicity
+from tessera.llm import decontaminate, htmltext, langid, licenses, lmscore, prefixhash, secrets, simhash, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_htmltext": htmltext.op5_htmltext,
         "op6_lmscore": lmscore.op6_lmscore,
         "op8_licenses": licenses.op8_licenses,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 
