@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, htmltext, langid, licenses, lmscore, prefixhash, secrets, simhash, toxicity
+from tessera.llm import decontaminate, htmltext, langid, licenses, lmscore, mixing, prefixhash, secrets, simhash, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_secrets": secrets.op4_secrets,
         "op5_htmltext": htmltext.op5_htmltext,
         "op6_lmscore": lmscore.op6_lmscore,
+        "op7_mixing": mixing.op7_mixing,
         "op8_licenses": licenses.op8_licenses,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_toxicity": toxicity.op10_toxicity,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op7_mixing": mixing.oracle()}
