@@ -42,3 +42,9 @@ def checksum(df: DataFrame, *cols: str) -> tuple:
     mixed = F.xxhash64(*cols)
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftrightunsigned(mixed, 33)).alias("a"), F.bit_xor(mixed).alias("b")).first()
     return (row["n"], row["a"], row["b"])
+
+
+def sized(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """The same rows, computed once, marked for a broadcast if they are at most ``most``; else joins shuffle them."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import cut, sized, table
 
 WINDOW = 8
 LEAST = 5
@@ -134,4 +134,5 @@ def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
 def remove_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` in which no item is found; their columns stay as they are."""
     rows, found = _by_document(docs, items, id_col, text_col, **how)
+    found = sized(found.select("_id", "_th"), 1_000_000)
     return rows.join(found, rows[id_col].eqNullSafe(found["_id"]) & (rows["th"] == found["_th"]), "left_anti").select(*docs.columns)

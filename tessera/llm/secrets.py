@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import cut, sized, table
 
 #: Base kinds, in order: pattern, and the least length of what the match (or its value) must have.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -112,7 +112,7 @@ def with_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``docs`` with a column ``spans`` (empty where none) and the ``th`` that it was joined on."""
     th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.withColumn("th", th)
-    found = find_secrets(docs, id_col, text_col, **how).select(F.col("id").alias("_id"), F.col("th").alias("_th"), "spans")
+    found = sized(find_secrets(docs, id_col, text_col, **how).select(F.col("id").alias("_id"), F.col("th").alias("_th"), "spans"))
     return rows.join(found, rows[id_col].eqNullSafe(found["_id"]) & (rows["th"] == found["_th"]), "left").drop("_id", "_th")
 
 

@@ -21,10 +21,10 @@ from math import comb, log2
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import cut, sized, table
 from tessera.llm.components import connected_components
 
 BITS = 64
@@ -214,6 +214,113 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     return prints.join(named, "fp").select("id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+# Near copies by the similarity of their shingles.
+#
+# A bound of ``tau`` bits in 64 can't stand for a Jaccard similarity of 0.8: such pairs differ in about ten bits.  So texts
+# get a wide fingerprint, the SimHash of their distinct words, and TABLES groups of KEY_BITS of its bits, each searched with
+# threshold 0.  In a group's value every text is linked with the least one and with its neighbour in an order of its own:
+# linear in the value's size, however many texts share it.  Links are verified, first by all bits, then by the shingles.
+WIDE = 8
+TABLES = 40
+KEY_BITS = 32
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+
+def wide_fingerprint(text: str | None, seed: int = 42) -> np.ndarray:
+    """WIDE x 64 bits, packed into bytes; a bit is 1 if set in over half the distinct words' hashes."""
+    words = sorted(set((text or "").encode("utf-8", "surrogatepass").lower().split()))
+    counts = np.zeros(WIDE * BITS, dtype=np.int64)
+    step = 1 << 14
+    for at in range(0, len(words), step):
+        part = words[at : at + step]
+        one = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in part), dtype=np.uint64, count=len(part))
+        with np.errstate(over="ignore"):
+            z = one[:, None] + _GOLDEN * np.arange(1, WIDE + 1, dtype=np.uint64)[None, :]
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            z ^= z >> np.uint64(31)
+        counts += np.unpackbits(np.ascontiguousarray(z).view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int32)
+    return np.packbits(counts * 2 > len(words))
+
+
+def _table_keys(wide: np.ndarray) -> np.ndarray:
+    """TABLES integers from rows of wide fingerprints: KEY_BITS bits each, drawn once for all."""
+    bits = np.unpackbits(wide, axis=1)
+    rng = np.random.default_rng(7)
+    weights = np.uint64(1) << np.arange(KEY_BITS, dtype=np.uint64)
+    return np.stack([(bits[:, rng.choice(WIDE * BITS, KEY_BITS, replace=False)].astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64) for _ in range(TABLES)], axis=1).astype(np.int64)
+
+
+def shingle_hashes(text: str | None, k: int, seed: int = 42) -> list[int]:
+    """Sorted distinct hashes of the text's k-word shingles."""
+    return sorted({xxhash.xxh64_intdigest(s, seed) - (1 << 63) for s in shingle_list(text, k)})
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, bits_apart: float = 0.25, salt_rows: int = 5000) -> DataFrame:
+    """Rows (id, component_id) of the ids whose text has an equal or near copy (Jaccard of k-word shingles) of another id.
+
+    component_id is the smallest id reachable over such links.  Null ids are left out; a null text counts as empty; equal
+    texts are one node.  Texts without words are copies of each other.
+    """
+
+    @F.pandas_udf("fp binary, keys array<long>")
+    def wide(texts: pd.Series) -> pd.DataFrame:
+        prints = np.stack([wide_fingerprint(t) for t in texts]) if len(texts) else np.zeros((0, WIDE * 8), dtype=np.uint8)
+        return pd.DataFrame({"fp": [p.tobytes() for p in prints], "keys": list(_table_keys(prints))})
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text.alias("text"))
+    same = rows.select("id", F.md5("text").alias("same"), wide("text").alias("w"))
+    same = cut(same.select("id", "same", "w.fp", "w.keys"))
+    nodes = cut(same.groupBy("same").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    keyed = nodes.select("rep", F.posexplode("keys").alias("t", "key"))
+    shared = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1")
+    members = keyed.join(shared, ["t", "key"]).withColumn("mixed", F.xxhash64("rep", "t"))
+    members = members.withColumn("salt", F.pmod("mixed", F.ceil(F.col("n") / salt_rows)))
+    ring = Window.partitionBy("t", "key", "salt").orderBy("mixed", "rep")
+    pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    members = members.withColumn("before", F.lag("rep").over(ring))
+    links = members.select(F.explode(F.array(pair(F.col("rep"), F.col("least")), pair(F.col("rep"), F.col("before")))).alias("p")).select("p.a", "p.b").where("a < b").distinct()
+    prints = nodes.select("rep", "fp")
+    links = links.join(prints.withColumnRenamed("fp", "fa"), F.col("a") == F.col("rep")).drop("rep").join(prints.withColumnRenamed("fp", "fb"), F.col("b") == F.col("rep")).drop("rep")
+
+    @F.pandas_udf("int")
+    def apart(fa: pd.Series, fb: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(s), dtype=np.uint64).reshape(len(s), -1) for s in (fa, fb))
+        return pd.Series(np.bitwise_count(x ^ y).sum(axis=1).astype(np.int32))
+
+    links = cut(links.where(apart("fa", "fb") <= int(bits_apart * WIDE * BITS)).select("a", "b"))
+
+    @F.pandas_udf("array<long>")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(t, k) for t in texts])
+
+    linked = sized(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 1_000_000)
+    reps = rows.join(linked, "id", "left_semi").dropDuplicates(["id"]).select("id", hashes("text").alias("h"))
+    reps = cut(reps)
+    both = links.join(reps.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(reps.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
+    common = F.size(F.array_intersect("ha", "hb"))
+    close = both.where((common >= similarity * (F.size("ha") + F.size("hb") - common)) & (common > 0)).select("a", "b")
+    exact = same.join(nodes.select("same", "rep"), "same").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    return connected_components(close.unionByName(exact)).select(F.col("node").alias("id"), F.col("root").alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` without those that are equal or near copies of a row with a smaller id.
+
+    Of rows that repeat an id one stays (the least text hash).  Rows without an id stay as they are.
+    """
+    found = near_copies(docs, id_col, text_col, **how)
+    gone = sized(found.where("id <> component_id").select(F.col("id").alias(id_col)).distinct(), 1_000_000)
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    repeated = sized(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col))
+    if repeated.isEmpty():
+        return kept
+    order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
+    one = kept.join(repeated, id_col, "left_semi").withColumn("_k", F.row_number().over(order)).where("_k = 1").select(*docs.columns)
+    return kept.join(repeated, id_col, "left_anti").select(*docs.columns).unionByName(one)
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     """SimHash components of all documents (3-word shingles, up to 2 differing bits)."""
     found = near_duplicate_components(table(spark, sf_dir, "documents"))
