@@ -94,23 +94,32 @@ class Model:
     limits: np.ndarray | None = None
 
     def logs_of(self, codes: np.ndarray) -> np.ndarray:
-        """Log probability of each character of a reduced text, a column for each language."""
-        out = np.zeros((len(codes), len(self.languages)), dtype=np.float64)
-        todo = np.arange(len(codes))
+        """Log probability of each character of a reduced text, a column for each language; each distinct n-gram is looked up once."""
+        full = gram_hashes(codes, ORDER)
+        order_of = np.argsort(full)
+        ordered = full[order_of]
+        first = np.ones(len(codes), dtype=bool)
+        first[1:] = ordered[1:] != ordered[:-1]
+        places = order_of[first]
+        logs = np.zeros((len(places), len(self.languages)), dtype=np.float64)
+        todo = np.arange(len(places))
         for order in range(ORDER, 0, -1):
-            keys = gram_hashes(codes, order)[todo]
+            keys = gram_hashes(codes, order)[places[todo]]
             at, hit = find(self.grams[order - 1], keys)
-            out[todo[hit]] += self.logs[order - 1][at[hit]]
+            logs[todo[hit]] += self.logs[order - 1][at[hit]]
             todo = todo[~hit]
             if not len(todo):
-                return out
+                break
             if order > 1:
                 # the context of a missing n-gram ends one place before it
                 before = np.concatenate((np.zeros(1, dtype=np.uint64), gram_hashes(codes, order - 1)[:-1]))
                 before[0] = gram_hashes(np.zeros(order - 1, dtype=np.uint32), order - 1)[-1]
-                at, hit = find(self.contexts[order - 1], before[todo])
-                out[todo[hit]] += self.backoff[order - 1][at[hit]]
-        out[todo] += self.unseen
+                at, hit = find(self.contexts[order - 1], before[places[todo]])
+                logs[todo[hit]] += self.backoff[order - 1][at[hit]]
+        else:
+            logs[todo] += self.unseen
+        out = np.empty((len(codes), len(self.languages)))
+        out[order_of] = logs[np.cumsum(first) - 1]
         return out
 
     def entropies(self, texts) -> tuple[np.ndarray, np.ndarray]:
