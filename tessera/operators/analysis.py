@@ -61,19 +61,21 @@ def quality_score(rates: dict[str, Column], change: Column, original_depth: Colu
 
 def scored_pairs(pairs: DataFrame, by: list[str], augmented: bool = False) -> DataFrame:
     """Rows (by, quality_score) from pairs of count structs."""
-    wide = preservation(pairs, by).groupBy(*by).pivot("element", list(ELEMENTS)).agg(F.first("rate"))
+    wide = preservation(pairs, by).groupBy(*by).agg(*[F.max(F.when(F.col("element") == e, F.struct("rate", "original", "processed"))).alias(f"_{e}") for e in ELEMENTS])
     rows = wide.join(structure_change(pairs, by), by)
+    for e in ELEMENTS:
+        rows = rows.withColumn(e, F.col(f"_{e}.rate")).withColumn(f"{e}_original", F.col(f"_{e}.original")).withColumn(f"{e}_processed", F.col(f"_{e}.processed")).drop(f"_{e}")
     rates = {e: F.col(e) for e in ELEMENTS}
     return rows.withColumn("quality_score", quality_score(rates, F.col("char_change_percent"), F.col("original_depth"), F.col("processed_depth"), augmented))
 
 
 def report(rows: DataFrame, by: list[str]) -> DataFrame:
     """A Markdown report of each row of ``scored_pairs`` (A5)."""
-    line = lambda e: F.format_string(f"| {e.capitalize():<9} | %.1f%% |", F.col(e).cast("double"))
+    line = lambda e: F.format_string(f"| {e.capitalize():<9} | %-8d | %-9d | %.1f%%              |", f"{e}_original", f"{e}_processed", F.col(e).cast("double"))
     text = F.concat_ws(
         "\n",
         F.lit("# Document Processing Analysis Report"), F.lit("---"), F.format_string("**Overall Quality Score: %.1f/100**", F.col("quality_score").cast("double")),
-        F.lit("\n## 1. Content Preservation Analysis"), F.lit("| Element   | Preservation Rate |"), F.lit("|-----------|-------------------|"), *[line(e) for e in ELEMENTS],
+        F.lit("\n## 1. Content Preservation Analysis"), F.lit("| Element   | Original | Processed | Preservation Rate |"), F.lit("|-----------|----------|-----------|-------------------|"), *[line(e) for e in ELEMENTS],
         F.lit("\n## 2. Structural & Size Analysis"), F.format_string("- **Character Count Change:** %+.1f%%", F.col("char_change_percent").cast("double")),
         F.format_string("- **Section Count:** %d -> %d", "original_sections", "processed_sections"), F.format_string("- **Subsection/Depth Count:** %d -> %d", "original_depth", "processed_depth"),
     )

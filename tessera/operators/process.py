@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.effects import LanguageModel, ask
 from tessera.functions.text import comma_list, enforce_format, head, polished_part, render_prompt, system_prompt, tail
+from tessera.materialize import materialized
 from tessera.operators.render import full_text
 from tessera.schema import PATH_SEPARATOR
 
@@ -43,7 +44,7 @@ def process_tree(nodes: DataFrame, model: LanguageModel, context: str = CONTEXT,
         made = refactor(F.col("_in"), F.array_join("path", PATH_SEPARATOR), F.col("_parent"), model, context, fmt, critique)
         level = level.withColumn("_r", made).withColumn("processed_content", F.when(F.col("_in") == "", F.lit("")).otherwise(F.coalesce("_r.fixed", F.lit("")))).withColumn("issues", F.coalesce("_r.issues", F.array().cast("array<string>"))).drop("_r", "_parent")
         # what a model said is kept: the next depth must not ask again
-        level = level.checkpoint() if level.sparkSession.sparkContext.getCheckpointDir() else level
+        level = materialized(level)
         done = level if done is None else done.unionByName(level)
     return (done if done is not None else rows.withColumn("processed_content", F.lit("")).withColumn("issues", F.array().cast("array<string>"))).drop("_in")
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tessera.plans.oracles import ORACLES
+from tessera.plans.queries import QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tessera.materialize import materialized
+
 TEXT_EXTENSIONS = (".txt", ".tex", ".md")
 
 
@@ -80,22 +82,22 @@ def resolve_includes(docs: DataFrame, max_depth: int = 10) -> DataFrame:
     files = docs.select(F.col("path").alias("_file"), F.col("content").alias("_text"))
     rows = docs.withColumn("_seen", F.array("path"))
     for _ in range(max_depth):
-        pieces = F.split("content", INCLUDE, -1)
-        names = F.regexp_extract_all("content", F.lit(INCLUDE), F.lit(1))
         if rows.where(F.col("content").rlike(INCLUDE)).isEmpty():
             break
-        parts = rows.select("path", "_seen", F.posexplode(F.arrays_zip(pieces.alias("piece"), names.alias("name"), F.regexp_extract_all("content", F.lit(INCLUDE), F.lit(0)).alias("command"))).alias("k", "x"))
+        commands = F.regexp_extract_all("content", F.lit(INCLUDE), F.lit(0))
+        names = F.regexp_extract_all("content", F.lit(INCLUDE), F.lit(1))
+        parts = rows.select("path", "_seen", F.posexplode(F.arrays_zip(F.split("content", INCLUDE, -1).alias("piece"), names.alias("name"), commands.alias("command"))).alias("k", "x"))
         name = F.trim("x.name")
-        folder = F.regexp_extract("path", r"^(.*/)", 1)
-        target = F.when(name.isNotNull(), F.concat(folder, F.when(name.endswith(".tex"), name).otherwise(F.concat(name, F.lit(".tex")))))
+        target = F.concat(F.regexp_extract("path", r"^(.*/)", 1), F.when(name.endswith(".tex"), name).otherwise(F.concat(name, F.lit(".tex"))))
         parts = parts.withColumn("_file", target).join(files, "_file", "left")
         open_ = F.col("_text").isNotNull() & ~F.array_contains("_seen", F.col("_file"))
-        parts = parts.withColumn("t", F.concat(F.col("x.piece"), F.coalesce(F.when(open_, F.col("_text")), F.replace(F.coalesce(F.col("x.command"), F.lit("")), F.lit("{"), F.lit("{\u0000")))))
-        parts = parts.withColumn("s", F.when(open_, F.col("_file")))
-        joined = parts.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda p: p["t"]), "").alias("_new"), F.flatten(F.array(F.first("_seen"), F.collect_set("s"))).alias("_all"))
+        # a command that stays is marked inside, so that it isn't looked at again
+        marked = F.coalesce(F.replace("x.command", F.lit("{"), F.lit("\u0000{")), F.lit(""))
+        parts = parts.withColumn("t", F.concat("x.piece", F.when(open_, F.col("_text")).otherwise(marked))).withColumn("s", F.when(open_, F.col("_file")))
+        whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda p: p["t"]), "")
+        joined = parts.groupBy("path").agg(whole.alias("_new"), F.concat(F.first("_seen"), F.collect_set("s")).alias("_all"))
         rows = rows.join(joined, "path", "left").withColumn("content", F.coalesce("_new", "content")).withColumn("_seen", F.coalesce("_all", "_seen")).drop("_new", "_all")
-        # commands that stay are marked, so that they aren't looked at again
-        rows = rows.withColumn("content", F.regexp_replace("content", "(\\\\\\\\(?:input|include))\\{\u0000", "$1\u0000{"))
+        rows = materialized(rows)
     return rows.withColumn("content", F.regexp_replace("content", "\u0000", "")).select(*docs.columns)
 
 
@@ -112,7 +114,7 @@ def filename_of_url(url: Column) -> Column:
 def main_file(files: DataFrame, by: str = "archive", path: str = "path", position: str = "pos") -> DataFrame:
     """The main file of each archive: the first of a usual name, else the first."""
     usual = F.regexp_extract(F.col(path), r"([^/]*)$", 1).isin(*MAIN_NAMES)
-    return files.groupBy(by).agg(F.min_by(path, F.struct(F.when(usual, 0).otherwise(1), F.col(position))).alias("main"))
+    return files.groupBy(by).agg(F.min_by(path, F.struct(F.when(usual, 0).otherwise(1), F.col(position), F.col(path))).alias("main"))
 
 
 def tex_members(data: bytes, limit: int = 1 << 28) -> list[tuple[str, str]]:

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.materialize import materialized
 from tessera.schema import PATH_SEPARATOR, SKELETON
 
 DEFAULT = "bitcoin_paper"
@@ -100,6 +101,7 @@ def skeleton_of_table(nodes: DataFrame, id_col: str, parent_col: str, title_col:
     found = level
     for _ in range(max_depth - 1):
         level = base.join(level.withColumnRenamed("id", "parent"), "parent").select("id", F.concat("path", F.array("title")).alias("path"), F.concat("sort_key", F.array("ord")).alias("sort_key"))
+        level = materialized(level)
         if level.isEmpty():
             break
         found = found.unionByName(level)
