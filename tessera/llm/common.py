@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Folds by crc32(doc_id as text).
@@ -48,3 +48,22 @@ def sized(df: DataFrame, most: int = 200_000) -> DataFrame:
     """The same rows, computed once, marked for a broadcast if they are at most ``most``; else joins shuffle them."""
     df = cut(df)
     return F.broadcast(df) if df.count() <= most else df
+
+
+def lowest_hashes(rows: DataFrame, key: str, most: int, by: str | None = None) -> DataFrame:
+    """Of ``rows`` (distinct ``key``, not null) the ``most`` of the lowest key hashes, in each value of ``by`` if it is given.
+
+    A sample whose bound is ``most`` and that all rows have the same chance of.  Hashes beyond the share that is surely
+    enough (six standard deviations over it) are left out where the rows are, so that what is ordered is small.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 52)) / float(1 << 52)
+    enough = most + 6 * most**0.5 + 10
+    rows = rows.withColumn("_place", place)
+    if by is None:
+        n = rows.count()
+        near = rows.where(F.col("_place") <= enough / max(n, 1))
+        return near.orderBy("_place", key).limit(most).drop("_place")
+    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    near = rows.join(sizes, by).where(F.col("_place") <= enough / F.col("_n"))
+    ranked = near.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy("_place", key)))
+    return ranked.where(F.col("_k") <= most).drop("_place", "_k", "_n")

@@ -16,10 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, fold, table
+from tessera.llm.common import cut, fold, lowest_hashes, table
 
 ORDER = 4
 UND = "und"
@@ -279,8 +280,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     row the model has no language and everything is ``und``.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id is not null and text is not null and lang is not null").where(fold("id") != 0)
-    ranked = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "lang").withColumn("k", F.row_number().over(ranked)).where(F.col("k") <= max_docs).select("id", "lang").distinct()
+    chosen = lowest_hashes(rows.select("id", "lang").distinct(), "id", max_docs, "lang")
     sample = cut(rows.join(F.broadcast(chosen), ["id", "lang"]).select("lang", "text", (fold("id") == 1).alias("calibrate")).repartition(8))
 
     def count(batches):
@@ -288,16 +288,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             for lang, texts in batch[~batch["calibrate"]].groupby("lang")["text"]:
                 yield count_grams(texts).assign(lang=lang)
 
-    counted = sample.mapInPandas(count, "gram binary, n long, lang string").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counted = sample.mapInPandas(count, "gram binary, n long, lang string").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     counts = {}
-    for lang, part in counted.groupby("lang"):
-        grams = np.frombuffer(b"".join(part["gram"].tolist()), dtype=np.uint32).reshape(-1, ORDER)
+    for lang in set(counted["lang"].to_pylist()):
+        part = counted.filter(pc.equal(counted["lang"], lang))
+        grams = np.frombuffer(b"".join(part["gram"].to_pylist()), dtype=np.uint32).reshape(-1, ORDER)
         counts[lang] = grams, part["n"].to_numpy()
     if not counts:
         return Model([], [], [], [], [], 0.0)
     model = estimate(counts)
-    check = sample.where("calibrate").select("text", "lang").toPandas()
-    calibrate(model, check["text"].tolist(), check["lang"].tolist())
+    check = sample.where("calibrate").select("text", "lang").toArrow()
+    calibrate(model, check["text"].to_pylist(), check["lang"].to_pylist())
     return model
 
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import FOLDS, fold, table
+from tessera.llm.common import FOLDS, fold, lowest_hashes, table
 
 #: Seed lexicon: common insults (English, German, French, Spanish).
 INSULTS = frozenset(
@@ -212,7 +212,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 42) -> Model:
     return Model(learn_lexicon(texts, y), trees, steps)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
     """Texts and labels of at most ``max_rows`` labelled rows outside fold 0: the lowest hashes of the id, from all rows.
 
     The ids are chosen first (a bounded top-k), then their texts are fetched.  Ids with contradicting labels are left out,
@@ -221,10 +221,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000,
     marked = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2")
     marked = marked.where(fold("_id") != 0)
     present = docs.select(F.col(id_col).alias("_id")).join(marked, "_id", "left_semi").distinct()
-    chosen = marked.join(present, "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    chosen = lowest_hashes(marked.join(present, "_id", "left_semi"), "_id", max_rows)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")).where("t is not null").join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id")
-    got = rows.select("t", "y").toPandas()
-    return got["t"].tolist(), got["y"].astype(int).tolist()
+    got = rows.select("t", "y").toArrow()
+    return got["t"].to_pylist(), [int(y) for y in got["y"].to_pylist()]
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
