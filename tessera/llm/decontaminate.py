@@ -111,16 +111,23 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     return found.select("id", "th", "item", (F.col("n") / F.col("total")).alias("coverage"), "exact").where(F.col("coverage") >= coverage)
 
 
-def _by_document(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, **how) -> tuple[DataFrame, DataFrame]:
-    found = find_leaks(docs, items, id_col, text_col, **how)
-    each = found.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("coverage").alias("coverage"), F.min("exact").alias("exact"))
-    return docs.withColumn("th", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))), each
+def _by_document(found: DataFrame) -> DataFrame:
+    return found.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th2")).agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("coverage").alias("coverage"), F.min("exact").alias("exact"))
+
+
+def _with_hash(docs: DataFrame, text_col: str) -> DataFrame:
+    return docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+
+
+def _same_document(id_col: str) -> Column:
+    return F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__th2"))
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Benchmark items found in each document."""
-    docs, found = _by_document(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), "doc_id", "text")
-    rows = docs.select("doc_id", "th").join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = _by_document(find_leaks(docs, table(spark, sf_dir, "benchmark")))
+    rows = _with_hash(docs, "text").select("doc_id", "__th").join(found, _same_document("doc_id"), "left")
     return rows.select(
         "doc_id",
         F.col("items").isNotNull().alias("contaminated"),
@@ -133,6 +140,5 @@ def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 def remove_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` in which no item is found; their columns stay as they are."""
-    rows, found = _by_document(docs, items, id_col, text_col, **how)
-    found = sized(found.select("_id", "_th"), 1_000_000)
-    return rows.join(found, rows[id_col].eqNullSafe(found["_id"]) & (rows["th"] == found["_th"]), "left_anti").select(*docs.columns)
+    found = sized(_by_document(find_leaks(docs, items, id_col, text_col, **how)).select("__id", "__th2"), 1_000_000)
+    return _with_hash(docs, text_col).join(found, _same_document(id_col), "left_anti").select(*docs.columns)

@@ -185,7 +185,7 @@ def _discount(counts: np.ndarray) -> float:
 def estimate(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     """The model from (n-grams as a matrix of codes, counts) of each language."""
     languages = sorted(counts)
-    alphabet = {int(c) for grams, _ in counts.values() for c in np.unique(grams)} | {32}
+    alphabet = {int(c) for grams, _ in counts.values() for c in np.unique(grams[:, -1])} | {32}
     uniform = 1.0 / (len(alphabet) + 1)
     levels = {}  # (language, order) -> grams, counts: the highest as counted, lower ones by how many letters precede them
     for lang in languages:

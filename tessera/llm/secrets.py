@@ -108,12 +108,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return judged.groupBy("id", "th").agg(F.collect_list("s").alias("spans"))
 
 
-def with_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with a column ``spans`` (empty where none) and the ``th`` that it was joined on."""
-    th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.withColumn("th", th)
-    found = sized(find_secrets(docs, id_col, text_col, **how).select(F.col("id").alias("_id"), F.col("th").alias("_th"), "spans"))
-    return rows.join(found, rows[id_col].eqNullSafe(found["_id"]) & (rows["th"] == found["_th"]), "left").drop("_id", "_th")
+def with_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "__spans", **how) -> DataFrame:
+    """``docs`` with a column of spans, null where there are none."""
+    rows = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    found = sized(find_secrets(docs, id_col, text_col, **how).select(F.col("id").alias("__id"), F.col("th").alias("__th2"), F.col("spans").alias(spans_col)))
+    return rows.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__th2")), "left").drop("__id", "__th", "__th2")
 
 
 def _number(kind: str) -> Column:
@@ -143,7 +142,7 @@ def op4_secrets(spark, sf_dir: str) -> DataFrame:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", verdicts: tuple[str, ...] = ("live", "weak", "example"), **how) -> DataFrame:
     """``docs`` with each reported span of these verdicts replaced by ``[kind]``; other columns and rows stay as they are."""
     rows = with_secrets(docs, id_col, text_col, **how)
-    spans = F.array_sort(F.transform(F.filter("spans", lambda s: s["verdict"].isin(*verdicts)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    spans = F.array_sort(F.transform(F.filter("__spans", lambda s: s["verdict"].isin(*verdicts)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     text = F.col(text_col)
     step = F.aggregate(
         spans,
@@ -157,4 +156,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", verd
         ).otherwise(acc),
         lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))),
     )
-    return rows.withColumn(text_col, F.when(F.size("spans") > 0, step).otherwise(text)).select(*docs.columns)
+    return rows.withColumn(text_col, F.when(F.size("__spans") > 0, step).otherwise(text)).select(*docs.columns)

@@ -96,9 +96,10 @@ class Trees:
         return total
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 64, ridge: float = 1.0, least: int = 8) -> Trees:
-    """Newton boosting of the logistic loss with histograms of ``bins`` quantile bins."""
+def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 64, ridge: float = 1.0, least: float = 0.002) -> Trees:
+    """Newton boosting of the logistic loss with histograms of ``bins`` quantile bins; a leaf has the share ``least`` of rows, and 3."""
     n, width = x.shape
+    least = max(3, int(least * n))
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(width)]
     binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1)
     p = np.clip(y.mean(), 1e-4, 1 - 1e-4)
@@ -151,7 +152,7 @@ def _leaves(binned: np.ndarray, f: np.ndarray, t: np.ndarray, edges: list[np.nda
         yield np.nonzero(at == node)[0], node
 
 
-def fit_isotonic(margin: np.ndarray, y: np.ndarray, prior: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+def fit_isotonic(margin: np.ndarray, y: np.ndarray, prior: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
     """Steps (margin, probability), both rising: pool adjacent violators; each block is pulled to the base rate by ``prior`` rows."""
     order = np.argsort(margin, kind="stable")
     blocks: list[list[float]] = []  # sum of labels, rows, sum of margins
@@ -178,23 +179,37 @@ class Model:
         return np.interp(margin, *self.steps) if len(self.steps[0]) else 1 / (1 + np.exp(-margin))
 
 
-def learn_lexicon(texts: list[str], y: np.ndarray, least: int = 3, odds: float = 2.0, size: int = 500) -> dict[str, float]:
-    """Words whose documents are toxic far more often than others: word to log odds, at most ``size`` of them."""
+def learn_lexicon(texts: list[str], y: np.ndarray, odds: float = 2.0, size: int = 500, chance: float = 0.5) -> dict[str, float]:
+    """Words that toxic documents have far more often than others: word to log odds, at most ``size`` of them.
+
+    A word is taken if the bound on the probability that it stands in so many toxic documents by chance, times the number of
+    words tried, is at most ``chance``.
+    """
     counts: dict[str, list[int]] = {}
     for text, label in zip(texts, y, strict=True):
         for w in set(words_of(text)):
             counts.setdefault(w, [0, 0])[int(label)] += 1
     toxic, clean = max(y.sum(), 1), max((1 - y).sum(), 1)
-    found = {w: float(np.log((p + 0.5) / (toxic + 1)) - np.log((q + 0.5) / (clean + 1))) for w, (q, p) in counts.items() if p >= least}
-    best = sorted((w for w, s in found.items() if s >= odds and counts[w][1] >= 3 * counts[w][0]), key=lambda w: (-found[w] * counts[w][1], w))
+    rate = toxic / (toxic + clean)
+    tried = {w: c for w, c in counts.items() if sum(c) >= 3}
+    found = {}
+    for w, (q, p) in tried.items():
+        share = p / (p + q)
+        if share <= rate:
+            continue
+        bound = -(p + q) * (share * np.log(share / rate) + ((1 - share) * np.log((1 - share) / (1 - rate)) if share < 1 else 0.0))
+        weight = float(np.log((p + 0.5) / (toxic + 1)) - np.log((q + 0.5) / (clean + 1)))
+        if bound + np.log(len(tried)) <= np.log(chance) and weight >= odds and p >= 3 * q:
+            found[w] = weight
+    best = sorted(found, key=lambda w: (-found[w] * counts[w][1], w))
     return {w: found[w] for w in best[:size]}
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 42) -> Model:
     """A model from texts with labels 0 and 1; with no rows or a single class, a constant one.
 
-    Features of a row are taken with a lexicon learned from the other folds, so that learned words don't look better to
-    the trees than they are; the trees see four folds and the calibration the fifth.  The model keeps the lexicon of all.
+    Features of a row are taken with a lexicon learned from the other four folds, so that learned words don't look better to
+    the trees than they are; the calibration sees margins of trees that were fitted without the row's fold.
     """
     y = np.array(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
@@ -207,9 +222,10 @@ def fit(texts: list[str], labels: list[int], seed: int = 42) -> Model:
         learned = learn_lexicon(*pick(part != k))
         for i in np.nonzero(part == k)[0]:
             x[i] = features(texts[i], learned)
-    trees = fit_trees(x[part < 4], y[part < 4])
-    steps = fit_isotonic(trees.margin(x[part == 4]), y[part == 4])
-    return Model(learn_lexicon(texts, y), trees, steps)
+    margin = np.zeros(len(y))
+    for k in range(5):
+        margin[part == k] = fit_trees(x[part != k], y[part != k]).margin(x[part == k])
+    return Model(learn_lexicon(texts, y), fit_trees(x, y), fit_isotonic(margin, y))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
