@@ -19,17 +19,23 @@ BOOST = 0.5
 MAX_SECTIONS = 10_000
 
 
-def dense_scores(chunks: DataFrame, sections: DataFrame, vector: str = "embedding", section_vector: str = "embedding") -> DataFrame:
-    """Cosine of every chunk with every section (J1).  The section table must be a template, of at most ``MAX_SECTIONS``."""
+def _template(sections: DataFrame) -> DataFrame:
+    """A section table marked for a broadcast, after a check that it has the size of a template."""
     n = sections.count()
     if n > MAX_SECTIONS:
         raise ValueError(f"{n} sections; a template has at most {MAX_SECTIONS}")
-    s = F.broadcast(sections.select("node_idx", F.col(section_vector).alias("_s")))
+    return F.broadcast(sections)
+
+
+def dense_scores(chunks: DataFrame, sections: DataFrame, vector: str = "embedding", section_vector: str = "embedding") -> DataFrame:
+    """Cosine of every chunk with every section (J1).  The section table must be a template, of at most ``MAX_SECTIONS``."""
+    s = _template(sections.select("node_idx", F.col(section_vector).alias("_s")))
     return chunks.select("doc_id", "chunk_id", F.col(vector).alias("_c")).crossJoin(s).select("doc_id", "chunk_id", "node_idx", cosine(F.col("_c"), F.col("_s")).alias("score"))
 
 
 def text_scores(chunks: DataFrame, sections: DataFrame, text: str = "content", section_text: str = "description") -> DataFrame:
     """Cosine of term counts, for the pairs with a common term (J1 without a model); other pairs score 0 and aren't listed."""
+    sections = _template(sections)
     keyed = chunks.withColumn("_k", F.struct("doc_id", "chunk_id"))
     a, b = term_counts(keyed, "_k", text), term_counts(sections, "node_idx", section_text).withColumnRenamed("id", "node_idx").withColumnRenamed("tf", "tf2")
     dots = a.join(F.broadcast(b), "term").groupBy("id", "node_idx").agg(F.sum(F.col("tf") * F.col("tf2")).alias("dot"))
@@ -77,7 +83,7 @@ def assign(chunks: DataFrame, scores: DataFrame, threshold: float = THRESHOLD) -
 def model_rescue(assigned: DataFrame, replies: DataFrame, sections: DataFrame) -> DataFrame:
     """Orphans placed by a model's reply (doc_id, chunk_id, reply) that is a valid path (M5, J7); others stay orphans."""
     paths = sections.select(F.col("path_key").alias("_p"), F.col("node_idx").alias("_n"))
-    found = replies.select("doc_id", "chunk_id", F.trim("reply").alias("_p")).join(F.broadcast(paths), "_p").select("doc_id", "chunk_id", "_n")
+    found = replies.select("doc_id", "chunk_id", F.trim("reply").alias("_p")).join(_template(paths), "_p").select("doc_id", "chunk_id", "_n")
     return _rescued(assigned, found, "llm")
 
 
@@ -162,7 +168,7 @@ def dynamic_subsections(sections: DataFrame, titles: DataFrame, assigned: DataFr
     made = made.withColumn("path_key", F.array_join("path", " -> ")).withColumn("dynamic_subsections", F.lit(False)).select(*sections.columns)
     theirs = assigned.join(new.select("node_idx").distinct(), "node_idx", "left_semi").select("doc_id", "chunk_id", F.col("node_idx").alias("parent_idx"))
     scored = text_scores(chunks.join(theirs, ["doc_id", "chunk_id"], "left_semi"), made)
-    every = theirs.join(F.broadcast(made.select("node_idx", "parent_idx")), "parent_idx").join(scored, ["doc_id", "chunk_id", "node_idx"], "left").select("doc_id", "chunk_id", "node_idx", F.coalesce("score", F.lit(0.0)).alias("score"))
+    every = theirs.join(_template(made.select("node_idx", "parent_idx")), "parent_idx").join(scored, ["doc_id", "chunk_id", "node_idx"], "left").select("doc_id", "chunk_id", "node_idx", F.coalesce("score", F.lit(0.0)).alias("score"))
     best = best_section(every).select("doc_id", "chunk_id", F.col("node_idx").alias("_n"), F.col("score").alias("_s"))
     moved = assigned.join(best, ["doc_id", "chunk_id"], "left")
     moved = moved.withColumn("node_idx", F.coalesce("_n", "node_idx")).withColumn("assignment_score", F.coalesce("_s", "assignment_score")).select(*assigned.columns)
