@@ -18,7 +18,7 @@ from tessera.llm.common import cut, sized, table
 
 WINDOW = 8
 LEAST = 5
-COVERAGE = 0.5
+COVERAGE = 0.25
 MAX_BROADCAST = 1_000_000
 
 #: Placeholders, from a private area so that no text has them by chance.
