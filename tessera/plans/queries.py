@@ -9,6 +9,7 @@ from tessera.functions import effects, text, vector
 from tessera.operators import analysis, chunk, combine, context, mapping, process, render
 from tessera.plans import inputs
 from tessera.plans.inputs import table
+from tessera.plans.restructure import Options, restructure
 from tessera.sources import files, sinks, templates
 
 R = lambda c: F.round(c, 6)
@@ -416,11 +417,17 @@ def recombined(spark, d) -> DataFrame:
     return both.select("node_idx", "path_key", F.row_number().over(Window.orderBy("part", "node_idx")).alias("place"))  # a template's nodes
 
 
+def restructured(spark, d) -> DataFrame:
+    docs = inputs.conversation_texts(spark, d, "% --- %s ---").withColumn("ext", F.lit(".tex"))
+    made = restructure(docs, templates.skeleton(spark, "bitcoin_paper_hierarchical"), effects.EchoModel(), Options(fmt="markdown", polish=False))
+    return made.select("doc_id", F.length("document").alias("n_chars"))
+
+
 QUERIES = [
     content_quality, chunk_paragraphs, section_marker_split, section_marker_chunks, chunks_grouped_by_section, ungrouped_chunks, markdown_chunks, paragraph_table_chunks, latex_chunks, long_chunk_split, tex_preprocess, section_markers,
     template_skeleton, skeleton_flatten, tree_outline, map_argmax, map_orphans, reference_edges, graph_boost, neighbor_rescue, graph_rescue, cohesion, model_rescue, text_map, node_contents,
     format_enforce_latex, format_enforce_markdown, format_issues, section_summary, response_validation, regex_matches, prompts_and_replies, file_names, main_files, include_resolution, session_ids,
     preservation_batch, text_coherence, validation_stats, running_mean, coherence_by_label, item_scores, build_context, context_prune, relevant_context, document_context, context_stats, section_index, add_context,
     element_counts, preservation_report, structure_change, quality_score, quality_report, contribution_report, contribution_summary, preserved_elements,
-    combine_robust, combine_merge, combine_append, tree_overlap, tree_only_new, tree_weave, tree_graft, render_latex, render_markdown, render_json, full_text, transitions, process_tree, polish, embed_texts, circuit_breaker, recombined,
+    combine_robust, combine_merge, combine_append, tree_overlap, tree_only_new, tree_weave, tree_graft, render_latex, render_markdown, render_json, full_text, transitions, process_tree, polish, embed_texts, circuit_breaker, recombined, restructured,
 ]
