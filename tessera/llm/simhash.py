@@ -218,14 +218,15 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 #
 # A bound of ``tau`` bits in 64 can't stand for a Jaccard similarity of 0.8: such pairs differ in about ten bits.  So texts
 # get a wide fingerprint, the SimHash of their distinct words, and TABLES groups of KEY_BITS of its bits, each searched with
-# threshold 0.  In a group's value every text is linked with the least one, with its neighbour in an order of its own, and
-# with the CENTRES texts that share values with most others: the original that many copies were made from shares the value
-# of nearly all of them.  That is linear in the value's size, however many texts share it.  Links are verified, first by all
-# bits, then by the shingles.
+# threshold 0.  In a group's value every text is linked with its neighbour in one order of all texts.  The CENTRES texts of a
+# value that share values with most others are its centres: the original that many copies were made from shares the value of
+# nearly all of them.  Every text is linked with the HUBS centres that it shares most values with.   That is linear in the
+# number of texts, however many share a value.  Links are verified, first by all bits, then by the shingles.
 WIDE = 8
 TABLES = 60
 KEY_BITS = 28
 CENTRES = 3
+HUBS = 24
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -277,18 +278,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = cut(same.select("id", "same", "w.fp", "w.keys"))
     nodes = cut(same.groupBy("same").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     keyed = nodes.select("rep", F.posexplode("keys").alias("t", "key"))
-    shared = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1")
-    members = keyed.join(shared, ["t", "key"]).withColumn("mixed", F.xxhash64("rep", "t"))
+    shared = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = keyed.join(shared, ["t", "key"]).withColumn("mixed", F.xxhash64("rep"))
     members = members.withColumn("salt", F.pmod("mixed", F.ceil(F.col("n") / salt_rows)))
     members = members.withColumn("before", F.lag("rep").over(Window.partitionBy("t", "key", "salt").orderBy("mixed", "rep")))
-    members = cut(members.select("t", "key", "rep", "n", "least", "before"))
+    members = cut(members.select("t", "key", "rep", "n", "before"))
     degrees = members.groupBy("rep").agg(F.sum("n").alias("degree"))
     ranked = members.select("t", "key", "rep").join(degrees, "rep").withColumn("k", F.row_number().over(Window.partitionBy("t", "key").orderBy(F.desc("degree"), "rep")))
-    centres = ranked.where(F.col("k") <= CENTRES).select("t", "key", F.col("rep").alias("centre"))
-    pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    near = members.select(F.explode(F.array(pair(F.col("rep"), F.col("least")), pair(F.col("rep"), F.col("before")))).alias("p"))
-    central = members.select("t", "key", "rep").join(centres, ["t", "key"]).select(pair(F.col("rep"), F.col("centre")).alias("p"))
-    links = near.unionByName(central).select("p.a", "p.b").where("a < b").distinct()
+    centres = ranked.where(F.col("k") <= CENTRES).select("t", "key", F.col("rep").alias("centre"), "degree")
+    # of the centres that a text meets, those that it shares most values with
+    met = members.select("t", "key", "rep").join(centres, ["t", "key"]).where("rep <> centre").groupBy("rep", "centre").agg(F.count(F.lit(1)).alias("times"), F.max("degree").alias("degree"))
+    met = met.withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("times"), F.desc("degree"), "centre"))).where(F.col("k") <= HUBS)
+    pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).alias("p")
+    near = members.where("before is not null").select(pair(F.col("rep"), F.col("before")))
+    links = near.unionByName(met.select(pair(F.col("rep"), F.col("centre")))).select("p.a", "p.b").where("a < b").distinct()
     prints = nodes.select("rep", "fp")
     links = links.join(prints.withColumnRenamed("fp", "fa"), F.col("a") == F.col("rep")).drop("rep").join(prints.withColumnRenamed("fp", "fb"), F.col("b") == F.col("rep")).drop("rep")
 
