@@ -3,7 +3,7 @@
 A text is brought to its words (A-Z lower-cased, joined by single spaces).  Rules are regular expressions over that form;
 each has a label, a priority and a keyword that must occur before its expression is tried.  They are written as families
 (name forms, versions) times statement forms ("licensed under the ... license", "spdx license identifier ...", notices).
-A detection is dropped if one of a better priority covers its interval; of equal ones the longer stays.  Everything is
+A detection is dropped if one of a better priority covers its interval.  Everything is
 done inside the row: no shuffle, no Python.
 """
 
@@ -27,7 +27,7 @@ FAMILIES = [
     ("agpl", "affero", r"gnu affero general public licen[sc]e", r"agpl"),
     ("fdl", "documentation", r"gnu free documentation licen[sc]e", r"gfdl"),
     ("apache", "apache", r"apache (?:software )?licen[sc]e", r"apache"),
-    ("mit", "mit", r"(?:mit|expat|x11) licen[sc]e", r"mit"),
+    ("mit", "licen", r"(?:mit|expat|x11) licen[sc]e", r"mit"),
     ("bsd", "bsd", r"(?:(?:[234]|two|three|four) clause )?bsd(?: [234] clause)?(?: style)? licen[sc]e", r"bsd(?: [234] clause)?"),
     ("isc", "isc", r"isc licen[sc]e", r"isc"),
     ("mpl", "mozilla", r"mozilla public licen[sc]e", r"mpl"),
@@ -51,7 +51,8 @@ FAMILIES = [
     ("postgresql", "postgresql", r"postgresql licen[sc]e", r"postgresql"),
     ("ruby", "ruby", r"ruby licen[sc]e", r"ruby"),
     ("vim", "vim", r"vim licen[sc]e", r"vim"),
-    ("cc0", "cc0", r"(?:creative commons )?(?:cc0|zero)(?: universal)?", r"cc0"),
+    ("cc0", "cc0", r"cc0(?: universal)?", r"cc0"),
+    ("cc0", "zero", r"creative commons zero(?: universal)?", r"creative commons zero"),
     ("cc-by", "cc", r"cc by", r"cc by"),
     ("cc-by-sa", "cc", r"cc by sa", r"cc by sa"),
     ("cc-by-nc", "cc", r"cc by nc", r"cc by nc"),
@@ -66,6 +67,9 @@ FAMILIES = [
     ("commercial", "commercial", r"commercial licen[sc]e", r"commercial"),
 ]
 
+#: A text without any of these has no license; every rule and base phrase needs one of them.
+GATES = ("licens", "licenc", "spdx", "permission", "redistribut", "public domain", "all rights reserved", "proprietary", "creative commons", " cc by", " ccby", " cc0", " cc 0", "wtfpl")
+
 #: A version after a name.
 VERSION = r"(?: international| unported)?(?: version| v)? ?v?[0-9]+(?: [0-9]+){0,2}(?: or (?:any )?later)?"
 
@@ -109,9 +113,9 @@ def word_form(text: Column) -> Column:
     return F.btrim(F.regexp_replace(lower, GAPS, " "))
 
 
-def count_words(words: Column) -> Column:
-    """Number of words of a word form."""
-    return F.when(words == "", F.lit(0)).otherwise(F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))) + 1)
+def count_words(padded: Column) -> Column:
+    """Number of words of a word form that is padded with a space at each end."""
+    return F.when(padded == "  ", F.lit(0)).otherwise(_gaps(padded) - 1)
 
 
 def _gaps(piece: Column) -> Column:
@@ -156,8 +160,9 @@ def detections(padded: Column) -> Column:
 
 
 def standing(found: Column) -> Column:
-    """Detections that no detection of better priority covers, nor an equal one of the same label that is longer."""
-    return F.filter(found, lambda d: ~F.exists(found, lambda e: (e["start"] <= d["start"]) & (e["end"] >= d["end"]) & (e["priority"] < d["priority"])))
+    """Detections that no detection of better priority covers."""
+    covers = lambda e, d: (e["start"] <= d["start"]) & (e["end"] >= d["end"]) & (e["priority"] < d["priority"])
+    return F.flatten(F.transform(F.array(found), lambda all_: F.filter(all_, lambda d: ~F.exists(all_, lambda e: covers(e, d)))))
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -165,17 +170,18 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Null texts count as empty: no words, no detections.  Repeated rows are scanned each for itself.
     """
-    keep = [c for c in docs.columns if c not in ("words", "n_words", "base", "found")]
-    rows = docs.select(*keep, word_form(F.col(text_col)).alias("words"))
-    padded = F.concat(F.lit(" "), F.col("words"), F.lit(" "))
+    keep = [c for c in docs.columns if c not in ("n_words", "base", "found")]
+    # the padded form and the gate are columns of their own: a rule's functions refer to them and don't make them again
+    rows = docs.select(*keep, F.concat(F.lit(" "), word_form(F.col(text_col)), F.lit(" ")).alias("__padded"))
+    padded = F.col("__padded")
+    gate = padded.contains(GATES[0])
+    for word in GATES[1:]:
+        gate = gate | padded.contains(word)
+    rows = rows.withColumn("__gate", gate)
     none = F.array().cast("array<struct<start:int,end:int,label:string>>")
-    per_phrase = [
-        F.when(padded.contains(f" {phrase} "), F.transform(places(padded, F.lit(_bounded(phrase))), _labelled(label))).otherwise(none)
-        for phrase, label in BASE.items()
-    ]
-    gate = F.col("words").rlike("licen[sc]e|spdx|permission|redistribut|public domain|all rights reserved|proprietary|creative commons|(?:^| )cc ?(?:by|0)|unlicense|wtfpl")
-    found = F.when(gate, standing(detections(padded))).otherwise(F.array().cast("array<struct<start:int,end:int,priority:int,label:string,confidence:double>>"))
-    return rows.select(*keep, count_words(F.col("words")).cast("long").alias("n_words"), F.when(gate, F.concat(*per_phrase)).otherwise(none).alias("base"), found.alias("found"))
+    per_phrase = [F.when(padded.contains(f" {phrase} "), F.transform(places(padded, F.lit(_bounded(phrase))), _labelled(label))).otherwise(none) for phrase, label in BASE.items()]
+    found = F.when(F.col("__gate"), standing(detections(padded))).otherwise(F.array().cast("array<struct<start:int,end:int,priority:int,label:string,confidence:double>>"))
+    return rows.select(*keep, count_words(padded).cast("long").alias("n_words"), F.when(F.col("__gate"), F.concat(*per_phrase)).otherwise(none).alias("base"), found.alias("found"))
 
 
 def _labelled(label: str):
