@@ -16,7 +16,7 @@ Equal fingerprints are one node throughout, so copies are never expanded into pa
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb, log2
+from math import ceil, comb, log2
 
 import numpy as np
 import pandas as pd
@@ -216,12 +216,15 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
 # Near copies by the similarity of their shingles.
 #
-# A bound of ``tau`` bits in 64 can't stand for a Jaccard similarity of 0.8: such pairs differ in about ten bits.  So texts
-# get a wide fingerprint, the SimHash of their distinct words, and TABLES groups of KEY_BITS of its bits, each searched with
-# threshold 0.  In a group's value every text is linked with its neighbour in one order of all texts.  The CENTRES texts of a
-# value that share values with most others are its centres: the original that many copies were made from shares the value of
-# nearly all of them.  Every text is linked with the HUBS centres that it shares most values with.   That is linear in the
-# number of texts, however many share a value.  Links are verified, first by all bits, then by the shingles.
+# Two sets of shingles that reach the similarity share one in their first few, in any order of all shingles that both use
+# (prefix filtering).  So each text's shingles are ordered, rare ones first, the first of them are joined, and pairs whose
+# shared one comes too late are left out.  All links are found that way, whatever the texts.
+#
+# A group of thousands of copies shares most of its shingles, so a first pass links what is easily found, and the join then
+# compares only texts that aren't in one component yet.  For the first pass texts get a wide fingerprint, the SimHash of
+# their distinct words, and TABLES groups of KEY_BITS of its bits.  In a group's value every text is linked with its
+# neighbour in one order of all texts, and with the HUBS centres that it shares most values with; a value's CENTRES are the
+# texts that share values with most others.  What the first pass misses costs time only.
 WIDE = 8
 TABLES = 60
 KEY_BITS = 28
@@ -260,60 +263,123 @@ def shingle_hashes(text: str | None, k: int, seed: int = 42) -> list[int]:
     return sorted({xxhash.xxh64_intdigest(s, seed) - (1 << 63) for s in shingle_list(text, k)})
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, bits_apart: float = 0.25, salt_rows: int = 5000) -> DataFrame:
-    """Rows (id, component_id) of the ids whose text has an equal or near copy (Jaccard of k-word shingles) of another id.
+def common_shingles(rows: DataFrame, k: int, texts: int = 20_000, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingle hashes that occur in more than one of about ``texts`` sampled texts, and in how many.
 
-    component_id is the smallest id reachable over such links.  Null ids are left out; a null text counts as empty; equal
-    texts are one node.  Texts without words are copies of each other.
+    They only order the shingles of a text, so a sample costs no links.
     """
 
-    @F.pandas_udf("fp binary, keys array<long>")
-    def wide(texts: pd.Series) -> pd.DataFrame:
-        prints = np.stack([wide_fingerprint(t) for t in texts]) if len(texts) else np.zeros((0, WIDE * 8), dtype=np.uint8)
-        return pd.DataFrame({"fp": [p.tobytes() for p in prints], "keys": list(_table_keys(prints))})
+    @F.pandas_udf("array<long>")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(t, k) for t in texts])
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text.alias("text"))
-    same = rows.select("id", F.md5("text").alias("same"), wide("text").alias("w"))
-    same = cut(same.select("id", "same", "w.fp", "w.keys"))
-    nodes = cut(same.groupBy("same").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
-    keyed = nodes.select("rep", F.posexplode("keys").alias("t", "key"))
+    share = texts / max(rows.count(), 1)
+    taken = rows.where(F.rand(7) < share) if share < 1 else rows
+    found = taken.select(F.explode(hashes("text")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = found.orderBy(F.desc("n"), "h").limit(most).toArrow()
+    h, n = found["h"].to_numpy(), found["n"].to_numpy()
+    by = np.argsort(h)
+    return h[by], n[by]
+
+
+def prefix_of(hashes: list[int], similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first hashes, rare ones first, of which a set that is similar enough and not smaller or larger has at least one."""
+    own = np.array(hashes, dtype=np.int64)
+    often = np.zeros(len(own), dtype=np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], own), len(common[0]) - 1)
+        often = np.where(common[0][at] == own, common[1][at], 0)
+    return own[np.lexsort((own, often))[: len(own) - ceil(similarity * len(own) - 1e-9) + 1]] if len(own) else own
+
+
+def easy_links(nodes: DataFrame, bits_apart: float, salt_rows: int) -> DataFrame:
+    """Candidates (a, b) of the first pass, linear in the number of ``nodes`` (uid, fp, keys)."""
+    keyed = nodes.select("uid", F.posexplode("keys").alias("t", "key"))
     shared = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = keyed.join(shared, ["t", "key"]).withColumn("mixed", F.xxhash64("rep"))
+    members = keyed.join(shared, ["t", "key"]).withColumn("mixed", F.xxhash64("uid"))
     members = members.withColumn("salt", F.pmod("mixed", F.ceil(F.col("n") / salt_rows)))
-    members = members.withColumn("before", F.lag("rep").over(Window.partitionBy("t", "key", "salt").orderBy("mixed", "rep")))
-    members = cut(members.select("t", "key", "rep", "n", "before"))
-    degrees = members.groupBy("rep").agg(F.sum("n").alias("degree"))
-    ranked = members.select("t", "key", "rep").join(degrees, "rep").withColumn("k", F.row_number().over(Window.partitionBy("t", "key").orderBy(F.desc("degree"), "rep")))
-    centres = ranked.where(F.col("k") <= CENTRES).select("t", "key", F.col("rep").alias("centre"), "degree")
+    members = members.withColumn("before", F.lag("uid").over(Window.partitionBy("t", "key", "salt").orderBy("mixed", "uid")))
+    members = cut(members.select("t", "key", "uid", "n", "before"))
+    degrees = members.groupBy("uid").agg(F.sum("n").alias("degree"))
+    ranked = members.select("t", "key", "uid").join(degrees, "uid").withColumn("k", F.row_number().over(Window.partitionBy("t", "key").orderBy(F.desc("degree"), "uid")))
+    centres = ranked.where(F.col("k") <= CENTRES).select("t", "key", F.col("uid").alias("centre"), "degree")
     # of the centres that a text meets, those that it shares most values with
-    met = members.select("t", "key", "rep").join(centres, ["t", "key"]).where("rep <> centre").groupBy("rep", "centre").agg(F.count(F.lit(1)).alias("times"), F.max("degree").alias("degree"))
-    met = met.withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("times"), F.desc("degree"), "centre"))).where(F.col("k") <= HUBS)
+    met = members.select("t", "key", "uid").join(centres, ["t", "key"]).where("uid <> centre").groupBy("uid", "centre").agg(F.count(F.lit(1)).alias("times"), F.max("degree").alias("degree"))
+    met = met.withColumn("k", F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("times"), F.desc("degree"), "centre"))).where(F.col("k") <= HUBS)
     pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).alias("p")
-    near = members.where("before is not null").select(pair(F.col("rep"), F.col("before")))
-    links = near.unionByName(met.select(pair(F.col("rep"), F.col("centre")))).select("p.a", "p.b").where("a < b").distinct()
-    prints = nodes.select("rep", "fp")
-    links = links.join(prints.withColumnRenamed("fp", "fa"), F.col("a") == F.col("rep")).drop("rep").join(prints.withColumnRenamed("fp", "fb"), F.col("b") == F.col("rep")).drop("rep")
+    near = members.where("before is not null").select(pair(F.col("uid"), F.col("before")))
+    links = near.unionByName(met.select(pair(F.col("uid"), F.col("centre")))).select("p.a", "p.b").where("a < b").distinct()
+    prints = nodes.select("uid", "fp")
+    links = links.join(prints.withColumnRenamed("fp", "fa"), F.col("a") == F.col("uid")).drop("uid").join(prints.withColumnRenamed("fp", "fb"), F.col("b") == F.col("uid")).drop("uid")
 
     @F.pandas_udf("int")
     def apart(fa: pd.Series, fb: pd.Series) -> pd.Series:
         x, y = (np.frombuffer(b"".join(s), dtype=np.uint64).reshape(len(s), -1) for s in (fa, fb))
         return pd.Series(np.bitwise_count(x ^ y).sum(axis=1).astype(np.int32))
 
-    links = cut(links.where(apart("fa", "fb") <= int(bits_apart * WIDE * BITS)).select("a", "b"))
+    return cut(links.where(apart("fa", "fb") <= int(bits_apart * WIDE * BITS)).select("a", "b"))
+
+
+def prefix_links(nodes: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (a, b): every pair of ``nodes`` (uid, n, prefix) that reaches the similarity and whose roots in ``labels``
+    (node, root) differ; nodes without a root are their own."""
+    rooted = nodes.join(labels, nodes["uid"] == labels["node"], "left").select("uid", F.coalesce("root", "uid").alias("label"), "n", F.posexplode("prefix").alias("pos", "token"))
+    by_token = Window.partitionBy("token")
+    mixed = rooted.withColumn("low", F.min("label").over(by_token)).withColumn("high", F.max("label").over(by_token))
+    mixed = cut(mixed.where("low <> high").select("token", "uid", "label", "n", "pos"))
+    both = similarity / (1 + similarity)
+    # of a pair the smaller set has a shared one among even fewer
+    x, y = mixed.alias("x"), mixed.where(F.col("pos") <= F.col("n") - F.ceil(2 * both * F.col("n") - 1e-9)).alias("y")
+    ordered = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.uid") < F.col("x.uid")))
+    left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    able = (F.col("y.n") >= similarity * F.col("x.n") - 1e-9) & (left >= both * (F.col("x.n") + F.col("y.n")) - 1e-9)
+    found = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & ordered & able)
+    return cut(found.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct())
+
+
+def verified(links: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The ``links`` (a, b) of nodes whose shingles reach the similarity."""
 
     @F.pandas_udf("array<long>")
     def hashes(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_hashes(t, k) for t in texts])
 
-    linked = sized(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 1_000_000)
-    reps = rows.join(linked, "id", "left_semi").dropDuplicates(["id"]).select("id", hashes("text").alias("h"))
-    reps = cut(reps)
-    both = links.join(reps.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(reps.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
+    linked = links.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+    linked = sized(nodes.join(linked, "uid").select("uid", F.col("rep").alias("id"), "same"), 1_000_000)
+    sets = rows.withColumn("same", F.md5("text")).join(linked, ["id", "same"]).dropDuplicates(["uid"]).select("uid", hashes("text").alias("h"))
+    sets = cut(sets)
+    both = links.join(sets.select(F.col("uid").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("uid").alias("b"), F.col("h").alias("hb")), "b")
     common = F.size(F.array_intersect("ha", "hb"))
-    close = both.where((common >= similarity * (F.size("ha") + F.size("hb") - common)) & (common > 0)).select("a", "b")
+    return cut(both.where((common >= similarity * (F.size("ha") + F.size("hb") - common)) & (common > 0)).select("a", "b"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, bits_apart: float = 0.25, salt_rows: int = 5000) -> DataFrame:
+    """Rows (id, component_id) of the ids whose text has an equal or near copy (Jaccard of k-word shingles) of another id.
+
+    component_id is the smallest id reachable over such links; every link counts.  Null ids are left out; a null text counts
+    as empty; equal texts are one node.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text.alias("text"))
+    often = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, k))
+
+    @F.pandas_udf("fp binary, keys array<long>, n int, prefix array<long>")
+    def described(texts: pd.Series) -> pd.DataFrame:
+        prints = np.stack([wide_fingerprint(t) for t in texts]) if len(texts) else np.zeros((0, WIDE * 8), dtype=np.uint8)
+        sets = [shingle_hashes(t, k) for t in texts]
+        return pd.DataFrame({"fp": [p.tobytes() for p in prints], "keys": list(_table_keys(prints)), "n": [len(h) for h in sets], "prefix": [prefix_of(h, similarity, often.value) for h in sets]})
+
+    same = rows.select("id", F.md5("text").alias("same"))
+    first = rows.select("id", F.md5("text").alias("same"), described("text").alias("w")).groupBy("same").agg(F.min("id").alias("rep"), F.first("w").alias("w"))
+    nodes = cut(first.select("same", "rep", F.monotonically_increasing_id().alias("uid"), "w.*"))
+    easy = verified(easy_links(nodes, bits_apart, salt_rows), rows, nodes, k, similarity)
+    roots = connected_components(easy)
+    rest = verified(prefix_links(nodes, roots, similarity), rows, nodes, k, similarity)
+    named = nodes.select("uid", "rep")
+    links = roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(rest)
+    links = links.join(named.select(F.col("uid").alias("a"), F.col("rep").alias("ra")), "a").join(named.select(F.col("uid").alias("b"), F.col("rep").alias("rb")), "b")
     exact = same.join(nodes.select("same", "rep"), "same").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    return connected_components(close.unionByName(exact)).select(F.col("node").alias("id"), F.col("root").alias("component_id"))
+    return connected_components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")).unionByName(exact)).select(F.col("node").alias("id"), F.col("root").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -141,6 +141,29 @@ def test_near_copies(spark, docs):
     assert {r["id"]: r["component_id"] for r in got.collect()} == want
 
 
+def linked_to_twins(spark, pairs):
+    """The share of pairs of texts that are in one component; ids 2i and 2i + 1 are a pair, which brute force links."""
+    rows = [(2 * i + j, t) for i, pair in enumerate(pairs) for j, t in enumerate(pair)]
+    for a, b in pairs:
+        x, y = (set(simhash.shingle_list(t, 5)) for t in (a, b))
+        assert len(x & y) >= 0.8 * len(x | y)
+    got = {r["id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    return np.mean([got.get(2 * i) == got.get(2 * i + 1) == 2 * i for i in range(len(pairs))])
+
+
+def test_near_copies_with_blocks(spark):
+    """Passages appended, prepended or inserted, as long as the similarity of 0.8 allows: none is lost."""
+    rng = np.random.default_rng(9)
+    words = lambda n: [f"w{x}" for x in rng.integers(10**9, size=n)]
+    pairs = []
+    for i in range(240):
+        n = (100, 400)[i % 2]
+        base, more = words(n), words((n - 8) * 5 // 4 - n if i % 3 == 2 else (n - 4) // 4)
+        at = (n, 0, n // 2)[i % 3]
+        pairs.append((" ".join(base), " ".join(base[:at] + more + base[at:])))
+    assert linked_to_twins(spark, pairs) == 1
+
+
 def test_keep_one_of_each(odd):
     kept = simhash.keep_one_of_each(odd)
     assert kept.columns == odd.columns
