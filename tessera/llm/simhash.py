@@ -271,7 +271,7 @@ def common_shingles(rows: DataFrame, k: int, texts: int = 20_000, most: int = 50
 
     @F.pandas_udf("array<long>")
     def hashes(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_hashes(t, k) for t in texts])
+        return pd.Series([np.array(shingle_hashes(t, k), dtype=np.int64) for t in texts])
 
     share = texts / max(rows.count(), 1)
     taken = rows.where(F.rand(7) < share) if share < 1 else rows
@@ -282,9 +282,9 @@ def common_shingles(rows: DataFrame, k: int, texts: int = 20_000, most: int = 50
     return h[by], n[by]
 
 
-def prefix_of(hashes: list[int], similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def prefix_of(hashes: list[int] | np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The first hashes, rare ones first, of which a set that is similar enough and not smaller or larger has at least one."""
-    own = np.array(hashes, dtype=np.int64)
+    own = np.asarray(hashes, dtype=np.int64)
     often = np.zeros(len(own), dtype=np.int64)
     if len(common[0]):
         at = np.minimum(np.searchsorted(common[0], own), len(common[0]) - 1)
@@ -320,20 +320,25 @@ def easy_links(nodes: DataFrame, bits_apart: float, salt_rows: int) -> DataFrame
     return cut(links.where(apart("fa", "fb") <= int(bits_apart * WIDE * BITS)).select("a", "b"))
 
 
-def prefix_links(nodes: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+def prefix_links(nodes: DataFrame, labels: DataFrame, similarity: float, crowd: int = 2000) -> DataFrame:
     """Candidates (a, b): every pair of ``nodes`` (uid, n, prefix) that reaches the similarity and whose roots in ``labels``
-    (node, root) differ; nodes without a root are their own."""
+    (node, root) differ; nodes without a root are their own.
+
+    A shingle of more than ``crowd`` nodes is dealt out: its smaller sets into parts, the others to every part, so that all
+    its pairs are still compared, but not in one task.
+    """
     rooted = nodes.join(labels, nodes["uid"] == labels["node"], "left").select("uid", F.coalesce("root", "uid").alias("label"), "n", F.posexplode("prefix").alias("pos", "token"))
     by_token = Window.partitionBy("token")
-    mixed = rooted.withColumn("low", F.min("label").over(by_token)).withColumn("high", F.max("label").over(by_token))
-    mixed = cut(mixed.where("low <> high").select("token", "uid", "label", "n", "pos"))
+    mixed = rooted.withColumn("low", F.min("label").over(by_token)).withColumn("high", F.max("label").over(by_token)).withColumn("parts", F.ceil(F.count(F.lit(1)).over(by_token) / crowd).cast("int"))
+    mixed = cut(mixed.where("low <> high").select("token", "uid", "label", "n", "pos", "parts"))
     both = similarity / (1 + similarity)
     # of a pair the smaller set has a shared one among even fewer
-    x, y = mixed.alias("x"), mixed.where(F.col("pos") <= F.col("n") - F.ceil(2 * both * F.col("n") - 1e-9)).alias("y")
+    y = mixed.where(F.col("pos") <= F.col("n") - F.ceil(2 * both * F.col("n") - 1e-9)).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
+    x, y = mixed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("x"), y.alias("y")
     ordered = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.uid") < F.col("x.uid")))
     left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     able = (F.col("y.n") >= similarity * F.col("x.n") - 1e-9) & (left >= both * (F.col("x.n") + F.col("y.n")) - 1e-9)
-    found = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & ordered & able)
+    found = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.label") != F.col("y.label")) & ordered & able)
     return cut(found.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct())
 
 
@@ -342,7 +347,7 @@ def verified(links: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, simila
 
     @F.pandas_udf("array<long>")
     def hashes(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_hashes(t, k) for t in texts])
+        return pd.Series([np.array(shingle_hashes(t, k), dtype=np.int64) for t in texts])
 
     linked = links.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
     linked = sized(nodes.join(linked, "uid").select("uid", F.col("rep").alias("id"), "same"), 1_000_000)
@@ -366,7 +371,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     @F.pandas_udf("fp binary, keys array<long>, n int, prefix array<long>")
     def described(texts: pd.Series) -> pd.DataFrame:
         prints = np.stack([wide_fingerprint(t) for t in texts]) if len(texts) else np.zeros((0, WIDE * 8), dtype=np.uint8)
-        sets = [shingle_hashes(t, k) for t in texts]
+        sets = [np.array(shingle_hashes(t, k), dtype=np.int64) for t in texts]
         return pd.DataFrame({"fp": [p.tobytes() for p in prints], "keys": list(_table_keys(prints)), "n": [len(h) for h in sets], "prefix": [prefix_of(h, similarity, often.value) for h in sets]})
 
     same = rows.select("id", F.md5("text").alias("same"))

@@ -164,6 +164,30 @@ def test_near_copies_with_blocks(spark):
     assert linked_to_twins(spark, pairs) == 1
 
 
+def test_near_copies_in_a_crowd(spark):
+    """Texts of one form, each with a twin: however many share their values and shingles, every twin is found."""
+    rng = np.random.default_rng(10)
+    form = [f"f{x}" for x in range(300)]
+    pairs = []
+    for _ in range(2500):
+        own = [f"w{x}" for x in rng.integers(10**9, size=60)]
+        twin = own[:-12] + [f"w{x}" for x in rng.integers(10**9, size=12)]
+        at = int(rng.integers(300))
+        pairs.append(tuple(" ".join(form[:at] + o + form[at:]) for o in (own, twin)))
+    assert linked_to_twins(spark, pairs) == 1
+
+
+def test_crowds_are_dealt_out(spark):
+    """The parts of a crowded shingle give the pairs that one part gives."""
+    rng = np.random.default_rng(11)
+    sets = [sorted({*range(80), *(int(x) for x in rng.integers(100, 10**6, size=int(rng.integers(12))))}) for _ in range(60)]
+    nodes = spark.createDataFrame([(i, len(h), simhash.prefix_of(h, 0.8, (np.arange(80), np.full(80, 60))).tolist()) for i, h in enumerate(sets)], "uid long, n int, prefix array<long>")
+    labels = spark.createDataFrame([], "node long, root long")
+    whole, dealt = ({frozenset(r) for r in simhash.prefix_links(nodes, labels, 0.8, crowd).collect()} for crowd in (1000, 7))
+    want = {frozenset((i, j)) for i in range(60) for j in range(i) if len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})}
+    assert whole == dealt and want <= whole and want
+
+
 def test_keep_one_of_each(odd):
     kept = simhash.keep_one_of_each(odd)
     assert kept.columns == odd.columns
