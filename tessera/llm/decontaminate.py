@@ -19,6 +19,7 @@ from tessera.llm.common import cut, sized, table
 WINDOW = 8
 LEAST = 5
 COVERAGE = 0.25
+RUN = 13
 MAX_BROADCAST = 1_000_000
 
 #: Placeholders, from a private area so that no text has them by chance.
@@ -45,12 +46,13 @@ def windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
     """``rows`` (with text) turned into windows of these lengths: the other columns, length, pos, hash, words and plain.
 
     ``words``: the template words of the whole text; ``plain``: its words as they stand if it has a placeholder, else null.
-    Positions are exploded and each window is hashed from the words it covers, all in one generated stage.
+    Positions are exploded and each window is hashed from the words it covers, all in one generated stage.  Windows of fewer
+    than ``LEAST`` words are hashed as they stand, lower-cased.
     """
     other = [c for c in rows.columns if c != "text"]
     template = rows.withColumn("template", template_words(F.col("text")))
     holds = F.col("template").rlike(PLACEHOLDERS)
-    split = template.select(*other, F.split("template", " ").alias("words"), F.when(holds, F.split(plain_words(F.col("text")), " ")).alias("plain"))
+    split = template.select(*other, F.split("template", " ").alias("words"), F.when(holds, F.split(plain_words(F.col("text")), " ")).alias("plain"), *([F.split(F.lower(plain_words(F.col("text"))), " ").alias("lower")] if min(lengths) < LEAST else []))
     none = F.array().cast("array<int>")
     code = [F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n)).otherwise(none) for n in lengths]
     if len(lengths) > 1:
@@ -60,7 +62,7 @@ def windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
         placed = split.select("*", F.explode(code[0]).alias("pos")).withColumn("length", F.lit(lengths[0]))
     hashed = F.lit(None).cast("long")
     for n in lengths:
-        hashed = F.when(F.col("length") == n, F.xxhash64(*[F.col("words")[F.col("pos") + k] for k in range(n)])).otherwise(hashed)
+        hashed = F.when(F.col("length") == n, F.xxhash64(*[F.col("words" if n >= LEAST else "lower")[F.col("pos") + k] for k in range(n)])).otherwise(hashed)
     return placed.withColumn("hash", hashed)
 
 
@@ -79,17 +81,32 @@ def slots() -> Column:
 def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (hash, item, item_pos, item_slots, total, length) of the benchmark; an item shorter than a window is one window.
 
-    Items of fewer than ``LEAST`` words, null ids and null texts are left out.  Repeated items count once.
+    Items without words, null ids and null texts are left out.  Repeated items count once.
     """
     rows = items.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null").distinct()
+    rows = rows.where(template_words(F.col("text")) != "")
     n_words = F.size(F.split(template_words(F.col("text")), " "))
-    rows = rows.withColumn("want", F.least(F.lit(WINDOW), n_words)).withColumn("total", n_words - F.col("want") + 1).where(F.col("want") >= LEAST)
-    made = windows(rows, list(range(LEAST, WINDOW + 1))).where(F.col("length") == F.col("want"))
+    rows = rows.withColumn("want", F.least(F.lit(WINDOW), n_words)).withColumn("total", n_words - F.col("want") + 1)
+    made = windows(rows, list(range(1, WINDOW + 1))).where(F.col("length") == F.col("want"))
     return made.select("hash", "item", F.col("pos").alias("item_pos"), slots().alias("item_slots"), "total", "length")
 
 
+def _before(step: int):
+    return lambda p: p - step
+
+
+def _holds_run(at: Column) -> Column:
+    """Whether the positions ``at`` hold so many in a row that their windows cover ``RUN`` words."""
+    starts, done = at, 1
+    while done < RUN - WINDOW + 1:
+        step = min(done, RUN - WINDOW + 1 - done)
+        starts, done = F.array_intersect(starts, F.transform(starts, _before(step))), done + step
+    return F.size(starts) > 0
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
-    """Rows (id, th, item, coverage, exact): the items of which a document has at least ``coverage`` of the windows.
+    """Rows (id, th, item, coverage, exact): the items of which a document has at least ``coverage`` of the windows, or
+    ``RUN`` words in a row.  An item of fewer than ``LEAST`` words counts only as it stands.
 
     ``exact``: every slot holds the item's own value.  th: hash of the text.  Equal rows give one result; null and empty
     texts have none; no documents or no items give no rows.
@@ -101,14 +118,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     matched = windows(rows, lengths or [WINDOW]).join(bench, ["hash", "length"]).withColumn("slots", slots())
     pairs = F.when(F.size("slots") == F.size("item_slots"), F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
     at_offset = (
-        matched.select("id", "th", "item", "total", (F.col("pos") - F.col("item_pos")).alias("offset"), "item_pos", F.coalesce(pairs, F.array().cast("array<struct<a:string,b:string>>")).alias("pairs"))
-        .groupBy("id", "th", "item", "total", "offset")
+        matched.select("id", "th", "item", "total", "length", (F.col("pos") - F.col("item_pos")).alias("offset"), "item_pos", F.coalesce(pairs, F.array().cast("array<struct<a:string,b:string>>")).alias("pairs"))
+        .groupBy("id", "th", "item", "total", "length", "offset")
         .agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     )
-    consistent = at_offset.where(F.size(F.array_distinct("pairs.a")) == F.size("pairs"))
-    exact = ~F.exists("pairs", lambda p: p["a"] != p["b"])
-    found = consistent.withColumn("exact", exact).groupBy("id", "th", "item", "total").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"), F.min("exact").alias("exact"))
-    return found.select("id", "th", "item", (F.col("n") / F.col("total")).alias("coverage"), "exact").where(F.col("coverage") >= coverage)
+    short = F.col("length") < LEAST
+    consistent = at_offset.where(short | (F.size(F.array_distinct("pairs.a")) == F.size("pairs")))
+    consistent = consistent.withColumn("exact", short | ~F.exists("pairs", lambda p: p["a"] != p["b"])).withColumn("run", _holds_run(F.col("at")))
+    found = consistent.groupBy("id", "th", "item", "total").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"), F.min("exact").alias("exact"), F.max("run").alias("run"))
+    return found.select("id", "th", "item", (F.col("n") / F.col("total")).alias("coverage"), "exact", "run").where((F.col("coverage") >= coverage) | F.col("run")).drop("run")
 
 
 def _by_document(found: DataFrame) -> DataFrame:

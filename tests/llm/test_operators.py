@@ -477,6 +477,15 @@ def test_leaks(spark):
     assert decontaminate.remove_leaks(docs, items.limit(0)).count() == len(rows) and decontaminate.remove_leaks(docs.limit(0), items).count() == 0
 
 
+def test_runs_and_short_items(spark):
+    """A passage of 13 words of a long item is a leak, one of 12 isn't; items of few words are found as they stand."""
+    long_ = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
+    items = spark.createDataFrame([(1, " ".join(long_)), (2, "quite short"), (3, "add 5 now"), (4, "")], "item_id long, text string")
+    rows = [(1, " ".join(["so", *long_[40:53], "it"])), (2, " ".join(["so", *long_[40:52], "it"])), (3, "a Quite short one"), (4, "please add 5 now"), (5, "please add 6 now"), (6, ""), (7, " ".join(long_[:11] + ["x"] + long_[12:23]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["id"], r["item"]) for r in decontaminate.find_leaks(docs, items).collect()} == {(1, 1), (3, 2), (4, 3)}
+
+
 def test_inconsistent_slots_are_no_leak(spark):
     item = "take 5 red ones and 5 blue ones then add 5 green ones to the heap of things"
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
