@@ -73,32 +73,30 @@ def read_docx(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 INCLUDE = r"\\(?:input|include)\{([^}]+)\}"
 
 
-def resolve_includes(docs: DataFrame, max_depth: int = 10) -> DataFrame:
-    """``docs`` (path, content) with each ``\\input`` and ``\\include`` replaced by the file it names, level by level.
+def resolve_includes(docs: DataFrame) -> DataFrame:
+    """``docs`` (path, content) with each ``\\input`` and ``\\include`` replaced by the file it names, to any depth.
 
-    Names are relative to the including file's folder and get ``.tex`` if they have no extension.  A file that isn't among
-    ``docs`` leaves the command; one that includes itself, directly or not, is left at the second time.
+    Names are relative to the root's folder and get ``.tex`` if they have no extension.  A file that isn't among ``docs``
+    leaves the command; one that includes itself, directly or not, is left at the second time.  Each piece of a text carries
+    the chain of files that it was included by, so one file may stand in several places.
     """
     files = docs.select(F.col("path").alias("_file"), F.col("content").alias("_text"))
-    rows = docs.withColumn("_seen", F.array("path"))
-    for _ in range(max_depth):
-        if rows.where(F.col("content").rlike(INCLUDE)).isEmpty():
-            break
-        commands = F.regexp_extract_all("content", F.lit(INCLUDE), F.lit(0))
-        names = F.regexp_extract_all("content", F.lit(INCLUDE), F.lit(1))
-        parts = rows.select("path", "_seen", F.posexplode(F.arrays_zip(F.split("content", INCLUDE, -1).alias("piece"), names.alias("name"), commands.alias("command"))).alias("k", "x"))
+    pieces = docs.where("content is not null").select("path", F.array().cast("array<int>").alias("at"), F.array("path").alias("chain"), F.col("content").alias("t"), F.lit(True).alias("open"))
+    todo = F.col("open") & F.col("t").rlike(INCLUDE)
+    while not pieces.where(todo).isEmpty():
+        zipped = F.arrays_zip(F.split("t", INCLUDE, -1).alias("piece"), F.regexp_extract_all("t", F.lit(INCLUDE), F.lit(1)).alias("name"), F.regexp_extract_all("t", F.lit(INCLUDE), F.lit(0)).alias("command"))
+        parts = pieces.where(todo).select("path", "at", "chain", F.posexplode(zipped).alias("k", "x"))
         name = F.trim("x.name")
         target = F.concat(F.regexp_extract("path", r"^(.*/)", 1), F.when(name.endswith(".tex"), name).otherwise(F.concat(name, F.lit(".tex"))))
         parts = parts.withColumn("_file", target).join(files, "_file", "left")
-        open_ = F.col("_text").isNotNull() & ~F.array_contains("_seen", F.col("_file"))
-        # a command that stays is marked inside, so that it isn't looked at again
-        marked = F.coalesce(F.replace("x.command", F.lit("{"), F.lit("\u0000{")), F.lit(""))
-        parts = parts.withColumn("t", F.concat("x.piece", F.when(open_, F.col("_text")).otherwise(marked))).withColumn("s", F.when(open_, F.col("_file")))
-        whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda p: p["t"]), "")
-        joined = parts.groupBy("path").agg(whole.alias("_new"), F.concat(F.first("_seen"), F.collect_set("s")).alias("_all"))
-        rows = rows.join(joined, "path", "left").withColumn("content", F.coalesce("_new", "content")).withColumn("_seen", F.coalesce("_all", "_seen")).drop("_new", "_all")
-        rows = materialized(rows)
-    return rows.withColumn("content", F.regexp_replace("content", "\u0000", "")).select(*docs.columns)
+        parts = parts.withColumn("found", F.coalesce(F.col("_text").isNotNull() & ~F.array_contains("chain", F.col("_file")), F.lit(False)))
+        before = parts.select("path", F.concat("at", F.array(2 * F.col("k"))).alias("at"), "chain", F.col("x.piece").alias("t"), F.lit(False).alias("open"))
+        chain = F.when(F.col("found"), F.concat("chain", F.array("_file"))).otherwise(F.col("chain"))
+        text = F.when(F.col("found"), F.col("_text")).otherwise(F.coalesce("x.command", F.lit("")))
+        named = parts.select("path", F.concat("at", F.array(2 * F.col("k") + 1)).alias("at"), chain.alias("chain"), text.alias("t"), F.col("found").alias("open"))
+        pieces = materialized(pieces.where(~todo).withColumn("open", F.lit(False)).unionByName(before).unionByName(named))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda p: p["t"]), "")
+    return docs.join(pieces.groupBy("path").agg(whole.alias("_new")), "path", "left").withColumn("content", F.col("_new")).select(*docs.columns)
 
 
 # --- archives and the network (S4-S7) ---------------------------------------------------------------------------------

@@ -108,6 +108,13 @@ def test_files_and_includes(spark, tmp_path):
     assert got["c.tex"].startswith("C a <\\input{c.tex}>")
 
 
+def test_includes_in_several_places_and_deep(spark):
+    rows_ = [("/d/a.tex", "<\\input{b}|\\input{c}>"), ("/d/b.tex", "B"), ("/d/c.tex", "C\\input{b}\\input{a}")]
+    rows_ += [(f"/d/n{k}.tex", f"{k}\\input{{n{k + 1}}}" if k < 13 else "end") for k in range(14)]
+    got = dict(files.resolve_includes(spark.createDataFrame(rows_, "path string, content string")).collect())
+    assert got["/d/a.tex"] == "<B|CB\\input{a}>" and got["/d/n0.tex"] == "".join(map(str, range(13))) + "end"
+
+
 def test_archive_is_read_in_memory(tmp_path):
     import tarfile
 
