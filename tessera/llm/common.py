@@ -22,9 +22,11 @@ def fold(doc_id: Column | str, folds: int = FOLDS) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; where none is set (tests), a temporary one is set."""
+    """The checkpoint folder that the session names; where none is set, a temporary one in local mode (tests), else an error."""
     named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -44,10 +46,41 @@ def checksum(df: DataFrame, *cols: str) -> tuple:
     return (row["n"], row["a"], row["b"])
 
 
-def sized(df: DataFrame, most: int = 200_000) -> DataFrame:
-    """The same rows, computed once, marked for a broadcast if they are at most ``most``; else joins shuffle them."""
+#: Bytes of a table (as JSON text, which is more than it takes as rows) up to which it is sent to every task.
+SMALL = 32 << 20
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes of all rows as JSON text."""
+    return df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})))).first()[0] or 0
+
+
+def sized(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """The same rows, computed once, marked for a broadcast if they take at most ``most`` bytes; else joins shuffle them."""
     df = cut(df)
-    return F.broadcast(df) if df.count() <= most else df
+    return F.broadcast(df) if size_of(df) <= most else df
+
+
+#: Parts to which the rows of one key are dealt in a salted join.
+SALTS = 8
+
+
+def salted_join(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` with ``few`` (one row for each value of ``key``), whose rows are repeated so that a frequent
+    value of ``rows`` is dealt to ``SALTS`` tasks."""
+    salt = fresh("_salt", rows, few)
+    spread = few.withColumn(salt, F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    others = [F.col(c) for c in rows.columns if c != key]
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int") if others else (F.rand(1) * SALTS).cast("int"))
+    return dealt.join(spread, [key, salt]).drop(salt)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores before it until no column of the frames has it."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def lowest_hashes(rows: DataFrame, key: str, most: int, by: str | None = None) -> DataFrame:
@@ -58,12 +91,13 @@ def lowest_hashes(rows: DataFrame, key: str, most: int, by: str | None = None) -
     """
     place = F.pmod(F.xxhash64(key), F.lit(1 << 52)) / float(1 << 52)
     enough = most + 6 * most**0.5 + 10
-    rows = rows.withColumn("_place", place)
+    at, size, rank = (fresh(c, rows) for c in ("_place", "_n", "_k"))
+    rows = rows.withColumn(at, place)
     if by is None:
         n = rows.count()
-        near = rows.where(F.col("_place") <= enough / max(n, 1))
-        return near.orderBy("_place", key).limit(most).drop("_place")
-    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-    near = rows.join(sizes, by).where(F.col("_place") <= enough / F.col("_n"))
-    ranked = near.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy("_place", key)))
-    return ranked.where(F.col("_k") <= most).drop("_place", "_k", "_n")
+        near = rows.where(F.col(at) <= enough / max(n, 1))
+        return near.orderBy(at, key).limit(most).drop(at)
+    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias(size))
+    near = rows.join(sizes, by).where(F.col(at) <= enough / F.col(size))
+    ranked = near.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(at, key)))
+    return ranked.where(F.col(rank) <= most).drop(at, rank, size)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, sized, table
+from tessera.llm.common import cut, fresh, salted_join, sized, table
 from tessera.llm.components import connected_components
 
 BITS = 64
@@ -217,50 +217,22 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 # Near copies by the similarity of their shingles.
 #
 # Two sets of shingles that reach the similarity share one in their first few, in any order of all shingles that both use
-# (prefix filtering).  So each text's shingles are ordered, rare ones first, the first of them are joined, and pairs whose
-# shared one comes too late are left out.  All links are found that way, whatever the texts.
+# (prefix filtering).  So each text's shingles are ordered, rare ones first, and the first of them, its tokens, are joined.
+# All links are found that way, whatever the texts.
 #
-# A group of thousands of copies shares most of its shingles, so a first pass links what is easily found, and the join then
-# compares only texts that aren't in one component yet.  For the first pass texts get a wide fingerprint, the SimHash of
-# their distinct words, and TABLES groups of KEY_BITS of its bits.  In a group's value every text is linked with its
-# neighbour in one order of all texts, and with the HUBS centres that it shares most values with; a value's CENTRES are the
-# texts that share values with most others.  What the first pass misses costs time only.
-WIDE = 8
-TABLES = 60
-KEY_BITS = 28
-CENTRES = 3
-HUBS = 24
-_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-
-
-def wide_fingerprint(text: str | None, seed: int = 42) -> np.ndarray:
-    """WIDE x 64 bits, packed into bytes; a bit is 1 if set in over half the distinct words' hashes."""
-    words = sorted(set((text or "").encode("utf-8", "surrogatepass").lower().split()))
-    counts = np.zeros(WIDE * BITS, dtype=np.int64)
-    step = 1 << 14
-    for at in range(0, len(words), step):
-        part = words[at : at + step]
-        one = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in part), dtype=np.uint64, count=len(part))
-        with np.errstate(over="ignore"):
-            z = one[:, None] + _GOLDEN * np.arange(1, WIDE + 1, dtype=np.uint64)[None, :]
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            z ^= z >> np.uint64(31)
-        counts += np.unpackbits(np.ascontiguousarray(z).view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int32)
-    return np.packbits(counts * 2 > len(words))
-
-
-def _table_keys(wide: np.ndarray) -> np.ndarray:
-    """TABLES integers from rows of wide fingerprints: KEY_BITS bits each, drawn once for all."""
-    bits = np.unpackbits(wide, axis=1)
-    rng = np.random.default_rng(7)
-    weights = np.uint64(1) << np.arange(KEY_BITS, dtype=np.uint64)
-    return np.stack([(bits[:, rng.choice(WIDE * BITS, KEY_BITS, replace=False)].astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64) for _ in range(TABLES)], axis=1).astype(np.int64)
-
-
-def shingle_hashes(text: str | None, k: int, seed: int = 42) -> list[int]:
-    """Sorted distinct hashes of the text's k-word shingles."""
-    return sorted({xxhash.xxh64_intdigest(s, seed) - (1 << 63) for s in shingle_list(text, k)})
+# A group of thousands of copies shares most of its tokens.  So a token first proposes one link for each of its texts only,
+# to its leader, the least text; of its proposals a text tries the most frequent.  That is linear in the tokens, and what is
+# linked then counts as one: after ``rounds`` of that, all pairs of a token's texts that aren't in one component yet are
+# compared.  What the rounds miss costs time, not links.
+#: Share of its tokens that a text must have in common with a leader to be compared with it in a round.
+LIKELY = 0.3
+
+
+def shingle_hashes(text: str | None, k: int, seed: int = 42) -> np.ndarray:
+    """Sorted distinct hashes of the text's k-word shingles, as signed integers."""
+    found = shingle_list(text, k)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(s, seed) for s in found), dtype=np.uint64, count=len(found)).astype(np.int64))
 
 
 def common_shingles(rows: DataFrame, k: int, texts: int = 20_000, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
@@ -271,7 +243,7 @@ def common_shingles(rows: DataFrame, k: int, texts: int = 20_000, most: int = 50
 
     @F.pandas_udf("array<long>")
     def hashes(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.array(shingle_hashes(t, k), dtype=np.int64) for t in texts])
+        return pd.Series([shingle_hashes(t, k) for t in texts])
 
     share = texts / max(rows.count(), 1)
     taken = rows.where(F.rand(7) < share) if share < 1 else rows
@@ -282,7 +254,7 @@ def common_shingles(rows: DataFrame, k: int, texts: int = 20_000, most: int = 50
     return h[by], n[by]
 
 
-def prefix_of(hashes: list[int] | np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def prefix_of(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The first hashes, rare ones first, of which a set that is similar enough and not smaller or larger has at least one."""
     own = np.asarray(hashes, dtype=np.int64)
     often = np.zeros(len(own), dtype=np.int64)
@@ -292,46 +264,24 @@ def prefix_of(hashes: list[int] | np.ndarray, similarity: float, common: tuple[n
     return own[np.lexsort((own, often))[: len(own) - ceil(similarity * len(own) - 1e-9) + 1]] if len(own) else own
 
 
-def easy_links(nodes: DataFrame, bits_apart: float, salt_rows: int) -> DataFrame:
-    """Candidates (a, b) of the first pass, linear in the number of ``nodes`` (uid, fp, keys)."""
-    keyed = nodes.select("uid", F.posexplode("keys").alias("t", "key"))
-    shared = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = keyed.join(shared, ["t", "key"]).withColumn("mixed", F.xxhash64("uid"))
-    members = members.withColumn("salt", F.pmod("mixed", F.ceil(F.col("n") / salt_rows)))
-    members = members.withColumn("before", F.lag("uid").over(Window.partitionBy("t", "key", "salt").orderBy("mixed", "uid")))
-    members = cut(members.select("t", "key", "uid", "n", "before"))
-    degrees = members.groupBy("uid").agg(F.sum("n").alias("degree"))
-    ranked = members.select("t", "key", "uid").join(degrees, "uid").withColumn("k", F.row_number().over(Window.partitionBy("t", "key").orderBy(F.desc("degree"), "uid")))
-    centres = ranked.where(F.col("k") <= CENTRES).select("t", "key", F.col("uid").alias("centre"), "degree")
-    # of the centres that a text meets, those that it shares most values with
-    met = members.select("t", "key", "uid").join(centres, ["t", "key"]).where("uid <> centre").groupBy("uid", "centre").agg(F.count(F.lit(1)).alias("times"), F.max("degree").alias("degree"))
-    met = met.withColumn("k", F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("times"), F.desc("degree"), "centre"))).where(F.col("k") <= HUBS)
-    pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).alias("p")
-    near = members.where("before is not null").select(pair(F.col("uid"), F.col("before")))
-    links = near.unionByName(met.select(pair(F.col("uid"), F.col("centre")))).select("p.a", "p.b").where("a < b").distinct()
-    prints = nodes.select("uid", "fp")
-    links = links.join(prints.withColumnRenamed("fp", "fa"), F.col("a") == F.col("uid")).drop("uid").join(prints.withColumnRenamed("fp", "fb"), F.col("b") == F.col("uid")).drop("uid")
-
-    @F.pandas_udf("int")
-    def apart(fa: pd.Series, fb: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(s), dtype=np.uint64).reshape(len(s), -1) for s in (fa, fb))
-        return pd.Series(np.bitwise_count(x ^ y).sum(axis=1).astype(np.int32))
-
-    return cut(links.where(apart("fa", "fb") <= int(bits_apart * WIDE * BITS)).select("a", "b"))
-
-
-def prefix_links(nodes: DataFrame, labels: DataFrame, similarity: float, crowd: int = 2000) -> DataFrame:
-    """Candidates (a, b): every pair of ``nodes`` (uid, n, prefix) that reaches the similarity and whose roots in ``labels``
-    (node, root) differ; nodes without a root are their own.
-
-    A shingle of more than ``crowd`` nodes is dealt out: its smaller sets into parts, the others to every part, so that all
+def proposals(mixed: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (a, b): of each text the leader that it shares most tokens with, if they are many; from ``mixed`` (uid,
+    label, n, lead: uid, label and n of the token's leader)."""
+    alike = (F.least("n", "lead.n") >= similarity * F.greatest("n", "lead.n") - 1e-9) & (F.col("label") != F.col("lead.label"))
+    met = mixed.where(alike).groupBy("uid", "n", F.col("lead.uid").alias("leader")).agg(F.count(F.lit(1)).alias("times"))
+    best = met.groupBy("uid", "n").agg(F.max(F.struct("times", (-F.col("leader")).alias("leader"))).alias("best"))
+    return best.where(F.col("best.times") >= LIKELY * (1 - similarity) * F.col("n")).select(F.col("uid").alias("a"), (-F.col("best.leader")).alias("b"))
+
+
+def all_pairs(mixed: DataFrame, similarity: float, crowd: int) -> DataFrame:
+    """Candidates (a, b): every pair of one token's texts in ``mixed`` (token, uid, label, n, pos, size) whose labels differ
+    and that can reach the similarity.
+
+    A token of more than ``crowd`` texts is dealt out: its smaller sets into parts, the others to every part, so that all
     its pairs are still compared, but not in one task.
     """
-    rooted = nodes.join(labels, nodes["uid"] == labels["node"], "left").select("uid", F.coalesce("root", "uid").alias("label"), "n", F.posexplode("prefix").alias("pos", "token"))
-    by_token = Window.partitionBy("token")
-    mixed = rooted.withColumn("low", F.min("label").over(by_token)).withColumn("high", F.max("label").over(by_token)).withColumn("parts", F.ceil(F.count(F.lit(1)).over(by_token) / crowd).cast("int"))
-    mixed = cut(mixed.where("low <> high").select("token", "uid", "label", "n", "pos", "parts"))
     both = similarity / (1 + similarity)
+    mixed = cut(mixed.select("token", "uid", "label", "n", "pos", F.ceil(F.col("size") / crowd).cast("int").alias("parts")))
     # of a pair the smaller set has a shared one among even fewer
     y = mixed.where(F.col("pos") <= F.col("n") - F.ceil(2 * both * F.col("n") - 1e-9)).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
     x, y = mixed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("x"), y.alias("y")
@@ -339,67 +289,89 @@ def prefix_links(nodes: DataFrame, labels: DataFrame, similarity: float, crowd:
     left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     able = (F.col("y.n") >= similarity * F.col("x.n") - 1e-9) & (left >= both * (F.col("x.n") + F.col("y.n")) - 1e-9)
     found = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.label") != F.col("y.label")) & ordered & able)
-    return cut(found.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct())
-
+    return found.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
 
-def verified(links: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The ``links`` (a, b) of nodes whose shingles reach the similarity."""
-
-    @F.pandas_udf("array<long>")
-    def hashes(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.array(shingle_hashes(t, k), dtype=np.int64) for t in texts])
 
-    linked = links.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    linked = sized(nodes.join(linked, "uid").select("uid", F.col("rep").alias("id"), "same"), 1_000_000)
-    sets = rows.withColumn("same", F.md5("text")).join(linked, ["id", "same"]).dropDuplicates(["uid"]).select("uid", hashes("text").alias("h"))
-    sets = cut(sets)
+def verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``links`` (a, b) of texts whose shingles reach the similarity; ``sets``: uid and hashes h."""
     both = links.join(sets.select(F.col("uid").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("uid").alias("b"), F.col("h").alias("hb")), "b")
     common = F.size(F.array_intersect("ha", "hb"))
     return cut(both.where((common >= similarity * (F.size("ha") + F.size("hb") - common)) & (common > 0)).select("a", "b"))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, bits_apart: float = 0.25, salt_rows: int = 5000) -> DataFrame:
+def similar_sets(nodes: DataFrame, sets_of, similarity: float, rounds: int = 2, crowd: int = 2000) -> DataFrame:
+    """Rows (node, root): components of the ``nodes`` (uid, n, prefix) linked by the similarity of their sets.
+
+    ``sets_of``: from a table of uids that of their sets (uid, h), called once with all that share a token.
+    """
+    tokens = nodes.select("uid", F.col("uid").alias("label"), "n", F.posexplode("prefix").alias("pos", "token"))
+    links = sets = labels = None
+    for k in range(rounds + 1):
+        if k:
+            tokens = shared.join(labels, shared["uid"] == labels["node"], "left").select("uid", F.coalesce("root", "uid").alias("label"), "n", "pos", "token")
+        each = tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"), F.min(F.struct("uid", "label", "n")).alias("lead"))
+        mixed = tokens.join(each.where("low <> high").select("token", "size", "lead"), "token")
+        if k == 0:
+            mixed = cut(mixed)
+            shared = mixed.select("uid", "n", "pos", "token")
+            sets = sets_of(shared.select("uid").distinct())
+        found = verified(proposals(mixed, similarity) if k < rounds else all_pairs(mixed, similarity, crowd), sets, similarity)
+        links = found if links is None else cut(links.unionByName(found))
+        labels = connected_components(links)
+    return labels
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, **how) -> DataFrame:
     """Rows (id, component_id) of the ids whose text has an equal or near copy (Jaccard of k-word shingles) of another id.
 
     component_id is the smallest id reachable over such links; every link counts.  Null ids are left out; a null text counts
-    as empty; equal texts are one node.
+    as empty; equal texts are one node, so copies are never expanded.  An id that is repeated has the row of each of its texts.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text.alias("text"))
     often = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, k))
 
-    @F.pandas_udf("fp binary, keys array<long>, n int, prefix array<long>")
+    @F.pandas_udf("n int, prefix array<long>")
     def described(texts: pd.Series) -> pd.DataFrame:
-        prints = np.stack([wide_fingerprint(t) for t in texts]) if len(texts) else np.zeros((0, WIDE * 8), dtype=np.uint8)
-        sets = [np.array(shingle_hashes(t, k), dtype=np.int64) for t in texts]
-        return pd.DataFrame({"fp": [p.tobytes() for p in prints], "keys": list(_table_keys(prints)), "n": [len(h) for h in sets], "prefix": [prefix_of(h, similarity, often.value) for h in sets]})
-
-    same = rows.select("id", F.md5("text").alias("same"))
-    first = rows.select("id", F.md5("text").alias("same"), described("text").alias("w")).groupBy("same").agg(F.min("id").alias("rep"), F.first("w").alias("w"))
-    nodes = cut(first.select("same", "rep", F.monotonically_increasing_id().alias("uid"), "w.*"))
-    easy = verified(easy_links(nodes, bits_apart, salt_rows), rows, nodes, k, similarity)
-    roots = connected_components(easy)
-    rest = verified(prefix_links(nodes, roots, similarity), rows, nodes, k, similarity)
-    named = nodes.select("uid", "rep")
-    links = roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(rest)
-    links = links.join(named.select(F.col("uid").alias("a"), F.col("rep").alias("ra")), "a").join(named.select(F.col("uid").alias("b"), F.col("rep").alias("rb")), "b")
-    exact = same.join(nodes.select("same", "rep"), "same").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    return connected_components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")).unionByName(exact)).select(F.col("node").alias("id"), F.col("root").alias("component_id"))
+        sets = [shingle_hashes(t, k) for t in texts]
+        return pd.DataFrame({"n": [len(h) for h in sets], "prefix": [prefix_of(h, similarity, often.value) for h in sets]})
+
+    @F.pandas_udf("array<long>")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(t, k) for t in texts])
+
+    same = F.unhex(F.md5("text")).alias("same")
+    first = rows.select("id", same, described("text").alias("w")).groupBy("same").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.first("w").alias("w"))
+    nodes = cut(first.select("same", "rep", "last", F.monotonically_increasing_id().alias("uid"), "w.*"))
+
+    def sets_of(uids: DataFrame) -> DataFrame:
+        wanted = sized(nodes.select("uid", F.col("rep").alias("id"), "same").join(uids, "uid"))
+        return cut(rows.select("id", same, "text").join(wanted, ["id", "same"]).dropDuplicates(["uid"]).select("uid", hashes("text").alias("h")))
+
+    roots = similar_sets(nodes.select("uid", "n", "prefix"), sets_of, similarity, **how)
+    grouped = cut(nodes.select("same", "rep", "last", "uid").join(roots, nodes["uid"] == roots["node"], "left").where("root is not null or rep <> last").select("same", "rep", F.coalesce("root", "uid").alias("root")))
+    least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
+    # equal texts may be many: each is one of a few rows to which its copies are dealt
+    named = salted_join(grouped, least, "root").select("same", "component_id")
+    return salted_join(rows.select("id", same), named, "same").select("id", "component_id").distinct()
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` without those that are equal or near copies of a row with a smaller id.
+    """The rows of ``docs`` without those that are equal or near copies of a row with a smaller id; its columns stay as they
+    are, whatever their names.
 
-    Of rows that repeat an id one stays (the least text hash).  Rows without an id stay as they are.
+    Of rows that repeat an id one stays (the least text hash).  Rows without an id stay as they are.  An empty table stays
+    empty.
     """
     found = near_copies(docs, id_col, text_col, **how)
-    gone = sized(found.where("id <> component_id").select(F.col("id").alias(id_col)).distinct(), 1_000_000)
+    gone = sized(found.where("id <> component_id").select(F.col("id").alias(id_col)).distinct())
     kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
     repeated = sized(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col))
     if repeated.isEmpty():
         return kept
+    rank = fresh("_rank", docs)
     order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    one = kept.join(repeated, id_col, "left_semi").withColumn("_k", F.row_number().over(order)).where("_k = 1").select(*docs.columns)
+    one = kept.join(repeated, id_col, "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*docs.columns)
     return kept.join(repeated, id_col, "left_anti").select(*docs.columns).unionByName(one)
 
 
