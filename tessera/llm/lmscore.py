@@ -1,15 +1,16 @@
 """Language-model scores from a probabilistic suffix tree over bytes, beside a word unigram base score.
 
 A text is its words (A-Z lower-cased, UTF-8 bytes) joined by single spaces, then one end mark.  The tree's states are
-contexts of up to ``DEPTH`` bytes.  A context is kept if the distribution of the next byte after it diverges enough from
-that of its longest proper suffix: its count times the Kullback-Leibler divergence is at least ``gain``; the suffixes of a
-kept context are kept with it.  The next-byte distribution of a state is its counts, smoothed towards that of its suffix
-(Witten-Bell).  A byte is predicted by the state of the longest suffix of what precedes it.
-
-Counts cover all training documents: each task counts its own texts, the sums are shuffled by key, and the divergence tests
-are joins.  The tree has at most ``max_states`` contexts, those of the greatest divergence, and is sent to the executors as
-sorted arrays.  Words are counted exactly: the most frequent ``max_words`` are looked up where the texts are, the others by
-a join.
+contexts of up to ``DEPTH`` bytes.  A context is a state if the distribution of the next byte after it diverges enough from
+what the tree predicts by the context's suffixes: its count times the Kullback-Leibler divergence is at least ``gain``.  The
+next-byte distribution of a state is its counts, smoothed towards that of its longest suffix that is a state (Witten-Bell).
+A byte is predicted by the state of the longest suffix of what precedes it.
+
+The number of states is what the test leaves, at every size of the corpus.  The tree is never put together in one place: for
+each length it is two tables, that of the strings context + byte with their log10 probability and that of the states' back-off
+weights, made level by level with a join and a window over a context's at most 257 next bytes.  The strings and words that
+occur most often are sent to the tasks as sorted arrays (``quick`` and ``max_words``: bounds on what is sent, not on what
+counts); all others are scored by joins, so results don't depend on these bounds.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, fold, table
@@ -28,11 +29,12 @@ from tessera.llm.common import cut, fold, table
 DEPTH = 5
 #: Marks the end of a text and fills what precedes its start; no UTF-8 text has this byte.
 END = 0xFF
-FLUSH = 1 << 22
+#: Bytes of text that are counted or scored at a time.
+STEP = 1 << 20
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def words_of(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()
 
 
 def symbols_of(words: list[bytes]) -> np.ndarray:
@@ -50,98 +52,95 @@ def codes_of(symbols: np.ndarray) -> np.ndarray:
     return total
 
 
+def _bytes(column: pa.Array) -> list[bytes | None]:
+    return column.cast(pa.binary()).to_pylist()
+
+
+COUNTS = pa.schema([("kind", pa.int32()), ("code", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
+
+
 def count_training(batches):
-    """Counts of (DEPTH + 1)-byte strings (kind 0) and of words (kind 1; the empty word is the end)."""
+    """Counts of (DEPTH + 1)-byte strings (kind 0) and of words (kind 1; the empty word is the end), summed over a task."""
     words, codes, held = Counter(), [], 0
-    grams: dict[str, np.ndarray] | None = None
+    keys, times = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def merged():
-        nonlocal grams, codes, held
-        keys, n = np.unique(np.concatenate(codes), return_counts=True)
-        if grams is not None:
-            keys, at = np.unique(np.concatenate((grams["keys"], keys)), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate((grams["n"], n))).astype(np.int64)
-        grams, codes, held = {"keys": keys, "n": n}, [], 0
-
-    def spill_words():
-        out = pd.DataFrame({"kind": np.int32(1), "code": np.int64(0), "word": list(words.keys()), "n": np.fromiter(words.values(), dtype=np.int64, count=len(words))})
+        nonlocal keys, times, codes, held
+        own, n = np.unique(np.concatenate(codes), return_counts=True)
+        both, at = np.unique(np.concatenate((keys, own)), return_inverse=True)
+        keys, times = both, np.bincount(at, weights=np.concatenate((times, n)), minlength=len(both)).astype(np.int64)
+        codes, held = [], 0
+
+    def strings():
+        nonlocal keys, times
+        for at in range(0, len(keys), 1 << 16):
+            part = keys[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(part), dtype=np.int32)), pa.array(part), pa.array([b""] * len(part), pa.binary()), pa.array(times[at : at + (1 << 16)])], schema=COUNTS)
+        keys, times = keys[:0], times[:0]
+
+    def all_words():
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(words), dtype=np.int32)), pa.array(np.zeros(len(words), dtype=np.int64)), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], schema=COUNTS)
         words.clear()
-        return out
 
     for batch in batches:
-        for text in batch["text"]:
+        for text in _bytes(batch.column(0)):
             own = words_of(text)
             words.update(own)
             words[b""] += 1
             codes.append(codes_of(symbols_of(own)))
             held += len(codes[-1])
-            if held > FLUSH:
+            if held > 2 * STEP:
                 merged()
-            if len(words) > 500_000:
-                yield spill_words()
+            if len(words) > 200_000:
+                yield from all_words()
+            if len(keys) > 4 * STEP:
+                yield from strings()
     if codes:
         merged()
-    if grams is not None:
-        for at in range(0, len(grams["keys"]), 100_000):
-            yield pd.DataFrame({"kind": np.int32(0), "code": grams["keys"][at : at + 100_000], "word": b"", "n": grams["n"][at : at + 100_000]})
+    yield from strings()
     if words:
-        yield spill_words()
+        yield from all_words()
 
 
-@dataclass
-class Tree:
-    """For each context length its kept contexts (sorted), and for each length the strings context + byte with their log10.
-
-    ``states[k]``: sorted codes of the kept contexts of k bytes.  ``known[k]``: sorted codes of (context, next byte) with a
-    count, ``logs[k]`` their log10 probability.  ``backoff[k]``: log10 weight of the suffix's distribution.
-    ``quick``: the most frequent strings of DEPTH + 1 bytes with the log10 that the states give them.
-    """
-
-    states: list[np.ndarray]
-    known: list[np.ndarray]
-    logs: list[np.ndarray]
-    backoff: list[np.ndarray]
-    quick: np.ndarray
-    quick_logs: np.ndarray
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each code given the bytes before it; each distinct code is looked up once."""
-        order = np.argsort(codes)
-        ordered = codes[order]
-        first = np.ones(len(codes), dtype=bool)
-        first[1:] = ordered[1:] != ordered[:-1]
-        distinct = ordered[first]
-        logs = np.zeros(len(distinct))
-        at, hit = find(self.quick, distinct)
-        logs[hit] = self.quick_logs[at[hit]]
-        if not hit.all():
-            logs[~hit] = self.by_states(distinct[~hit])
-        out = np.empty(len(codes))
-        out[order] = logs[np.cumsum(first) - 1]
-        return out
-
-    def by_states(self, codes: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(codes))
-        todo = np.arange(len(codes))
-        for k in range(DEPTH, -1, -1):
-            own = codes[todo] & ((1 << 8 * (k + 1)) - 1)
-            at, state = find(self.states[k], own >> 8)
-            place, seen = find(self.known[k], own)
-            hit = state & seen
-            out[todo[hit]] += self.logs[k][place[hit]]
-            out[todo[state & ~seen]] += self.backoff[k][at[state & ~seen]]
-            todo = todo[~hit]
-            if not len(todo):
-                return out
-        out[todo] -= np.log10(256.0)
-        return out
-
-
-def find(table_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(table_):
+def find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(sorted_keys):
         return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
-    at = np.minimum(np.searchsorted(table_, keys), len(table_) - 1)
-    return at, table_[at] == keys
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
+class Quick:
+    """Codes with their log10, looked up in one step where their slot is their own, by a search where it isn't."""
+
+    SHIFT = 43  # 2**21 slots
+    MIX = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, codes: np.ndarray, logs: np.ndarray):
+        """``codes`` by descending frequency: the first of a slot gets it."""
+        slots = self.slots(codes)
+        own = np.zeros(len(codes), dtype=bool)
+        own[np.unique(slots, return_index=True)[1]] = True
+        self.keys = np.full(1 << (64 - self.SHIFT), -1, dtype=np.int64)
+        self.logs = np.zeros(len(self.keys))
+        self.keys[slots[own]], self.logs[slots[own]] = codes[own], logs[own]
+        by = np.argsort(codes[~own])
+        self.more, self.more_logs = codes[~own][by], logs[~own][by]
+
+    def slots(self, codes: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((codes.astype(np.uint64) * self.MIX) >> np.uint64(self.SHIFT)).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of each code, 0 where it isn't known; whether it is known."""
+        slots = self.slots(codes)
+        known = self.keys[slots] == codes
+        logs = np.where(known, self.logs[slots], 0.0)
+        rest = np.flatnonzero(~known)
+        if len(rest):
+            at, hit = find(self.more, codes[rest])
+            logs[rest[hit]] = self.more_logs[at[hit]]
+            known[rest[hit]] = True
+        return logs, known
 
 
 def least_of_top(df: DataFrame, column: str, most: int) -> float | int | None:
@@ -155,97 +154,72 @@ def least_of_top(df: DataFrame, column: str, most: int) -> float | int | None:
     return least
 
 
-def _suffix(k: int):
-    """Code of a context of k bytes without its first byte."""
-    return F.col("ctx").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))
+def _last(column: str, size: int):
+    """The last ``size`` bytes of a code."""
+    return F.col(column).bitwiseAND(F.lit((1 << 8 * size) - 1))
 
 
-def kept_contexts(grams: DataFrame, gain: float, max_states: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(length, ctx) of the states, and the counts (ctx, next, n) of every length, from counts of DEPTH + 1 bytes."""
-    full = grams.select(F.shiftright("code", 8).alias("ctx"), F.col("code").bitwiseAND(F.lit(255)).alias("next"), "n")
-    levels: list[DataFrame] = [full]
-    for k in range(DEPTH, 0, -1):
-        levels.append(cut(levels[-1].withColumn("ctx", _suffix(k)).groupBy("ctx", "next").agg(F.sum("n").alias("n"))))
-    levels.reverse()
-    tested = None
-    for k in range(1, DEPTH + 1):
-        total = levels[k].groupBy("ctx").agg(F.sum("n").alias("total"))
-        below = levels[k - 1].join(levels[k - 1].groupBy("ctx").agg(F.sum("n").alias("total")), "ctx").select(F.col("ctx").alias("s"), F.col("next").alias("b"), (F.col("n") / F.col("total")).alias("q"))
-        own = levels[k].join(total, "ctx").withColumn("s", _suffix(k)).withColumn("p", F.col("n") / F.col("total"))
-        joined = own.join(below, (own["s"] == below["s"]) & (own["next"] == below["b"]))
-        kl = joined.groupBy("ctx").agg(F.sum(F.col("n") * F.log2(F.col("p") / F.col("q"))).alias("gain")).where(F.col("gain") >= gain)
-        level = kl.select(F.lit(k).alias("k"), "ctx", "gain")
-        tested = level if tested is None else tested.unionByName(level)
-    # a state's suffixes are states too; a context counts with the best gain of those that need it
-    closed = tested.select("gain", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col("ctx").bitwiseAND(F.lit((1 << 8 * j) - 1)).alias("c"), (F.lit(j) <= F.col("k")).alias("use")) for j in range(1, DEPTH + 1)])).alias("x")).where("x.use")
-    states = closed.groupBy(F.col("x.j").alias("k"), F.col("x.c").alias("ctx")).agg(F.max("gain").alias("gain"))
-    states = cut(states)
-    least = least_of_top(states, "gain", max_states)
-    return states.where(F.col("gain") >= least if least is not None else F.lit(False)).select("k", "ctx"), levels
-
-
-def build_tree(grams: DataFrame, gain: float = 60.0, max_states: int = 40_000, quick: int = 1 << 18) -> Tree:
+@dataclass
+class Tree:
+    """By context length k: ``strings[k]`` (code, log): context and next byte, seen in training, with the log10 probability
+    that the longest state of the context gives the byte; ``states[k]`` (ctx, weight): log10 of the back-off weight."""
+
+    strings: list[DataFrame]
+    states: list[DataFrame]
+
+    def log10(self, codes: DataFrame) -> DataFrame:
+        """Rows (code, log) for ``codes`` (code: DEPTH + 1 bytes, distinct), whether they were seen in training or not."""
+        rows = codes.select("code")
+        for k in range(DEPTH, -1, -1):
+            strings = self.strings[k].select(F.col("code").alias("_c"), F.col("log").alias(f"log{k}"))
+            states = self.states[k].select(F.col("ctx").alias("_s"), F.col("weight").alias(f"weight{k}"))
+            rows = rows.join(strings, _last("code", k + 1) == F.col("_c"), "left").drop("_c")
+            rows = rows.join(states, F.shiftright(_last("code", k + 1), 8) == F.col("_s"), "left").drop("_s")
+        log = F.lit(-float(np.log10(256.0)))
+        for k in range(DEPTH + 1):
+            log = F.coalesce(F.col(f"log{k}"), F.coalesce(f"weight{k}", F.lit(0.0)) + log)
+        return rows.select("code", log.alias("log"))
+
+
+def build_tree(grams: DataFrame, gain: float = 60.0) -> Tree:
     """The tree from counts (code, n) of DEPTH + 1 bytes.  No counts give a tree that takes all bytes for equally likely."""
-    states, levels = kept_contexts(grams, gain, max_states)
-    tree = Tree([], [], [], [], np.zeros(0, dtype=np.int64), np.zeros(0))
-    empty = np.zeros(0, dtype=np.int64)
+    counts = [grams.select("code", "n")]
+    for k in range(DEPTH, 0, -1):
+        counts.append(cut(counts[-1].groupBy(_last("code", k).alias("code")).agg(F.sum("n").alias("n"))))
+    counts.reverse()
+    strings, states = [], []
+    by_context = Window.partitionBy("ctx")
     for k in range(DEPTH + 1):
         if k:
-            own = levels[k].join(F.broadcast(states.where(F.col("k") == k).select("ctx")), "ctx")
+            lower = strings[-1].select(F.col("code").alias("suffix"), F.pow(F.lit(10.0), "log").alias("lower"))
+            own = counts[k].join(lower, _last("code", k) == F.col("suffix"))
         else:
-            own = levels[0]
-        got = own.select(F.shiftleft("ctx", 8).bitwiseOR(F.col("next")).alias("code"), "n").toArrow()
-        codes, n = got["code"].to_numpy(), got["n"].to_numpy().astype(np.float64)
-        by = np.argsort(codes)
-        codes, n = codes[by], n[by]
-        if not len(codes):
-            tree.states.append(empty), tree.known.append(empty), tree.logs.append(np.zeros(0)), tree.backoff.append(np.zeros(0))
-            continue
-        contexts, first, at = np.unique(codes >> 8, return_index=True, return_inverse=True)
-        total, kinds = np.bincount(at, weights=n), np.bincount(at)
-        weight = kinds / (total + kinds)
-        if k:
-            suffix = codes & ((1 << 8 * k) - 1)
-            lower = 10.0 ** _lower(tree, suffix, k - 1)
-        else:
-            lower = np.full(len(codes), 1 / 256)
-        logs = np.log10(n / (total + kinds)[at] + weight[at] * lower)
-        tree.states.append(contexts), tree.known.append(codes), tree.logs.append(logs), tree.backoff.append(np.log10(weight))
-    least = least_of_top(grams, "n", quick)
-    often = np.sort(grams.where(F.col("n") >= least).select("code").toArrow()["code"].to_numpy()) if least is not None else empty
-    tree.quick, tree.quick_logs = often, tree.by_states(often) if len(often) else np.zeros(0)
-    return tree
-
-
-def _lower(tree: Tree, codes: np.ndarray, k: int) -> np.ndarray:
-    """log10 of the last byte of each code by the states of up to k bytes."""
-    out, todo = np.zeros(len(codes)), np.arange(len(codes))
-    for j in range(k, -1, -1):
-        own = codes[todo] & ((1 << 8 * (j + 1)) - 1)
-        at, state = find(tree.states[j], own >> 8)
-        place, seen = find(tree.known[j], own)
-        hit = state & seen
-        out[todo[hit]] += tree.logs[j][place[hit]]
-        out[todo[state & ~seen]] += tree.backoff[j][at[state & ~seen]]
-        todo = todo[~hit]
-        if not len(todo):
-            return out
-    out[todo] -= np.log10(256.0)
-    return out
+            own = counts[0].withColumn("lower", F.lit(1 / 256))
+        own = own.withColumn("ctx", F.shiftright("code", 8))
+        own = own.withColumn("total", F.sum("n").over(by_context)).withColumn("kinds", F.count(F.lit(1)).over(by_context))
+        own = own.withColumn("gain", F.sum(F.col("n") * F.log2(F.col("n") / F.col("total") / F.col("lower"))).over(by_context))
+        state = (F.col("gain") >= gain) if k else F.lit(True)
+        smooth = F.when(state, (F.col("n") + F.col("kinds") * F.col("lower")) / (F.col("total") + F.col("kinds"))).otherwise(F.col("lower"))
+        weight = F.when(state, F.log10(F.col("kinds") / (F.col("total") + F.col("kinds"))))
+        made = cut(own.select("code", "n", F.log10(smooth).alias("log"), "ctx", weight.alias("weight")))
+        strings.append(made.select("code", "n", "log"))
+        states.append(cut(made.where("weight is not null").groupBy("ctx").agg(F.first("weight").alias("weight"))))
+    return Tree(strings, states)
 
 
 @dataclass
 class Model:
     tree: Tree
+    often: tuple[np.ndarray, np.ndarray]  # the most frequent codes, by descending frequency, with their log10
     frequent: dict[bytes, int]
     words: DataFrame  # the others: word, n
     tokens: int
     kinds: int
 
 
-def train(rows: DataFrame, gain: float = 60.0, max_states: int = 40_000, max_words: int = 100_000) -> Model:
+def train(rows: DataFrame, gain: float = 60.0, max_words: int = 100_000, quick: int = 500_000) -> Model:
     """A model from all rows (text).  Null texts count as empty ones: an end mark each."""
-    counted = cut(rows.select("text").mapInPandas(count_training, "kind int, code long, word binary, n long").groupBy("kind", "code", "word").agg(F.sum("n").alias("n")))
+    counted = cut(rows.select("text").mapInArrow(count_training, "kind int, code long, word binary, n long").groupBy("kind", "code", "word").agg(F.sum("n").alias("n")))
     words = counted.where("kind = 1").select("word", "n")
     size = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     least = least_of_top(words, "n", max_words)
@@ -254,62 +228,108 @@ def train(rows: DataFrame, gain: float = 60.0, max_states: int = 40_000, max_wor
     if least is not None:
         often = words.where(F.col("n") >= least).toArrow()
         frequent = dict(zip(often["word"].to_pylist(), often["n"].to_pylist(), strict=True))
-    return Model(build_tree(counted.where("kind = 0").select("code", "n"), gain, max_states), frequent, rare, int(size["n"] or 0), int(size["v"] or 0))
+    tree = build_tree(counted.where("kind = 0").select("code", "n"), gain)
+    least = least_of_top(tree.strings[DEPTH], "n", quick)
+    codes, logs = np.zeros(0, dtype=np.int64), np.zeros(0)
+    if least is not None:
+        top = tree.strings[DEPTH].where(F.col("n") >= least).toArrow()
+        by = np.lexsort((top["code"].to_numpy(), -top["n"].to_numpy()))
+        codes, logs = top["code"].to_numpy()[by], top["log"].to_numpy()[by]
+    return Model(tree, (codes, logs), frequent, rare, int(size["n"] or 0), int(size["v"] or 0))
+
+
+SCORED = pa.schema(
+    [("id", pa.int64()), ("uid", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_c", pa.float64()), ("score", pa.float64())]
+    + [("words", pa.list_(pa.binary())), ("word_n", pa.list_(pa.int64())), ("codes", pa.list_(pa.int64())), ("code_n", pa.list_(pa.int64()))]
+)
+
+
+def _lists(owners: np.ndarray, rows: int, values: pa.Array) -> pa.Array:
+    """One list for each of ``rows``, of the values whose ascending owner it is."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owners, np.arange(rows + 1)).astype(np.int32)), values)
+
+
+def _scored(ids: list, texts: list[bytes | None], uid: int, quick: Quick, logs: dict[bytes, float], frequent: dict[bytes, int]) -> pa.RecordBatch:
+    n = len(ids)
+    totals, known, log_c = np.zeros(n), np.zeros(n, dtype=np.int64), np.zeros(n)
+    tokens = np.zeros(n, dtype=np.int64)
+    codes, sizes = [], []
+    rare, rare_n, rare_of = [], [], []
+    for k, text in enumerate(texts):
+        own = words_of(text)
+        codes.append(codes_of(symbols_of(own)))
+        sizes.append(len(codes[-1]))
+        own.append(b"")
+        tokens[k] = len(own)
+        for w, times in Counter(own).items():
+            if (x := logs.get(w)) is None:
+                rare.append(w), rare_n.append(times), rare_of.append(k)
+            else:
+                known[k] += times
+                log_c[k] += times * x
+    every, owner = np.concatenate(codes), np.repeat(np.arange(n), sizes)
+    missed = []
+    for at in range(0, len(every), STEP):
+        part, of = every[at : at + STEP], owner[at : at + STEP]
+        found, hit = quick.find(part)
+        totals += np.bincount(of, weights=found, minlength=n)
+        part, of = part[~hit], of[~hit]
+        by = np.lexsort((part, of))
+        part, of = part[by], of[by]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(part)), dtype=bool), (part[1:] != part[:-1]) | (of[1:] != of[:-1]))))
+        missed.append((of[first], part[first], np.diff(np.concatenate((first, [len(part)])))))
+    of, part, times = (np.concatenate(x) for x in zip(*missed, strict=True))
+    rare_of = np.array(rare_of, dtype=np.int64)
+    arrays = [pa.array(ids, pa.int64()), pa.array(np.arange(uid, uid + n)), pa.array(tokens), pa.array(known), pa.array(log_c), pa.array(totals)]
+    arrays += [_lists(rare_of, n, pa.array(rare, pa.binary())), _lists(rare_of, n, pa.array(rare_n, pa.int64())), _lists(of, n, pa.array(part)), _lists(of, n, pa.array(times.astype(np.int64)))]
+    return pa.RecordBatch.from_arrays(arrays, schema=SCORED)
 
 
 def score_texts(rows: DataFrame, model: Model) -> DataFrame:
-    """Rows (id, uid, n_tokens, n_known, log_c, score, rare), computed once: log_c and n_known of the frequent words only.
-
-    ``rare``: the other words with their counts in the text.
-    """
-    shipped = rows.sparkSession.sparkContext.broadcast((model.tree, model.frequent))
+    """Rows (id, uid, n_tokens, n_known, log_c, score, words, word_n, codes, code_n), computed once: log_c and n_known of the
+    words that are sent only, score of the codes that are sent only; the others stand in lists with their counts in the text."""
+    shipped = rows.sparkSession.sparkContext.broadcast((model.often, model.frequent))
 
     def score(batches):
-        tree, frequent = shipped.value
+        often, frequent = shipped.value
+        quick = Quick(*often)
         logs = {w: float(np.log10(n + 0.5)) for w, n in frequent.items()}
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
-                codes, sizes, out = [], [], []
-                for id_, text in zip(part["id"], part["text"], strict=True):
-                    own = words_of(text)
-                    codes.append(codes_of(symbols_of(own)))
-                    sizes.append(len(codes[-1]))
-                    own.append(b"")
-                    counts = Counter(own)
-                    known = log_c = 0.0
-                    rare = []
-                    for w, n in counts.items():
-                        if (x := logs.get(w)) is None:
-                            rare.append({"word": w, "n": n})
-                        else:
-                            known += n
-                            log_c += n * x
-                    out.append((id_, uid, len(own), int(known), log_c, rare))
-                    uid += 1
-                each = tree.log10(np.concatenate(codes))
-                totals = np.add.reduceat(each, np.concatenate(([0], np.cumsum(sizes)[:-1])))
-                frame = pd.DataFrame(out, columns=["id", "uid", "n_tokens", "n_known", "log_c", "rare"])
-                frame["id"] = frame["id"].astype("Int64")
-                yield frame.assign(score=totals)
-
-    return cut(rows.mapInPandas(score, "id long, uid long, n_tokens long, n_known long, log_c double, rare array<struct<word:binary,n:long>>, score double"))
+            ids, texts = batch.column(0).to_pylist(), _bytes(batch.column(1))
+            start = held = 0
+            for k, text in enumerate(texts):
+                held += len(text or b"") + 1
+                if held > STEP or k == len(texts) - 1:
+                    yield _scored(ids[start : k + 1], texts[start : k + 1], uid, quick, logs, frequent)
+                    uid += k + 1 - start
+                    start, held = k + 1, 0
+
+    shape = "id long, uid long, n_tokens long, n_known long, log_c double, score double, words array<binary>, word_n array<long>, codes array<long>, code_n array<long>"
+    return cut(rows.mapInArrow(score, shape))
 
 
 def lm_scores(docs: DataFrame, train_rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """Rows (id, n_tokens, n_known, train_tokens, base_score, score), one for each row of ``docs``.
 
     A null text counts as empty (one token, the end).  Without training rows every c, N and V is 0 and the tree is uniform.
+    Repeated rows are scored each; other columns are left aside; an empty table gives no rows.
     """
     model = train(train_rows.select(F.col(text_col).alias("text")), **how)
     scored = score_texts(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), model)
-    rare = scored.select("uid", F.explode("rare").alias("r")).select("uid", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
+    words = scored.select("uid", F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("word_n").alias("times"))).alias("x")).select("uid", "x.word", "x.times")
+    codes = scored.select("uid", F.explode(F.arrays_zip(F.col("codes").alias("code"), F.col("code_n").alias("times"))).alias("x")).select("uid", "x.code", "x.times")
+    seen = model.tree.strings[DEPTH].select("code", "log")
+    unseen = cut(codes.select("code").distinct().join(seen, "code", "left_anti"))
+    logs = seen.unionByName(cut(model.tree.log10(unseen)))
     c = F.coalesce("n", F.lit(0))
-    rare = rare.join(model.words, "word", "left").groupBy("uid").agg(F.sum(F.col("times") * F.log10(c + 0.5)).alias("more_log_c"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    rows = scored.drop("rare").join(rare, "uid", "left")
+    more = words.join(model.words, "word", "left").select("uid", (F.col("times") * F.log10(c + 0.5)).alias("log_c"), F.when(c > 0, F.col("times")).otherwise(0).alias("known"), F.lit(0.0).alias("score"))
+    more = more.unionByName(codes.join(logs, "code").select("uid", F.lit(0.0).alias("log_c"), F.lit(0).cast("long").alias("known"), (F.col("times") * F.col("log")).alias("score")))
+    more = more.groupBy("uid").agg(*[F.sum(x).alias(f"more_{x}") for x in ("log_c", "known", "score")])
+    rows = scored.select("id", "uid", "n_tokens", "n_known", "log_c", "score").join(more, "uid", "left")
     base = F.col("log_c") + F.coalesce("more_log_c", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(model.tokens + 0.5 * (model.kinds + 1)))
-    return rows.select("id", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    known = (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long")
+    return rows.select("id", "n_tokens", known.alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))
 
 
 def op6_lmscore(spark, sf_dir: str) -> DataFrame:
