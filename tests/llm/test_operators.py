@@ -181,13 +181,37 @@ def test_crowds_are_dealt_out(spark):
     """The parts of a crowded shingle give the pairs that one part gives."""
     rng = np.random.default_rng(11)
     sets = [sorted({*range(80), *(int(x) for x in rng.integers(100, 10**6, size=int(rng.integers(12))))}) for _ in range(60)]
-    nodes = spark.createDataFrame([(i, len(h), simhash.prefix_of(h, 0.8, (np.arange(80), np.full(80, 60))).tolist()) for i, h in enumerate(sets)], "uid long, n int, prefix array<long>")
-    labels = spark.createDataFrame([], "node long, root long")
-    whole, dealt = ({frozenset(r) for r in simhash.prefix_links(nodes, labels, 0.8, crowd).collect()} for crowd in (1000, 7))
+    prefixes = [simhash.prefix_of(np.array(h), 0.8, (np.arange(80), np.full(80, 60))).tolist() for h in sets]
+    size = collections.Counter(t for x in prefixes for t in x)
+    mixed = spark.createDataFrame([(t, i, i, len(sets[i]), pos, size[t]) for i, x in enumerate(prefixes) for pos, t in enumerate(x)], "token long, uid long, label long, n int, pos int, size long")
+    whole, dealt = ({frozenset(r) for r in simhash.all_pairs(mixed, 0.8, crowd).collect()} for crowd in (1000, 7))
     want = {frozenset((i, j)) for i in range(60) for j in range(i) if len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})}
     assert whole == dealt and want <= whole and want
 
 
+def test_near_copies_of_few_words(spark):
+    """Texts of few distinct words, in common or of their own, whose shingles are alike all the same."""
+    rng = np.random.default_rng(12)
+    pairs = []
+    for i in range(150):
+        common, own = (12, 40, 80)[i % 3], 4 + i % 5
+        base = [f"c{x}" for x in rng.integers(common, size=300)]
+        pairs.append(tuple(" ".join(base + [f"p{i}"] * 2 + [f"o{j}x{x}" for x in range(own)]) for j in range(2)))
+    assert linked_to_twins(spark, pairs) == 1
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_rounds_change_no_component(spark, rounds):
+    """With and without rounds that propose leaders the components are those of all pairs."""
+    rng = np.random.default_rng(13)
+    base = [f"b{x}" for x in range(120)]
+    rows = [(i, " ".join([w if rng.random() > 0.01 else f"n{rng.integers(10**9)}" for w in base])) for i in range(120)]
+    sets = [(i, set(simhash.shingle_list(t, 5))) for i, t in rows]
+    want = {sets[k][0]: min(sets[j][0] for j in g) for g in brute_components(sets, lambda a, b: len(a[1] & b[1]) >= 0.8 * len(a[1] | b[1])) if len(g) > 1 for k in g}
+    got = {r["id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), rounds=rounds, crowd=50).collect()}
+    assert got == want and len(want) > 60
+
+
 def test_keep_one_of_each(odd):
     kept = simhash.keep_one_of_each(odd)
     assert kept.columns == odd.columns
@@ -368,15 +392,61 @@ def test_rare_words_by_a_join_and_no_training(docs):
     assert all(r["train_tokens"] == 0 and r["score"] == pytest.approx(-size[r["id"]] * math.log10(256)) for r in none)
 
 
+def brute_tree(texts, gain):
+    """A function from a context of DEPTH bytes and a byte to its log10 probability, by plain dictionaries."""
+    depth = lmscore.DEPTH
+    counts = [collections.defaultdict(collections.Counter) for _ in range(depth + 1)]
+    for t in texts:
+        whole = b"\xff" * depth + b" ".join((t or "").encode().lower().split()) + b"\xff"
+        for at in range(depth, len(whole)):
+            for k in range(depth + 1):
+                counts[k][whole[at - k : at]][whole[at]] += 1
+    known = {}
+
+    def p(context, byte, k):
+        if k < 0:
+            return 1 / 256
+        key = (context[depth - k :], byte)
+        if key not in known:
+            lower, c = p(context, byte, k - 1), counts[k].get(key[0])
+            if c and (k == 0 or sum(n * math.log2(n / sum(c.values()) / p(context, b, k - 1)) for b, n in c.items()) >= gain):
+                lower = (c[byte] + len(c) * lower) / (sum(c.values()) + len(c))
+            known[key] = lower
+        return known[key]
+
+    return lambda context, byte: math.log10(p(context, byte, depth))
+
+
+@pytest.mark.parametrize("quick", [0, 300, 500_000])
+def test_score_against_a_plain_tree(spark, docs, odd, quick):
+    """The score of every text, learned from or not, is that of a plain tree, whatever is sent to the tasks."""
+    rows = docs.select("doc_id", "text").limit(40).unionByName(odd.select("doc_id", F.substring("text", 1, 2000).alias("text")))
+    learned = rows.where("doc_id % 3 <> 0")
+    tree = brute_tree([t for _, t in texts_of(learned)], 20.0)
+    got = collections.defaultdict(list)
+    for r in lmscore.lm_scores(rows, learned, gain=20.0, quick=quick).collect():
+        got[r["id"]].append(r["score"])
+    for i, t in texts_of(rows):
+        whole = b"\xff" * lmscore.DEPTH + b" ".join((t or "").encode().lower().split()) + b"\xff"
+        want = sum(tree(whole[at - lmscore.DEPTH : at], whole[at]) for at in range(lmscore.DEPTH, len(whole)))
+        assert any(x == pytest.approx(want) for x in got[i])
+
+
 def test_tree_is_a_distribution(spark):
     text = spark.createDataFrame([("the cat the dog the cow",), ("a cat a dog",)] * 30, "text string")
     tree = lmscore.train(text, gain=1.0).tree
-    assert sum(map(len, tree.states)) > 10
-    for context in (b"the c", b"\xff\xff\xff\xff\xff", b"zzzzz", b"a cat", b"xxthe"):
-        base = int.from_bytes(context, "big") << 8
-        logs = tree.log10(np.array([base | b for b in range(256)], dtype=np.int64))
-        assert (10**logs).sum() == pytest.approx(1.0, abs=1e-9)
-        assert logs == pytest.approx(tree.by_states(np.array([base | b for b in range(256)], dtype=np.int64)))
+    assert sum(s.count() for s in tree.states) > 10
+    contexts = (b"the c", b"\xff\xff\xff\xff\xff", b"zzzzz", b"a cat", b"xxthe")
+    codes = [int.from_bytes(c, "big") << 8 | b for c in contexts for b in range(256)]
+    logs = dict(tree.log10(spark.createDataFrame([(c,) for c in codes], "code long")).collect())
+    for k in range(len(contexts)):
+        assert sum(10 ** logs[c] for c in codes[k * 256 : k * 256 + 256]) == pytest.approx(1.0, abs=1e-9)
+
+
+def test_states_follow_the_test(spark, docs):
+    """More texts give more states: nothing but the test bounds them."""
+    few, many = (sum(s.count() for s in lmscore.train(docs.select("text").limit(n)).tree.states) for n in (20, 200))
+    assert many > 2 * few
 
 
 # --- 7 mixing ---------------------------------------------------------------------------------------------------------
@@ -486,6 +556,25 @@ def test_runs_and_short_items(spark):
     assert {(r["id"], r["item"]) for r in decontaminate.find_leaks(docs, items).collect()} == {(1, 1), (3, 2), (4, 3)}
 
 
+@pytest.mark.parametrize("most", [1 << 25, 0])
+def test_other_parameters(spark, most):
+    """Numbers of several digit groups, names of several words, units with and without a space, on both ways of joining."""
+    items = spark.createDataFrame([(1, "A shop sells 120 apples for 35 dollars each today"), (2, "how many apples did Anna buy for 12 dollars"), (3, "the parcel that weighs 5 kg goes to the town of Ulm in a week"), (4, "So Long")], "item_id long, text string")
+    rows = [
+        (1, "A shop sells 75 apples for 9 dollars each today"), (2, "A shop sells 1,200 apples for 3.50 dollars each today"), (3, "so how many apples did Bob buy for 7 dollars"), (4, "how many apples did Anna Smith buy for 7.50 dollars"),
+        (5, "how many apples did McDonald buy for 1,000.75 dollars"), (6, "how many apples did O'Brien-Jones buy for 2 euros"), (7, "the parcel that weighs 12.5lb goes to the town of New York in a week"), (8, "how many pears did Bob eat for 7 days"), (9, "so long"), (10, "A shop sells apples for dollars each today"),
+    ]
+    found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items, most=most)
+    assert sorted((r["id"], r["item"], r["exact"]) for r in found.collect()) == [(1, 1, False), (2, 1, False), (3, 2, False), (4, 2, False), (5, 2, False), (6, 2, False), (7, 3, False), (9, 4, True)]
+
+
+def test_ways_of_joining_agree(spark, docs, odd):
+    items = spark.read.parquet(f"{DIR}/benchmark.parquet")
+    rows = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    sent, dealt = (sorted(map(tuple, decontaminate.find_leaks(rows, items, most=m).collect()), key=str) for m in (1 << 25, 0))
+    assert sent == dealt and sent
+
+
 def test_inconsistent_slots_are_no_leak(spark):
     item = "take 5 red ones and 5 blue ones then add 5 green ones to the heap of things"
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
