@@ -1,12 +1,19 @@
 """Main text of web pages by deducing the template of each host from equivalence classes of tokens.
 
 Tokens of a page are its block elements, told apart by their path, and its text blocks.  Tokens of a host that occur equally
-often in the same pages share an occurrence vector and form an equivalence class; a class is valid if it covers nearly all
-pages of a host with at least ``MIN_PAGES``.  The elements of valid classes nest by their paths into the template.  Its slot
-for the article is found going down from the root: as long as one template element holds most of what isn't template text,
-nor in an element that never holds an article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-comments).  What is left in that slot is the text.  Pages that name their article (``article``, ``main``) keep it even if
-their host is too small for a template.
+often in the same pages share an occurrence vector and form an equivalence class.  A class is valid if it
+
+- occurs in at least ``MIN_PAGES`` pages and a share of ``LEAST_SHARE`` of the host's,
+- occurs in nearly all pages (``COVER``) of the class around it, or has an element of its own to hold its texts, or is
+  large (``LARGE`` texts that always come together: a single text that pages share is no template), and
+- doesn't fill its slot: texts that are most of what their place holds are the content of copied pages, not template.
+
+Valid classes nest by their elements: the class of all pages, in it those of layouts and of boxes that only some pages have.
+What the texts of valid classes leave over is in slots.  The slot of a page's article is found going down from the root among
+the template elements that the page has, as long as one holds most of what is left over there.  Names only choose among
+slots: elements that never hold an article (menus, headers, footers, sidebars, adverts, forms, scripts, comments) aren't
+gone into, and where a page names its article (``article``, ``main``) that is the slot; of it only boxes that are valid
+classes are taken out.  Hosts of fewer than ``MIN_PAGES`` pages have no template, and names decide alone.
 
 Vectors are never gathered: a vector is the number of pages and a sum of hashes of (page, count), both summed by host and
 token with a partial aggregation, so a host with a third of all pages is no hot task.
@@ -24,9 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import SMALL, cut, size_of, table
 
 MIN_PAGES = 4
+LEAST_SHARE = 0.1
+LARGE = 3
 COVER = 0.8
 MOST = 0.7
 
@@ -49,11 +58,15 @@ ENDS_P = BLOCKS - {"html", "body", "head", "title"}
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Words of class, id and role that mark what is no article.
 NOISE = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|side-?bar|widgets?|nav\w*|menus?|breadcrumbs?|pagination|pager|toolbar|masthead|site-?header|page-?header|top-?bar"
-    r"|foot\w*|copyright|legal|disclaimer|comments?|comment-?\w*|replies|reply|respond|disqus|discussion|share\w*|sharing|social\w*|related|recommend\w*|read-?more|more-?stories|teasers?|newsletter|subscri\w*|sign-?up|log-?in|search\w*|forms?|skip\w*"
-    r"|hidden|sr-only|visually-hidden|tags?|byline-links|outbrain|taboola|complementary|navigation|contentinfo|alertdialog)(?:$|[-_ ])",
+    r"(?:^|[-_ ])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|overlay|side-?bar|widgets?|nav\w*|menus?|breadcrumbs?|pagination|pager|toolbar|masthead|site-?header|page-?header|top-?bar"
+    r"|foot\w*|copyright|comments?|comment-?\w*|replies|reply|respond|disqus|social\w*|related|recommend\w*|read-?more|more-?stories|teasers?|newsletter|subscri\w*|sign-?up|log-?in|forms?|skip\w*"
+    r"|hidden|sr-only|visually-hidden|byline-links|outbrain|taboola|complementary|navigation|contentinfo|alertdialog)(?:$|[-_ ])",
     re.I,
 )
+#: Words that may as well name a part of an article: they count for template elements, and where there is no template.
+DOUBTFUL = re.compile(r"(?:^|[-_ ])(?:notices?|alerts?|legal|disclaimer|discussion|share\w*|sharing|search\w*|tags?)(?:$|[-_ ])", re.I)
+#: Elements that hold boxes; others (paragraphs, lists, tables) are content wherever they stand.
+BOXES = frozenset("div section article center details dialog fieldset td address".split())
 MAIN = re.compile(r"(?:^|[-_ ])(?:article-?(?:body|content|text)?|post-?(?:body|content)?|entry-?(?:body|content)?|main-?content|content-?(?:body|main)?|story-?(?:body)?|main)(?:$|[-_ ])", re.I)
 
 
@@ -65,10 +78,10 @@ def host_of(url: str | None) -> str:
 
 
 class Block:
-    __slots__ = ("anchor", "outside", "path", "text", "within")
+    __slots__ = ("doubtful", "outside", "path", "text", "within")
 
-    def __init__(self, path, within, outside, text):
-        self.path, self.within, self.outside, self.text = path, within, outside, text
+    def __init__(self, path, within, outside, doubtful, text):
+        self.path, self.within, self.outside, self.doubtful, self.text = path, within, outside, doubtful, text
 
 
 class Page:
@@ -81,16 +94,16 @@ class Page:
         self._parse(html or "")
 
     def _parse(self, html: str) -> None:
-        # an open element: tag, path, outside, identity of the article elements around
-        stack: list[tuple[str, str, bool, tuple]] = [("", "", False, ())]
+        # an open element: tag, path, outside, path of the element around with a doubtful name, identity of the articles around
+        stack: list[tuple[str, str, bool, str, tuple]] = [("", "", False, "", ())]
         buffer: list[str] = []
         count = 0
 
         def flush():
             if buffer:
                 if text := " ".join(unescape("".join(buffer)).split()):
-                    _, path, outside, within = stack[-1]
-                    self.blocks.append(Block(path, within, outside, text))
+                    _, path, outside, doubtful, within = stack[-1]
+                    self.blocks.append(Block(path, within, outside, doubtful, text))
                 buffer.clear()
 
         def close(k: int):
@@ -152,7 +165,7 @@ class Page:
                     if stack[k][0] == "head":
                         close(k)
                         break
-            _, path, outside, within = stack[-1]
+            _, path, outside, doubtful, within = stack[-1]
             names = ""
             is_main = tag in ("article", "main")
             if len(token) > len(tag) + 2:
@@ -164,13 +177,15 @@ class Page:
                     is_main = True
             if tag in OUTSIDE or tag == "header" and not any(kind == "article" for kind, _ in within):
                 outside = True
-            path = f"{path}/{tag}.{'.'.join(names.split())}" if names else f"{path}/{tag}"
+            path = f"{path}/{tag}.{'.'.join(names.replace('/', ' ').split())}" if names else f"{path}/{tag}"
+            if names and not doubtful and tag not in ("html", "body", "article", "main") and DOUBTFUL.search(names):
+                doubtful = path
             if not outside:
                 self.elements[path] += 1
             if is_main:
                 count += 1
                 within = (*within, ("article" if tag == "article" else "main" if tag == "main" else "named", count))
-            stack.append((tag, path, outside, within))
+            stack.append((tag, path, outside, doubtful, within))
         flush()
 
     def article(self) -> list[Block] | None:
@@ -235,86 +250,117 @@ def _count_tokens(batches):
         yield frame()
 
 
-def host_templates(pages: DataFrame, min_pages: int = MIN_PAGES, cover: float = COVER) -> DataFrame:
-    """Rows (host, pages, tokens): tokens of valid classes of each host with a template, as an array of structs.
+def host_templates(pages: DataFrame, min_pages: int = MIN_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+    """Rows (host, pages, tokens): the tokens of each host that may be of a valid class, as an array of structs.
 
-    A class is given by its vector (pages, sum of hashes); it is valid if it covers ``cover`` of the host's pages.  A host
-    has at most as many such tokens as its shortest page has tokens, over ``cover``.
+    A class is given by its vector (pages, sum of hashes).  Every token is in ``least_share`` of the host's pages, so a host
+    has at most as many as a page has tokens on average, over that share.
     """
     raw = pages.select("url", "html").mapInPandas(_count_tokens, "host string, path string, text long, kind string, pages long, vector long, size long")
     summed = cut(raw.groupBy("host", "path", "text", "kind").agg(F.sum("pages").alias("pages"), F.sum("vector").alias("vector"), F.sum("size").alias("size")).where(F.col("pages") >= min_pages))
     hosts = summed.where("kind = 'p'").select("host", F.col("pages").alias("all"))
-    valid = summed.where("kind <> 'p'").join(hosts, "host").where(F.col("pages") >= F.col("all") * cover)
-    return valid.groupBy("host").agg(F.first("all").alias("pages"), F.collect_list(F.struct("path", "text", "kind", "pages", "vector", "size")).alias("tokens"))
+    often = summed.where("kind <> 'p'").join(hosts, "host").where(F.col("pages") >= F.col("all") * least_share)
+    return often.groupBy("host").agg(F.first("all").alias("pages"), F.collect_list(F.struct("path", "text", "kind", "pages", "vector", "size")).alias("tokens"))
+
+
+def _above(path: str):
+    """The paths of the elements around, nearest first."""
+    while path := path.rpartition("/")[0]:
+        yield path
 
 
 class Template:
-    """The nested classes of one host: its template texts and the path of the slot that holds most of the rest."""
+    """The valid classes of one host: their texts, the boxes among them, and how much each element has left over."""
 
-    def __init__(self, found):
+    def __init__(self, pages: int, found):
         classes: dict[tuple[int, int], list] = defaultdict(list)
         for t in found:
             classes[t["pages"], t["vector"]].append(t)
-        self.texts = {(t["path"], t["text"]) for members in classes.values() for t in members if t["kind"] == "t"}
-        fixed: dict[str, int] = defaultdict(int)  # characters of template text within a path
-        for members in classes.values():
-            for t in members:
-                if t["kind"] == "t":
-                    at = t["path"]
-                    while at:
-                        fixed[at] += t["size"]
-                        at = at.rpartition("/")[0]
-        # template elements, each nested under the longest other path that it starts with
-        free = {t["path"]: t["size"] - fixed[t["path"]] for members in classes.values() for t in members if t["kind"] == "e"}
-        below: dict[str, list[str]] = defaultdict(list)
-        for path in free:
-            at = path.rpartition("/")[0]
-            while at and at not in free:
-                at = at.rpartition("/")[0]
-            below[at].append(path)
-        self.slot = ""
-        while below[self.slot]:
-            best = max(below[self.slot], key=lambda p: (free[p], p))
-            whole = free.get(self.slot) or sum(free[p] for p in below[self.slot])
+        of = {t["path"]: c for c, members in classes.items() for t in members if t["kind"] == "e"}
+        size = {t["path"]: t["size"] / t["pages"] for members in classes.values() for t in members if t["kind"] == "e"}
+        self.texts: set[tuple[str, int]] = set()
+        self.boxed: set[tuple[str, int]] = set()
+        self.elements: set[str] = set()
+        fixed: dict[str, float] = defaultdict(float)  # characters of template text within a path, on a page that has it
+        for c, members in sorted(classes.items(), reverse=True):
+            elements = {t["path"] for t in members if t["kind"] == "e"}
+            texts = [t for t in members if t["kind"] == "t"]
+            # the class around: that of the nearest element of another class, around the outermost member
+            top = min((t["path"] if t["kind"] == "e" else f"{t['path']}/" for t in members), key=lambda x: (x.count("/"), x))
+            around = next((a for a in _above(top) if a in of and of[a] != c), "")
+            covers = c[0] >= COVER * (of[around][0] if around else pages)
+            boxes = {x for x in elements if x.rpartition("/")[2].split(".")[0] in BOXES}
+            held = [t for t in texts if t["path"] in boxes or any(a in boxes for a in _above(t["path"]))]
+            if not covers:
+                texts = texts if len(texts) >= LARGE else held
+                # content of copied pages fills its place; a box doesn't
+                if not texts or around and sum(t["size"] for t in texts) / c[0] >= MOST * size[around]:
+                    continue
+                self.boxed |= {(t["path"], t["text"]) for t in held}
+            self.elements |= elements
+            self.texts |= {(t["path"], t["text"]) for t in texts}
+            for t in texts:
+                for a in (t["path"], *_above(t["path"])):
+                    if a in of:
+                        fixed[a] += t["size"] / of[a][0]
+        self.free = {x: size[x] - fixed[x] for x in size}
+        # a box on nearly all pages that holds nothing of a page's own, and less than the rest of its place
+        whole = {x: next((a for a in _above(x) if a in size), "") for x in self.elements if x in size}
+        pure = {x for x, a in whole.items() if x.rpartition("/")[2].split(".")[0] in BOXES and a and self.free[x] <= 0.1 * size[x] < 0.1 * MOST * size[a]}
+        self.boxed |= {t for t in self.texts if t[0] in pure or any(a in pure for a in _above(t[0]))}
+        self.below: dict[str, list[str]] = defaultdict(list)
+        for path in self.free:
+            self.below[next((a for a in _above(path) if a in self.free), "")].append(path)
+
+    def slot(self, page: Page) -> str:
+        """The template element of the page that holds most of what is left over, going down from the root."""
+        at = ""
+        while here := [p for p in self.below[at] if p in page.elements]:
+            best = max(here, key=lambda p: (self.free[p], p))
+            whole = self.free[at] if at else sum(self.free[p] for p in here)
             # a single paragraph or item is no slot for an article
-            if not whole or free[best] < MOST * whole or re.search(r"/(?:p|li|h[1-6]|td|dd|dt)(?:\.[^/]*)?$", best):
+            if whole <= 0 or self.free[best] < MOST * whole or re.search(r"/(?:p|li|h[1-6]|td|dd|dt)(?:\.[^/]*)?$", best):
                 break
-            self.slot = best
+            at = best
+        return at
 
 
 def main_text(html: str | None, template: Template | None) -> str:
     page = Page(html)
     named = page.article()
-    if template is None:
-        blocks = named if named is not None else [b for b in page.blocks if not b.outside]
-        return " ".join(b.text for b in blocks)
-    inside = [b for b in page.blocks if not b.outside and (not template.slot or b.path == template.slot or b.path.startswith((template.slot + "/", template.slot + ".")))]
+    elements = None if template is None else template.elements
+    shown = [b for b in page.blocks if not b.outside and not (b.doubtful and (elements is None or b.doubtful in elements))]
     if named is not None:
-        # the page's own naming bounds the slot; a text that all articles of a host share is part of them
+        # the page's own name chooses the slot; a text that all articles of a host share is part of them, a box isn't
         own = {id(b) for b in named}
-        kept = [b for b in inside if id(b) in own]
-        return " ".join(b.text for b in (kept if sum(len(b.text) for b in kept) >= MOST * sum(len(b.text) for b in named) else named))
+        within = [b for b in shown if id(b) in own]
+        kept = within if template is None else [b for b in within if (b.path, key(b.text)) not in template.boxed]
+        return " ".join(b.text for b in kept or within)
+    if template is None:
+        return " ".join(b.text for b in shown)
+    slot = template.slot(page)
+    inside = [b for b in shown if not slot or b.path == slot or b.path.startswith(slot + "/")]
     kept = [b for b in inside if (b.path, key(b.text)) not in template.texts]
-    return " ".join(b.text for b in (kept or [b for b in page.blocks if not b.outside]))
+    return " ".join(b.text for b in kept or shown)
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_broadcast: int = 500_000) -> DataFrame:
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most: int = SMALL) -> DataFrame:
     """Rows (id, url, text): the main text of every page.
 
-    Null and empty html give an empty text; a null or unreadable url has the host "".  Repeated rows stay.  Templates of up
-    to ``max_broadcast`` tokens in all are sent to every task, more are joined by host.
+    Null and empty html give an empty text; a null or unreadable url has the host "".  Repeated rows stay; other columns are
+    left aside; an empty table gives no rows.  Templates of up to ``most`` bytes in all are sent to every task, more are
+    joined by host.  A page is read whole, however long.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     found = cut(host_templates(rows))
-    size = found.agg(F.sum(F.size("tokens")).alias("n")).first()["n"] or 0
     shape = "id long, url string, text string"
 
     def frame(batch, template_of):
         texts = [main_text(h, template_of(u, k)) for k, (u, h) in enumerate(zip(batch["url"], batch["html"], strict=True))]
         return pd.DataFrame({"id": batch["id"].astype("Int64"), "url": batch["url"], "text": texts})
 
-    if size <= max_broadcast:
-        shipped = rows.sparkSession.sparkContext.broadcast({r["host"]: [t.asDict() for t in r["tokens"]] for r in found.collect()})
+    if size_of(found) <= most:
+        shipped = rows.sparkSession.sparkContext.broadcast({r["host"]: (r["pages"], [t.asDict() for t in r["tokens"]]) for r in found.collect()})
 
         def with_all(batches):
             made: dict[str, Template] = {}
@@ -324,7 +370,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 if host not in shipped.value:
                     return None
                 if host not in made:
-                    made[host] = Template(shipped.value[host])
+                    made[host] = Template(*shipped.value[host])
                 return made[host]
 
             for batch in batches:
@@ -336,7 +382,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     def host(urls: pd.Series) -> pd.Series:
         return urls.map(host_of)
 
-    joined = rows.withColumn("host", host("url")).join(found.select("host", "tokens"), "host", "left")
+    joined = rows.withColumn("host", host("url")).join(found.select("host", F.col("pages").alias("n_pages"), "tokens"), "host", "left")
 
     def with_own(batches):
         made: dict[str, Template] = {}
@@ -350,7 +396,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 if name not in made:
                     if len(made) > 1000:
                         made.clear()
-                    made[name] = Template([t if isinstance(t, dict) else t.asDict() for t in own])
+                    made[name] = Template(int(batch["n_pages"].iloc[k]), [t if isinstance(t, dict) else t.asDict() for t in own])
                 return made[name]
 
             yield frame(batch, of)
