@@ -347,12 +347,12 @@ def test_pages(spark):
 PAGE = '<html><head><title>x</title><style>p{{}}</style></head><body><div class="top"><div class="box"><a>Home</a> <a>About</a></div></div><div class="mid"><div class="text"><p>Story {n} starts here with many words of its own {n}.</p><p>And &amp; goes<br>on {m}.</p></div></div><div class="end"><p>All about us</p></div></body></html>'
 
 
-@pytest.mark.parametrize("most", [500_000, 0])
+@pytest.mark.parametrize("most", [1 << 25, 0])
 def test_template_without_names(spark, most):
     """A host whose pages name nothing: menus and footers are template, the slot that varies is the article."""
     rows = [(k, f"http://h.example/{k}", PAGE.format(n=f"no{k}", m=k * 7)) for k in range(8)]
     rows += [(100, "http://other.example/", "<body><nav>menu</nav><main><h1>T</h1>a&nbsp;b<script>x('<p>')</script><aside>ad</aside></main></body>"), (101, None, None), (102, "::bad", ""), (None, "http://h.example/9", "plain  text"), (100, "http://other.example/", "<p>x<p>y")]
-    got = sorted(((r["id"] is None, r["id"], r["text"]) for r in htmltext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"), max_broadcast=most).collect()), key=str)
+    got = sorted(((r["id"] is None, r["id"], r["text"]) for r in htmltext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"), most=most).collect()), key=str)
     texts = collections.defaultdict(set)
     for _, i, t in got:
         texts[i].add(t)
@@ -362,6 +362,72 @@ def test_template_without_names(spark, most):
     assert htmltext.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_without_their_names(spark):
+    """The pages with all telling elements and class names made neutral: their articles are found by the template alone."""
+    from html import unescape
+
+    pages = spark.read.parquet(f"{DIR}/pages.parquet").collect()
+    host = "http://one.example/"
+    rows, want = [], {}
+    for r in pages:
+        inner = re.search(r"<article>(.*?)(</article>|<footer>)", r["html"], re.S)[1]
+        want[r["page_id"]] = " ".join(unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(?:p|h1|br|li|ul|div)\b[^>]*>", " ", inner))).split())
+        html = re.sub(r"<(/?)(?:article|nav|footer)\b", r"<\1div", re.sub(r"<nav>.*?</nav>", "<nav><ul><li>Here<li>There</ul></nav>", r["html"], flags=re.S).replace('class="ad"', 'class="x3"').replace("<footer>", '<footer class="x2">').replace("<article>", '<article class="x1">'))
+        rows.append((r["page_id"], f"{host}{r['page_id']}", html))
+    got = {r["id"]: r["text"] for r in htmltext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def layouts():
+    """24 pages of one host in two layouts of bare paragraphs, told apart by the texts that come together; half have a box
+    inside the article, and a third a sentence that others have too."""
+    rows, want = [], {}
+    for k in range(24):
+        box = '<div class="k7"><p>Write to us</p><p>every week</p></div>' if k % 4 < 2 else ""
+        more = "<p>It rained.</p>" if k % 3 == 0 else ""
+        own = f"<p>Story {k} tells what was seen in {k * 31} places, and by whom.</p>{box}{more}<p>It ended well for {k * 17} of them and {k * 13} more, as they said.</p>"
+        if k % 2:
+            html = f"<body><p>Top of one</p><p>Under it</p>{own}<p>End of one</p></body>"
+        else:
+            html = f"<body>{own}<p>Right of two</p><p>More of two</p><p>Last of two</p></body>"
+        rows.append((k, f"https://two.example/{k}", html))
+        want[k] = f"Story {k} tells what was seen in {k * 31} places, and by whom. {'It rained. ' if more else ''}It ended well for {k * 17} of them and {k * 13} more, as they said."
+    return rows, want
+
+
+def test_classes_decide(spark):
+    """Two layouts, neither on most pages, and a box on half of them; with a vector for each token alone the result changes."""
+    rows, want = layouts()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["id"]: r["text"] for r in htmltext.extract_text(pages).collect()} == want
+    (found,) = htmltext.host_templates(pages).collect()
+    tokens = [t.asDict() for t in found["tokens"]]
+    template, apart = htmltext.Template(found["pages"], tokens), htmltext.Template(found["pages"], [t | {"vector": k} for k, t in enumerate(tokens)])
+    assert {k: htmltext.main_text(html, template) for k, _, html in rows} == want
+    changed = [k for k, _, html in rows if htmltext.main_text(html, apart) != want[k]]
+    assert len(changed) >= 12
+
+
+def test_boxes_in_named_articles_and_doubtful_names(spark):
+    rows = []
+    for k in range(8):
+        box = '<div class="k7"><p>Write to us</p><p>every week</p></div>' if k % 2 else ""
+        rows.append((k, f"https://named.example/{k}", f'<body><article><p>Story {k} of {k * 7} words.</p>{box}<div class="tags legal{k}">Kept {k}</div><p>The same end.</p></article></body>'))
+    got = {r["id"]: r["text"] for r in htmltext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Story {k} of {k * 7} words. Kept {k} The same end." for k in range(8)}
+
+
+def test_copied_pages_and_a_very_long_one(spark):
+    """Copies of one article on a host keep their text; so does a page of many thousand blocks."""
+    long_ = "".join(f"<p>part {k}</p>" for k in range(20_000))
+    rows = [(k, f"http://c.example/{k}", f'<body><div class="m"><p>Menu</p></div><div class="n"><p>{"the same words in every copy " * 9}</p><p>and more of the same</p></div></body>') for k in range(6)]
+    rows += [(k, f"http://c.example/{k}", f'<body><div class="m"><p>Menu</p></div><div class="n"><p>own words {k} of this page alone, {k * k} in all</p></div></body>') for k in range(6, 30)]
+    rows.append((99, "http://c.example/99", f'<body><div class="m"><p>Menu</p></div><div class="n">{long_}</div></body>'))
+    got = {r["id"]: r["text"] for r in htmltext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == ("the same words in every copy " * 9) + "and more of the same" for k in range(6)) and got[7] == "own words 7 of this page alone, 49 in all"
+    assert got[99] == " ".join(f"part {k}" for k in range(20_000))
+
+
 def test_elements_that_are_no_article():
     html = '<article class="post"><header><h1>Title</h1></header><p>One</p><div class="ad-box">Buy</div><form><input>Search</form><section id="comments"><article class="comment">Nice</article></section><div class="cookie-notice">We use</div><p>Two <b>bold</b>ly</p><aside>Side</aside></article><article class="teaser">other</article>'
     assert htmltext.main_text(html, None) == "Title One Two boldly"
