@@ -34,9 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared checkpoint folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """The same rows, computed once and kept in the shared checkpoint folder.
+
+    A checkpoint keeps the size that the optimizer estimates, which is the product of a join's sides: in loops its digits
+    double with every turn, and multiplying them stops the driver.  Where it has got beyond 128 bits it is forgotten.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    kept = df.checkpoint()
+    plan = kept._jdf.queryExecution()
+    if plan.optimizedPlan().stats().sizeInBytes().bit_length() <= 128:
+        return kept
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), kept._jdf.schema(), False), spark)
 
 
 def checksum(df: DataFrame, *cols: str) -> tuple:

@@ -218,14 +218,20 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 #
 # Two sets of shingles that reach the similarity share one in their first few, in any order of all shingles that both use
 # (prefix filtering).  So each text's shingles are ordered, rare ones first, and the first of them, its tokens, are joined.
-# All links are found that way, whatever the texts.
+# Sets that are alike differ in few shingles, so their sketches, the parities of their hashes' counts in SKETCH bits, differ
+# in no more bits: a pair whose sketches are further apart needn't be compared.  All links are found that way.
 #
 # A group of thousands of copies shares most of its tokens.  So a token first proposes one link for each of its texts only,
-# to its leader, the least text; of its proposals a text tries the most frequent.  That is linear in the tokens, and what is
+# to a leader drawn for the token; of its proposals a text tries the closest.  That is linear in the tokens, and what is
 # linked then counts as one: after ``rounds`` of that, all pairs of a token's texts that aren't in one component yet are
 # compared.  What the rounds miss costs time, not links.
-#: Share of its tokens that a text must have in common with a leader to be compared with it in a round.
+SKETCH = 512
+#: Share of its tokens that a text must have in common with a leader to be compared with it in a round, if its sketch is full.
 LIKELY = 0.3
+#: Texts of a token from which on pairs are left out by their sketches in the join itself.
+CROWDED = 8
+#: First tokens of a text that tell whether a pair has been met before.
+HEAD = 16
 
 
 def shingle_hashes(text: str | None, k: int, seed: int = 42) -> np.ndarray:
@@ -264,58 +270,97 @@ def prefix_of(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, n
     return own[np.lexsort((own, often))[: len(own) - ceil(similarity * len(own) - 1e-9) + 1]] if len(own) else own
 
 
-def proposals(mixed: DataFrame, similarity: float) -> DataFrame:
-    """Candidates (a, b): of each text the leader that it shares most tokens with, if they are many; from ``mixed`` (uid,
-    label, n, lead: uid, label and n of the token's leader)."""
+def sketch_of(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH bits as signed integers: whether an odd number of the hashes has a bit's place."""
+    counts = np.bincount((hashes & (SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
+def _apart(a: str, b: str) -> Column:
+    """Bits in which two sketches differ."""
+    return sum((F.bit_count(F.get(a, k).bitwiseXOR(F.get(b, k))) for k in range(1, SKETCH // 64)), F.bit_count(F.get(a, 0).bitwiseXOR(F.get(b, 0))))
+
+
+def _may(apart: Column, na: Column, nb: Column, similarity: float) -> Column:
+    return apart <= (1 - similarity) / (1 + similarity) * (na + nb) + 1e-9
+
+
+def sketched(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose sketches allow the similarity, with na, nb (sizes) and apart (bits)."""
+    own = lambda x: nodes.select(F.col("uid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
+    both = pairs.join(own("a"), "a").join(own("b"), "b").withColumn("apart", _apart("bits_a", "bits_b")).drop("bits_a", "bits_b")
+    return both.where(_may(F.col("apart"), F.col("na"), F.col("nb"), similarity))
+
+
+def proposals(mixed: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (a, b): of each text the closest of its tokens' leaders; from ``mixed`` (uid, label, n, lead: uid, label and n
+    of the token's leader)."""
     alike = (F.least("n", "lead.n") >= similarity * F.greatest("n", "lead.n") - 1e-9) & (F.col("label") != F.col("lead.label"))
-    met = mixed.where(alike).groupBy("uid", "n", F.col("lead.uid").alias("leader")).agg(F.count(F.lit(1)).alias("times"))
-    best = met.groupBy("uid", "n").agg(F.max(F.struct("times", (-F.col("leader")).alias("leader"))).alias("best"))
-    return best.where(F.col("best.times") >= LIKELY * (1 - similarity) * F.col("n")).select(F.col("uid").alias("a"), (-F.col("best.leader")).alias("b"))
+    met = mixed.where(alike).groupBy(F.col("uid").alias("a"), F.col("lead.uid").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    close = sketched(met, nodes, similarity).where((F.col("na") <= SKETCH) | (F.col("times") >= LIKELY * (1 - similarity) * F.col("na")))
+    best = close.groupBy("a").agg(F.min(F.struct(F.round(F.col("apart") / (F.col("na") + F.col("nb")), 2).alias("far"), (-F.col("times")).alias("times"), "b")).alias("best"))
+    return best.select("a", "best.b")
 
 
-def all_pairs(mixed: DataFrame, similarity: float, crowd: int) -> DataFrame:
+def all_pairs(mixed: DataFrame, nodes: DataFrame, similarity: float, crowd: int) -> DataFrame:
     """Candidates (a, b): every pair of one token's texts in ``mixed`` (token, uid, label, n, pos, size) whose labels differ
     and that can reach the similarity.
 
     A token of more than ``crowd`` texts is dealt out: its smaller sets into parts, the others to every part, so that all
-    its pairs are still compared, but not in one task.
+    its pairs are still compared, but not in one task.  In a token of more than ``CROWDED`` texts rows carry their sketch and
+    their first tokens: pairs too far apart, and those that an earlier token has met, are left out where they are made.
     """
     both = similarity / (1 + similarity)
-    mixed = cut(mixed.select("token", "uid", "label", "n", "pos", F.ceil(F.col("size") / crowd).cast("int").alias("parts")))
+    mixed = mixed.select("token", "uid", "label", "n", "pos", F.ceil(F.col("size") / crowd).cast("int").alias("parts"), (F.col("size") > CROWDED).alias("crowded"))
+    many = mixed.where("crowded").join(nodes.select("uid", "bits", F.slice("prefix", 1, HEAD).alias("head")), "uid")
+    many = many.withColumn("head", F.slice("head", 1, F.least(F.col("pos"), F.lit(HEAD))))
+    few = mixed.where("not crowded").withColumn("bits", F.lit(None).cast("array<long>")).withColumn("head", F.lit(None).cast("array<long>"))
+    mixed = cut(many.select(*few.columns).unionByName(few))
     # of a pair the smaller set has a shared one among even fewer
     y = mixed.where(F.col("pos") <= F.col("n") - F.ceil(2 * both * F.col("n") - 1e-9)).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
     x, y = mixed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("x"), y.alias("y")
     ordered = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.uid") < F.col("x.uid")))
     left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     able = (F.col("y.n") >= similarity * F.col("x.n") - 1e-9) & (left >= both * (F.col("x.n") + F.col("y.n")) - 1e-9)
-    found = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.label") != F.col("y.label")) & ordered & able)
-    return found.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
+    close = ~F.col("x.crowded") | (_may(_apart("x.bits", "y.bits"), F.col("x.n"), F.col("y.n"), similarity) & ~F.arrays_overlap("x.head", "y.head"))
+    found = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.label") != F.col("y.label")) & ordered & able & close)
+    return sketched(found.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct(), nodes, similarity).select("a", "b")
 
 
-def verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The ``links`` (a, b) of texts whose shingles reach the similarity; ``sets``: uid and hashes h."""
+def verified(links: DataFrame, sets_of, similarity: float) -> DataFrame:
+    """The ``links`` (a, b) of texts whose shingles reach the similarity; ``sets_of``: from a table of uids that of their
+    sets (uid, h)."""
+    links = cut(links)
+    sets = sets_of(links.select(F.explode(F.array("a", "b")).alias("uid")).distinct())
     both = links.join(sets.select(F.col("uid").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("uid").alias("b"), F.col("h").alias("hb")), "b")
     common = F.size(F.array_intersect("ha", "hb"))
     return cut(both.where((common >= similarity * (F.size("ha") + F.size("hb") - common)) & (common > 0)).select("a", "b"))
 
 
-def similar_sets(nodes: DataFrame, sets_of, similarity: float, rounds: int = 2, crowd: int = 2000) -> DataFrame:
-    """Rows (node, root): components of the ``nodes`` (uid, n, prefix) linked by the similarity of their sets.
+def shared_tokens(nodes: DataFrame, common: DataFrame) -> DataFrame:
+    """Rows (token, uid, n, pos) of the ``nodes`` (uid, n, prefix): tokens that more than one has, and a few others.
 
-    ``sets_of``: from a table of uids that of their sets (uid, h), called once with all that share a token.
+    ``common`` (token, parts): the frequent tokens of a sample, a table of bounded size, and to how many parts each is dealt;
+    they are taken as shared.  So no token's rows are all in one group.
     """
-    tokens = nodes.select("uid", F.col("uid").alias("label"), "n", F.posexplode("prefix").alias("pos", "token"))
-    links = sets = labels = None
+    each = nodes.select("uid", "n", F.posexplode("prefix").alias("pos", "token")).join(F.broadcast(common), "token", "left")
+    each = each.withColumn("salt", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("uid"), F.col("parts"))))
+    each = each.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("token", "salt")))
+    return cut(each.where("size > 1 or parts is not null").select("token", "uid", "n", "pos"))
+
+
+def similar_sets(nodes: DataFrame, common: DataFrame, sets_of, similarity: float, rounds: int = 3, crowd: int = 2000) -> DataFrame:
+    """Rows (node, root): components of the ``nodes`` (uid, n, prefix, bits) linked by the similarity of their sets."""
+    shared = shared_tokens(nodes, common)
+    links = labels = None
     for k in range(rounds + 1):
-        if k:
-            tokens = shared.join(labels, shared["uid"] == labels["node"], "left").select("uid", F.coalesce("root", "uid").alias("label"), "n", "pos", "token")
-        each = tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"), F.min(F.struct("uid", "label", "n")).alias("lead"))
+        tokens = shared.withColumn("label", F.col("uid"))
+        if labels is not None:
+            tokens = shared.join(labels, shared["uid"] == labels["node"], "left").select(*shared.columns, F.coalesce("root", "uid").alias("label"))
+        drawn = F.struct(F.xxhash64("uid", "token", F.lit(k)).alias("drawn"), "uid", "label", "n")
+        each = tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"), F.min(drawn).alias("lead"))
         mixed = tokens.join(each.where("low <> high").select("token", "size", "lead"), "token")
-        if k == 0:
-            mixed = cut(mixed)
-            shared = mixed.select("uid", "n", "pos", "token")
-            sets = sets_of(shared.select("uid").distinct())
-        found = verified(proposals(mixed, similarity) if k < rounds else all_pairs(mixed, similarity, crowd), sets, similarity)
+        found = verified(proposals(mixed, nodes, similarity) if k < rounds else all_pairs(mixed, nodes, similarity, crowd), sets_of, similarity)
         links = found if links is None else cut(links.unionByName(found))
         labels = connected_components(links)
     return labels
@@ -329,12 +374,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text.alias("text"))
-    often = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, k))
+    spark = rows.sparkSession
+    sample = common_shingles(rows, k)
+    often = spark.sparkContext.broadcast(sample)
+    hot = sample[1] >= 200  # of 20,000 sampled texts
+    common = spark.createDataFrame(pd.DataFrame({"token": sample[0][hot], "parts": sample[1][hot]}), "token long, parts long")
 
-    @F.pandas_udf("n int, prefix array<long>")
+    @F.pandas_udf("n int, prefix array<long>, bits array<long>")
     def described(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_hashes(t, k) for t in texts]
-        return pd.DataFrame({"n": [len(h) for h in sets], "prefix": [prefix_of(h, similarity, often.value) for h in sets]})
+        return pd.DataFrame({"n": [len(h) for h in sets], "prefix": [prefix_of(h, similarity, often.value) for h in sets], "bits": [sketch_of(h) for h in sets]})
 
     @F.pandas_udf("array<long>")
     def hashes(texts: pd.Series) -> pd.Series:
@@ -348,7 +397,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         wanted = sized(nodes.select("uid", F.col("rep").alias("id"), "same").join(uids, "uid"))
         return cut(rows.select("id", same, "text").join(wanted, ["id", "same"]).dropDuplicates(["uid"]).select("uid", hashes("text").alias("h")))
 
-    roots = similar_sets(nodes.select("uid", "n", "prefix"), sets_of, similarity, **how)
+    roots = similar_sets(nodes.select("uid", "n", "prefix", "bits"), common, sets_of, similarity, **how)
     grouped = cut(nodes.select("same", "rep", "last", "uid").join(roots, nodes["uid"] == roots["node"], "left").where("root is not null or rep <> last").select("same", "rep", F.coalesce("root", "uid").alias("root")))
     least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
     # equal texts may be many: each is one of a few rows to which its copies are dealt
