@@ -184,7 +184,8 @@ def test_crowds_are_dealt_out(spark):
     prefixes = [simhash.prefix_of(np.array(h), 0.8, (np.arange(80), np.full(80, 60))).tolist() for h in sets]
     size = collections.Counter(t for x in prefixes for t in x)
     mixed = spark.createDataFrame([(t, i, i, len(sets[i]), pos, size[t]) for i, x in enumerate(prefixes) for pos, t in enumerate(x)], "token long, uid long, label long, n int, pos int, size long")
-    whole, dealt = ({frozenset(r) for r in simhash.all_pairs(mixed, 0.8, crowd).collect()} for crowd in (1000, 7))
+    nodes = spark.createDataFrame([(i, len(h), prefixes[i], simhash.sketch_of(np.array(h)).tolist()) for i, h in enumerate(sets)], "uid long, n int, prefix array<long>, bits array<long>")
+    whole, dealt = ({frozenset(r) for r in simhash.all_pairs(mixed, nodes, 0.8, crowd).collect()} for crowd in (1000, 7))
     want = {frozenset((i, j)) for i in range(60) for j in range(i) if len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})}
     assert whole == dealt and want <= whole and want
 
@@ -227,6 +228,13 @@ def test_components(spark):
     assert connected_components(links.limit(0)).count() == 0
 
 
+def test_components_of_a_long_chain(spark):
+    """Many rounds, in which the optimizer's estimate of the size would grow beyond all bounds."""
+    links = spark.range(3000).selectExpr("(id * 7919) % 3001 a", "((id + 1) * 7919) % 3001 b")
+    got = connected_components(links)
+    assert got.where("root = 0").count() == got.count() == 3001
+
+
 # --- 2 language -------------------------------------------------------------------------------------------------------
 def test_language(spark, docs, odd):
     model = langid.train(docs)
