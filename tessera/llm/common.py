@@ -33,6 +33,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, name: str) -> bool:
+    """Whether there is a file or folder of that name, in any store that Spark can write to."""
+    store, path = _path(spark, name)
+    return store.exists(path)
+
+
+def remove(spark: SparkSession, name: str) -> None:
+    """Deletes a folder in any store that Spark can write to."""
+    store, path = _path(spark, name)
+    store.delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed once and kept in the shared checkpoint folder.
 
@@ -48,6 +65,32 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), kept._jdf.schema(), False), spark)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a column expression that is worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(values: Column, combine) -> Column:
+    """The running combination of an array: each element is combined with what stands before it.
+
+    ``combine(x, y)``: x with the combination y of earlier elements, null if there is none; must be associative.  An
+    aggregate that appends to an array copies it at each of its n elements; so long arrays are cut into pieces of about the
+    square root of n, combined each and then with what stands before the piece.
+    """
+
+    def piece(a: Column) -> Column:
+        return F.aggregate(a, F.slice(a, 1, 0), lambda done, x: F.concat(done, F.array(combine(x, F.get(done, F.size(done) - 1)))))
+
+    def pieces(a: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(a))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / size).cast("int") - 1), lambda i: piece(F.slice(a, i * size + 1, size)))
+
+    def joined(parts: Column) -> Column:
+        return let(piece(F.transform(parts, lambda p: F.element_at(p, -1))), lambda totals: F.flatten(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.transform(p, lambda x: combine(x, F.get(totals, i - 1)))))))
+
+    return let(values, lambda a: F.when(F.size(a) <= 32, piece(a)).otherwise(let(pieces(a), joined)))
+
+
 def checksum(df: DataFrame, *cols: str) -> tuple:
     """Count and order-free checksum of rows."""
     mixed = F.xxhash64(*cols)

@@ -1,8 +1,8 @@
 """Secret scan with corpus-wide ownership frequency; DataFrame functions only.
 
 Candidates are found with regular expressions in whole texts.  Their values are hashed and counted over the whole corpus by
-distinct repositories and distinct owners: a value that several owners have is a widely copied example, one that belongs to
-a single owner and looks random is taken for live.  Base kinds are always reported; a bare token (``OWNED``) is reported
+distinct repositories and distinct owners: a value that several owners or many repositories have is a widely copied example,
+one that belongs to a single owner, stands in few repositories and looks random is taken for live.  Base kinds are always reported; a bare token (``OWNED``) is reported
 only if it is owner-specific and live-looking, which no single document can tell.
 
 Only documents with a candidate take part in the joins, and values are counted in three steps, each with a partial
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, sized, table
+from tessera.llm.common import cut, fresh, let, running, sized, table
 
 #: Base kinds, in order: pattern, and the least length of what the match (or its value) must have.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -37,16 +37,10 @@ def spans_of(text: Column, pattern: str, kind: str) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    step = F.aggregate(
-        F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("end"), x["m"].alias("value")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), step).otherwise(F.array().cast(f"array<{SPAN}>"))
+    steps = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, gap: F.struct((F.length(gap) + F.length(m)).alias("end"), m.alias("value")))
+    placed = running(steps, lambda x, y: F.struct((x["end"] + F.coalesce(y["end"], F.lit(0))).alias("end"), x["value"].alias("value")))
+    spans = F.transform(placed, lambda s: F.struct(F.lit(kind).alias("kind"), (s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def base_spans(text: Column) -> Column:
@@ -62,9 +56,15 @@ def _mixed(value: Column) -> Column:
 
 
 def extra_spans(text: Column, base: Column) -> Column:
-    """Candidates of the method's own kinds that no base span overlaps."""
+    """Candidates of the method's own kinds that no base span overlaps.
+
+    Base spans come at their starts, candidates at their ends; the greatest end so far tells whether one reaches into them.
+    """
     own = F.concat(spans_of(text, KEYBLOCK, "keyblock"), F.filter(spans_of(text, OWNED, "owned"), lambda s: _mixed(s["value"])))
-    return F.filter(own, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    event = lambda at, side, reach, s: F.struct(at.alias("at"), F.lit(side).alias("side"), reach.alias("reach"), s.alias("span"))
+    events = F.concat(F.transform(base, lambda b: event(b["start"], 1, b["end"], b)), F.transform(own, lambda s: event(s["end"], 0, F.lit(-1), s)))
+    swept = running(F.array_sort(events), lambda x, y: F.struct(x["at"].alias("at"), x["side"].alias("side"), F.greatest(x["reach"], F.coalesce(y["reach"], F.lit(-1))).alias("reach"), x["span"].alias("span")))
+    return F.transform(F.filter(swept, lambda e: (e["side"] == 0) & (e["reach"] <= e["span"]["start"])), lambda e: e["span"])
 
 
 def joined(spans: Column) -> Column:
@@ -92,27 +92,30 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("value").agg(F.sum("repos").alias("repos"), F.count(F.lit(1)).alias("owners"))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = 1) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = 1, max_repos: int = 20) -> DataFrame:
     """Rows (id, th, spans) of the documents with a reported span.
 
-    spans: array of (kind, start, end, value, repos, owners, verdict), verdict ``live`` (at most ``max_owners`` owners and
-    random-looking), ``example`` (more owners) or ``weak``.  Null and empty texts have no span.  Equal rows (id and text)
-    give one row.  A null owner counts as one owner.
+    spans: array of (kind, start, end, value, repos, owners, verdict), verdict ``example`` (more than ``max_owners`` owners or
+    ``max_repos`` repositories), else ``live`` (random-looking, or a key block) or ``weak``.  Null and empty texts have no
+    span.  Equal rows (id and text) give one row.  A null owner or repository counts as one.
     """
     found = cut(candidates(docs, id_col, text_col, repo_col, owner_col))
     shared = ownership(found)
     each = found.dropDuplicates(["id", "th"]).select("id", "th", F.explode("spans").alias("s")).withColumn("value", F.sha2("s.value", 256))
-    verdict = F.when(F.col("owners") > max_owners, "example").when(_mixed(F.col("s.value")) | (F.col("s.kind") == "keyblock"), "live").otherwise("weak")
+    example = (F.col("owners") > max_owners) | (F.col("repos") > max_repos)
+    verdict = F.when(example, "example").when(_mixed(F.col("s.value")) | (F.col("s.kind") == "keyblock"), "live").otherwise("weak")
     judged = each.join(shared, "value").select("id", "th", F.struct("s.kind", "s.start", "s.end", "s.value", "repos", "owners", verdict.alias("verdict")).alias("s"))
     judged = judged.where((F.col("s.kind") != "owned") | (F.col("s.verdict") == "live"))
     return judged.groupBy("id", "th").agg(F.collect_list("s").alias("spans"))
 
 
-def with_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "__spans", **how) -> DataFrame:
-    """``docs`` with a column of spans, null where there are none."""
-    rows = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    found = sized(find_secrets(docs, id_col, text_col, **how).select(F.col("id").alias("__id"), F.col("th").alias("__th2"), F.col("spans").alias(spans_col)))
-    return rows.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__th2")), "left").drop("__id", "__th", "__th2")
+def with_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "secret_spans", **how) -> DataFrame:
+    """``docs`` with a column of spans, null where there are none; a column of that name is replaced, others stay."""
+    docs = docs.drop(spans_col)
+    key, found_id, found_key = (fresh(c, docs) for c in ("_hash", "_found_id", "_found_hash"))
+    rows = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    found = sized(find_secrets(docs, id_col, text_col, **how).select(F.col("id").alias(found_id), F.col("th").alias(found_key), F.col("spans").alias(spans_col)))
+    return rows.join(found, F.col(id_col).eqNullSafe(F.col(found_id)) & (F.col(key) == F.col(found_key)), "left").drop(found_id, key, found_key)
 
 
 def _number(kind: str) -> Column:
@@ -140,20 +143,18 @@ def op4_secrets(spark, sf_dir: str) -> DataFrame:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", verdicts: tuple[str, ...] = ("live", "weak", "example"), **how) -> DataFrame:
-    """``docs`` with each reported span of these verdicts replaced by ``[kind]``; other columns and rows stay as they are."""
-    rows = with_secrets(docs, id_col, text_col, **how)
-    spans = F.array_sort(F.transform(F.filter("__spans", lambda s: s["verdict"].isin(*verdicts)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    """``docs`` with each reported span of these verdicts replaced by ``[kind]``; other columns, whatever their names, and
+    rows stay as they are.  Of spans that overlap the first has its name there.  A null text stays null."""
+    name = fresh("secret_spans", docs)
+    rows = with_secrets(docs, id_col, text_col, spans_col=name, **how)
     text = F.col(text_col)
-    step = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(
-            s["end"] > acc["at"],
-            F.struct(
-                s["end"].alias("at"),
-                F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))).alias("out"),
-            ),
-        ).otherwise(acc),
-        lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))),
-    )
-    return rows.withColumn(text_col, F.when(F.size("__spans") > 0, step).otherwise(text)).select(*docs.columns)
+    chosen = F.transform(F.filter(name, lambda s: s["verdict"].isin(*verdicts)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["end"].alias("reach")))
+    swept = running(F.array_sort(chosen), lambda x, y: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.greatest(x["reach"], F.coalesce(y["reach"], F.lit(0))).alias("reach")))
+
+    def changed(spans: Column) -> Column:
+        # what stands before a span begins where those before it have reached to
+        at = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["reach"]))
+        pieces = F.zip_with(spans, F.slice(at, 1, F.size(spans)), lambda s, a: F.when(s["start"] >= a, F.concat(text.substr(a + 1, s["start"] - a), F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit("")))
+        return F.concat(F.array_join(pieces, ""), text.substr(F.element_at(at, -1) + 1, F.length(text)))
+
+    return rows.withColumn(text_col, F.when(F.size(name) > 0, let(swept, changed)).otherwise(text)).select(*docs.columns)
