@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import cut, fresh, sized, table
 
 LEVELS = ("domain", "lang", "source")
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -61,14 +61,15 @@ def _position(seed: int, epoch: Column) -> Column:
 
 
 def select_mix(docs: DataFrame, total: int | None = None, share: float = 0.5, weights: dict[str, dict[str, float]] | None = None, max_epochs: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", domain: Column | None = None, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Rows (id, domain, lang, source, n_tokens, epochs, budget) of the documents that the mix takes, epochs times each.
+    """Rows (id, th, domain, lang, source, n_tokens, epochs, budget) of the documents that the mix takes, epochs times each;
+    th: hash of the text.
 
     ``total``: tokens to take; if None, ``share`` of all tokens.  Null languages, sources and domains are "" leaves of their
     own.  Texts without tokens are never taken.  Repeated rows are documents of their own; those of one id stand together.
     """
     domain = F.lit("all") if domain is None else domain
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    rows = cut(docs.select(F.col(id_col).alias("id"), text(domain).alias("domain"), text(F.col(lang_col)).alias("lang"), text(F.col(source_col)).alias("source"), n_tokens(F.col(text_col)).alias("n_tokens")))
+    rows = cut(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), text(domain).alias("domain"), text(F.col(lang_col)).alias("lang"), text(F.col(source_col)).alias("source"), n_tokens(F.col(text_col)).alias("n_tokens")))
     supply = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
     if total is None:
         total = int((rows.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0) * share)
@@ -84,7 +85,7 @@ def select_mix(docs: DataFrame, total: int | None = None, share: float = 0.5, we
     inside = Window.partitionBy(*LEVELS, "range").orderBy("at", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     summed = joined.withColumn("sum", F.col("before") + F.sum("n_tokens").over(inside))
     taken = summed.withColumn("epochs", F.col("full") + (F.col("sum") <= F.col("rest")).cast("long")).where("epochs > 0")
-    return taken.select("id", *LEVELS, "n_tokens", F.col("epochs").cast("long").alias("epochs"), "budget")
+    return taken.select("id", "th", *LEVELS, "n_tokens", F.col("epochs").cast("long").alias("epochs"), "budget")
 
 
 #: Target weights of the query and of the pipeline: shares of three domains, English and German favoured.
@@ -102,8 +103,27 @@ def domain_of(source: str = "source") -> Column:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
+    """The documents of the mix, without their texts."""
     found = select_mix(docs, share=SHARE, weights=WEIGHTS, max_epochs=MAX_EPOCHS, seed=SEED, domain=domain_of())
-    return found.withColumnRenamed("id", "doc_id")
+    return found.withColumnRenamed("id", "doc_id").drop("th")
+
+
+def mix_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, whole, with mix_domain, mix_tokens, mix_epochs (how often each is taken) and
+    mix_budget (of its leaf) beside their own columns; columns of these names are replaced.
+
+    Rows that are equal in id, text and leaf are taken alike, by the fewest epochs of any.  An empty table gives no rows.
+    """
+    added = {"domain": "mix_domain", "n_tokens": "mix_tokens", "epochs": "mix_epochs", "budget": "mix_budget"}
+    docs = docs.drop(*added.values())
+    how = {"share": SHARE, "weights": WEIGHTS, "max_epochs": MAX_EPOCHS, "seed": SEED, "domain": domain_of()} | how
+    keys = {c: fresh(f"_{c}", docs) for c in ("id", "th", "lang", "source")}
+    taken = select_mix(docs, id_col=id_col, text_col=text_col, **how).groupBy("id", "th", *LEVELS, "n_tokens", "budget").agg(F.min("epochs").alias("epochs"))
+    taken = sized(taken.select(*[F.col(c).alias(n) for c, n in (keys | added).items()]))
+    own = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    same = F.col(id_col).eqNullSafe(F.col(keys["id"])) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(keys["th"]))
+    same = same & (own(how.get("lang_col", "lang")) == F.col(keys["lang"])) & (own(how.get("source_col", "source")) == F.col(keys["source"]))
+    return docs.join(taken, same).select(*docs.columns, *added.values())
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
