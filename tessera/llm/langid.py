@@ -303,7 +303,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``language``: struct of lang, score and rejected.  A text without a letter is ``und``, 0, true."""
+    """``docs`` with a column ``language``: struct of lang, score and rejected.  A text without a letter is ``und``, 0, true.
+
+    A column of that name is replaced, others stay; repeated rows have one result; ties go to the first language.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double, rejected boolean")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import FOLDS, fold, lowest_hashes, table
+from tessera.llm.common import FOLDS, fold, fresh, lowest_hashes, table
 
 #: Seed lexicon: common insults (English, German, French, Spanish).
 INSULTS = frozenset(
@@ -179,8 +179,8 @@ class Model:
         return np.interp(margin, *self.steps) if len(self.steps[0]) else 1 / (1 + np.exp(-margin))
 
 
-def learn_lexicon(texts: list[str], y: np.ndarray, odds: float = 2.0, size: int = 500, chance: float = 0.5) -> dict[str, float]:
-    """Words that toxic documents have far more often than others: word to log odds, at most ``size`` of them.
+def learn_lexicon(texts: list[str], y: np.ndarray, odds: float = 2.0, chance: float = 0.5) -> dict[str, float]:
+    """Words that toxic documents have far more often than others: word to log odds.
 
     A word is taken if the bound on the probability that it stands in so many toxic documents by chance, times the number of
     words tried, is at most ``chance``.
@@ -201,8 +201,7 @@ def learn_lexicon(texts: list[str], y: np.ndarray, odds: float = 2.0, size: int
         weight = float(np.log((p + 0.5) / (toxic + 1)) - np.log((q + 0.5) / (clean + 1)))
         if bound + np.log(len(tried)) <= np.log(chance) and weight >= odds and p >= 3 * q:
             found[w] = weight
-    best = sorted(found, key=lambda w: (-found[w] * counts[w][1], w))
-    return {w: found[w] for w in best[:size]}
+    return found
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 42) -> Model:
@@ -244,7 +243,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000,
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with the calibrated probability of being toxic; null and empty texts are scored like a text without words."""
+    """``docs`` with the calibrated probability of being toxic; null and empty texts are scored like a text without words.
+
+    A column of the name ``score_col`` is replaced, others stay.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -263,9 +265,13 @@ def op10_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``; the model is learned from the labelled ones outside fold 0."""
+    """The rows of ``docs`` that score below ``threshold``; the model is learned from the labelled ones outside fold 0.
+
+    Columns stay as they are, whatever their names; repeated rows stay or go together; without labels no row scores above 0.
+    """
     model = fit(*labelled_sample(docs, labels, id_col=id_col, text_col=text_col))
-    return with_score(docs, model, text_col, "_toxic").where(F.col("_toxic") < threshold).select(*docs.columns)
+    name = fresh("_toxic", docs)
+    return with_score(docs, model, text_col, name).where(F.col(name) < threshold).select(*docs.columns)
 
 
 __all__ = ["FOLDS", "Model", "features", "fit", "labelled_sample", "op10_toxicity", "remove_toxic", "with_score"]
