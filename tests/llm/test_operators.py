@@ -331,6 +331,39 @@ def test_ownership(spark):
     assert got == {10: [("owned", "live", 1)], 11: [("owned", "live", 1)], 12: [("assign", "live", 1)]}
 
 
+def test_repositories_and_owners_decide(spark):
+    """A value of one owner in many repositories is an example, as is one of several owners in few."""
+    many, few, two = "aB3" + "xY7q" * 6, "cD4" + "zW8r" * 6, "eF5" + "vU9s" * 6
+    rows = [(k, f"token = {many}", "s0") for k in range(25)] + [(100 + k, f"token = {few}", "s1") for k in range(3)] + [(200 + k, f"token = {two}", f"s{k}") for k in range(2)]
+    got = {r["id"]: {s["verdict"] for s in r["spans"]} for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {k: {"example"} for k in range(25)} | {100 + k: {"live"} for k in range(3)} | {200: {"example"}, 201: {"example"}}
+
+
+def brute_redact(text, spans):
+    out, at = "", 0
+    for start, end, kind in sorted(spans):
+        if end > at:
+            out, at = out + (text[at:start] + f"[{kind}]" if start >= at else ""), end
+    return out + text[at:]
+
+
+def test_many_spans_against_brute_force(spark):
+    """A text of thousands of candidates that touch, overlap and repeat: the added spans and the redaction are those of plain loops."""
+    rng = np.random.default_rng(5)
+    parts = ["token=abcdef1", "AKIA" + "Z" * 17, "0f" * 13, "Ab1" + "cD2e" * 6, "xY9_zz-" * 4, "-----BEGIN RSA PRIVATE KEY-----", "plain", "passwd: 'AKIA" + "Q7" * 9 + "'", "secret=" + "ab12" * 8]
+    texts = [(1, " ".join(parts[k] for k in rng.integers(len(parts), size=3000))), (2, "".join(parts[k] + ("", " ", "\n")[j] for k, j in zip(rng.integers(len(parts), size=400), rng.integers(3, size=400), strict=True)))]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in texts], "doc_id long, text string, source string")
+    got = {r["id"]: r["spans"] for r in secrets.find_secrets(docs, max_repos=10**6).collect()}
+    red = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    for i, t in texts:
+        base = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in brute_spans(t))]
+        own = [(m.start(), m.end(), "keyblock") for m in re.finditer(secrets.KEYBLOCK, t)]
+        own += [(m.start(), m.end(), "owned") for m in re.finditer(secrets.OWNED, t) if sum(c.isdigit() for c in m[0]) >= 4 and sum(c.isalpha() for c in m[0]) >= 4 and not re.search(r"([A-Za-z0-9])\1\1\1", m[0])]
+        want = base + [s for s in own if not any(b[0] < s[1] and s[0] < b[1] for b in base)]
+        assert sorted((s["start"], s["end"], s["kind"]) for s in got[i]) == sorted(want)
+        assert red[i] == brute_redact(t, want)
+
+
 def test_redact(odd):
     got = secrets.redact(odd)
     assert got.columns == odd.columns and got.count() == len(ROWS)
@@ -592,8 +625,42 @@ def test_licenses(spark, tmp_path, docs, odd):
     assert labels == ["apache", "apache", "cc-by,cc-by-nc,mit", "lgpl", "gpl", "bsd"]
 
 
+def test_license_texts(spark):
+    """Notices, text bodies and bare identifiers by the sentences that only they have."""
+    texts = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "boost": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation",
+        "bsd-3-clause": "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software",
+        "gpl-3+": "either version 3 of the License, or (at your option) any later version.",
+        "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "unlicense": "This is free and unencumbered software released into the public domain.",
+        "json": "The Software shall be used for Good, not Evil.",
+        "gpl": "it was released under GPLv3 last year",
+        "apache": "we take Apache 2.0 for all",
+        "bsd": "a BSD-2-Clause thing",
+        "": "nothing is said of any of this here",
+    }
+    rows = spark.createDataFrame([(k, t) for k, t in texts.items()], "name string, text string")
+    for r in licenses.scan_licenses(rows).collect():
+        labels = {d["label"] for d in r["found"]}
+        assert r["name"] in labels if r["name"] else not labels
+
+
+def test_standing_against_all_pairs(spark, docs):
+    """What stands among thousands of detections, nested, equal and apart, is what a comparison of all pairs leaves."""
+    rng = np.random.default_rng(6)
+    sets = [[(int(a), int(a + w), int(p)) for a, w, p in zip(rng.integers(span, size=n), rng.integers(1, 9, size=n), rng.integers(40, size=n), strict=True)] for n, span in ((2000, 9000), (300, 40), (1, 5), (0, 5))]
+    rows = spark.createDataFrame([([(a, b, p, f"l{p}", 0.5) for a, b, p in x],) for x in sets], "found array<struct<start:int,end:int,priority:int,label:string,confidence:double>>")
+    got = [sorted((d["start"], d["end"], d["priority"]) for d in r[0]) for r in rows.select(licenses.standing(F.col("found"))).collect()]
+    assert got == [sorted(d for d in x if not any(e[0] <= d[0] and e[1] >= d[1] and e[2] < d[2] for e in x)) for x in sets]
+
+
 def test_rules():
     found = licenses.rules()
+    for _, word, pattern, _, _ in found:
+        plain = f" {pattern.replace('licen[sc]e', 'license').replace('?cc', '? cc')} "
+        assert any(g in plain for g in licenses.GATES) and word in plain
+    assert len(licenses.SIGNATURES) > 140 and len({p for _, _, p, _ in licenses.SIGNATURES}) == len(licenses.SIGNATURES)
     assert len(found) > 200 and [r[0] for r in found] == list(range(len(found)))
     for _, word, pattern, _, confidence in found:
         assert re.compile(pattern) and word and 0 < confidence <= 1
