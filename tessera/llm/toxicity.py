@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,29 +180,48 @@ class Model:
         return np.interp(margin, *self.steps) if len(self.steps[0]) else 1 / (1 + np.exp(-margin))
 
 
-def learn_lexicon(texts: list[str], y: np.ndarray, odds: float = 2.0, chance: float = 0.5) -> dict[str, float]:
-    """Words that toxic documents have far more often than others: word to log odds.
+def word_hashes(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the text's words."""
+    kinds = set(words_of(text))
+    return np.sort(np.fromiter((xxhash.xxh64_intdigest(w) for w in kinds), dtype=np.uint64, count=len(kinds)))
+
+
+def learn_lexicon(hashed: list[np.ndarray], y: np.ndarray, odds: float = 2.0, chance: float = 0.5) -> dict[int, float]:
+    """Words that toxic documents have far more often than others: hash to log odds, from the ``word_hashes`` of documents.
 
     A word is taken if the bound on the probability that it stands in so many toxic documents by chance, times the number of
-    words tried, is at most ``chance``.
+    words tried (those of a toxic document that stand in three documents or more), is at most ``chance``.
     """
-    counts: dict[str, list[int]] = {}
-    for text, label in zip(texts, y, strict=True):
-        for w in set(words_of(text)):
-            counts.setdefault(w, [0, 0])[int(label)] += 1
+    if not y.any():
+        return {}
+    words = np.unique(np.concatenate([h for h, label in zip(hashed, y, strict=True) if label]))
+    p, total = np.zeros(len(words)), np.zeros(len(words))
+    for own, label in zip(hashed, y, strict=True):
+        at = np.searchsorted(words, own)
+        at = at[(at < len(words)) & (words[np.minimum(at, max(len(words) - 1, 0))] == own)] if len(words) else at[:0]
+        total[at] += 1
+        p[at] += label
+    q = total - p
     toxic, clean = max(y.sum(), 1), max((1 - y).sum(), 1)
     rate = toxic / (toxic + clean)
-    tried = {w: c for w, c in counts.items() if sum(c) >= 3}
-    found = {}
-    for w, (q, p) in tried.items():
-        share = p / (p + q)
-        if share <= rate:
-            continue
-        bound = -(p + q) * (share * np.log(share / rate) + ((1 - share) * np.log((1 - share) / (1 - rate)) if share < 1 else 0.0))
-        weight = float(np.log((p + 0.5) / (toxic + 1)) - np.log((q + 0.5) / (clean + 1)))
-        if bound + np.log(len(tried)) <= np.log(chance) and weight >= odds and p >= 3 * q:
-            found[w] = weight
-    return found
+    tried = p + q >= 3
+    words, p, q = words[tried], p[tried], q[tried]
+    share = p / (p + q)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        bound = -(p + q) * (share * np.log(share / rate) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - rate)), 0.0))
+    weight = np.log((p + 0.5) / (toxic + 1)) - np.log((q + 0.5) / (clean + 1))
+    found = (share > rate) & (bound + np.log(max(len(words), 1)) <= np.log(chance)) & (weight >= odds) & (p >= 3 * q)
+    return dict(zip(words[found].tolist(), weight[found].tolist(), strict=True))
+
+
+def _named(texts: list[str], hashed: list[np.ndarray], wanted: set[int]) -> dict[int, str]:
+    """The words of these hashes."""
+    names: dict[int, str] = {}
+    ordered = np.array(sorted(wanted), dtype=np.uint64)
+    for text, own in zip(texts, hashed, strict=True):
+        if len(names) < len(wanted) and np.isin(ordered, own).any():
+            names |= {h: w for w in set(words_of(text)) if (h := xxhash.xxh64_intdigest(w)) in wanted}
+    return names
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 42) -> Model:
@@ -215,16 +235,20 @@ def fit(texts: list[str], labels: list[int], seed: int = 42) -> Model:
         flat = float(y.mean()) if len(y) else 0.0
         return Model({}, Trees(np.full((0, 15), -1), np.zeros((0, 15)), np.zeros((0, 15))), (np.array([0.0]), np.array([flat])))
     part = np.random.default_rng(seed).permutation(len(y)) % 5
-    pick = lambda keep: ([t for t, k in zip(texts, keep, strict=True) if k], y[keep])
+    hashed = [word_hashes(t) for t in texts]
+    found = [learn_lexicon([h for h, k in zip(hashed, part, strict=True) if k != fold_], y[part != fold_]) for fold_ in range(5)]
+    whole = learn_lexicon(hashed, y)
+    names = _named(texts, hashed, set().union(whole, *found))
+    spelled = lambda lexicon: {names[h]: w for h, w in lexicon.items()}
     x = np.zeros((len(y), len(FEATURES)))
     for k in range(5):
-        learned = learn_lexicon(*pick(part != k))
+        learned = spelled(found[k])
         for i in np.nonzero(part == k)[0]:
             x[i] = features(texts[i], learned)
     margin = np.zeros(len(y))
     for k in range(5):
         margin[part == k] = fit_trees(x[part != k], y[part != k]).margin(x[part == k])
-    return Model(learn_lexicon(texts, y), fit_trees(x, y), fit_isotonic(margin, y))
+    return Model(spelled(whole), fit_trees(x, y), fit_isotonic(margin, y))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
