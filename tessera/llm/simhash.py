@@ -349,7 +349,7 @@ def shared_tokens(nodes: DataFrame, common: DataFrame) -> DataFrame:
     return cut(each.where("size > 1 or parts is not null").select("token", "uid", "n", "pos"))
 
 
-def similar_sets(nodes: DataFrame, common: DataFrame, sets_of, similarity: float, rounds: int = 3, crowd: int = 2000) -> DataFrame:
+def similar_sets(nodes: DataFrame, common: DataFrame, sets_of, similarity: float, rounds: int = 2, crowd: int = 2000) -> DataFrame:
     """Rows (node, root): components of the ``nodes`` (uid, n, prefix, bits) linked by the similarity of their sets."""
     shared = shared_tokens(nodes, common)
     links = labels = None
@@ -382,8 +382,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     @F.pandas_udf("n int, prefix array<long>, bits array<long>")
     def described(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_hashes(t, k) for t in texts]
-        return pd.DataFrame({"n": [len(h) for h in sets], "prefix": [prefix_of(h, similarity, often.value) for h in sets], "bits": [sketch_of(h) for h in sets]})
+        found = []  # a text's hashes are many: none are held longer than it takes
+        for t in texts:
+            own = shingle_hashes(t, k)
+            found.append((len(own), prefix_of(own, similarity, often.value), sketch_of(own)))
+        return pd.DataFrame(found, columns=["n", "prefix", "bits"])
 
     @F.pandas_udf("array<long>")
     def hashes(texts: pd.Series) -> pd.Series:
