@@ -12,12 +12,15 @@ import math
 import re
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as FutureTimeout
 from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from tessera.errors import ModelError
 
@@ -166,6 +169,28 @@ def embed(text: Column, embedder: Embedder) -> Column:
     return run(text)
 
 
+@dataclass
+class TimedModel:
+    """A model with limits of its own for every call: tokens, temperature, and seconds, after which the call has failed.
+
+    A call that is late is left running in its thread; its answer is dropped.
+    """
+
+    model: LanguageModel
+    max_tokens: int = MAX_TOKENS
+    temperature: float = TEMPERATURE
+    seconds: float = CALL_SECONDS
+
+    def call(self, messages: list[dict[str, str]], max_tokens: int | None = None, temperature: float | None = None) -> str:
+        pool = ThreadPoolExecutor(1)
+        try:
+            return pool.submit(self.model.call, messages, self.max_tokens, self.temperature).result(self.seconds)
+        except FutureTimeout as e:
+            raise ModelError(f"no answer within {self.seconds} seconds") from e
+        finally:
+            pool.shutdown(wait=False)
+
+
 def ask(prompt: Column, model: LanguageModel, system: str | None = None) -> Column:
     """struct(ok, text, error): a model's answers to a prompt column (E2); null prompts aren't asked."""
 
@@ -190,21 +215,22 @@ def breaker_decisions(events: DataFrame, key: str, order: list[str], at: str, ou
     """Whether each call of a key was allowed, given the calls before it (X5), with the state before it.
 
     ``outcome``: ``fail``, ``success`` or ``allow`` (a question that changes nothing); ``at``: seconds.  A refused call changes
-    nothing either.  A key's calls are folded in one row: keys are providers, whose logs are cut by time beforehand.
+    nothing either.  A key's calls are read in order, batch by batch, with the breaker's three numbers as the only state.
     """
-    listed = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(at).cast("double").alias("at"), F.col(outcome).alias("outcome")))).alias("calls"))
-    shape = "struct<open:boolean,n:int,last:double,out:array<struct<allowed:boolean,open:boolean,n:int>>>"
-    zero = F.struct(F.lit(False).alias("open"), F.lit(0).alias("n"), F.lit(None).cast("double").alias("last"), F.array().cast("array<struct<allowed:boolean,open:boolean,n:int>>").alias("out")).cast(shape)
-
-    def step(acc: Column, c: Column) -> Column:
-        allowed = ~acc["open"] | F.coalesce(c["at"] - acc["last"] >= timeout, F.lit(False))
-        out = F.concat(acc["out"], F.array(F.struct(allowed.alias("allowed"), acc["open"].alias("open"), acc["n"].alias("n"))))
-        n = acc["n"] + 1
-        failed = F.struct((acc["open"] | (n >= threshold)).alias("open"), n.alias("n"), F.when(n >= threshold, c["at"]).otherwise(acc["last"]).alias("last"), out.alias("out")).cast(shape)
-        worked = F.struct(F.lit(False).alias("open"), F.lit(0).alias("n"), F.lit(None).cast("double").alias("last"), out.alias("out")).cast(shape)
-        same = F.struct(acc["open"].alias("open"), acc["n"].alias("n"), acc["last"].alias("last"), out.alias("out")).cast(shape)
-        return F.when(~allowed | (c["outcome"] == "allow"), same).when(c["outcome"] == "fail", failed).otherwise(worked)
-
-    folded = listed.select(key, "calls", F.aggregate("calls", zero, step, lambda acc: acc["out"]).alias("out"))
-    rows = folded.select(key, F.explode(F.arrays_zip("calls", "out")).alias("x"))
-    return rows.select(key, *[F.col(f"x.calls.{o}").alias(o) for o in order], F.col("x.calls.outcome").alias("outcome"), "x.out.allowed", "x.out.open", F.col("x.out.n").alias("failures"))
+    kept = events.select(key, *order, F.col(outcome).alias("outcome"), F.col(at).cast("double").alias("_at"))
+    shape = StructType([*kept.drop("_at").schema.fields, StructField("allowed", BooleanType()), StructField("open", BooleanType()), StructField("failures", IntegerType())])
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last, breaker = [0.0], None, None
+        for batch in batches:
+            allowed, opened, failures = [], [], []
+            for k, t, what in zip(batch[key], batch["_at"], batch["outcome"], strict=True):
+                if breaker is None or k != last:
+                    last, breaker = k, CircuitBreaker(threshold, timeout, lambda: now[0])
+                now[0] = t
+                allowed.append(breaker.allow()), opened.append(breaker.opened), failures.append(breaker.failures)
+                if allowed[-1] and what != "allow":
+                    breaker.failure() if what == "fail" else breaker.success()
+            yield batch.drop(columns="_at").assign(allowed=allowed, open=opened, failures=failures)
+
+    return kept.repartition(key).sortWithinPartitions(key, *order).mapInPandas(fold, shape)

@@ -6,6 +6,8 @@ unless a function says otherwise.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,15 @@ def find_all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def find_groups(text: Column, pattern: str) -> Column:
+    """All matches of a pattern with several groups, each as the array of its groups (X6); a group that took no part is ""."""
+    groups = re.compile(pattern).groups
+    if groups < 2:
+        raise ValueError("find_all is for patterns with fewer than two groups")
+    each = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)).alias(f"g{k}") for k in range(1, groups + 1)]
+    return F.transform(F.arrays_zip(*each), lambda x: F.array(*[F.coalesce(x[f"g{k}"], F.lit("")) for k in range(1, groups + 1)]))
+
+
 def first_or_null(array: Column) -> Column:
     return F.try_element_at(array, F.lit(1))
 

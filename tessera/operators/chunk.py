@@ -141,9 +141,9 @@ def markers_of_reply(reply: Column) -> Column:
 def chunk_documents(docs: DataFrame, paragraphs: DataFrame | None = None) -> DataFrame:
     """Chunks of documents (doc_id, ext, content) by extension (P1); Word documents come as their paragraphs.
 
-    Other extensions raise an error when the rows are read; a null one does too.
+    Other extensions raise an error when the rows are read; a null one and a Word document without ``paragraphs`` do too.
     """
-    known = F.coalesce(F.col("ext").isin(*EXTENSIONS), F.lit(False))
+    known = F.coalesce(F.col("ext").isin(*(EXTENSIONS if paragraphs is not None else [e for e in EXTENSIONS if e != ".docx"])), F.lit(False))
     docs = docs.withColumn("ext", F.when(known, F.col("ext")).otherwise(F.raise_error(F.concat(F.lit("unsupported extension: "), F.coalesce("ext", F.lit("null")))).cast("string")))
     found = chunk_tex(docs.where(F.col("ext").isin(".tex", ".txt"))).unionByName(chunk_markdown(docs.where("ext = '.md'")))
     return found.unionByName(chunk_paragraph_table(paragraphs)) if paragraphs is not None else found

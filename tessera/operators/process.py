@@ -49,6 +49,14 @@ def process_tree(nodes: DataFrame, model: LanguageModel, context: str = CONTEXT,
     return (done if done is not None else rows.withColumn("processed_content", F.lit("")).withColumn("issues", F.array().cast("array<string>"))).drop("_in")
 
 
+def process_node(nodes: DataFrame, path: list[str], model: LanguageModel, whole: Column, context: str = CONTEXT, fmt: str = "latex") -> DataFrame:
+    """``nodes`` (with processed_content) with the one of this path in each document written anew from ``whole``, usually the
+    document's text, by its own prompt and without a parent (L4); a failed call leaves an empty text."""
+    here = F.col("path") == F.array(*[F.lit(p) for p in path])
+    made = refactor(F.when(here, whole).otherwise(F.lit("")), F.array_join("path", PATH_SEPARATOR), F.lit("N/A"), model, context, fmt)
+    return nodes.withColumn("_r", made).withColumn("processed_content", F.when(here, F.coalesce("_r.fixed", F.lit(""))).otherwise(F.col("processed_content"))).select(*nodes.columns)
+
+
 def key_terms(nodes: DataFrame, model: LanguageModel) -> DataFrame:
     """Rows (doc_id, terms): a document's chief terms by a model, from the start of its text."""
     reply = ask(render_prompt("term_extraction", full_text_excerpt=head(F.col("text"), TERMS_EXCERPT)), model)["text"]

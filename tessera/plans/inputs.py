@@ -41,9 +41,9 @@ def line_chunks(spark, d) -> DataFrame:
 
 #: SQL of ``vectors`` and ``centroids``.
 VECTORS_SQL = """v as (select label as doc_id, (row_number() over (partition by label order by vec_id) - 1)::int as chunk_id, vec_id, embedding::double[] as e from embeddings),
-dims as (select label, unnest(range(1, 65)) as i, embedding from embeddings where vec_id < 250),
-cent as (select label as node_idx, list(a order by i) as c from (select label, i, avg(embedding[i]::double) as a from dims group by all) group by all),
-scores as (select doc_id, chunk_id, node_idx, list_cosine_similarity(e, c) as score from v, cent)"""
+dims as (select label, unnest(range(1, 65)) as i, embedding from embeddings),
+cent as materialized (select label as node_idx, list(a order by i) as c from (select label, i, avg(embedding[i]::double) as a from dims group by all) group by all),
+scores as materialized (select doc_id, chunk_id, node_idx, list_cosine_similarity(e, c) as score from v, cent)"""
 
 
 def vectors(spark, d) -> DataFrame:
@@ -53,8 +53,8 @@ def vectors(spark, d) -> DataFrame:
 
 
 def centroids(spark, d) -> DataFrame:
-    """The mean vector of each label's first vectors, as sections."""
-    rows = table(spark, d, "embeddings").where("vec_id < 250").select("label", F.posexplode("embedding").alias("i", "x"))
+    """The mean vector of each label's vectors, as sections."""
+    rows = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
     means = rows.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("a"))
     return means.groupBy(F.col("label").cast("int").alias("node_idx")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "a"))), lambda s: s["a"]).alias("embedding"))
 
@@ -65,12 +65,12 @@ def vector_scores(spark, d) -> DataFrame:
     return dense_scores(vectors(spark, d), centroids(spark, d))
 
 
-EDGES_SQL = "edges as (select doc_id, chunk_id as src, (chunk_id * 7 + 3) % 11 as dst, 0 as ref_pos from v where chunk_id % 3 = 0)"
+EDGES_SQL = "edges as (select doc_id, chunk_id as src, (chunk_id * 7 + 3) % 11 as dst, 0 as ref_pos from v)"
 
 
 def vector_edges(spark, d) -> DataFrame:
-    """References between the vectors of a label: every third to one of the first."""
-    return vectors(spark, d).where("chunk_id % 3 = 0").select("doc_id", F.col("chunk_id").alias("src"), ((F.col("chunk_id") * 7 + 3) % 11).cast("int").alias("dst"), F.lit(0).alias("ref_pos"))
+    """References between the vectors of a label: each to one of the first."""
+    return vectors(spark, d).select("doc_id", F.col("chunk_id").alias("src"), ((F.col("chunk_id") * 7 + 3) % 11).cast("int").alias("dst"), F.lit(0).alias("ref_pos"))
 
 
 #: SQL of ``trees``: base (customers) and aug (suppliers), as doc_id, path_key, content.

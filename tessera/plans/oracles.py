@@ -145,9 +145,9 @@ r as (select *, case when length(t) < 10 then 'short' when lower(t) like '\\% er
 select conv_id, turn, reason = '' as ok, case when reason = '' then t else '' end as text, reason from r""".replace("\\\\", "\\")
 ORACLES["regex_matches"] = r"select doc_id, len(regexp_extract_all(text, '\d+'))::bigint as n, array_to_string(regexp_extract_all(text, '\d+'), ',') as found from documents"
 _P1, _P2 = PROMPTS["term_extraction"].split("{full_text_excerpt}")
-ORACLES["prompts_and_replies"] = f"""select conv_id, turn, {strip("left(text, 40)")} as polished, role || '|b' || turn::varchar as path,
+ORACLES["prompts_and_replies"] = f"""select conv_id, turn, {strip("text")} as polished, role || '|b' || turn::varchar as path,
 array_to_string(list_filter(list_transform(string_split(text, ','), lambda x: {strip("x")}), lambda x: x <> ''), '|') as parts, case when length(text) > 30 then left(text, 30) || '...' else text end as start, right(text, 30) as ending,
-{q(_P1)} || left(text, 50) || {q(_P2)} as prompt from conversations"""
+{q(_P1)} || left(text, 4000) || {q(_P2)} as prompt from conversations"""
 ORACLES["file_names"] = """with f as (select page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) as p from pages), n as (select page_id, regexp_extract(p, '([^/]*)$', 1) as n from f), m as (select page_id, case when n like '%.tex' then n else n || '.tex' end as filename from n)
 select page_id, filename, '1_A_b_Part_' || page_id::varchar || '.tex' as safe, replace(filename, '.tex', '_preprocessed.tex') as preprocessed from m"""
 ORACLES["main_files"] = """with m as (select l_orderkey as archive, l_linenumber as pos, l_partkey % 5 = 0 as usual, case when l_partkey % 5 = 0 then 'src/main.tex' else 'src/x' || l_partkey::varchar || '.tex' end as path from lineitem)
@@ -254,7 +254,7 @@ def rendered(fmt: str, tail: str) -> str:
     return f"body as (select doc_id, {parts} as b from nodes group by doc_id) select doc_id, {header}b{tail}{footer} as document from body"
 
 
-ORACLES["render_latex"] = f"with {_NODES}, orphans as (select s_suppkey % 5 as doc_id, string_agg(s_name, chr(10) || chr(10) order by s_suppkey) as rest from supplier where s_suppkey <= 7 group by 1), " + rendered("latex", f" || coalesce(chr(10) || {q(ORPHANS['latex'])} || chr(10) || rest, '')") + " left join orphans using (doc_id)"
+ORACLES["render_latex"] = f"with {_NODES}, orphans as (select s_suppkey % 5 as doc_id, string_agg(s_name, chr(10) || chr(10) order by s_suppkey) as rest from supplier group by 1), " + rendered("latex", f" || coalesce(chr(10) || {q(ORPHANS['latex'])} || chr(10) || rest, '')") + " left join orphans using (doc_id)"
 ORACLES["render_markdown"] = f"with {_NODES}, " + rendered("markdown", "")
 ORACLES["render_json"] = f"""with {_NODES} select doc_id, '[' || string_agg('{{"title":"' || path[-1] || '","depth":' || len(path)::varchar || ',"content":"' || content || '"}}', ',' order by sk) || ']' as document from nodes group by doc_id"""
 ORACLES["full_text"] = f"with {_NODES} select doc_id, string_agg(content, chr(10) || chr(10) order by sk) || chr(10) || chr(10) as text from nodes where content <> '' group by doc_id"

@@ -182,11 +182,11 @@ def regex_matches(spark, d) -> DataFrame:
 
 def prompts_and_replies(spark, d) -> DataFrame:
     t = table(spark, d, "conversations")
-    reply = F.concat(F.lit("Critique\nfinal polished version:  "), F.left("text", F.lit(40)))
+    reply = F.concat(F.lit("Critique\nfinal polished version:  "), F.col("text"))
     return t.select(
         "conv_id", "turn", text.polished_part(reply).alias("polished"), F.array_join(text.path_of_reply(F.concat(F.lit('"'), "role", F.lit('" -> b'), F.col("turn").cast("string"))), "|").alias("path"),
         F.array_join(text.comma_list(F.col("text")), "|").alias("parts"), text.head(F.col("text"), 30, dots=True).alias("start"), text.tail(F.col("text"), 30).alias("ending"),
-        text.render_prompt("term_extraction", full_text_excerpt=F.left("text", F.lit(50))).alias("prompt"),
+        text.render_prompt("term_extraction", full_text_excerpt=text.head(F.col("text"), process.TERMS_EXCERPT)).alias("prompt"),
     )
 
 
@@ -203,7 +203,7 @@ def main_files(spark, d) -> DataFrame:
 
 def include_resolution(spark, d) -> DataFrame:
     nation, region = table(spark, d, "nation"), table(spark, d, "region")
-    roots = nation.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("n_nationkey")), lambda k: F.concat(F.lit("\\input{n"), k.cast("string"), F.lit("}"))), "+").alias("content")).select(F.concat(F.lit("/t/r"), F.col("n_regionkey").cast("string"), F.lit(".tex")).alias("path"), F.concat("content", F.lit("\\include{gone}")).alias("content"))
+    roots = nation.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("n_nationkey")), lambda k: F.concat(F.lit("\\input {n"), k.cast("string"), F.lit("}"))), "+").alias("content")).select(F.concat(F.lit("/t/r"), F.col("n_regionkey").cast("string"), F.lit(".tex")).alias("path"), F.concat("content", F.lit("\\include{gone}")).alias("content"))
     leaves = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("/t/n"), F.col("n_nationkey").cast("string"), F.lit(".tex")).alias("path"), F.concat(F.lit("<"), "n_name", F.lit(" \\input{r"), F.col("n_regionkey").cast("string"), F.lit("}>")).alias("content"))
     return files.resolve_includes(roots.unionByName(leaves)).where("path like '/t/r%'").select("path", "content")
 
@@ -368,7 +368,7 @@ def tree_graft(spark, d) -> DataFrame:
 
 # --- rendering and processing -----------------------------------------------------------------------------------------
 def render_latex(spark, d) -> DataFrame:
-    orphans = table(spark, d, "supplier").where("s_suppkey <= 7").select((F.col("s_suppkey") % 5).cast("int").alias("doc_id"), F.col("s_suppkey").alias("chunk_id"), F.col("s_name").alias("content"))
+    orphans = table(spark, d, "supplier").select((F.col("s_suppkey") % 5).cast("int").alias("doc_id"), F.col("s_suppkey").alias("chunk_id"), F.col("s_name").alias("content"))
     return render.render(inputs.region_nodes(spark, d), "latex", orphans)
 
 

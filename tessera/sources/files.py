@@ -70,24 +70,33 @@ def read_docx(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 # --- included files (S3) ----------------------------------------------------------------------------------------------
-INCLUDE = r"\\(?:input|include)\{([^}]+)\}"
+INCLUDE = r"\\(?:input|include)\s*\{([^}]+)\}"
+
+
+def plain_path(path: Column, ups: int = 8) -> Column:
+    """A path without ``.`` parts and with up to ``ups`` of its ``..`` parts taken back."""
+    path = F.regexp_replace(path, r"(?<=^|/)(?:\./)+", "")
+    for _ in range(ups):
+        path = F.regexp_replace(path, r"(?<=^|/)(?!\.\./)[^/]+/\.\./", "")
+    return path
 
 
 def resolve_includes(docs: DataFrame) -> DataFrame:
     """``docs`` (path, content) with each ``\\input`` and ``\\include`` replaced by the file it names, to any depth.
 
-    Names are relative to the root's folder and get ``.tex`` if they have no extension.  A file that isn't among ``docs``
-    leaves the command; one that includes itself, directly or not, is left at the second time.  Each piece of a text carries
+    Names are relative to the folder of the file that they stand in and get ``.tex`` if they don't end so.  A file that isn't
+    among ``docs`` leaves the command; one that includes itself, directly or not, is left at the second time.  Each piece of a text carries
     the chain of files that it was included by, so one file may stand in several places.
     """
-    files = docs.select(F.col("path").alias("_file"), F.col("content").alias("_text"))
-    pieces = docs.where("content is not null").select("path", F.array().cast("array<int>").alias("at"), F.array("path").alias("chain"), F.col("content").alias("t"), F.lit(True).alias("open"))
+    files = docs.select(plain_path(F.col("path")).alias("_file"), F.col("content").alias("_text"))
+    pieces = docs.where("content is not null").select("path", F.array().cast("array<int>").alias("at"), F.array(plain_path(F.col("path"))).alias("chain"), F.col("content").alias("t"), F.lit(True).alias("open"))
     todo = F.col("open") & F.col("t").rlike(INCLUDE)
     while not pieces.where(todo).isEmpty():
         zipped = F.arrays_zip(F.split("t", INCLUDE, -1).alias("piece"), F.regexp_extract_all("t", F.lit(INCLUDE), F.lit(1)).alias("name"), F.regexp_extract_all("t", F.lit(INCLUDE), F.lit(0)).alias("command"))
         parts = pieces.where(todo).select("path", "at", "chain", F.posexplode(zipped).alias("k", "x"))
         name = F.trim("x.name")
-        target = F.concat(F.regexp_extract("path", r"^(.*/)", 1), F.when(name.endswith(".tex"), name).otherwise(F.concat(name, F.lit(".tex"))))
+        own = F.when(name.startswith("/"), F.lit("")).otherwise(F.regexp_extract(F.element_at("chain", -1), r"^(.*/)", 1))
+        target = plain_path(F.concat(own, F.when(name.endswith(".tex"), name).otherwise(F.concat(name, F.lit(".tex")))))
         parts = parts.withColumn("_file", target).join(files, "_file", "left")
         parts = parts.withColumn("found", F.coalesce(F.col("_text").isNotNull() & ~F.array_contains("chain", F.col("_file")), F.lit(False)))
         before = parts.select("path", F.concat("at", F.array(2 * F.col("k"))).alias("at"), "chain", F.col("x.piece").alias("t"), F.lit(False).alias("open"))
@@ -116,11 +125,14 @@ def main_file(files: DataFrame, by: str = "archive", path: str = "path", positio
 
 
 def tex_members(data: bytes, limit: int = 1 << 28) -> list[tuple[str, str]]:
-    """(name, text) of the .tex files of a tar archive, read in memory and never unpacked to disk."""
+    """(name, text) of the .tex files of a tar archive, read in memory and never unpacked to disk (S5); one of more than
+    ``limit`` bytes is an error."""
     out = []
     with tarfile.open(fileobj=io.BytesIO(data)) as tar:
         for m in tar:
-            if m.isfile() and m.name.endswith(".tex") and m.size <= limit:
+            if m.isfile() and m.name.endswith(".tex"):
+                if m.size > limit:
+                    raise ValueError(f"{m.name} has {m.size} bytes, more than {limit}")
                 out.append((m.name, tar.extractfile(m).read().decode("utf-8", "replace")))
     return out
 
@@ -136,6 +148,15 @@ def read_archives(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.select("archive", F.posexplode("ms").alias("pos", "m")).select("archive", "pos", "m.path", "m.content")
 
 
+def read_archived(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Rows (doc_id, path, ext, content): of each tar archive the main file, with what it includes from the archive."""
+    members = read_archives(spark, paths)
+    inside = members.select("archive", "pos", F.concat("archive", F.lit("!/"), "path").alias("path"), "content")
+    main = main_file(inside).select(F.col("main").alias("path"))
+    whole = resolve_includes(inside.select("path", "content")).join(main, "path", "left_semi")
+    return whole.select(document_id(F.col("path")).alias("doc_id"), "path", F.lit(".tex").alias("ext"), "content")
+
+
 class UrlPartition(InputPartition):
     def __init__(self, url: str):
         self.url = url

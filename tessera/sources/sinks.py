@@ -6,7 +6,7 @@ same files.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import safe_filename, session_id
@@ -41,6 +41,39 @@ def save_document(df: DataFrame, folder: str, fmt: str = "latex", column: str =
     return path
 
 
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """One file of exactly this name, in any store that Spark can write to; an old one is replaced."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def save_document_file(df: DataFrame, folder: str, fmt: str = "latex", column: str = "document") -> str:
+    """A single final document as the file ``final_document`` with its format's ending (K4); more than one is an error."""
+    rows = df.select(column).head(2)
+    if len(rows) != 1:
+        raise ValueError("one document makes a file; use save_document for more")
+    path = f"{folder.rstrip('/')}/final_document{EXTENSIONS.get(fmt, EXTENSIONS['latex'])}"
+    write_file(df.sparkSession, path, rows[0][0] or "")
+    return path
+
+
+def save_node_files(nodes: DataFrame, folder: str) -> list[str]:
+    """The nodes of one document as files named by their paths under ``processed_nodes`` (K3), one after the other.
+
+    Only for a document at hand; ``save_nodes`` writes those of many.
+    """
+    rows = nodes.where("processed_content <> ''").select(safe_filename(F.col("path")).alias("name"), "processed_content")
+    names = []
+    for r in rows.toLocalIterator():
+        names.append(f"{folder.rstrip('/')}/processed_nodes/{r['name']}")
+        write_file(nodes.sparkSession, names[-1], r["processed_content"])
+    return names
+
+
 def append_log(entries: DataFrame, folder: str) -> None:
     """Log entries (session_id, ts, message) to the session's log (K5)."""
     entries.write.mode("append").partitionBy("session_id").json(f"{folder.rstrip('/')}/processing_log")

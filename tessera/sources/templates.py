@@ -94,17 +94,22 @@ def skeleton(spark: SparkSession, template: str | list | dict = DEFAULT, path: s
     return spark.createDataFrame(flatten(body, name), SKELETON)
 
 
-def skeleton_of_table(nodes: DataFrame, id_col: str, parent_col: str, title_col: str, order_col: str, max_depth: int = 16) -> DataFrame:
-    """Rows (id, path, path_key, depth, sort_key) of a tree given by parents (null: root), level by level."""
+def skeleton_of_table(nodes: DataFrame, id_col: str, parent_col: str, title_col: str, order_col: str, max_depth: int = 1000) -> DataFrame:
+    """Rows (id, path, path_key, depth, sort_key) of a tree given by parents (null: root), level by level.
+
+    Nodes that no root reaches (a parent that isn't there, a cycle) are left out; more than ``max_depth`` levels are an error.
+    """
     base = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"), F.col(title_col).alias("title"), F.col(order_col).cast("int").alias("ord"))
     level = base.where("parent is null").select("id", F.array("title").alias("path"), F.array("ord").alias("sort_key"))
     found = level
-    for _ in range(max_depth - 1):
+    for _ in range(max_depth):
         level = base.join(level.withColumnRenamed("id", "parent"), "parent").select("id", F.concat("path", F.array("title")).alias("path"), F.concat("sort_key", F.array("ord")).alias("sort_key"))
         level = materialized(level)
         if level.isEmpty():
             break
         found = found.unionByName(level)
+    else:
+        raise ValueError(f"the tree has more than {max_depth} levels")
     return found.select("id", "path", F.array_join("path", PATH_SEPARATOR).alias("path_key"), F.size("path").alias("depth"), "sort_key")
 
 
