@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.functions.text import PROMPTS
 from tessera.operators.analysis import KEPT
+from tessera.operators.process import CONTEXT
 from tessera.operators.render import FOOTERS, HEADERS, ORPHANS
 from tessera.plans.inputs import EDGES_SQL, ITEMS_SQL, TREES_SQL, VECTORS_SQL
 from tessera.sources.templates import TEMPLATES, flatten
@@ -267,3 +268,63 @@ f as (select user_id, event_id, k, t, outcome, true as allowed, false as open, 0
     case when not a or x.outcome = 'allow' then f.l when x.outcome = 'fail' then case when f.n + 1 >= 2 then x.t else f.l end else null end
   from f join e x on x.user_id = f.user_id and x.k = f.k + 1, lateral (select not f.o or coalesce(x.t - f.l >= 86400, false) as a))
 select user_id, event_id, outcome, allowed, open, failures from f"""
+
+
+# --- models that echo, files, streams ---------------------------------------------------------------------------------
+def filled(name: str, **fields: str) -> str:
+    """A prompt with SQL expressions in its fields, cut as the echo cuts it."""
+    parts, rest = [], PROMPTS[name]
+    while rest:
+        found = [(at, f) for f in fields if (at := rest.find("{" + f + "}")) >= 0]
+        if not found:
+            parts.append(q(rest))
+            break
+        at, field = min(found)
+        parts += [q(rest[:at]), f"coalesce({fields[field]}, '')"]
+        rest = rest[at + len(field) + 2 :]
+    return f"left({' || '.join(parts)}, 8192)"
+
+
+def refactored(parent: str) -> str:
+    return rewritten(filled("hierarchical_refactor", node_path="array_to_string(n.path, ' -> ')", global_context=q(CONTEXT), parent_context=parent, node_content="n.content"), _LATEX)
+
+
+ORACLES["process_tree"] = f"""with {_NODES}, one as (select n.doc_id, n.path, case when content <> '' then {refactored("''")} else '' end as p from nodes n where len(path) = 1),
+two as (select n.doc_id, n.path, case when content <> '' then {refactored("u.p")} else '' end as p from nodes n left join one u on u.doc_id = n.doc_id and u.path = n.path[1:1] where len(n.path) = 2),
+three as (select n.doc_id, n.path, case when content <> '' then {refactored("u.p")} else '' end as p from nodes n left join two u on u.doc_id = n.doc_id and u.path = n.path[1:2] where len(n.path) = 3)
+select doc_id, array_to_string(path, ' -> ') as path_key, p as processed_content, '' as issues from (from one union all from two union all from three)"""
+ORACLES["process_node"] = f"""with {_NODES}, whole as (select doc_id, string_agg(content, chr(10) || chr(10) order by sk) || chr(10) || chr(10) as text from nodes where content <> '' group by doc_id)
+select n.doc_id, array_to_string(n.path, ' -> ') as path_key, case when n.path = ['ASIA'] then {rewritten(filled("hierarchical_refactor", node_path="array_to_string(n.path, ' -> ')", global_context=q(CONTEXT), parent_context="'N/A'", node_content="text"), _LATEX)} else n.content end as processed_content
+from nodes n join whole using (doc_id)"""
+_TERMS = f"list_filter(list_transform(string_split({filled('term_extraction', full_text_excerpt='left(text, 4000)')}, ','), lambda x: {strip('x')}), lambda x: x <> '')"
+ORACLES["polish"] = f"""with {_NODES}, whole as (select doc_id, string_agg(content, chr(10) || chr(10) order by sk) || chr(10) || chr(10) as text from nodes where content <> '' group by doc_id),
+terms as (select doc_id, {_TERMS} as terms from whole),
+said as (select n.doc_id, n.path, n.sk, case when content <> '' and len(terms) > 0 then {filled("term_standardization", key_terms_list="array_to_string(terms, ', ')", text_content="content")} else content end as t from nodes n left join terms using (doc_id)),
+pairs as (select *, lag(t) over w as before, lag(path[-1]) over w as title from said window w as (partition by doc_id, path[:-2] order by sk))
+select doc_id, array_to_string(path, ' -> ') as path_key, case when before <> '' and t <> '' then {filled("section_transition", prev_section_title="title", prev_section_ending="right(before, 300)", current_section_title="path[-1]", current_section_beginning="left(t, 300)")} || chr(10) || chr(10) || t else t end as processed_content from pairs"""
+ORACLES["latex_chunks"] = rf"""with d as (select doc_id, {strip("left(text, 200)")} as a, {strip("text")} as b from documents),
+c as (select doc_id, 0 as k, 'paragraph' as type, a as content, 'A' as parent_section, '' as labels, '' as refs, '' as caption from d
+union all select doc_id, 1, 'figure', '\begin{{figure}}\caption{{c}}\label{{f}}' || doc_id || '\end{{figure}}', 'A', 'f', '', 'c' from d
+union all select doc_id, 2, 'paragraph', 'see \ref{{f}}', 'A', '', 'f', '' from d
+union all select doc_id, 3, 'paragraph', b, 'A -> B', '', '', '' from d)
+select doc_id, (row_number() over (partition by doc_id order by k) - 1)::int as chunk_id, type, parent_section, content, labels, refs, caption from c where content <> ''"""
+ORACLES["mapped_groups"] = ORACLES["text_map"]
+_MAPPED = """mapped as (select p.doc_id, p.chunk_id, coalesce(p.node_idx, n.node_idx, f.node_idx, -1) as node_idx, case when p.node_idx is not null then 'semantic' when n.node_idx is not null then 'neighbor' when f.node_idx is not null then 'graph' else 'orphan' end as method
+from placed p left join near n using (doc_id, chunk_id) left join far f using (doc_id, chunk_id))"""
+ORACLES["map_whole"] = f"""with {VECTORS_SQL.replace("scores as materialized", "plain as materialized")}, edges as (select a.doc_id, a.chunk_id as src, b.chunk_id as dst, 0 as ref_pos from v a join v b on a.doc_id = b.doc_id and b.chunk_id = (a.chunk_id * 7 + 3) % 11),
+first as (select doc_id, chunk_id, node_idx, score from (select *, row_number() over (partition by doc_id, chunk_id order by score desc, node_idx) as k from plain) where k = 1),
+times as (select e.doc_id, e.src as chunk_id, b.node_idx, count(*) as n from edges e join first b on b.doc_id = e.doc_id and b.chunk_id = e.dst where b.score >= 0.45 group by all),
+scores as (select s.doc_id, s.chunk_id, s.node_idx, case when n > 0 then least(1.0, score + 0.5 * n) else score end as score from plain s left join times t using (doc_id, chunk_id, node_idx)),
+{_BEST}, placed as (select doc_id, chunk_id, case when score >= 0.15 then node_idx end as node_idx from best), {_NEAR}, {_FAR}, {_MAPPED}
+select doc_id, chunk_id, node_idx, method, case when case when method = 'neighbor' then lag(method) over w else method end = 'graph' then 2 else 0 end as rank_group, case when method = 'neighbor' then chunk_id - 1 else chunk_id end as anchor
+from mapped window w as (partition by doc_id order by chunk_id)"""
+ORACLES["regex_groups"] = r"""with f as (select doc_id, regexp_extract_all(text, '([A-Z])([a-z]+)', 1) as a, regexp_extract_all(text, '([A-Z])([a-z]+)', 2) as b from documents)
+select doc_id, array_to_string(list_transform(range(1, len(a) + 1), lambda i: a[i] || '+' || b[i]), ',') as found from f"""
+ORACLES["node_files"] = f"with {_NODES} select array_to_string(list_transform(path, lambda x: replace(replace(x, ' ', '_'), '.', '')), '_') || '.tex' as filename, content from nodes where content <> ''"
+ORACLES["final_documents"] = "select document from (" + ORACLES["render_json"] + ")"
+ORACLES["session_log"] = "select strftime(o_orderdate, '%Y%m') as session_id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as ts, 'order ' || o_orderkey as message from orders"
+ORACLES["stage_checkpoint"] = f"with {_NODES} select doc_id, array_to_string(path, ' -> ') as path_key, content from nodes"
+ORACLES["latest_documents"] = "select lpad(max(event_id)::varchar, 12, '0') as session_id, 'u' || user_id || '/' || event_type as path, arg_max(props, event_id) as content from events group by user_id, event_type"
+ORACLES["section_details"] = f"with {_NODES} select doc_id, string_agg('- ' || array_to_string(path, ' -> ') || ': ' || content, chr(10) order by sk) as text from nodes group by doc_id"
+ORACLES["breaker_stream"] = "select user_id, event_id, outcome, allowed, failures from (" + ORACLES["circuit_breaker"] + ")"
+ORACLES["validation_stream"] = "select event_type as key, count(*) as total, count_if(value >= 50) as passed, round(avg(value), 6) as average_similarity from events group by event_type"

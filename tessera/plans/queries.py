@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import effects, text, vector
+from tessera.materialize import shared_folder
 from tessera.operators import analysis, chunk, combine, context, mapping, process, render
 from tessera.plans import inputs
 from tessera.plans.inputs import table
 from tessera.plans.restructure import Options, restructure
 from tessera.sources import files, sinks, templates
+from tessera.streaming import state
 
 R = lambda c: F.round(c, 6)
 
@@ -53,7 +57,7 @@ def latex_chunks(spark, d) -> DataFrame:
     head = F.concat(F.lit("\\section{A}\n"), F.left("content", F.lit(200)), F.lit("\n\\begin{figure}\\caption{c}\\label{f}"), F.col("doc_id").cast("string"), F.lit("\\end{figure}\nsee \\ref{f}\n\\subsection{B}\n"), F.col("content"))
     docs = inputs.documents(spark, d).withColumn("content", head)
     found = chunk.chunk_latex(docs)
-    return found.select("doc_id", "chunk_id", "type", "parent_section", F.length("content").alias("n_chars"), F.array_join("metadata.labels", ",").alias("labels"), F.array_join("metadata.refs", ",").alias("refs"), "metadata.caption")
+    return found.select("doc_id", "chunk_id", "type", "parent_section", "content", F.array_join("metadata.labels", ",").alias("labels"), F.array_join("metadata.refs", ",").alias("refs"), F.coalesce("metadata.caption", F.lit("")).alias("caption"))
 
 
 def long_chunk_split(spark, d) -> DataFrame:
@@ -392,7 +396,14 @@ def transitions(spark, d) -> DataFrame:
 def process_tree(spark, d) -> DataFrame:
     nodes = inputs.region_nodes(spark, d).withColumnRenamed("processed_content", "content")
     done = process.process_tree(nodes, effects.EchoModel())
-    return done.select("doc_id", F.array_join("path", " -> ").alias("path_key"), F.length("processed_content").alias("n_chars"))
+    return done.select("doc_id", F.array_join("path", " -> ").alias("path_key"), "processed_content", F.array_join("issues", "; ").alias("issues"))
+
+
+def process_node(spark, d) -> DataFrame:
+    nodes = inputs.region_nodes(spark, d)
+    rows = nodes.join(render.full_text(nodes), "doc_id")
+    made = process.process_node(rows, ["ASIA"], effects.EchoModel(), F.col("text"))
+    return made.select("doc_id", F.array_join("path", " -> ").alias("path_key"), "processed_content")
 
 
 def polish(spark, d) -> DataFrame:
@@ -402,7 +413,7 @@ def polish(spark, d) -> DataFrame:
 
 def embed_texts(spark, d) -> DataFrame:
     v = effects.embed(F.col("text"), effects.HashingEmbedder(64))
-    return table(spark, d, "documents").select("doc_id", v.alias("v")).select("doc_id", R(vector.norm(F.col("v"))).alias("norm"))
+    return table(spark, d, "documents").select("doc_id", F.transform(v, lambda x: R(x)).alias("embedding"))
 
 
 def circuit_breaker(spark, d) -> DataFrame:
@@ -420,7 +431,89 @@ def recombined(spark, d) -> DataFrame:
 def restructured(spark, d) -> DataFrame:
     docs = inputs.conversation_texts(spark, d, "% --- %s ---").withColumn("ext", F.lit(".tex"))
     made = restructure(docs, templates.skeleton(spark, "bitcoin_paper_hierarchical"), effects.EchoModel(), Options(fmt="markdown", polish=False))
-    return made.select("doc_id", F.length("document").alias("n_chars"))
+    return made.select("doc_id", "document")
+
+
+def mapped_groups(spark, d) -> DataFrame:
+    sections = table(spark, d, "benchmark").select(F.col("item_id").cast("int").alias("node_idx"), F.col("text").alias("description"))
+    found = mapping.map_grouped(chunk.group_by_section(inputs.turn_chunks(spark, d)), sections)
+    return found.select("doc_id", "chunk_id", F.coalesce("node_idx", F.lit(-1)).alias("node_idx"), R("assignment_score").alias("score"), "method")
+
+
+def map_whole(spark, d) -> DataFrame:
+    chunks = inputs.vectors(spark, d).withColumn("metadata", F.struct(F.array(F.concat(F.lit("k"), F.col("chunk_id").cast("string"))).alias("labels"), F.array(F.concat(F.lit("k"), ((F.col("chunk_id") * 7 + 3) % 11).cast("string"))).alias("refs")))
+    found = mapping.map_chunks(chunks.withColumn("content", F.lit("")), inputs.vector_scores(spark, d), threshold=0.15)
+    return found.select("doc_id", "chunk_id", F.coalesce("node_idx", F.lit(-1)).alias("node_idx"), "method", F.col("rank_in_node.group").alias("rank_group"), F.col("rank_in_node.anchor").alias("anchor"))
+
+
+def regex_groups(spark, d) -> DataFrame:
+    found = text.find_groups(F.col("content"), r"([A-Z])([a-z]+)")
+    return inputs.documents(spark, d).select("doc_id", F.array_join(F.transform(found, lambda g: F.array_join(g, "+")), ",").alias("found"))
+
+
+# --- files ------------------------------------------------------------------------------------------------------------
+def _folder(spark) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/query-{uuid.uuid4().hex}"
+
+
+def node_files(spark, d) -> DataFrame:
+    """Nodes written as files by their names, and read again."""
+    at = _folder(spark)
+    sinks.save_nodes(inputs.region_nodes(spark, d), at)
+    return spark.read.schema("value string, filename string").text(at, wholetext=True).select("filename", F.regexp_replace("value", "\n$", "").alias("content"))
+
+
+def final_documents(spark, d) -> DataFrame:
+    """Rendered documents saved by their format, and read as sources."""
+    at = _folder(spark)
+    rows = render.render(inputs.region_nodes(spark, d), "json").select(F.col("document"))
+    return spark.read.text(sinks.save_document(rows, at, "json")).select(F.col("value").alias("document"))
+
+
+def session_log(spark, d) -> DataFrame:
+    """Orders as log entries of a session each month, appended in two parts and read again."""
+    at = _folder(spark)
+    rows = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyyMM").alias("session_id"), F.col("o_orderdate").cast("string").alias("ts"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("message"))
+    even = F.crc32("message") % 2 == 0
+    sinks.append_log(rows.where(even), at)
+    sinks.append_log(rows.where(~even), at)
+    return spark.read.schema("ts string, message string, session_id string").json(f"{at}/processing_log").select("session_id", "ts", "message")
+
+
+def stage_checkpoint(spark, d) -> DataFrame:
+    return sinks.save_checkpoint(inputs.region_nodes(spark, d), _folder(spark), "nodes").select("doc_id", F.array_join("path", " -> ").alias("path_key"), F.col("processed_content").alias("content"))
+
+
+def latest_documents(spark, d) -> DataFrame:
+    sessions = table(spark, d, "events").select(F.lpad(F.col("event_id").cast("string"), 12, "0").alias("session_id"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("path"), F.col("props").alias("content"))
+    return files.latest_documents(sessions)
+
+
+def section_details(spark, d) -> DataFrame:
+    nodes = inputs.region_nodes(spark, d).withColumn("path_key", F.array_join("path", " -> ")).withColumn("description", F.col("processed_content"))
+    return templates.section_details(nodes, ["doc_id"])
+
+
+def breaker_stream(spark, d) -> DataFrame:
+    """The breaker on a stream of events, in batches, with its state between them."""
+    at = _folder(spark)
+    events = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "view", "allow").otherwise("success").alias("outcome"))
+    events.repartitionByRange(3, "seq").sortWithinPartitions("seq").write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(f"{at}/in")
+    write = state.breaker_stream(stream, threshold=2, timeout=86400.0).writeStream.outputMode("update").option("checkpointLocation", f"{at}/state")
+    write.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{at}/out/batch={n}")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(state.DECISIONS).parquet(f"{at}/out").select(F.col("key").cast("long").alias("user_id"), F.col("seq").alias("event_id"), "outcome", "allowed", "failures")
+
+
+def validation_stream(spark, d) -> DataFrame:
+    """Validation statistics on a stream of events by type."""
+    at = _folder(spark)
+    rows = table(spark, d, "events").select(F.col("event_type").alias("key"), (F.col("value") >= 50).alias("is_valid"), F.col("value").alias("similarity"))
+    rows.write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
+    write = state.stats_stream(stream).writeStream.outputMode("complete").option("checkpointLocation", f"{at}/state")
+    write.foreachBatch(lambda found, n: found.write.mode("overwrite").parquet(f"{at}/out")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("key", "total", "passed", R("average_similarity").alias("average_similarity"))
 
 
 QUERIES = [
@@ -430,4 +523,5 @@ QUERIES = [
     preservation_batch, text_coherence, validation_stats, running_mean, coherence_by_label, item_scores, build_context, context_prune, relevant_context, document_context, context_stats, section_index, add_context,
     element_counts, preservation_report, structure_change, quality_score, quality_report, contribution_report, contribution_summary, preserved_elements,
     combine_robust, combine_merge, combine_append, tree_overlap, tree_only_new, tree_weave, tree_graft, render_latex, render_markdown, render_json, full_text, transitions, process_tree, polish, embed_texts, circuit_breaker, recombined, restructured,
+    process_node, mapped_groups, map_whole, regex_groups, node_files, final_documents, session_log, stage_checkpoint, latest_documents, section_details, breaker_stream, validation_stream,
 ]
