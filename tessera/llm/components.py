@@ -9,7 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checksum, cut, salted_join
+from tessera.llm.common import checksum, cut, salted_join, tidy
+
+
+#: Edges of a partition.
+ROWS = 100_000
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -26,16 +30,18 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # a star's centre has all its rows in one group: its least is repeated and they are dealt
-        large = salted_join(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = salted_join(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = salted_join(large, least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = cut(small.select("e.u", "e.v").where("u > v").distinct())
+        # the edges never get more by much: as many partitions as they need, else each round leaves files for all
+        edges = cut(small.select("e.u", "e.v").where("u > v").distinct().coalesce(1 + seen[0] // ROWS))
         now = checksum(edges, "u", "v")
         if now == seen:
             break
         seen = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    tidy(edges.sparkSession)
     node, root = F.col("u").alias("node"), F.col("v").alias("root")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(node, root).unionByName(roots)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, fresh, salted_join, sized, table
+from tessera.llm.common import cut, fresh, salted_join, sized, small_batches, table
 from tessera.llm.components import connected_components
 
 BITS = 64
@@ -362,6 +362,7 @@ def similar_sets(nodes: DataFrame, common: DataFrame, sets_of, similarity: float
         mixed = tokens.join(each.where("low <> high").select("token", "size", "lead"), "token")
         found = verified(proposals(mixed, nodes, similarity) if k < rounds else all_pairs(mixed, nodes, similarity, crowd), sets_of, similarity)
         links = found if links is None else cut(links.unionByName(found))
+        tokens = each = mixed = found = None
         labels = connected_components(links)
     return labels
 
@@ -394,11 +395,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     same = F.unhex(F.md5("text")).alias("same")
     first = rows.select("id", same, described("text").alias("w")).groupBy("same").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.first("w").alias("w"))
-    nodes = cut(first.select("same", "rep", "last", F.monotonically_increasing_id().alias("uid"), "w.*"))
+    with small_batches(spark):
+        nodes = cut(first.select("same", "rep", "last", F.monotonically_increasing_id().alias("uid"), "w.*"))
 
     def sets_of(uids: DataFrame) -> DataFrame:
         wanted = sized(nodes.select("uid", F.col("rep").alias("id"), "same").join(uids, "uid"))
-        return cut(rows.select("id", same, "text").join(wanted, ["id", "same"]).dropDuplicates(["uid"]).select("uid", hashes("text").alias("h")))
+        with small_batches(spark):
+            return cut(rows.select("id", same, "text").join(wanted, ["id", "same"]).dropDuplicates(["uid"]).select("uid", hashes("text").alias("h")))
 
     roots = similar_sets(nodes.select("uid", "n", "prefix", "bits"), common, sets_of, similarity, **how)
     grouped = cut(nodes.select("same", "rep", "last", "uid").join(roots, nodes["uid"] == roots["node"], "left").where("root is not null or rep <> last").select("same", "rep", F.coalesce("root", "uid").alias("root")))
