@@ -233,16 +233,23 @@ def word_diversity(text: Column) -> Column:
 
 def content_quality(text: Column) -> Column:
     """struct(is_valid, score): the first rule that holds decides; else a weighted score, valid from 0.6 (Q1)."""
-    body = strip(F.coalesce(text, F.lit("")))
-    w = words(body)
-    n, distinct = F.size(w), F.size(F.array_distinct(w))
+    from tessera.functions.vector import let
+
+    return let(strip(F.coalesce(text, F.lit(""))), lambda body: let(words(body), lambda w: let(F.array(F.size(w), F.size(F.array_distinct(w))), lambda n: _quality(body, F.get(n, 0), F.get(n, 1)))))
+
+
+def _quality(body: Column, n: Column, distinct: Column) -> Column:
+    """The quality of a stripped text with n words."""
+    from tessera.functions.vector import let
+
     low = F.lower(body)
     meaningless = low.contains(MEANINGLESS[0])
     for pattern in MEANINGLESS[1:]:
         meaningless = meaningless | low.contains(pattern)
     sentences = F.filter(F.split(body, r"\."), lambda s: s.rlike(r"\S"))
-    length = F.aggregate(sentences, F.lit(0), lambda acc, s: acc + F.size(words(s)))
-    few = (F.size(sentences) > 0) & (length / F.greatest(F.size(sentences), F.lit(1)) < 3)
+    # the sentences' words: those of the text with its points as gaps
+    length = F.size(words(F.regexp_replace(body, r"\.", " ")))
+    few = let(F.size(sentences), lambda k: (k > 0) & (length / F.greatest(k, F.lit(1)) < 3))
     score = F.least(F.length(body) / 100, F.lit(1.0)) * 0.3 + distinct / F.greatest(n, F.lit(1)) * 0.3 + F.when(body.rlike("[.!?]"), 1.0).otherwise(0.5) * 0.2 + F.when(distinct >= 5, 1.0).otherwise(0.5) * 0.2
     refused = F.when(body == "", 0.0).when(F.length(body) < 10, 0.2).when(n < 3, 0.3).when(distinct / F.greatest(n, F.lit(1)) < 0.3, 0.4).when(meaningless, 0.1).when(few, 0.3)
     return F.struct((refused.isNull() & (score >= 0.6)).alias("is_valid"), F.coalesce(refused, score).alias("score"))

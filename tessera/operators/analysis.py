@@ -14,15 +14,25 @@ def element_counts(chunks: DataFrame, by: list[str], type_: str = "type", path:
 
     With ``literal`` the section counts are 0, as they are where nodes carry no paths.
     """
-    depth = lambda d: F.lit(0).cast("long") if literal else F.count_distinct(F.when(F.size(path) >= d, F.slice(path, 1, d)))
-    return chunks.groupBy(*by).agg(
+    return chunks.groupBy(*by).agg(*_counts(F.lit(True), type_, path, content, literal))
+
+
+def _counts(use: Column, type_: str, path: str, content: str, literal: bool) -> list[Column]:
+    depth = lambda d: F.lit(0).cast("long") if literal else F.count_distinct(F.when(use & (F.size(path) >= d), F.slice(path, 1, d)))
+    return [
         depth(1).alias("sections"),
         depth(2).alias("subsections"),
         depth(3).alias("subsubsections"),
-        *[F.count_if(F.col(type_) == t).alias(t) for t in ("figure", "table", "equation")],
-        F.count(F.lit(1)).alias("chunks"),
-        F.coalesce(F.sum(F.length(content)), F.lit(0)).alias("chars"),
-    )
+        *[F.count_if(use & (F.col(type_) == t)).alias(t) for t in ("figure", "table", "equation")],
+        F.count_if(use).alias("chunks"),
+        F.coalesce(F.sum(F.when(use, F.length(content))), F.lit(0)).alias("chars"),
+    ]
+
+
+def count_pairs(chunks: DataFrame, kept: Column, by: list[str], type_: str = "type", path: str = "path", content: str = "content", literal: bool = False) -> DataFrame:
+    """Rows (by, original, processed): the counts of all chunks and of those ``kept``, in one pass; documents of which nothing
+    is kept are left out."""
+    return chunks.groupBy(*by).agg(F.struct(*_counts(F.lit(True), type_, path, content, literal)).alias("original"), F.struct(*_counts(kept, type_, path, content, literal)).alias("processed")).where("processed.chunks > 0")
 
 
 def preservation(pairs: DataFrame, by: list[str], original: str = "original", processed: str = "processed", augmented: str | None = None) -> DataFrame:

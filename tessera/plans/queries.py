@@ -289,20 +289,16 @@ def add_context(spark, d) -> DataFrame:
 
 
 # --- analysis ---------------------------------------------------------------------------------------------------------
-def _counts(spark, d, kept: bool) -> DataFrame:
-    chunks = inputs.line_chunks(spark, d).withColumn("path", F.col("metadata.hierarchy_path"))
-    return analysis.element_counts(chunks.where("path[0] <> 'R'") if kept else chunks, ["doc_id"])
+def _path_chunks(spark, d) -> DataFrame:
+    return inputs.line_chunks(spark, d).withColumn("path", F.col("metadata.hierarchy_path"))
 
 
 def _count_pairs(spark, d) -> DataFrame:
-    names = ["sections", "subsections", "subsubsections", "figure", "table", "equation", "chunks", "chars"]
-    o = _counts(spark, d, False).select("doc_id", F.struct(*names).alias("original"))
-    p = _counts(spark, d, True).select("doc_id", F.struct(*names).alias("processed"))
-    return o.join(p, "doc_id")
+    return analysis.count_pairs(_path_chunks(spark, d), F.col("path")[0] != "R", ["doc_id"])
 
 
 def element_counts(spark, d) -> DataFrame:
-    return _counts(spark, d, False)
+    return analysis.element_counts(_path_chunks(spark, d), ["doc_id"])
 
 
 def preservation_report(spark, d) -> DataFrame:
