@@ -263,6 +263,45 @@ def test_kneser_ney_is_a_distribution():
         assert total == pytest.approx(1.0, abs=1e-9)
 
 
+def brute_kneser_ney(texts):
+    """P(character | three before) of one language by plain dictionaries, and its characters; the base is set later."""
+    order = langid.ORDER
+    counts = [None, *(collections.Counter() for _ in range(order))]
+    for t in texts:
+        codes = [0] * (order - 1) + langid.letters_of(t).tolist() if len(langid.letters_of(t)) else []
+        counts[order].update(tuple(codes[k : k + order]) for k in range(len(codes) - order + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k].update(g[1:] for g in counts[k + 1])
+
+    def p(gram, uniform):
+        if not gram:
+            return uniform
+        k = len(gram)
+        once, twice = (sum(c == x for c in counts[k].values()) for x in (1, 2))
+        d = once / (once + 2 * twice) if once and twice else 0.75
+        total = sum(c for g, c in counts[k].items() if g[:-1] == gram[:-1])
+        kinds = sum(g[:-1] == gram[:-1] for g in counts[k])
+        lower = p(gram[1:], uniform)
+        return max(counts[k][gram] - d, 0) / total + d * kinds / total * lower if total else lower
+
+    return p, {g[-1] for g in counts[order]}
+
+
+def test_entropies_against_plain_dictionaries():
+    texts = {"en": ["the cat sat on the mat", "a dog and the hat of that man"], "de": ["die katze und der hund", "das haus der frau und des mannes"]}
+    model = langid.estimate({lang: (lambda f: (np.frombuffer(b"".join(f["gram"]), dtype=np.uint32).reshape(-1, langid.ORDER), f["n"].to_numpy()))(langid.count_grams(ts)) for lang, ts in texts.items()})
+    made = {lang: brute_kneser_ney(ts) for lang, ts in texts.items()}
+    uniform = 1 / (len(set().union({32}, *(known for _, known in made.values()))) + 1)
+    tried = ["the man and the cat", "der mann", "zzz qqq é", "a"]
+    got, sizes = model.entropies(tried)
+    for i, t in enumerate(tried):
+        codes = langid.letters_of(t).tolist()
+        padded = [0] * (langid.ORDER - 1) + codes
+        for k, lang in enumerate(model.languages):
+            want = -sum(math.log(made[lang][0](tuple(padded[j : j + langid.ORDER]), uniform)) for j in range(1, len(codes))) / (len(codes) - 1)
+            assert got[i, k] == pytest.approx(want) and sizes[i] == len(codes) - 1
+
+
 # --- 3 fingerprints ---------------------------------------------------------------------------------------------------
 def test_prefix_hashes():
     a, b = prefixhash.PrefixHashes("xxabcdefgh😀"), prefixhash.PrefixHashes("abcdefgz")
@@ -298,6 +337,21 @@ def test_fingerprints(docs, odd):
     assert len(one) == 1 and one[0]["near_next"] == 1
 
 
+def test_extensions_and_likeness_against_true_lengths():
+    """Binary search over prefix hashes gives the true common extension; the likeness of fingerprints follows true lengths."""
+    rng = np.random.default_rng(14)
+    letters = lambda n: "".join(chr(97 + x) for x in rng.integers(26, size=n))
+    for _ in range(60):
+        start, own, more, end = letters(int(rng.integers(900))), letters(int(rng.integers(1, 300))), letters(int(rng.integers(1, 300))), letters(int(rng.integers(900)))
+        a, b = start + "A" + own + "C" + end, start + "B" + more + "D" + end
+        x, y = prefixhash.PrefixHashes(a), prefixhash.PrefixHashes(b)
+        assert x.common_extension(0, y, 0) == len(start) and x.common_extension(len(a) - len(end), y, len(b) - len(end)) == len(end)
+        got = prefixhash.likeness(prefixhash.Parsed(prefixhash.fingerprint(a)), prefixhash.Parsed(prefixhash.fingerprint(b)))
+        assert got == pytest.approx(2 * (len(start) + len(end)) / (len(a) + len(b)), abs=0.2)
+    far = prefixhash.likeness(*(prefixhash.Parsed(prefixhash.fingerprint(letters(800))) for _ in range(2)))
+    assert far < 0.1
+
+
 # --- 4 secrets --------------------------------------------------------------------------------------------------------
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 
@@ -764,6 +818,28 @@ def test_toxicity(spark, docs, odd):
     assert kept.columns == odd.columns and toxicity.remove_toxic(odd.limit(0), marks).count() == 0
 
 
+def test_trees_against_plain_loops(spark, docs):
+    """Scores on the cluster are those of trees walked node by node and of a line between the calibration's steps."""
+    texts, ys = toxicity.labelled_sample(docs, spark.read.parquet(f"{DIR}/labels.parquet"))
+    model = toxicity.fit(texts, ys)
+
+    def plain(text):
+        x, margin = toxicity.features(text, model.learned), model.trees.base
+        for f, t, v in zip(model.trees.feature, model.trees.threshold, model.trees.value, strict=True):
+            at = 0
+            while f[at] >= 0:
+                at = 2 * at + 1 + (x[f[at]] > t[at])
+            margin += v[at]
+        ms, ps = model.steps
+        k = int(np.searchsorted(ms, margin))
+        if k == 0 or k == len(ms):
+            return ps[min(k, len(ps) - 1)]
+        return ps[k - 1] + (ps[k] - ps[k - 1]) * (margin - ms[k - 1]) / (ms[k] - ms[k - 1])
+
+    for r in toxicity.with_score(docs.select("text"), model).collect():
+        assert r["score"] == pytest.approx(plain(r["text"]), abs=1e-9)
+
+
 def test_isotonic():
     rng = np.random.default_rng(8)
     m = rng.normal(size=500)
