@@ -6,6 +6,7 @@ import gc
 import tempfile
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,8 +72,10 @@ def tidy(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files and checkpoints that nothing refers to any more.
 
     It does so when the driver collects its garbage, which in a loop of many small jobs may be long after they fill disks.
+    Memory that Arrow keeps for later goes back as well.
     """
     gc.collect()
+    pa.default_memory_pool().release_unused()
     spark._jvm.System.gc()
 
 

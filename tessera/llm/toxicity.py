@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import FOLDS, fold, fresh, lowest_hashes, table
+from tessera.llm.common import FOLDS, fold, fresh, lowest_hashes, table, tidy
 
 #: Seed lexicon: common insults (English, German, French, Spanish).
 INSULTS = frozenset(
@@ -294,6 +294,7 @@ def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_
     Columns stay as they are, whatever their names; repeated rows stay or go together; without labels no row scores above 0.
     """
     model = fit(*labelled_sample(docs, labels, id_col=id_col, text_col=text_col))
+    tidy(docs.sparkSession)  # the sample was as large as the driver gets
     name = fresh("_toxic", docs)
     return with_score(docs, model, text_col, name).where(F.col(name) < threshold).select(*docs.columns)
 
