@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, htmltext, langid, licenses, lmscore, mixing, prefixhash, secrets, simhash, toxicity
+from tessera.llm import audit, decontaminate, htmltext, infill, langid, licenses, lmscore, mixing, packing, prefixhash, secrets, simhash, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_licenses": licenses.op8_licenses,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_packing": packing.op11_packing,
+        "op12_audit": audit.op12_audit,
+        "op13_infill": infill.op13_infill,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op7_mixing": mixing.oracle()}
+    return {"op7_mixing": mixing.oracle(), "op12_audit": audit.oracle(), "op13_infill": infill.oracle()}
