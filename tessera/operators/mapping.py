@@ -1,15 +1,20 @@
 """Chunks onto sections (M1-M8, J1-J7): similarity, reference graph, boost, model pass, cohesion.
 
 Inputs are chunks (doc_id, chunk_id, ...), a section table that is small by nature (a template; its size is checked) and
-scores (doc_id, chunk_id, node_idx, score).  Everything is keyed by doc_id; windows never span documents.
+scores: a table (doc_id, chunk_id, node_idx, score) of the pairs that don't score 0, or ``DenseScores``, which are worked out
+where they are needed.  Everything is keyed by doc_id; windows never span documents.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.vector import boosted, cosine, term_counts, text_norms
+from tessera.functions.vector import boosted, term_counts, text_norms
+from tessera.materialize import materialized
+from tessera.operators.dense import DenseScores
 
 # Least score of an assignment, the margin of a confident one, and what an edge adds.
 THRESHOLD = 0.3
@@ -27,10 +32,28 @@ def _template(sections: DataFrame) -> DataFrame:
     return F.broadcast(sections)
 
 
-def dense_scores(chunks: DataFrame, sections: DataFrame, vector: str = "embedding", section_vector: str = "embedding") -> DataFrame:
-    """Cosine of every chunk with every section (J1).  The section table must be a template, of at most ``MAX_SECTIONS``."""
-    s = _template(sections.select("node_idx", F.col(section_vector).alias("_s")))
-    return chunks.select("doc_id", "chunk_id", F.col(vector).alias("_c")).crossJoin(s).select("doc_id", "chunk_id", "node_idx", cosine(F.col("_c"), F.col("_s")).alias("score"))
+@dataclass
+class ScoreTable:
+    """Scores that are a table; a pair that isn't in it scores 0."""
+
+    scores: DataFrame
+
+    def best(self) -> DataFrame:
+        return best_section(self.scores)
+
+    def of(self, pairs: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+        return pairs.join(self.scores.select("doc_id", "chunk_id", "node_idx", "score"), ["doc_id", "chunk_id", "node_idx"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+Scores = DataFrame | ScoreTable | DenseScores
+
+
+def _scorer(scores: Scores) -> ScoreTable | DenseScores:
+    return ScoreTable(scores) if isinstance(scores, DataFrame) else scores
+
+
+#: Bytes of a template's terms up to which they are sent to every task.
+TERM_BYTES = 64 << 20
 
 
 def text_scores(chunks: DataFrame, sections: DataFrame, text: str = "content", section_text: str = "description") -> DataFrame:
@@ -38,7 +61,8 @@ def text_scores(chunks: DataFrame, sections: DataFrame, text: str = "content", s
     sections = _template(sections)
     keyed = chunks.withColumn("_k", F.struct("doc_id", "chunk_id"))
     a, b = term_counts(keyed, "_k", text), term_counts(sections, "node_idx", section_text).withColumnRenamed("id", "node_idx").withColumnRenamed("tf", "tf2")
-    dots = a.join(F.broadcast(b), "term").groupBy("id", "node_idx").agg(F.sum(F.col("tf") * F.col("tf2")).alias("dot"))
+    size = b.agg(F.sum(F.octet_length("term") + 24)).first()[0] or 0
+    dots = a.join(F.broadcast(b) if size <= TERM_BYTES else b, "term").groupBy("id", "node_idx").agg(F.sum(F.col("tf") * F.col("tf2")).alias("dot"))
     norms = text_norms(b.select(F.col("node_idx").alias("id"), "term", F.col("tf2").alias("tf"))).select(F.col("id").alias("node_idx"), F.col("norm").alias("norm2"))
     scored = dots.join(text_norms(a), "id").join(F.broadcast(norms), "node_idx")
     return scored.select("id.doc_id", "id.chunk_id", "node_idx", (F.col("dot") / (F.col("norm") * F.col("norm2"))).alias("score"))
@@ -61,23 +85,55 @@ def best_section(scores: DataFrame) -> DataFrame:
     return scores.groupBy("doc_id", "chunk_id").agg(best).select("doc_id", "chunk_id", (-F.col("m.n")).cast("int").alias("node_idx"), F.col("m.score").alias("score"))
 
 
-def graph_boost(scores: DataFrame, edges: DataFrame, threshold: float = THRESHOLD, boost: float = BOOST) -> DataFrame:
-    """Scores raised where a chunk refers to one that is confidently placed.
+def boost_corrections(best: DataFrame, scores: Scores, edges: DataFrame, threshold: float = THRESHOLD, boost: float = BOOST, chunks: DataFrame | None = None) -> DataFrame:
+    """Rows (doc_id, chunk_id, node_idx, times, score): the pairs whose score a reference raises, and to what.
 
-    The confident ones are fixed before any boost; each edge counts once, two edges into a section twice, up to 1.
+    A reference to a chunk that is confidently placed raises the section of that one.  The confident are fixed before any
+    boost; each edge counts once, two edges into a section twice, up to 1.  There are at most as many pairs as edges, and only
+    they are shuffled, with the vectors of ``chunks``, those that refer to others, where scores are dense.
     """
-    sure = best_section(scores).where(F.col("score") >= threshold + CONFIDENT).select("doc_id", F.col("chunk_id").alias("dst"), "node_idx")
+    sure = best.where(F.col("score") >= threshold + CONFIDENT).select("doc_id", F.col("chunk_id").alias("dst"), "node_idx")
     times = edges.join(sure, ["doc_id", "dst"]).groupBy("doc_id", F.col("src").alias("chunk_id"), "node_idx").agg(F.count(F.lit(1)).alias("times"))
-    joined = scores.join(times, ["doc_id", "chunk_id", "node_idx"], "left")
-    return joined.select("doc_id", "chunk_id", "node_idx", boosted(F.col("score"), F.col("times"), boost).alias("score"))
+    found = _scorer(scores).of(times, chunks)
+    return found.select("doc_id", "chunk_id", "node_idx", "times", boosted(F.col("score"), F.col("times"), boost).alias("score"))
 
 
-def assign(chunks: DataFrame, scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def graph_boost(scores: Scores, edges: DataFrame, threshold: float = THRESHOLD, boost: float = BOOST, chunks: DataFrame | None = None) -> DataFrame:
+    """Rows (doc_id, chunk_id, node_idx, score) of each chunk's best section after the boost.
+
+    A boost never lowers a score: so the best is the better of what was best and of what was raised, and no other score is
+    needed.  What was best is written once, as the boost starts from it.
+    """
+    best = materialized(_scorer(scores).best().select("doc_id", "chunk_id", "node_idx", "score"))
+    raised = boost_corrections(best, scores, edges, threshold, boost, chunks).drop("times")
+    return best_section(best.unionByName(raised))
+
+
+def assign(chunks: DataFrame, scores: Scores, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (doc_id, chunk_id, node_idx, assignment_score, method): the best section from the threshold on, else orphan."""
-    best = best_section(scores)
+    if isinstance(scores, DenseScores):  # every chunk has its row
+        return placed(scores.best(), threshold)
+    return placed(chunks.select("doc_id", "chunk_id").join(_scorer(scores).best(), ["doc_id", "chunk_id"], "left"), threshold)
+
+
+def placed(best: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Assignments from each chunk's best section (doc_id, chunk_id, node_idx, score), null where there is none."""
+    there = F.coalesce(F.col("score") >= threshold, F.lit(False))
+    return best.select("doc_id", "chunk_id", F.when(there, F.col("node_idx")).alias("node_idx"), F.coalesce("score", F.lit(0.0)).alias("assignment_score"), F.when(there, "semantic").otherwise("orphan").alias("method"))
+
+
+def assign_boosted(chunks: DataFrame, scores: Scores, edges: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Assignments after the boost; ``chunks`` are those of the scores, and say in ``metadata.refs`` which refer to others."""
+    best = graph_boost(scores, edges, threshold, chunks=_referring(scores))
     rows = chunks.select("doc_id", "chunk_id").join(best, ["doc_id", "chunk_id"], "left")
-    placed = F.coalesce(F.col("score") >= threshold, F.lit(False))
-    return rows.select("doc_id", "chunk_id", F.when(placed, F.col("node_idx")).alias("node_idx"), F.coalesce("score", F.lit(0.0)).alias("assignment_score"), F.when(placed, "semantic").otherwise("orphan").alias("method"))
+    return placed(rows, threshold)
+
+
+def _referring(scores: Scores) -> DataFrame | None:
+    """Of dense scores' chunks those that refer to others, if they say so."""
+    if isinstance(scores, DenseScores) and "metadata" in scores.chunks.columns:
+        return scores.chunks.where(F.size("metadata.refs") > 0)
+    return None
 
 
 def model_rescue(assigned: DataFrame, replies: DataFrame, sections: DataFrame) -> DataFrame:
@@ -128,10 +184,10 @@ def with_rank(assigned: DataFrame) -> DataFrame:
     return assigned.withColumn("rank_in_node", F.struct(group.cast("int").alias("group"), anchor.cast("int").alias("anchor"), F.col("chunk_id").cast("int").alias("chunk_id")))
 
 
-def map_chunks(chunks: DataFrame, scores: DataFrame, sections: DataFrame | None = None, replies: DataFrame | None = None, threshold: float = THRESHOLD, literal: bool = False) -> DataFrame:
+def map_chunks(chunks: DataFrame, scores: Scores, sections: DataFrame | None = None, replies: DataFrame | None = None, threshold: float = THRESHOLD, literal: bool = False) -> DataFrame:
     """Assignments with ranks: boost, best section, model pass if there are replies, cohesion (M2).  No chunks give none."""
     edges = reference_edges(chunks, literal)
-    assigned = assign(chunks, graph_boost(scores, edges, threshold), threshold)
+    assigned = assign_boosted(chunks, scores, edges, threshold)
     if replies is not None:
         assigned = model_rescue(assigned, replies, sections)
     return with_rank(cohesion(assigned, edges))

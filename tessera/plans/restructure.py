@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.effects import EchoModel, GuardedModel, LanguageModel
+from tessera.functions.effects import EchoModel, Embedder, GuardedModel, LanguageModel, embed
 from tessera.materialize import materialized
 from tessera.operators import analysis, chunk, combine, mapping, process, render
+from tessera.operators.dense import DenseScores
 from tessera.sources import templates
 
 STAGES = ("chunk", "map", "all")
@@ -17,7 +18,8 @@ STAGES = ("chunk", "map", "all")
 
 @dataclass
 class Options:
-    """``stage``: where to stop; ``split``: long paragraphs by the model; ``remediate``: orphans by the model."""
+    """``stage``: where to stop; ``split``: long paragraphs by the model; ``remediate``: orphans by the model; ``embedder``:
+    what chunks and sections are compared by, instead of by their terms."""
 
     stage: str = "all"
     fmt: str = "latex"
@@ -26,6 +28,7 @@ class Options:
     polish: bool = True
     critique: bool = False
     threshold: float = mapping.THRESHOLD
+    embedder: Embedder | None = None
 
 
 def chunks_of(docs: DataFrame, model: LanguageModel, options: Options, paragraphs: DataFrame | None = None) -> DataFrame:
@@ -36,10 +39,10 @@ def chunks_of(docs: DataFrame, model: LanguageModel, options: Options, paragraph
 
 
 def map_documents(chunks: DataFrame, sections: DataFrame, model: LanguageModel, options: Options) -> DataFrame:
-    """Assignments with ranks, by term similarity; orphans are asked for where ``remediate`` is set."""
-    scores = mapping.text_scores(chunks, sections)
+    """Assignments with ranks, by term similarity or by an embedder; orphans are asked for where ``remediate`` is set."""
+    scores: mapping.Scores = embedded_scores(chunks, sections, options.embedder) if options.embedder else mapping.text_scores(chunks, sections)
     edges = materialized(mapping.reference_edges(chunks))
-    assigned = mapping.assign(chunks, mapping.graph_boost(scores, edges, options.threshold), options.threshold)
+    assigned = mapping.assign_boosted(chunks, scores, edges, options.threshold)
     if options.remediate:
         assigned = materialized(assigned)
         details = "\n".join(f"- {r['path_key']}: {r['description'] or ''}" for r in sections.orderBy("node_idx").collect())
@@ -48,6 +51,12 @@ def map_documents(chunks: DataFrame, sections: DataFrame, model: LanguageModel,
     return materialized(mapping.with_rank(mapping.cohesion(assigned, edges)))
 
 
+def embedded_scores(chunks: DataFrame, sections: DataFrame, embedder: Embedder) -> DenseScores:
+    """Scores by an embedder's vectors of the chunks' texts and of the sections' descriptions, which are made once each."""
+    theirs = materialized(chunks.select("doc_id", "chunk_id", "metadata", embed(F.col("content"), embedder).alias("embedding")))
+    return DenseScores(theirs, materialized(sections.select("node_idx", embed(F.coalesce("description", "title"), embedder).alias("embedding"))))
+
+
 def section_nodes(chunks: DataFrame, assigned: DataFrame, sections: DataFrame) -> DataFrame:
     """Nodes (doc_id, path, sort_key, content, generative) of every document: the whole template, filled where chunks fell."""
     filled = mapping.node_contents(chunks, assigned)
