@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.prefix import running
+
 #: Elements that a report compares, with the name of their count.
 ELEMENTS = ("sections", "figure", "table", "equation")
 
@@ -102,8 +104,9 @@ def validation_stats(results: DataFrame, by: list[str] | None = None) -> DataFra
 
 
 def running_mean(results: DataFrame, by: list[str], order: str, value: str = "similarity") -> DataFrame:
-    """The mean up to each row."""
-    return results.withColumn("running_mean", F.avg(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    """The mean up to each row (W9), of the values that are there; running sums in two levels."""
+    rows = running(results.withColumn("_there", F.col(value).isNotNull().cast("long")), by, [F.col(order)], {"_sum": value, "_many": "_there"})
+    return rows.withColumn("running_mean", F.col("_sum") / F.nullif(F.col("_many"), F.lit(0))).drop("_there", "_n", "_sum", "_many")
 
 
 def contributions(used: DataFrame, section: str = "section", chunk: str = "chunk_id") -> tuple[DataFrame, DataFrame]:

@@ -1,7 +1,7 @@
 """Context budgets (C9, C12-C16, A8): ranked texts cut to a number of characters.
 
-Budgets are running sums over a ranked window: lengths aren't negative, so what fits before the first that doesn't is a
-prefix.  ``add_context`` depends on what was added before and is a fold over one key's items, in the order of time.
+Budgets are running sums by rank, in two levels (``prefix``): lengths aren't negative, so what fits before the first that
+doesn't is a prefix, and only for that are texts fetched.  ``add_context`` depends on what was added before and is a fold over one key's items, in the order of time.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import head
 from tessera.functions.vector import combined_score, recency, retention_score
+from tessera.operators.prefix import fetch, running
 
 # The budget, the separator's length, the least part of a text, sizes of excerpts.
 MAX_CONTEXT = 2000
@@ -33,31 +34,40 @@ def build_context(scored: DataFrame, by: list[str], text: str = "text", score: s
     """
     if max_length is None or literal and not max_length:
         max_length = MAX_CONTEXT
-    rows = scored.where(F.col(text).rlike(r"\S")).withColumn("_len", F.length(text))
-    order = Window.partitionBy(*by).orderBy(F.desc(score), position)
-    rows = rows.withColumn("_n", F.row_number().over(order))
-    rows = rows.withColumn("_sum", F.sum("_len").over(order.rowsBetween(Window.unboundedPreceding, 0)) + 2 * (F.col("_n") - 1))
-    rows = rows.withColumn("_over", F.sum((F.col("_sum") > max_length).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    remaining = max_length - (F.col("_sum") - F.col("_len"))
-    part = F.when(F.col("_over") == 0, F.col(text)).when((F.col("_over") == 1) & (F.col("_sum") > max_length) & (remaining > LEAST_PART), F.concat(F.left(F.col(text), remaining), F.lit("...")))
-    kept = rows.withColumn("_part", part).where("_part is not null")
-    whole = kept.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_part"))), lambda x: x["_part"]), SEPARATOR).alias("context"))
+    there = scored.where(F.col(text).rlike(r"\S"))
+    mark = F.xxhash64(text)
+    sized = there.select(*by, F.col(score).alias("_score"), F.col(position).alias("_at"), mark.alias("_mark"), F.length(text).alias("_len"))
+    rows = running(sized, by, [F.desc("_score"), F.col("_at"), F.col("_mark")], {"_sum": "_len"})
+    end = F.col("_sum") + 2 * (F.col("_n") - 1)
+    before = F.when(F.col("_n") > 1, end - F.col("_len") - 2).otherwise(0)
+    left = max_length - (end - F.col("_len"))
+    kept = rows.where((end <= max_length) | (before <= max_length) & (left > LEAST_PART)).select(*by, "_n", "_at", "_mark", F.when(end > max_length, left).alias("_left"))
+    texts = there.select(*by, F.col(position).alias("_at"), mark.alias("_mark"), F.col(text).alias("_text"))
+    found = fetch(kept, texts, [*by, "_at", "_mark"], ["_text"])
+    part = F.when(F.col("_left").isNull(), F.col("_text")).otherwise(F.concat(F.left("_text", F.col("_left").cast("int")), F.lit("...")))
+    whole = found.withColumn("_part", part).groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_part"))), lambda x: x["_part"]), SEPARATOR).alias("context"))
     return whole.withColumn("context", F.when(F.length("context") > max_length, F.concat(F.left("context", F.lit(max_length - 3)), F.lit("..."))).otherwise(F.col("context")))
 
 
 def prune(items: DataFrame, by: list[str], max_length: int = MAX_CONTEXT, position: str = "position") -> DataFrame:
     """Items that stay (C13, W4): all if they fit, else the best by retention before the first that doesn't fit.
 
-    ``kept_rank`` orders them: by retention if something had to go, else as they came.
+    ``kept_rank`` orders them: by retention if something had to go, else as they came.  Only lengths and ranks are summed;
+    the items themselves are fetched for those that stay.  A null content has no length.
     """
-    whole = Window.partitionBy(*by)
-    rows = items.withColumn("_len", F.length("content")).withColumn("_total", F.sum("_len").over(whole)).withColumn("retention", retention_score(F.col("importance_score"), F.col("relevance_score"), F.col("usage_count")))
-    order = whole.orderBy(F.desc("retention"), position)
-    running = F.sum("_len").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_sum", running).withColumn("_rank", F.row_number().over(order)).withColumn("_came", F.row_number().over(whole.orderBy(position)))
-    fits = F.col("_total") <= max_length
-    kept = rows.where(fits | (F.col("_sum") <= max_length))
-    return kept.withColumn("kept_rank", F.when(F.col("_total") <= max_length, F.col("_came")).otherwise(F.col("_rank"))).drop("_len", "_total", "_sum", "_rank", "_came")
+    items = items.drop("retention", "kept_rank")
+    mark = F.xxhash64(*items.columns)
+    sized = items.select(*by, F.col(position).alias("_at"), mark.alias("_mark"), F.coalesce(F.length("content"), F.lit(0)).alias("_len"), retention_score(F.col("importance_score"), F.col("relevance_score"), F.col("usage_count")).alias("retention"))
+    total = sized.groupBy(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)]).agg(F.sum("_len").alias("_total"))
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{k}"))
+    sized = sized.join(total, same).withColumn("_fits", F.col("_total") <= max_length).select(*by, "_at", "_mark", "_len", "retention", "_fits")
+    rows = running(sized, [*by, "_fits"], [F.desc(F.when(~F.col("_fits"), F.col("retention"))), F.col("_at"), F.col("_mark")], {"_sum": "_len"}, "kept_rank")
+    kept = rows.where(F.col("_fits") | (F.col("_sum") <= max_length)).drop("_len", "_fits", "_sum")
+    others = [c for c in items.columns if c not in (*by, position)]
+    found = fetch(kept, items.select(*by, F.col(position).alias("_at"), mark.alias("_mark"), *others), [*by, "_at", "_mark"], others)
+    return found.withColumnRenamed("_at", position).select(*items.columns, "retention", "kept_rank")
 
 
 def document_context(items: DataFrame, by: list[str], position: str = "position") -> DataFrame:
@@ -107,7 +117,7 @@ def text_cosine(a: str, b: str) -> float:
 
 
 class ContextStore:
-    """Items of one key; state between batches is ``items`` alone, bounded by the budget after each addition."""
+    """Items of one key; bounded by the budget after each addition (C12), scored by queries."""
 
     def __init__(self, items: list[dict] | None = None, max_length: int = MAX_CONTEXT):
         self.items, self.max_length = list(items or []), max_length
@@ -116,9 +126,9 @@ class ContextStore:
         ordered = sorted(self.items, key=lambda i: -i["importance_score"])
         return SEPARATOR.join(i["content"][:SUMMARY] + "..." if len(i["content"]) > SUMMARY else i["content"] for i in ordered)
 
-    def add(self, content: str, section_name: str, importance: float, context_type: str) -> dict:
+    def add(self, content: str, section_name: str, importance: float, context_type: str, at: float = 0.0) -> dict:
         before = self.context()
-        item = {"content": content, "section_name": section_name, "importance_score": importance, "context_type": context_type, "usage_count": 0, "relevance_score": text_cosine(content, before) if before else 0.0}
+        item = {"content": content, "section_name": section_name, "importance_score": importance, "context_type": context_type, "at": at, "usage_count": 0, "relevance_score": text_cosine(content, before) if before else 0.0}
         self.items.append(item)
         if sum(len(i["content"]) for i in self.items) > self.max_length:
             ranked = sorted(self.items, key=lambda i: -(i["importance_score"] * 0.4 + i["relevance_score"] * 0.4 + min(i["usage_count"] / 10, 0.2)))
@@ -130,24 +140,78 @@ class ContextStore:
                 self.items.append(i)
         return item
 
+    def ask(self, query: str, at: float, k: int = 5) -> str:
+        """The k best items for a query at a time in seconds, formatted; every item counts as used once more."""
+        scored = []
+        for i in self.items:
+            fresh = max(0.1, 1 - (at - i["at"]) / 3600 / 24)
+            scored.append((text_cosine(query, i["content"]) * 0.6 + i["importance_score"] * 0.3 + fresh * 0.1, i))
+            i["usage_count"] += 1
+        scored.sort(key=lambda x: -x[0])
+        parts = (f"[{i['context_type'].upper()}{' (' + i['section_name'] + ')' if i['section_name'] else ''}]: {i['content'][:EXCERPT]}" for _, i in scored[:k])
+        return SEPARATOR.join(parts)
 
-ADDED = "key string, seq long, relevance_score double, n_items long, total_chars long"
+    def size(self) -> int:
+        return sum(len(i["content"]) for i in self.items)
 
 
-def add_context(items: DataFrame, max_length: int = MAX_CONTEXT) -> DataFrame:
-    """Each addition (key, seq, content, section_name, importance_score, context_type) with its relevance to what was there
-    and the state after it (C12).  A key's items are read in batches, sorted; only the pruned store is kept in memory."""
+#: What a store is told: an addition, or with ``kind`` "ask" a query, whose text is the content.
+EVENTS = "key string, seq long, kind string, content string, section_name string, importance_score double, context_type string, at double"
+#: What it answers: to an addition its relevance, to a query the context; then items, characters and uses in the store, and
+#: how many items the section of the addition has had.
+ANSWERS = "key string, seq long, kind string, relevance_score double, context string, n_items long, total_chars long, uses long, in_section long"
+
+
+def event_rows(events: DataFrame) -> DataFrame:
+    """``events`` with the columns of ``EVENTS``; those that may be left out: kind (add) and at (0)."""
+    there = set(events.columns)
+    kind = F.coalesce("kind", F.lit("add")) if "kind" in there else F.lit("add")
+    at = F.coalesce(F.col("at").cast("double"), F.lit(0.0)) if "at" in there else F.lit(0.0)
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return events.select(F.col("key").cast("string").alias("key"), F.col("seq").cast("long").alias("seq"), kind.alias("kind"), text("content"), text("section_name"), F.coalesce(F.col("importance_score").cast("double"), F.lit(0.0)).alias("importance_score"), text("context_type"), at.alias("at"))
+
+
+def answer(store: ContextStore, count_section, r) -> tuple:
+    """A store's answer to an event, without key and seq; ``count_section(name)`` counts an addition to a section."""
+    if r.kind == "ask":
+        relevance, text, n = None, store.ask(r.content, r.at), None
+    else:
+        relevance, text = store.add(r.content, r.section_name, r.importance_score, r.context_type, r.at)["relevance_score"], None
+        n = count_section(r.section_name) if r.section_name else None
+    return r.kind, relevance, text, len(store.items), store.size(), sum(i["usage_count"] for i in store.items), n
+
+
+def run_store(events: DataFrame, max_length: int = MAX_CONTEXT) -> DataFrame:
+    """Rows of ``ANSWERS``: each key's events, told to its store in the order of ``seq``.
+
+    What an item is worth depends on all that was kept before it, so a key is a fold: its events come sorted, batch by batch,
+    and only the store, bounded by the budget, and a number for each section are held.  Nulls count as empty, zero or add.
+    """
+    names = [c.split()[0] for c in ANSWERS.split(", ")]
 
     def fold(batches):
-        key, store = None, None
+        key, store, sections = None, None, Counter()
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
                 if store is None or r.key != key:
-                    key, store = r.key, ContextStore(max_length=max_length)
-                item = store.add(r.content or "", r.section_name or "", float(r.importance_score), r.context_type or "")
-                rows.append((r.key, r.seq, item["relevance_score"], len(store.items), sum(len(i["content"]) for i in store.items)))
-            yield pd.DataFrame(rows, columns=["key", "seq", "relevance_score", "n_items", "total_chars"])
+                    key, store, sections = r.key, ContextStore(max_length=max_length), Counter()
+
+                def count(name, sections=sections):
+                    sections[name] += 1
+                    return sections[name]
+
+                rows.append((r.key, r.seq, *answer(store, count, r)))
+            made = pd.DataFrame(rows, columns=names)
+            yield made.assign(in_section=made["in_section"].astype("Int64"), relevance_score=made["relevance_score"].astype("float64"))
+
+    return event_rows(events).repartition("key").sortWithinPartitions("key", "seq").mapInPandas(fold, ANSWERS)
+
 
-    rows = items.select(F.col("key").cast("string").alias("key"), F.col("seq").cast("long").alias("seq"), "content", "section_name", "importance_score", "context_type")
-    return rows.repartition("key").sortWithinPartitions("key", "seq").mapInPandas(fold, ADDED)
+ADDED = "key string, seq long, relevance_score double, n_items long, total_chars long"
+
+
+def add_context(items: DataFrame, max_length: int = MAX_CONTEXT) -> DataFrame:
+    """Each addition (key, seq, content, section_name, importance_score, context_type) with its relevance to what was there
+    and the state after it (C12); see ``run_store``."""
+    return run_store(items.drop("kind"), max_length).select("key", "seq", "relevance_score", "n_items", "total_chars")
