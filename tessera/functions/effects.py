@@ -20,7 +20,6 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from tessera.errors import ModelError
 
@@ -212,25 +211,7 @@ def ask(prompt: Column, model: LanguageModel, system: str | None = None) -> Colu
 
 
 def breaker_decisions(events: DataFrame, key: str, order: list[str], at: str, outcome: str, threshold: int = FAILURES, timeout: float = TIMEOUT) -> DataFrame:
-    """Whether each call of a key was allowed, given the calls before it (X5), with the state before it.
+    """See ``operators.breaker.decisions``."""
+    from tessera.operators.breaker import decisions
 
-    ``outcome``: ``fail``, ``success`` or ``allow`` (a question that changes nothing); ``at``: seconds.  A refused call changes
-    nothing either.  A key's calls are read in order, batch by batch, with the breaker's three numbers as the only state.
-    """
-    kept = events.select(key, *order, F.col(outcome).alias("outcome"), F.col(at).cast("double").alias("_at"))
-    shape = StructType([*kept.drop("_at").schema.fields, StructField("allowed", BooleanType()), StructField("open", BooleanType()), StructField("failures", IntegerType())])
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, last, breaker = [0.0], None, None
-        for batch in batches:
-            allowed, opened, failures = [], [], []
-            for k, t, what in zip(batch[key], batch["_at"], batch["outcome"], strict=True):
-                if breaker is None or k != last:
-                    last, breaker = k, CircuitBreaker(threshold, timeout, lambda: now[0])
-                now[0] = t
-                allowed.append(breaker.allow()), opened.append(breaker.opened), failures.append(breaker.failures)
-                if allowed[-1] and what != "allow":
-                    breaker.failure() if what == "fail" else breaker.success()
-            yield batch.drop(columns="_at").assign(allowed=allowed, open=opened, failures=failures)
-
-    return kept.repartition(key).sortWithinPartitions(key, *order).mapInPandas(fold, shape)
+    return decisions(events, key, order, at, outcome, threshold, timeout)
