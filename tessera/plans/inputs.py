@@ -59,10 +59,11 @@ def centroids(spark, d) -> DataFrame:
     return means.groupBy(F.col("label").cast("int").alias("node_idx")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "a"))), lambda s: s["a"]).alias("embedding"))
 
 
-def vector_scores(spark, d) -> DataFrame:
-    from tessera.operators.mapping import dense_scores
+def vector_scores(spark, d):
+    """Scores of the vectors with the mean vectors."""
+    from tessera.operators.dense import DenseScores
 
-    return dense_scores(vectors(spark, d), centroids(spark, d))
+    return DenseScores(vectors(spark, d), centroids(spark, d))
 
 
 EDGES_SQL = "edges as (select doc_id, chunk_id as src, (chunk_id * 7 + 3) % 11 as dst, 0 as ref_pos from v)"

@@ -88,9 +88,15 @@ ORACLES["map_argmax"] = f"with {VECTORS_SQL}, {_BEST} select doc_id, chunk_id, n
 ORACLES["map_orphans"] = f"with {VECTORS_SQL}, {_BEST} select case when score >= 0.3 then 'semantic' else 'orphan' end as method, case when score >= 0.3 then node_idx else -1 end as node_idx, count(*) as n, round(max(score), 6) as best from best group by all"
 ORACLES["reference_edges"] = """with l as (select l_orderkey as doc_id, l_partkey % 7 as label, max(l_linenumber - 1)::int as dst from lineitem group by all)
 select distinct r.l_orderkey as doc_id, (r.l_linenumber - 1)::int as src, l.dst from lineitem r join l on l.doc_id = r.l_orderkey and l.label = r.l_suppkey % 7"""
-ORACLES["graph_boost"] = f"""with {VECTORS_SQL}, {_BEST}, {EDGES_SQL},
-times as (select e.doc_id, e.src as chunk_id, b.node_idx, count(*) as n from edges e join best b on b.doc_id = e.doc_id and b.chunk_id = e.dst where b.score >= 0.3 group by all)
-select s.doc_id, s.chunk_id, s.node_idx, round(case when n > 0 then least(1.0, score + 0.5 * n) else score end, 6) as score from scores s left join times t using (doc_id, chunk_id, node_idx)"""
+ORACLES["map_second"] = f"""with {VECTORS_SQL}, ranked as (select *, row_number() over (partition by doc_id, chunk_id order by score desc, node_idx) as k from scores)
+select a.doc_id, a.chunk_id, a.node_idx, b.node_idx as second_idx, round(b.score, 6) as second_score, round(a.score - b.score, 6) as margin from ranked a left join ranked b on b.doc_id = a.doc_id and b.chunk_id = a.chunk_id and b.k = 2 where a.k = 1"""
+_TIMES = f"""with {VECTORS_SQL.replace("scores as materialized", "plain as materialized")}, {EDGES_SQL},
+first as (select doc_id, chunk_id, node_idx, score from (select *, row_number() over (partition by doc_id, chunk_id order by score desc, node_idx) as k from plain) where k = 1),
+times as (select e.doc_id, e.src as chunk_id, b.node_idx, count(*) as times from edges e join first b on b.doc_id = e.doc_id and b.chunk_id = e.dst where b.score >= 0.3 group by all)"""
+ORACLES["graph_boost"] = f"""{_TIMES},
+scores as (select s.doc_id, s.chunk_id, s.node_idx, case when times > 0 then least(1.0, score + 0.5 * times) else score end as score from plain s left join times t using (doc_id, chunk_id, node_idx)),
+{_BEST} select doc_id, chunk_id, node_idx, round(score, 6) as score from best"""
+ORACLES["graph_corrections"] = f"{_TIMES} select doc_id, chunk_id, node_idx, times, round(least(1.0, score + 0.5 * times), 6) as score from times join plain using (doc_id, chunk_id, node_idx)"
 _PLACED = f"{VECTORS_SQL}, {_BEST}, {EDGES_SQL}, placed as (select doc_id, chunk_id, case when score >= 0.15 then node_idx end as node_idx from best)"
 _NEAR = """near as (select doc_id, chunk_id, a as node_idx from (select *, lag(node_idx) over w as a, lead(node_idx) over w as b, lag(chunk_id) over w as ia, lead(chunk_id) over w as ib from placed window w as (partition by doc_id order by chunk_id))
   where node_idx is null and a = b and ia = chunk_id - 1 and ib = chunk_id + 1)"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import effects, text, vector
 from tessera.materialize import shared_folder
-from tessera.operators import analysis, chunk, combine, context, mapping, process, render
+from tessera.operators import analysis, breaker, chunk, combine, context, mapping, process, render
 from tessera.plans import inputs
 from tessera.plans.inputs import table
 from tessera.plans.restructure import Options, restructure
@@ -97,7 +97,13 @@ def tree_outline(spark, d) -> DataFrame:
 
 # --- mapping ----------------------------------------------------------------------------------------------------------
 def map_argmax(spark, d) -> DataFrame:
-    return mapping.best_section(inputs.vector_scores(spark, d)).select("doc_id", "chunk_id", "node_idx", R("score").alias("score"))
+    return inputs.vector_scores(spark, d).best().select("doc_id", "chunk_id", "node_idx", R("score").alias("score"))
+
+
+def map_second(spark, d) -> DataFrame:
+    """By how much each chunk's best section is better than the next."""
+    found = inputs.vector_scores(spark, d).best()
+    return found.select("doc_id", "chunk_id", "node_idx", "second_idx", R("second_score").alias("second_score"), R(F.col("score") - F.col("second_score")).alias("margin"))
 
 
 def map_orphans(spark, d) -> DataFrame:
@@ -110,10 +116,18 @@ def reference_edges(spark, d) -> DataFrame:
 
 
 def graph_boost(spark, d) -> DataFrame:
+    """Each chunk's best section after the boost."""
     found = mapping.graph_boost(inputs.vector_scores(spark, d), inputs.vector_edges(spark, d), threshold=0.0)
     return found.select("doc_id", "chunk_id", "node_idx", R("score").alias("score"))
 
 
+def graph_corrections(spark, d) -> DataFrame:
+    """The scores that the boost raises."""
+    scores = inputs.vector_scores(spark, d)
+    found = mapping.boost_corrections(scores.best(), scores, inputs.vector_edges(spark, d), threshold=0.0)
+    return found.select("doc_id", "chunk_id", "node_idx", "times", R("score").alias("score"))
+
+
 def _assigned(spark, d) -> DataFrame:
     return mapping.assign(inputs.vectors(spark, d), inputs.vector_scores(spark, d), 0.15)
 
@@ -415,7 +429,7 @@ def embed_texts(spark, d) -> DataFrame:
 def circuit_breaker(spark, d) -> DataFrame:
     events = table(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_type")
     events = events.select("user_id", "event_id", (F.col("us") / 1e6).alias("at"), F.when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "view", "allow").otherwise("success").alias("outcome"))
-    return effects.breaker_decisions(events, "user_id", ["event_id"], "at", "outcome", threshold=2, timeout=86400.0)
+    return breaker.decisions(events, "user_id", ["event_id"], "at", "outcome", threshold=2, timeout=86400.0)
 
 
 def recombined(spark, d) -> DataFrame:
@@ -501,6 +515,32 @@ def breaker_stream(spark, d) -> DataFrame:
     return spark.read.schema(state.DECISIONS).parquet(f"{at}/out").select(F.col("key").cast("long").alias("user_id"), F.col("seq").alias("event_id"), "outcome", "allowed", "failures")
 
 
+def _store_events(spark, d) -> DataFrame:
+    """Events as what each user's context store is told: every fifth is a query."""
+    kind = F.when(F.col("position") % 5 == 4, "ask").otherwise("add")
+    return inputs.context_items(spark, d).select(F.col("user_id").cast("string").alias("key"), F.col("position").cast("long").alias("seq"), kind.alias("kind"), "content", "section_name", "importance_score", "context_type", (F.unix_micros(F.col("timestamp").cast("timestamp")) / 1e6).alias("at"))
+
+
+def _answers(found: DataFrame) -> DataFrame:
+    return found.select(F.col("key").cast("long").alias("user_id"), F.col("seq").alias("event_id"), "kind", R("relevance_score").alias("relevance_score"), "context", "n_items", "total_chars", "uses", "in_section")
+
+
+def store_answers(spark, d) -> DataFrame:
+    """Additions to and queries of each user's context store, with the uses that the queries count."""
+    return _answers(context.run_store(_store_events(spark, d), 300))
+
+
+def store_stream(spark, d) -> DataFrame:
+    """The same on a stream of events, in batches, with the stores as state between them."""
+    at = _folder(spark)
+    events = _store_events(spark, d)
+    events.repartitionByRange(3, "seq").write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    write = state.store_stream(stream, 300).writeStream.outputMode("update").option("checkpointLocation", f"{at}/state")
+    write.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{at}/out/batch={n}")).trigger(availableNow=True).start().awaitTermination()
+    return _answers(spark.read.schema(context.ANSWERS).parquet(f"{at}/out"))
+
+
 def validation_stream(spark, d) -> DataFrame:
     """Validation statistics on a stream of events by type."""
     at = _folder(spark)
@@ -514,10 +554,10 @@ def validation_stream(spark, d) -> DataFrame:
 
 QUERIES = [
     content_quality, chunk_paragraphs, section_marker_split, section_marker_chunks, chunks_grouped_by_section, ungrouped_chunks, markdown_chunks, paragraph_table_chunks, latex_chunks, long_chunk_split, tex_preprocess, section_markers,
-    template_skeleton, skeleton_flatten, tree_outline, map_argmax, map_orphans, reference_edges, graph_boost, neighbor_rescue, graph_rescue, cohesion, model_rescue, text_map, node_contents,
+    template_skeleton, skeleton_flatten, tree_outline, map_argmax, map_second, map_orphans, reference_edges, graph_boost, graph_corrections, neighbor_rescue, graph_rescue, cohesion, model_rescue, text_map, node_contents,
     format_enforce_latex, format_enforce_markdown, format_issues, section_summary, response_validation, regex_matches, prompts_and_replies, file_names, main_files, include_resolution, session_ids,
     preservation_batch, text_coherence, validation_stats, running_mean, coherence_by_label, item_scores, build_context, context_prune, relevant_context, document_context, context_stats, section_index, add_context,
     element_counts, preservation_report, structure_change, quality_score, quality_report, contribution_report, contribution_summary, preserved_elements,
     combine_robust, combine_merge, combine_append, tree_overlap, tree_only_new, tree_weave, tree_graft, render_latex, render_markdown, render_json, full_text, transitions, process_tree, polish, embed_texts, circuit_breaker, recombined, restructured,
-    process_node, mapped_groups, map_whole, regex_groups, node_files, final_documents, session_log, stage_checkpoint, latest_documents, section_details, breaker_stream, validation_stream,
+    process_node, mapped_groups, map_whole, regex_groups, node_files, final_documents, session_log, stage_checkpoint, latest_documents, section_details, breaker_stream, validation_stream, store_answers, store_stream,
 ]

@@ -51,6 +51,34 @@ def test_context_stream(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, add_context(rows, 300).collect()))
 
 
+def test_store_stream_is_the_batch(spark, tmp_path):
+    """Additions and queries of several keys in batches: usage counts, sections and contexts are those of one fold."""
+    import random
+
+    from tessera.operators.context import EVENTS, ContextStore, run_store
+
+    rng = random.Random(8)
+    words = "alpha beta gamma delta omega".split()
+    rows = [(f"k{n % 3}", n, "ask" if n % 4 == 3 else None, " ".join(rng.choices(words, k=rng.randint(0, 12))), rng.choice(["s", "t", ""]), rng.random(), "note", 1000.0 * n) for n in range(90)]
+    frame = spark.createDataFrame(rows, EVENTS)
+    want = {(r["key"], r["seq"]): tuple(r) for r in run_store(frame, 200).collect()}
+    store, seen = ContextStore(max_length=200), {}
+    for key, seq, kind, text, section, importance, type_, at in rows:
+        if key == "k0":
+            store.ask(text, at) if kind else store.add(text, section, importance, type_, at)
+            if not kind and section:
+                seen[section] = seen.get(section, 0) + 1
+            got = want[key, seq]
+            assert got[5:8] == (len(store.items), store.size(), sum(i["usage_count"] for i in store.items)) and got[8] == (seen[section] if not kind and section else None)
+    assert any(r[4] for r in want.values()) and max(r[7] for r in want.values()) > 3
+    for part in (frame.where("seq < 40"), frame.where("seq >= 40")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in"))
+        q = state.store_stream(stream, 200).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).foreachBatch(lambda df, n: df.write.mode("append").parquet(str(tmp_path / "out"))).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+    assert {(r["key"], r["seq"]): tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+
+
 def test_retries():
     waits, calls = [], iter(["short", RuntimeError("x"), "a long enough answer"])
 
