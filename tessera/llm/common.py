@@ -7,7 +7,7 @@ import tempfile
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Folds by crc32(doc_id as text).
@@ -68,6 +68,13 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), kept._jdf.schema(), False), spark)
 
 
+def counted(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
+    """The same rows as ``cut`` gives, and aggregates of them, all in one job."""
+    seen = Observation()
+    kept = cut(df.observe(seen, *[c.alias(name) for name, c in figures.items()]))
+    return kept, seen.get
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files and checkpoints that nothing refers to any more.
 
@@ -117,26 +124,29 @@ def running(values: Column, combine) -> Column:
     return let(values, lambda a: F.when(F.size(a) <= 32, piece(a)).otherwise(let(pieces(a), joined)))
 
 
-def checksum(df: DataFrame, *cols: str) -> tuple:
-    """Count and order-free checksum of rows."""
+def checksum(*cols: str) -> dict[str, Column]:
+    """Aggregates that give the count and an order-free checksum of rows."""
     mixed = F.xxhash64(*cols)
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftrightunsigned(mixed, 33)).alias("a"), F.bit_xor(mixed).alias("b")).first()
-    return (row["n"], row["a"], row["b"])
+    return {"n": F.count(F.lit(1)), "a": F.sum(F.shiftrightunsigned(mixed, 33)), "b": F.bit_xor(mixed)}
 
 
 #: Bytes of a table (as JSON text, which is more than it takes as rows) up to which it is sent to every task.
 SMALL = 32 << 20
 
 
+def _bytes(df: DataFrame) -> Column:
+    return F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})))
+
+
 def size_of(df: DataFrame) -> int:
     """Bytes of all rows as JSON text."""
-    return df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})))).first()[0] or 0
+    return df.agg(_bytes(df)).first()[0] or 0
 
 
 def sized(df: DataFrame, most: int = SMALL) -> DataFrame:
     """The same rows, computed once, marked for a broadcast if they take at most ``most`` bytes; else joins shuffle them."""
-    df = cut(df)
-    return F.broadcast(df) if size_of(df) <= most else df
+    kept, seen = counted(df, bytes=_bytes(df))
+    return F.broadcast(kept) if (seen["bytes"] or 0) <= most else kept
 
 
 #: Parts to which the rows of one key are dealt in a salted join.
