@@ -9,7 +9,9 @@ the trees don't see turns their sum into a probability.
 
 from __future__ import annotations
 
+import pickle
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import FOLDS, fold, fresh, lowest_hashes, table, tidy
+from tessera.llm.common import FOLDS, fold, fresh, lowest_hashes, table
 
 #: Seed lexicon: common insults (English, German, French, Spanish).
 INSULTS = frozenset(
@@ -251,8 +253,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 42) -> Model:
     return Model(spelled(whole), fit_trees(x, y), fit_isotonic(margin, y))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
-    """Texts and labels of at most ``max_rows`` labelled rows outside fold 0: the lowest hashes of the id, from all rows.
+def sample_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (_id, t, y) of at most ``max_rows`` labelled rows outside fold 0: the lowest hashes of the id, from all rows.
 
     The ids are chosen first (a bounded top-k), then their texts are fetched.  Ids with contradicting labels are left out,
     repeated rows of an id count once, null ids, labels and texts not at all.
@@ -261,9 +263,31 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000,
     marked = marked.where(fold("_id") != 0)
     present = docs.select(F.col(id_col).alias("_id")).join(marked, "_id", "left_semi").distinct()
     chosen = lowest_hashes(marked.join(present, "_id", "left_semi"), "_id", max_rows)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")).where("t is not null").join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id")
-    got = rows.select("t", "y").toArrow()
-    return got["t"].to_pylist(), [int(y) for y in got["y"].to_pylist()]
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")).where("t is not null").join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).select("_id", "t", F.col("y").cast("int").alias("y"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, **how) -> tuple[list[str], list[int]]:
+    """Texts and labels of ``sample_rows``, in the order of the ids' hashes, to look at or to fit by hand."""
+    got = sample_rows(docs, labels, **how).orderBy(F.xxhash64("_id"), "_id").select("t", "y").toArrow()
+    return got["t"].to_pylist(), got["y"].to_pylist()
+
+
+def learn(docs: DataFrame, labels: DataFrame, **how) -> Model:
+    """The model that ``fit`` makes of ``sample_rows``.
+
+    It is fitted in one task, on at most ``max_rows`` rows; the driver gets the model, not the texts.
+    """
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts, y = [], []
+        for batch in batches:
+            texts += batch["t"].tolist()
+            y += batch["y"].tolist()
+        yield pd.DataFrame({"model": [pickle.dumps(fit(texts, y))]})
+
+    rows = sample_rows(docs, labels, **how).repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_id").select("t", "y")
+    got = rows.mapInPandas(work, "model binary").first()
+    return pickle.loads(got["model"]) if got else fit([], [])
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -283,7 +307,7 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", score_col:
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     """Toxicity of every document; fold 0 is held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(*labelled_sample(docs, table(spark, sf_dir, "labels")))
+    model = learn(docs, table(spark, sf_dir, "labels"))
     scored = with_score(docs, model)
     return scored.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -293,10 +317,9 @@ def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_
 
     Columns stay as they are, whatever their names; repeated rows stay or go together; without labels no row scores above 0.
     """
-    model = fit(*labelled_sample(docs, labels, id_col=id_col, text_col=text_col))
-    tidy(docs.sparkSession)  # the sample was as large as the driver gets
+    model = learn(docs, labels, id_col=id_col, text_col=text_col)
     name = fresh("_toxic", docs)
     return with_score(docs, model, text_col, name).where(F.col(name) < threshold).select(*docs.columns)
 
 
-__all__ = ["FOLDS", "Model", "features", "fit", "labelled_sample", "op10_toxicity", "remove_toxic", "with_score"]
+__all__ = ["FOLDS", "Model", "features", "fit", "labelled_sample", "learn", "op10_toxicity", "remove_toxic", "with_score"]
