@@ -1,7 +1,9 @@
 """Benchmark decontamination by template windows; DataFrame functions only.
 
-Texts are brought to template form, word by word: a number with all its digit groups becomes one placeholder, a unit after a
-number another, a name (a run of capitalised words inside a sentence) a third; everything else is lower-cased.  Windows of
+Texts are brought to template form, word by word: a number, in digits or in words, becomes one placeholder, a unit after a
+number another, a name (a run of capitalised words, at a sentence's start such as aren't known to begin sentences) a third;
+everything else is lower-cased.  Items with names have a second form, all in lower case, which is that of texts without
+capitals.  Windows of
 ``WINDOW`` template words are hashed; windows of documents and of benchmark items are joined on the hash.  What stands in the
 slots comes along, and a match of an item at an offset counts only if its slots are consistent: equal values of the item have
 equal values in the document.  So a question with other numbers or names is caught, a chance agreement of templates isn't.
@@ -29,6 +31,21 @@ PRIVATE = f"[{NUMBER}-{GLUE}]"
 UNITS = "kg|g|mg|lb|lbs|oz|tons?|km|m|cm|mm|miles?|mi|ft|feet|inch(?:es)?|yards?|h|hrs?|hours?|min|mins|minutes?|s|sec|secs|seconds?|days?|weeks?|months?|years?|l|ml|lit(?:er|re)s?|percent|dollars?|usd|euros?|eur|pounds?|cents?|degrees?|mph|kmh|kb|mb|gb|tb|hz|khz|mhz|ghz|w|kw|v|a|meters?|metres?"
 
 
+# Numbers in words, and words that often begin a sentence and are no names.
+NUMERALS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
+).split()
+STARTERS = (
+    "A After All Also Although An And Any Are As Assume At Because Before Both But By Calculate Can Choose Compute Consider Could Describe Determine Did Do Does During Each Every "
+    "Explain Finally Find First For From Given Had Has Have He Her Here His How However I If In Into Is It Its Later Let List Many Might Most Must My Name Next No Not Now Of On Once Or Our "
+    "Prove Select She Should Show Since So Solve Some State Such Suppose Than That The Their Then There These They This Those Thus To Today Under Until Use Using Was We Were What When Where Which "
+    "While Who Whom Whose Why Will With Without Would Write Yes You Your"
+).split()
+_NUMERAL = f"(?:{'|'.join(NUMERALS)})"
+_NO_NAME = "|".join([*STARTERS, *(n.capitalize() for n in NUMERALS)])
+
+
 def plain_words(text: Column) -> Column:
     """Words as they stand, lower-cased, joined by single spaces."""
     return F.btrim(F.regexp_replace(F.lower(F.regexp_replace(text, PRIVATE, " ")), r"[^\p{L}\p{M}\p{N}]+", " "))
@@ -39,13 +56,15 @@ def slotted_words(text: Column) -> Column:
     clean = F.regexp_replace(text, PRIVATE, " ")
     # one number: digits with points, commas and the like between them
     clean = F.regexp_replace(clean, r"(?<=[0-9])[.,:/](?=[0-9])", POINT)
-    # one name: capitalised words, not all capitals, after a lower-case letter, a comma or the like, glued together
-    named = F.regexp_replace(clean, r"(?<=[\p{Ll}0-9,;] )(?=\p{Lu}[\p{Lu}'’]*\p{Ll})", NAME)
+    # one name: capitalised words, not all capitals, at a start or after anything but capitals, glued together
+    named = F.regexp_replace(clean, rf"(?=\p{{Lu}}[\p{{Lu}}'’]*\p{{Ll}})(?!(?:{_NO_NAME})(?!\p{{L}}))(?:(?<=[\p{{Ll}}0-9,;.!?:)\"“”] )|(?<=[(\"“\n\r\t])|(?<![\s\S]))", NAME)
     inside = rf"(?: {NAME}|['’-](?=\p{{L}}))(?<={NAME}[\p{{L}}\p{{M}}'’-]{{1,40}}(?: {NAME}|['’-]))"
     named = F.regexp_replace(named, inside, GLUE)
     words = F.btrim(F.lower(F.regexp_replace(named, rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}{POINT}{GLUE}]+", " ")))
     words = F.regexp_replace(words, rf"(?<=[0-9])(?=(?:{UNITS})(?![^ ]))", " ")
-    numbered = F.regexp_replace(words, rf"(?<![^ ])([0-9]+(?:{POINT}[0-9]+)*)(?![^ ])", f"{NUMBER}$1")
+    numbered = F.regexp_replace(words, rf"(?<![^ ])(?=[0-9b-z])([0-9]+(?:{POINT}[0-9]+)*|{_NUMERAL})(?![^ ])", f"{NUMBER}$1")
+    # one number: words of it in a row
+    numbered = F.regexp_replace(numbered, rf" (?:and )?{NUMBER}(?=[a-z])(?<={NUMBER}[a-z{GLUE}]{{3,80}} {NUMBER}|(?:hundred|thousand|million) and {NUMBER})", GLUE)
     return F.regexp_replace(numbered, rf"({NUMBER}[^ ]+ )(?=(?:{UNITS})(?![^ ]))", f"$1{UNIT}")
 
 
@@ -102,19 +121,21 @@ def slots() -> Column:
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (hash, item, item_pos, item_slots, total, plain, length) of the benchmark; an item shorter than a window is one.
+    """Rows (hash, item, form, item_pos, item_slots, total, plain, length) of the benchmark; an item shorter than a window is one.
 
-    Items of fewer than ``LEAST`` template words have windows of the words as they stand.  Items without words, null ids and
-    null texts are left out.  Repeated items count once.
+    ``form``: 1 for the lower-case form of an item with names.  Items of fewer than ``LEAST`` template words have windows of
+    the words as they stand.  Items without words, null ids and null texts are left out.  Repeated items count once.
     """
     rows = items.select(F.col(id_col).alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null").distinct()
+    named = F.contains(slotted_words(F.col("text")), F.lit(NAME))
+    rows = rows.withColumn("form", F.explode(F.when(named, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).withColumn("text", F.when(F.col("form") == 1, F.lower("text")).otherwise(F.col("text")))
     n_template = F.size(_listed(template_of(slotted_words(F.col("text")))))
     n_plain = F.size(_listed(plain_words(F.col("text"))))
     rows = rows.withColumn("few", n_template < LEAST).withColumn("n", F.when(F.col("few"), n_plain).otherwise(n_template)).where("n > 0")
     rows = rows.withColumn("want", F.least(F.lit(WINDOW), "n")).withColumn("total", F.col("n") - F.col("want") + 1).drop("n")
     kinds = [(False, n) for n in range(LEAST, WINDOW + 1)] + [(True, n) for n in range(1, WINDOW + 1)]
     made = windows(rows, kinds).where((F.col("length") == F.col("want")) & (F.col("plain") == F.col("few")))
-    return made.select("hash", "item", F.col("pos").alias("item_pos"), slots().alias("item_slots"), "total", "plain", "length")
+    return made.select("hash", "item", "form", F.col("pos").alias("item_pos"), slots().alias("item_slots"), "total", "plain", "length")
 
 
 def _before(step: int):
@@ -149,9 +170,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         matched = made.withColumn("slots", slots()).select(*slim).join(bench, keys)
     one = lambda column: F.filter(F.split(column, " "), lambda v: v != "")
     pairs = F.zip_with(one("item_slots"), one("slots"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    group = ["id", "th", "item", "total", "plain", "offset"]
+    group = ["id", "th", "item", "form", "total", "plain", "offset"]
     at_offset = (
-        matched.select("id", "th", "item", "total", "plain", (F.col("pos") - F.col("item_pos")).alias("offset"), "item_pos", F.coalesce(pairs, F.array().cast("array<struct<a:string,b:string>>")).alias("pairs"))
+        matched.select("id", "th", "item", "form", "total", "plain", (F.col("pos") - F.col("item_pos")).alias("offset"), "item_pos", F.coalesce(pairs, F.array().cast("array<struct<a:string,b:string>>")).alias("pairs"))
         .groupBy(*group)
         .agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     )
@@ -159,8 +180,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     # of an item of few template words all windows must be there
     consistent = consistent.where(~F.col("plain") | (F.size("at") == F.col("total")))
     consistent = consistent.withColumn("exact", F.col("plain") | ~F.exists("pairs", lambda p: p["a"] != p["b"])).withColumn("run", _holds_run(F.col("at")))
-    found = consistent.groupBy("id", "th", "item", "total").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"), F.min("exact").alias("exact"), F.max("run").alias("run"))
-    return found.select("id", "th", "item", (F.col("n") / F.col("total")).alias("coverage"), "exact", "run").where((F.col("coverage") >= coverage) | F.col("run")).drop("run")
+    found = consistent.groupBy("id", "th", "item", "form", "total").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"), F.min("exact").alias("exact"), F.max("run").alias("run"))
+    leaks = found.withColumn("coverage", F.col("n") / F.col("total")).where((F.col("coverage") >= coverage) | F.col("run"))
+    best = F.max(F.struct("coverage", "exact")).alias("best")  # of the two forms of an item
+    return leaks.groupBy("id", "th", "item").agg(best).select("id", "th", "item", "best.coverage", "best.exact")
 
 
 def _by_document(found: DataFrame) -> DataFrame:

@@ -763,6 +763,20 @@ def test_other_parameters(spark, most):
     assert sorted((r["id"], r["item"], r["exact"]) for r in found.collect()) == [(1, 1, False), (2, 1, False), (3, 2, False), (4, 2, False), (5, 2, False), (6, 2, False), (7, 3, False), (9, 4, True)]
 
 
+@pytest.mark.parametrize("most", [1 << 25, 0])
+def test_numbers_in_words_and_names_anywhere(spark, most):
+    """Numbers in words or digits, names at a sentence's start, and texts in lower case."""
+    items = spark.createDataFrame([(1, "Bob has three apples and gives two to Carol"), (2, "In spring Maria Lopez plants twenty-one trees in 4 rows. Then Jim cuts five of them down"), (3, "The river runs past one old mill and seven farms")], "item_id long, text string")
+    rows = [
+        (1, "Tom has five apples and gives four to Ann"), (2, "so Tom has 5 apples and gives 4 to Ann"), (3, "bob has three apples and gives two to carol"), (4, "It says: Eve has 12 apples and gives one hundred and one to Bob."), (5, "bob has pears and gives some to carol in the end"),
+        (6, "In spring Ann plants 7 trees in three rows. Then Carlos cuts two hundred of them down"), (7, "in spring maria lopez plants twenty-one trees in 4 rows. then jim cuts five of them down"), (8, "The road runs past one old inn and seven fields"), (9, "THE RIVER RUNS PAST ONE OLD MILL AND SEVEN FARMS"), (10, "the river runs past 3 old mill and 9 farms"),
+    ]
+    found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items, most=most)
+    got = {(r["id"], r["item"]): (r["exact"], r["coverage"]) for r in found.collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 1), (6, 2), (7, 2), (9, 3), (10, 3)}
+    assert [k for k, (exact, _) in got.items() if exact] == [k for k in got if k[0] in (3, 7, 9)] and all(got[k][1] == 1 for k in got if k[0] in (1, 2, 3, 6, 7, 9, 10))
+
+
 def test_ways_of_joining_agree(spark, docs, odd):
     items = spark.read.parquet(f"{DIR}/benchmark.parquet")
     rows = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
