@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessera.materialize import materialized
+from tessera.sources.named import read_tars, store_of
 
 TEXT_EXTENSIONS = (".txt", ".tex", ".md")
 
@@ -138,13 +139,24 @@ def tex_members(data: bytes, limit: int = 1 << 28) -> list[tuple[str, str]]:
 
 
 def read_archives(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Rows (archive, pos, path, content) of the .tex files in tar archives."""
+    """Rows (archive, pos, path, content) of the .tex files in tar archives, one member after the other.
+
+    Archives in a store that only Spark reads come as binary files, of at most 2 GB each.
+    """
+    found = spark.read.format("binaryFile").load(paths)
+    names = [r["path"] for r in found.select("path").collect()]
+    try:
+        for n in names:
+            store_of(n)
+        return read_tars(spark, names)
+    except (ValueError, OSError, NotImplementedError):  # a scheme that pyarrow doesn't know
+        pass
 
     @F.pandas_udf("array<struct<path:string,content:string>>")
     def members(contents: pd.Series) -> pd.Series:
         return pd.Series([[{"path": p, "content": t} for p, t in tex_members(bytes(c))] for c in contents])
 
-    rows = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("archive"), members("content").alias("ms"))
+    rows = found.select(F.col("path").alias("archive"), members("content").alias("ms"))
     return rows.select("archive", F.posexplode("ms").alias("pos", "m")).select("archive", "pos", "m.path", "m.content")
 
 

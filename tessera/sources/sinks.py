@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import safe_filename, session_id
 from tessera.operators.render import EXTENSIONS
+from tessera.sources.named import save_named
 
 
 def session_folder(base: str, ts) -> str:
@@ -62,16 +63,14 @@ def save_document_file(df: DataFrame, folder: str, fmt: str = "latex", column: s
 
 
 def save_node_files(nodes: DataFrame, folder: str) -> list[str]:
-    """The nodes of one document as files named by their paths under ``processed_nodes`` (K3), one after the other.
+    """Nodes as files named by their paths under ``processed_nodes`` (K3), written by the tasks that have them; their names.
 
-    Only for a document at hand; ``save_nodes`` writes those of many.
+    Nodes of several documents may lie there if no two have the same path; else that is an error, and nothing is written.
     """
-    rows = nodes.where("processed_content <> ''").select(safe_filename(F.col("path")).alias("name"), "processed_content")
-    names = []
-    for r in rows.toLocalIterator():
-        names.append(f"{folder.rstrip('/')}/processed_nodes/{r['name']}")
-        write_file(nodes.sparkSession, names[-1], r["processed_content"])
-    return names
+    rows = nodes.where("processed_content <> ''").select(safe_filename(F.col("path")).alias("filename"), F.col("processed_content").alias("content"))
+    at = f"{folder.rstrip('/')}/processed_nodes"
+    save_named(rows, at)
+    return sorted(f"{at}/{r['filename']}" for r in rows.select("filename").collect())
 
 
 def append_log(entries: DataFrame, folder: str) -> None:

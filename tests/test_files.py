@@ -1,5 +1,6 @@
 """Includes, archives, named files, Word documents in the dispatcher, the command with two documents, model limits."""
 
+import gzip
 import io
 import math
 import tarfile
@@ -13,7 +14,7 @@ from tessera import __main__ as command
 from tessera.errors import ModelError
 from tessera.functions import effects, text, vector
 from tessera.operators import chunk, context, process
-from tessera.sources import files, sinks, templates
+from tessera.sources import files, named, sinks, templates
 
 
 def resolved(spark, pairs):
@@ -85,6 +86,35 @@ def test_named_files(spark, tmp_path):
     assert (tmp_path / "processed_nodes" / "1_A_b_C.tex").read_text() == "x"
 
 
+def test_named_sink(spark, tmp_path):
+    """Files by the tasks that have them; two rows of a name, or a name outside the folder, leave what was there."""
+    rows = spark.createDataFrame([(f"n{k}.tex", f"text {k}") for k in range(40)], "filename string, content string").repartition(5)
+    at = tmp_path / "named"
+    named.save_named(rows, str(at))
+    assert {p.name: p.read_text() for p in at.iterdir()} == {f"n{k}.tex": f"text {k}" for k in range(40)}
+    for bad in ([("x", "1"), ("x", "2"), ("y", "3")], [("../x", "1"), ("y", "2")], [(None, "1")]):
+        with pytest.raises(Exception, match="two rows|not a file"):
+            named.save_named(spark.createDataFrame(bad, "filename string, content string").repartition(2), f"file://{at}")
+        assert len(list(at.iterdir())) == 40
+    named.save_named(spark.createDataFrame([("n1.tex", "new"), ("z", None)], "filename string, content string"), str(at))
+    assert len(list(at.iterdir())) == 41 and (at / "n1.tex").read_text() == "new" and (at / "z").read_text() == ""
+    named.save_named(rows.limit(0), str(at))
+    assert len(list(at.iterdir())) == 41
+    named.save_named(rows.where("filename = 'n2.tex'"), str(at), "overwrite")
+    assert [p.name for p in at.iterdir()] == ["n2.tex"]
+
+
+def test_archive_of_many_members(spark, tmp_path):
+    """Members come one by one, compressed or not, with their numbers; a member beyond the limit is an error."""
+    body = tar_of([(f"d/{k}.tex", f"body {k} " * 500) for k in range(300)] + [("other.txt", "no")])
+    (tmp_path / "big.tar").write_bytes(body)
+    (tmp_path / "big.tar.gz").write_bytes(gzip.compress(body))
+    rows = files.read_archives(spark, str(tmp_path / "*")).collect()
+    assert len(rows) == 600 and {r["pos"] for r in rows} == set(range(300)) and all(r["content"] == f"body {r['pos']} " * 500 and r["path"] == f"d/{r['pos']}.tex" for r in rows)
+    with pytest.raises(Exception, match="more than 10"):
+        named.read_tars(spark, [str(tmp_path / "big.tar")], limit=10).collect()
+
+
 def test_limits_of_a_call():
     class Slow:
         def call(self, messages, max_tokens, temperature):
