@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.schema import PATH_SEPARATOR
@@ -69,10 +69,13 @@ def graft(base: DataFrame, aug: DataFrame, parents: DataFrame | None = None) ->
     if parents is None:
         return _with_new(b, new)
     chosen = parents.join(b.select("doc_id", F.col("path_key").alias("parent_path_key"), F.col("path").alias("to"), F.col("sort_key").alias("to_key")), ["doc_id", "parent_path_key"]).select("doc_id", F.col("path_key").alias("root_key"), "to", "to_key")
-    # a new node moves with its topmost new ancestor
-    roots = new.select("doc_id", "path_key", F.posexplode("path").alias("k", "t")).select("doc_id", "path_key", "k")
-    with_path = roots.join(new.select("doc_id", "path_key", "path"), ["doc_id", "path_key"]).withColumn("at", F.array_join(F.slice("path", F.lit(1), F.col("k") + 1), PATH_SEPARATOR))
-    top = with_path.join(new.select("doc_id", F.col("path_key").alias("at")), ["doc_id", "at"], "left_semi").groupBy("doc_id", "path_key").agg(F.min_by("at", "k").alias("root_key"), F.min("k").alias("k"))
+    # In the other tree's order a subtree is a range: a new node whose parent isn't new begins one, and all new nodes up to
+    # the next such are below it.
+    above = new.select("doc_id", F.col("path_key").alias("_up"))
+    begun = new.withColumn("_up", F.array_join(F.slice("path", F.lit(1), F.size("path") - 1), PATH_SEPARATOR)).join(above.withColumn("_below", F.lit(True)), ["doc_id", "_up"], "left")
+    order = Window.partitionBy("doc_id").orderBy("sort_key", "path_key").rowsBetween(Window.unboundedPreceding, 0)
+    root = lambda value: F.last(F.when(F.col("_below").isNull(), value), ignorenulls=True).over(order)
+    top = begun.select("doc_id", "path_key", root(F.col("path_key")).alias("root_key"), root(F.size("path") - 1).alias("k"))
     moved = new.join(top, ["doc_id", "path_key"]).join(chosen, ["doc_id", "root_key"], "left")
     path = F.when(F.col("to").isNotNull(), F.concat("to", F.slice("path", F.col("k") + 1, F.size("path")))).otherwise(F.col("path"))
     key = F.when(F.col("to").isNotNull(), F.concat("to_key", F.slice("sort_key", F.col("k") + 1, F.size("sort_key")))).otherwise(F.col("sort_key"))

@@ -122,10 +122,26 @@ def woven(model: LanguageModel, title: Column):
     return how
 
 
+def grafting_prompts(new_roots: DataFrame, outline: DataFrame) -> DataFrame:
+    """``new_roots`` (doc_id, path_key, path, description) with ``prompt``: where in a tree's outline (doc_id, text) each belongs."""
+    prompt = render_prompt("structure_grafting_location", tree_summary=F.col("text"), new_section_title=F.element_at("path", -1), new_section_description=F.coalesce("description", F.lit("")))
+    return new_roots.join(outline, "doc_id").withColumn("prompt", prompt)
+
+
+def parents_of_replies(replies: DataFrame) -> DataFrame:
+    """Rows (doc_id, path_key, parent_path_key) of replies (doc_id, path_key, reply) that name a parent; ROOT gives an empty one."""
+    from tessera.functions.text import path_of_reply
+
+    return replies.select("doc_id", "path_key", F.array_join(path_of_reply(F.col("reply")), PATH_SEPARATOR).alias("parent_path_key"))
+
+
 def grafting_parents(new_roots: DataFrame, outline: DataFrame, model: LanguageModel) -> DataFrame:
     """Rows (doc_id, path_key, parent_path_key) by a model from a tree's outline."""
-    from tessera.functions.text import path_of_reply
+    return parents_of_replies(grafting_prompts(new_roots, outline).withColumn("reply", ask(F.col("prompt"), model)["text"]))
 
-    prompt = render_prompt("structure_grafting_location", tree_summary=F.col("text"), new_section_title=F.element_at("path", -1), new_section_description=F.coalesce("description", F.lit("")))
-    asked = new_roots.join(outline, "doc_id").withColumn("_r", ask(prompt, model)["text"])
-    return asked.select("doc_id", "path_key", F.array_join(path_of_reply(F.col("_r")), PATH_SEPARATOR).alias("parent_path_key"))
+
+def titles_of_replies(replies: DataFrame) -> DataFrame:
+    """Rows (node_idx, title, ord) of replies (node_idx, reply) that are JSON lists of titles (M8); other replies give none."""
+    from tessera.functions.text import json_titles
+
+    return replies.select("node_idx", F.posexplode(json_titles(F.col("reply"))).alias("ord", "title")).where("title is not null and title <> ''").select("node_idx", "title", "ord")

@@ -68,10 +68,6 @@ ORACLES["tex_preprocess"] = f"select conv_id, turn, {marked(rf"regexp_replace({_
 ORACLES["section_markers"] = "select conv_id, turn, " + marked(r"(['\begin{abstract}', '\section*{Our METHODS}', '\section{Results of it}', '\section{Conclusion}', '\begin{thebibliography}'])[turn % 5 + 1] || chr(10) || text") + " as content from conversations"
 
 # --- templates and trees ----------------------------------------------------------------------------------------------
-_ROWS = flatten(TEMPLATES["bitcoin_paper_hierarchical"])
-ORACLES["template_skeleton"] = "select * from (values " + ", ".join(f"({r[1]}, {q(r[3])}, {'null' if r[4] is None else r[4]}::int, {r[5]}, {q(r[6])}, {str(r[10]).lower()}, {str(r[11]).lower()})" for r in _ROWS) + ") t(node_idx, path_key, parent_idx, depth, title, generative, dynamic_subsections)"
-_FIRST = [r[1] for r in _ROWS if r[2][0] in ("Summary", "Abstract")] + [r[1] for r in _ROWS if r[2][0] not in ("Summary", "Abstract")]
-ORACLES["recombined"] = "select * from (values " + ", ".join(f"({k}, {q(_ROWS[k][3])}, {n})" for n, k in enumerate(_FIRST, 1)) + ") t(node_idx, path_key, place)"
 ORACLES["skeleton_flatten"] = """select 'r' || r_regionkey as id, r_name as path_key, 1 as depth, r_regionkey::varchar as sort_key from region
 union all select 'n' || n_nationkey, r_name || ' -> ' || n_name, 2, r_regionkey || '.' || n_nationkey from nation join region on n_regionkey = r_regionkey
 union all select 'c' || c_custkey, r_name || ' -> ' || n_name || ' -> ' || c_name, 3, r_regionkey || '.' || n_nationkey || '.' || c_custkey from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey"""
@@ -241,9 +237,15 @@ ORACLES["combine_append"] = f"with {TREES_SQL} select doc_id, 'Part I - ' || pat
 ORACLES["tree_overlap"] = f"with {TREES_SQL} select * from base b where exists (select 1 from aug a where b.doc_id = a.doc_id and b.path_key = a.path_key)"
 ORACLES["tree_only_new"] = f"with {TREES_SQL}, {_NEW} select * from n"
 ORACLES["tree_weave"] = f"with {TREES_SQL}, {_WOVEN} select * from w"
-ORACLES["tree_graft"] = f"""with {TREES_SQL}, {_NEW}, f as (select n_regionkey as doc_id, min(n_name) as first from nation group by 1),
-m as (select n.doc_id, case when path_key like '%-> S1' then first || ' -> S1' else path_key end as path_key from n join f using (doc_id)),
-r as (select * from m union all select doc_id, path_key from base) select distinct doc_id, path_key, 1::bigint as n from r"""
+ORACLES["tree_graft"] = """with nat as (select *, coalesce(lead(n_name) over w, first_value(n_name) over w) as to_name, coalesce(lead(n_nationkey) over w, first_value(n_nationkey) over w) as to_key from nation window w as (partition by n_regionkey order by n_nationkey)),
+seg as (select n_nationkey, c_mktsegment as leaf, count(*)::varchar as content from customer join nation on c_nationkey = n_nationkey group by all),
+sup as (select n_nationkey, case when s_suppkey % 3 = 0 then 'BUILDING' else 'S' || (s_suppkey % 3)::varchar end as leaf, count(*)::varchar as content from supplier join nation on s_nationkey = n_nationkey group by all),
+old as (select *, row_number() over (partition by n_nationkey order by leaf) as k from seg),
+new as (select * from (select *, row_number() over (partition by n_nationkey order by leaf) as k from sup) x where not exists (select 1 from seg where seg.n_nationkey = x.n_nationkey and seg.leaf = x.leaf)),
+r as (select n_regionkey as doc_id, n_name as path_key, n_name as content, [n_nationkey::bigint] as sk from nation
+  union all select n_regionkey, n_name || ' -> ' || leaf, content, [n_nationkey, k] from old join nat using (n_nationkey)
+  union all select n_regionkey, case when leaf = 'S1' then to_name else n_name end || ' -> ' || leaf, content, [case when leaf = 'S1' then to_key else n_nationkey end, k + 1000000] from new join nat using (n_nationkey))
+select doc_id, path_key, content, row_number() over (partition by doc_id order by sk, path_key) as place from r"""
 
 # --- rendering and processing -----------------------------------------------------------------------------------------
 
@@ -334,3 +336,28 @@ ORACLES["latest_documents"] = "select lpad(max(event_id)::varchar, 12, '0') as s
 ORACLES["section_details"] = f"with {_NODES} select doc_id, string_agg('- ' || array_to_string(path, ' -> ') || ': ' || content, chr(10) order by sk) as text from nodes group by doc_id"
 ORACLES["breaker_stream"] = "select user_id, event_id, outcome, allowed, failures from (" + ORACLES["circuit_breaker"] + ")"
 ORACLES["validation_stream"] = "select event_type as key, count(*) as total, count_if(value >= 50) as passed, round(avg(value), 6) as average_similarity from events group by event_type"
+
+_SECTIONS = ", ".join(f"({r[1]}, {q(r[3])}, {'null' if r[4] is None else r[4]}::int, {r[5]}, {q(r[6])}, {str(r[10]).lower()}, {str(r[11]).lower()}, {q(r[9] or '')})" for r in flatten(TEMPLATES["bitcoin_paper_hierarchical"]))
+ORACLES["template_skeleton"] = f"""with tpl as (select * from (values {_SECTIONS}) t(node_idx, path_key, parent_idx, depth, title, generative, dynamic_subsections, description)),
+t as (select conv_id * 1000 + turn as id, text from conversations), {counts("t", "id", "text", "a")}, {counts("tpl", "node_idx", "description", "b")},
+na as (select id, sqrt(sum(tf * tf)) as n from a group by id), nb as (select id, sqrt(sum(tf * tf)) as n from b group by id),
+s as (select a.id, b.id as node, sum(a.tf * b.tf) / (any_value(na.n) * any_value(nb.n)) as score from a join b using (term) join na on na.id = a.id join nb on nb.id = b.id group by a.id, b.id),
+best as (select * from (select *, row_number() over (partition by id order by score desc, node) as k from s) where k = 1 and score >= 0.05),
+n as (select node, count(*) as n_chunks from best group by node)
+select tpl.* exclude (description), coalesce(n_chunks, 0) as n_chunks from tpl left join n on n.node = tpl.node_idx"""
+ORACLES["recombined"] = f"with {_NODES}, p as (select doc_id, array_to_string(path, ' -> ') as path_key, case when path[1] like 'A%' then 0 else 1 end as part, sk from nodes) select doc_id, path_key, part, row_number() over (partition by part order by doc_id, sk) as place from p"
+ORACLES["content_weave"] = f"""with {TREES_SQL}, more as (select doc_id, path_key, case when path_key not like '% -> %' then 'more of it' else content end as content from aug),
+w as (select b.doc_id, b.path_key, b.content, a.content as other, coalesce(b.content <> '' and a.content <> '', false) as woven from base b left join more a using (doc_id, path_key))
+select doc_id, path_key, case when woven then {filled("content_weaving", section_name="string_split(path_key, ' -> ')[-1]", original_content="content", augmentation_content="other")} else content end as content, woven from w"""
+ORACLES["graft_replies"] = f"""with {TREES_SQL}, {_NEW}, b as (select n_regionkey as doc_id, n_name as own, lag(n_name) over (partition by n_regionkey order by n_nationkey) as before from nation)
+select doc_id, path_key, coalesce(before, '') as parent_path_key from n join b using (doc_id) where own = string_split(path_key, ' -> ')[1]"""
+ORACLES["dynamic_subsections"] = f"""with titles as (select (item_id % 4)::int as node, text, row_number() over (order by item_id % 4, item_id) + 3 as new_idx from benchmark),
+t as (select conv_id * 1000 + turn as id, text, (turn % 4)::int as node from conversations), {counts("t", "id", "text", "a")}, {counts("titles", "new_idx", "text", "b")},
+na as (select id, sqrt(sum(tf * tf)) as n from a group by id), nb as (select id, sqrt(sum(tf * tf)) as n from b group by id),
+s as (select a.id, b.id as new_idx, sum(a.tf * b.tf) / (any_value(na.n) * any_value(nb.n)) as score from a join b using (term) join na on na.id = a.id join nb on nb.id = b.id group by a.id, b.id),
+every as (select t.id, titles.new_idx, coalesce(score, 0.0) as score from t join titles using (node) left join s on s.id = t.id and s.new_idx = titles.new_idx),
+best as (select * from (select *, row_number() over (partition by id order by score desc, new_idx) as k from every) where k = 1)
+select id // 1000 as doc_id, (id % 1000)::int as chunk_id, new_idx::int as node_idx, round(score, 6) as score from best"""
+_ONCE = filled("hierarchical_refactor", node_path="path_key", global_context=q(CONTEXT), parent_context="''", node_content="content")
+ORACLES["self_critique"] = f"""with {_NODES}, n as (select doc_id, array_to_string(path, ' -> ') as path_key, content from nodes where len(path) = 2)
+select doc_id, path_key, {rewritten(filled("self_critique_and_refine", node_path="path_key", refactored_text=_ONCE), _LATEX)} as text from n"""

@@ -79,7 +79,11 @@ def section_markers(spark, d) -> DataFrame:
 
 # --- templates and trees ----------------------------------------------------------------------------------------------
 def template_skeleton(spark, d) -> DataFrame:
-    return templates.skeleton(spark, "bitcoin_paper_hierarchical").select("node_idx", "path_key", "parent_idx", "depth", "title", "generative", "dynamic_subsections")
+    """The sections of a template, with how many turns of conversations their descriptions are most like."""
+    sections = templates.skeleton(spark, "bitcoin_paper_hierarchical")
+    chunks = inputs.turn_chunks(spark, d)
+    found = mapping.assign(chunks, mapping.text_scores(chunks, sections), 0.05).groupBy("node_idx").agg(F.count(F.lit(1)).alias("n_chunks"))
+    return sections.join(found, "node_idx", "left").select("node_idx", "path_key", "parent_idx", "depth", "title", "generative", "dynamic_subsections", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
 
 
 def skeleton_flatten(spark, d) -> DataFrame:
@@ -373,11 +377,14 @@ def tree_weave(spark, d) -> DataFrame:
 
 
 def tree_graft(spark, d) -> DataFrame:
+    """Each nation's new group S1 moves to the next nation of its region, after the last to the first."""
     base, aug = inputs.trees(spark, d)
-    first = base.where(F.size("path") == 1).groupBy("doc_id").agg(F.min(F.element_at("path", 1)).alias("parent_path_key"))
-    roots = inputs.keyed(combine.only_new(base, aug)).where("path_key like '%-> S1'").join(first, "doc_id").select("doc_id", "path_key", "parent_path_key")
-    moved = combine.graft(base, aug, roots)
-    return inputs.keyed(moved).groupBy("doc_id", "path_key").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    after = table(spark, d, "nation").select(F.col("n_regionkey").alias("doc_id"), F.col("n_name").alias("own"), F.coalesce(F.lead("n_name").over(order), F.first("n_name").over(order)).alias("parent_path_key"))
+    roots = combine.only_new(base, aug).where("element_at(path, -1) = 'S1'").withColumn("own", F.element_at("path", 1)).join(after, ["doc_id", "own"])
+    moved = combine.graft(base, aug, roots.select("doc_id", F.array_join("path", " -> ").alias("path_key"), "parent_path_key")).withColumn("path_key", F.array_join("path", " -> "))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("sort_key", "path_key"))
+    return moved.select("doc_id", "path_key", "content", place.alias("place"))
 
 
 # --- rendering and processing -----------------------------------------------------------------------------------------
@@ -433,9 +440,50 @@ def circuit_breaker(spark, d) -> DataFrame:
 
 
 def recombined(spark, d) -> DataFrame:
-    nodes = templates.skeleton(spark, "bitcoin_paper_hierarchical").withColumn("gen", mapping.generative_split(None))
+    """Regions' trees, those of some roots taken for generative, put together with the generative first."""
+    nodes = inputs.region_nodes(spark, d).withColumn("depth", F.size("path")).withColumn("generative", F.element_at("path", 1).like("A%")).withColumn("gen", mapping.generative_split(None))
     both = combine.recombine(nodes.where("gen"), nodes.where("not gen"))
-    return both.select("node_idx", "path_key", F.row_number().over(Window.orderBy("part", "node_idx")).alias("place"))  # a template's nodes
+    place = F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "sort_key"))
+    return both.select("doc_id", F.array_join("path", " -> ").alias("path_key"), "part", place.alias("place"))
+
+
+def content_weave(spark, d) -> DataFrame:
+    """Contents of two trees woven by a model that echoes its prompt."""
+    base, aug = inputs.trees(spark, d)
+    found = combine.weave(base, aug.withColumn("content", F.when(F.size("path") == 1, "more of it").otherwise(F.col("content"))), process.woven(effects.EchoModel(), F.element_at("path", -1)))
+    return found.select("doc_id", F.array_join("path", " -> ").alias("path_key"), "content", "woven")
+
+
+def graft_replies(spark, d) -> DataFrame:
+    """Parents of new subtrees by replies: each nation's groups under the nation before it, those of the first at the root."""
+    base, aug = inputs.trees(spark, d)
+    order = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    before = table(spark, d, "nation").select(F.col("n_regionkey").alias("doc_id"), F.col("n_name").alias("own"), F.coalesce(F.concat(F.lit(' "'), F.lag("n_name").over(order), F.lit('" ')), F.lit("root")).alias("reply"))
+    replies = combine.only_new(base, aug).withColumn("own", F.element_at("path", 1)).join(before, ["doc_id", "own"]).select("doc_id", F.array_join("path", " -> ").alias("path_key"), "reply")
+    return process.parents_of_replies(replies)
+
+
+def dynamic_subsections(spark, d) -> DataFrame:
+    """Turns of conversations in four sections, each split by replies that list the benchmark's items as titles."""
+    items = table(spark, d, "benchmark").select((F.col("item_id") % 4).cast("int").alias("node_idx"), "item_id", "text")
+    replies = items.groupBy("node_idx").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"])).alias("reply"))
+    none = F.lit(None).cast("string")
+    node = F.array(F.concat(F.lit("S"), F.col("node_idx").cast("string")))
+    sections = items.select("node_idx").distinct().select(
+        F.lit("t").alias("template"), "node_idx", node.alias("path"), node[0].alias("path_key"), F.lit(None).cast("int").alias("parent_idx"), F.lit(1).alias("depth"), node[0].alias("title"),
+        F.array("node_idx").alias("sort_key"), none.alias("prompt"), none.alias("description"), F.lit(False).alias("generative"), F.lit(True).alias("dynamic_subsections"),
+    )
+    chunks = inputs.turn_chunks(spark, d)
+    assigned = chunks.select("doc_id", "chunk_id", (F.col("chunk_id") % 4).alias("node_idx"), F.lit(1.0).alias("assignment_score"), F.lit("semantic").alias("method"))
+    _, moved = mapping.dynamic_subsections(sections, process.titles_of_replies(replies), assigned, chunks)
+    return moved.select("doc_id", "chunk_id", "node_idx", R("assignment_score").alias("score"))
+
+
+def self_critique(spark, d) -> DataFrame:
+    """Nodes of the second level written by a model that echoes, and criticised by it."""
+    nodes = inputs.region_nodes(spark, d).where("size(path) = 2")
+    made = process.refactor(F.col("processed_content"), F.array_join("path", " -> "), F.lit(""), effects.EchoModel(), critique=True)
+    return nodes.select("doc_id", F.array_join("path", " -> ").alias("path_key"), made["fixed"].alias("text"))
 
 
 def restructured(spark, d) -> DataFrame:
@@ -467,10 +515,10 @@ def _folder(spark) -> str:
 
 
 def node_files(spark, d) -> DataFrame:
-    """Nodes written as files by their names, and read again."""
+    """Nodes written as files of their own names, and read again."""
     at = _folder(spark)
-    sinks.save_nodes(inputs.region_nodes(spark, d), at)
-    return spark.read.schema("value string, filename string").text(at, wholetext=True).select("filename", F.regexp_replace("value", "\n$", "").alias("content"))
+    sinks.save_node_files(inputs.region_nodes(spark, d), at)
+    return spark.read.text(f"{at}/processed_nodes", wholetext=True).select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("content"))
 
 
 def final_documents(spark, d) -> DataFrame:
@@ -559,5 +607,5 @@ QUERIES = [
     preservation_batch, text_coherence, validation_stats, running_mean, coherence_by_label, item_scores, build_context, context_prune, relevant_context, document_context, context_stats, section_index, add_context,
     element_counts, preservation_report, structure_change, quality_score, quality_report, contribution_report, contribution_summary, preserved_elements,
     combine_robust, combine_merge, combine_append, tree_overlap, tree_only_new, tree_weave, tree_graft, render_latex, render_markdown, render_json, full_text, transitions, process_tree, polish, embed_texts, circuit_breaker, recombined, restructured,
-    process_node, mapped_groups, map_whole, regex_groups, node_files, final_documents, session_log, stage_checkpoint, latest_documents, section_details, breaker_stream, validation_stream, store_answers, store_stream,
+    process_node, mapped_groups, map_whole, regex_groups, node_files, final_documents, session_log, stage_checkpoint, latest_documents, section_details, breaker_stream, validation_stream, store_answers, store_stream, content_weave, graft_replies, dynamic_subsections, self_critique,
 ]
