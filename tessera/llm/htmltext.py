@@ -38,6 +38,8 @@ LEAST_SHARE = 0.1
 LARGE = 3
 COVER = 0.8
 MOST = 0.7
+#: Share of a host's text that must be its pages' own for a page without any to be empty.
+OWN = 0.05
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z][^\s>/]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|$)|[^<]+|<", re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s>/]*)", re.S)
@@ -56,15 +58,32 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ENDS_P = BLOCKS - {"html", "body", "head", "title"}
 #: What a start tag closes: the tag, and where the search stops.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Words of class, id and role that mark what is no article.
-NOISE = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|overlay|side-?bar|widgets?|nav\w*|menus?|breadcrumbs?|pagination|pager|toolbar|masthead|site-?header|page-?header|top-?bar"
+# Words of class, id and role that mark what is no article; those that may as well name a part of one, which count for template
+# elements and where there is no template; and words that say nothing beside them.
+_NOISE = (
+    r"ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|overlay|side-?bar|widgets?|nav\w*|menus?|breadcrumbs?|pagination|pager|toolbar|masthead|site-?header|page-?header|top-?bar"
     r"|foot\w*|copyright|comments?|comment-?\w*|replies|reply|respond|disqus|social\w*|related|recommend\w*|read-?more|more-?stories|teasers?|newsletter|subscri\w*|sign-?up|log-?in|forms?|skip\w*"
-    r"|hidden|sr-only|visually-hidden|byline-links|outbrain|taboola|complementary|navigation|contentinfo|alertdialog)(?:$|[-_ ])",
-    re.I,
+    r"|hidden|sr-only|visually-hidden|byline-links|outbrain|taboola|complementary|navigation|contentinfo|alertdialog"
 )
-#: Words that may as well name a part of an article: they count for template elements, and where there is no template.
-DOUBTFUL = re.compile(r"(?:^|[-_ ])(?:notices?|alerts?|legal|disclaimer|discussion|share\w*|sharing|search\w*|tags?)(?:$|[-_ ])", re.I)
+_DOUBTFUL = r"notices?|alerts?|legal|disclaimer|discussion|share\w*|sharing|search\w*|tags?"
+_NEUTRAL = (
+    r"site|page|top|bottom|left|right|main|global|user|reader|visitor|post|posts|article|articles|story|stories|entry|section|box|boxes|list|block|wrap|wrapper|container|area|bar|items?|links?|content|inner|outer|module|panel|title|head|header|body"
+    r"|count|buttons?|icons?|group|row|col|column|slot|unit|space|holder|text|nav|menu|form|media|inline|sticky|fixed|small|large|mobile|desktop|thread|feed|[0-9]+"
+)
+
+
+def _anywhere(words: str) -> re.Pattern:
+    return re.compile(rf"(?:^|[-_ ])(?:{words})(?:$|[-_ ])", re.I)
+
+
+def _alone(words: str) -> re.Pattern:
+    """A whole name of these words and such as say nothing: ``related-posts``, not ``related-work``."""
+    return re.compile(rf"(?:^| )(?:(?:{_NEUTRAL})[-_])*(?:{words})(?:[-_](?:{_NEUTRAL}|{_NOISE}|{_DOUBTFUL}))*(?:$| )", re.I)
+
+
+#: By whether it is inside what the page names its article: there only whole names count.
+NOISE = {False: _anywhere(_NOISE), True: _alone(_NOISE)}
+DOUBTFUL = {False: _anywhere(_DOUBTFUL), True: _alone(_DOUBTFUL)}
 #: Elements that hold boxes; others (paragraphs, lists, tables) are content wherever they stand.
 BOXES = frozenset("div section article center details dialog fieldset td address".split())
 MAIN = re.compile(r"(?:^|[-_ ])(?:article-?(?:body|content|text)?|post-?(?:body|content)?|entry-?(?:body|content)?|main-?content|content-?(?:body|main)?|story-?(?:body)?|main)(?:$|[-_ ])", re.I)
@@ -171,14 +190,14 @@ class Page:
             if len(token) > len(tag) + 2:
                 attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(token[len(tag) + 1 :].rstrip(">"))}
                 names = " ".join(filter(None, (attrs.get("class", ""), attrs.get("id", ""), attrs.get("role", ""))))
-                if tag not in ("html", "body", "article", "main") and names and NOISE.search(names) or tag == "article" and re.search(r"comment|reply|teaser|related|promo|(?:^|[-_ ])ads?(?:$|[-_ ])", names, re.I) or "hidden" in attrs or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
+                if tag not in ("html", "body", "article", "main") and names and NOISE[bool(within)].search(names) or tag == "article" and re.search(r"comment|reply|teaser|related|promo|(?:^|[-_ ])ads?(?:$|[-_ ])", names, re.I) or "hidden" in attrs or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
                     outside = True
                 if tag in ("div", "section", "td") and names and not outside and MAIN.search(names) or attrs.get("itemprop", "").lower() == "articlebody":
                     is_main = True
             if tag in OUTSIDE or tag == "header" and not any(kind == "article" for kind, _ in within):
                 outside = True
             path = f"{path}/{tag}.{'.'.join(names.replace('/', ' ').split())}" if names else f"{path}/{tag}"
-            if names and not doubtful and tag not in ("html", "body", "article", "main") and DOUBTFUL.search(names):
+            if names and not doubtful and tag not in ("html", "body", "article", "main") and DOUBTFUL[bool(within)].search(names):
                 doubtful = path
             if not outside:
                 self.elements[path] += 1
@@ -308,6 +327,9 @@ class Template:
         whole = {x: next((a for a in _above(x) if a in size), "") for x in self.elements if x in size}
         pure = {x for x, a in whole.items() if x.rpartition("/")[2].split(".")[0] in BOXES and a and self.free[x] <= 0.1 * size[x] < 0.1 * MOST * size[a]}
         self.boxed |= {t for t in self.texts if t[0] in pure or any(a in pure for a in _above(t[0]))}
+        # whether pages have text of their own at all; a host of copies of one page hasn't
+        top = [x for x in size if not any(a in size for a in _above(x))]
+        self.fills = sum(self.free[x] for x in top) >= OWN * sum(size[x] for x in top)
         self.below: dict[str, list[str]] = defaultdict(list)
         for path in self.free:
             self.below[next((a for a in _above(path) if a in self.free), "")].append(path)
@@ -335,13 +357,13 @@ def main_text(html: str | None, template: Template | None) -> str:
         own = {id(b) for b in named}
         within = [b for b in shown if id(b) in own]
         kept = within if template is None else [b for b in within if (b.path, key(b.text)) not in template.boxed]
-        return " ".join(b.text for b in kept or within)
+        return " ".join(b.text for b in kept or ([] if template is not None and template.fills else within))
     if template is None:
         return " ".join(b.text for b in shown)
     slot = template.slot(page)
     inside = [b for b in shown if not slot or b.path == slot or b.path.startswith(slot + "/")]
     kept = [b for b in inside if (b.path, key(b.text)) not in template.texts]
-    return " ".join(b.text for b in kept or shown)
+    return " ".join(b.text for b in kept or ([] if template.fills else shown))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most: int = SMALL) -> DataFrame:
