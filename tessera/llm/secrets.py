@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, fresh, let, running, sized, table
+from tessera.llm.common import cut, fresh, let, running, salted_join, sized, table
 
 #: Base kinds, in order: pattern, and the least length of what the match (or its value) must have.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -77,17 +77,21 @@ def joined(spans: Column) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str) -> DataFrame:
-    """Rows (id, th, repo, owner, spans) of the documents with a candidate; th: hash of the text."""
+    """Rows (id, th, repo, owner, spans) of the documents with a candidate; th: hash of the text.
+
+    Of a span's text only its SHA-256 (``value``) and whether it looks random (``random``) leave the task that read it.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), text.alias("text"))
     gate = F.col("text").rlike(r"(?i)(?:pass(?:word|wd)|secret|token|api_?key)[\"']?\x20*[:=]|AKIA|PRIVATE KEY|[0-9a-f]{24}|[A-Za-z0-9+/_-]{20}")
     found = rows.where(gate).withColumn("base", base_spans(F.col("text"))).withColumn("spans", F.concat("base", extra_spans(F.col("text"), F.col("base"))))
-    return found.where(F.size("spans") > 0).select("id", F.xxhash64("text").alias("th"), "repo", "owner", "spans")
+    sealed = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("value"), (_mixed(s["value"]) | (s["kind"] == "keyblock")).alias("random")))
+    return found.where(F.size("spans") > 0).select("id", F.xxhash64("text").alias("th"), "repo", "owner", sealed.alias("spans"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
     """Rows (value, repos, owners): distinct repositories and owners of each candidate value over the whole corpus."""
-    each = found.select("repo", "owner", F.explode("spans.value").alias("value")).select(F.sha2("value", 256).alias("value"), "owner", "repo")
+    each = found.select("repo", "owner", F.explode("spans.value").alias("value"))
     by_owner = each.distinct().groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repos"))
     return by_owner.groupBy("value").agg(F.sum("repos").alias("repos"), F.count(F.lit(1)).alias("owners"))
 
@@ -96,15 +100,16 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Rows (id, th, spans) of the documents with a reported span.
 
     spans: array of (kind, start, end, value, repos, owners, verdict), verdict ``example`` (more than ``max_owners`` owners or
-    ``max_repos`` repositories), else ``live`` (random-looking, or a key block) or ``weak``.  Null and empty texts have no
+    ``max_repos`` repositories), else ``live`` (random-looking, or a key block) or ``weak``; value: the SHA-256 of its text.  Null and empty texts have no
     span.  Equal rows (id and text) give one row.  A null owner or repository counts as one.
     """
     found = cut(candidates(docs, id_col, text_col, repo_col, owner_col))
     shared = ownership(found)
-    each = found.dropDuplicates(["id", "th"]).select("id", "th", F.explode("spans").alias("s")).withColumn("value", F.sha2("s.value", 256))
+    each = found.dropDuplicates(["id", "th"]).select("id", "th", F.explode("spans").alias("s")).withColumn("value", F.col("s.value"))
     example = (F.col("owners") > max_owners) | (F.col("repos") > max_repos)
     verdict = F.when(example, "example").when(_mixed(F.col("s.value")) | (F.col("s.kind") == "keyblock"), "live").otherwise("weak")
-    judged = each.join(shared, "value").select("id", "th", F.struct("s.kind", "s.start", "s.end", "s.value", "repos", "owners", verdict.alias("verdict")).alias("s"))
+    # a value that many copy is dealt
+    judged = salted_join(each, shared, "value").select("id", "th", F.struct("s.kind", "s.start", "s.end", "s.value", "repos", "owners", verdict.alias("verdict")).alias("s"))
     judged = judged.where((F.col("s.kind") != "owned") | (F.col("s.verdict") == "live"))
     return judged.groupBy("id", "th").agg(F.collect_list("s").alias("spans"))
 
