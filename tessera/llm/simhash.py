@@ -211,7 +211,8 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")))
     roots = connected_components(hamming_links(nodes.where("rep is not null"), tau, hot))
     named = nodes.join(roots, nodes["rep"] == roots["node"], "left").select(nodes["fp"], F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+    # a fingerprint that many have is dealt
+    return salted_join(prints, named, "fp").select("id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 # Near copies by the similarity of their shingles.
