@@ -12,7 +12,7 @@ def pages_of(rng, n):
     for k in range(n):
         host = f"h{k % 2}.org"
         menu = "".join(f"<li>menu {host} {j}</li>" for j in range(3))
-        extra = f"<div><b>box of layout {k // 2 % 2} with some words</b></div>" if k // 2 % 2 else "<section>other layout, other box</section>"
+        extra = f"<div class=\"q1\"><b>box of layout {k // 2 % 2} with some words</b></div>" if k // 2 % 2 else "<section>other layout, other box</section>"
         own = "" if k >= n - 2 else "".join(f"<p>{' '.join(rng.choice('lorem ipsum dolor sit amet magna aliqua'.split()) for _ in range(25))} {k}</p>" for _ in range(3))
         rows.append((k, f"http://{host}/{k}", f"<body><div><ul>{menu}</ul></div><div><div>{own}</div>{extra}</div><div>end of {host}, all rights</div></body>"))
     return rows
