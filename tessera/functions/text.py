@@ -93,10 +93,33 @@ def rewrite_format(text: Column, fmt: str = "latex", literal: bool = False) -> C
 
 def format_issues(text: Column, fmt: str = "latex") -> Column:
     """Messages of the patterns that a text has, in the order of the rules."""
-    found = [F.when(text.rlike(p), F.lit(message)) for p, message in ISSUES[fmt]]
+    found = [F.when(_holds(text, p), F.lit(message)) for p, message in ISSUES[fmt]]
     return F.filter(F.array(*found), lambda m: m.isNotNull()) if found else F.array().cast("array<string>")
 
 
+def _holds(text: Column, pattern: str) -> Column:
+    """Whether a text has a pattern.  A search for the characters that every match has goes first, on the text's bytes; a
+    pattern that is nothing else needs no more."""
+    needed, plain = _literal(pattern)
+    there = F.contains(text, F.lit(needed)) if needed else None
+    return there if plain else text.rlike(pattern) if there is None else there & text.rlike(pattern)
+
+
+def _literal(pattern: str) -> tuple[str, bool]:
+    """The characters that a pattern's matches begin with, after flags and an anchor, and whether that is all of it."""
+    rest, out = re.sub(r"^(\(\?[a-z]+\))?\^?", "", pattern), []
+    anchored = rest != pattern
+    while m := re.match(r"\\([^a-zA-Z0-9])|([^\\.\[\](){}*+?|^$])", rest):
+        after = rest[m.end() :]
+        if after[:1] in ("*", "?") or after[:2] == "{0":
+            break
+        out.append(m[1] or m[2])
+        rest = after
+        if rest[:1] in ("+", "{"):
+            break
+    return "".join(out), not anchored and not rest
+
+
 def enforce_format(text: Column, fmt: str = "latex", literal: bool = False) -> Column:
     """struct(fixed, issues): the rewritten text and what is still wrong with it."""
     fixed = rewrite_format(text, fmt, literal)

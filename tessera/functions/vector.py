@@ -6,11 +6,9 @@ chunks, by a join on the terms, unless an embedder is given (``functions.effects
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,23 +78,54 @@ def text_norms(counts: DataFrame) -> DataFrame:
     return counts.groupBy("id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
 
 
-def _frequencies(text: str | None) -> Counter:
-    return Counter(re.findall(r"[^\W_]+", (text or "").lower()))
+def _counts(words: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row its distinct words, as row * size + word in ascending order, and how often it has them."""
+    return np.unique(rows * size + words, return_counts=True)
+
+
+def batch_cosines(xs: pa.Array, ys: pa.Array) -> np.ndarray:
+    """Cosines of the term counts of two columns of texts, row by row.
+
+    Arrow lower-cases, splits and numbers the terms of the whole batch; rows are then counted by sorting numbers.
+    """
+    split = [pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), TERM_GAPS) for texts in (xs, ys)]
+    terms = pa.concat_arrays([s.flatten() for s in split]).dictionary_encode()
+    codes, names = terms.indices.to_numpy().astype(np.int64), terms.dictionary
+    size, gap = max(len(names), 1), names.index("").as_py()
+    counted, at = [], 0
+    for s in split:
+        rows = pc.list_parent_indices(s).to_numpy().astype(np.int64)
+        own = codes[at : at + len(rows)]
+        at += len(rows)
+        counted.append(_counts(own[own != gap], rows[own != gap], size))
+    (ka, na), (kb, nb) = counted
+    _, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+    dots = np.bincount(ka[i] // size, weights=na[i] * nb[j], minlength=len(xs))
+    norms = [np.sqrt(np.bincount(k // size, weights=n * n, minlength=len(xs))) for k, n in counted]
+    both = norms[0] * norms[1]
+    return np.divide(dots, both, out=np.zeros(len(xs)), where=both > 0)
+
+
+#: Characters of two columns that are compared at a time.
+CHARS = 8_000_000
 
 
 def term_cosine(a: Column, b: Column) -> Column:
     """Cosine of the term counts of two texts of a row, 0 where either has none.
 
-    Within the row, so that no terms are shuffled; with functions of functions the sorts alone took ten times as long.
+    Within the row, so that no terms are shuffled; batch by batch, in pieces of a bounded number of characters.
     """
 
-    @F.pandas_udf("double")
-    def cosines(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(map(_frequencies, xs), map(_frequencies, ys), strict=True):
-            size = math.sqrt(sum(n * n for n in x.values())) * math.sqrt(sum(n * n for n in y.values()))
-            out.append(sum(n * y[t] for t, n in x.items() if t in y) / size if size else 0.0)
-        return pd.Series(out, dtype="float64")
+    @F.arrow_udf("double")
+    def cosines(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        xs, ys = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (xs, ys))
+        ends = np.cumsum(sum(pc.fill_null(pc.binary_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (xs, ys)))
+        out, at = [], 0
+        while at < len(xs):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHARS)))
+            out.append(batch_cosines(xs.slice(at, stop - at), ys.slice(at, stop - at)))
+            at = stop
+        return pa.array(np.concatenate(out) if out else np.zeros(0))
 
     return cosines(a, b)
 

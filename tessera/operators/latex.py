@@ -1,7 +1,7 @@
 """LaTeX bodies to typed chunks (P6): a tokenizer of our own and a vectorised function around it.
 
-Sectioning commands set the path, each top-level environment is a chunk, everything between is a paragraph.  A scan over the
-text keeps one stack for environments; verbatim-like ones and comments are skipped whole.  An environment that is never
+Sectioning commands set the path, each top-level environment is a chunk, everything between is a paragraph.  All of it works
+on one stream of tokens, in which comments, verbatim text, groups and formulas are kinds of their own.  An environment that is never
 closed, and a stray ``\\end``, are plain text.
 """
 
@@ -11,14 +11,14 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Commands that open a section, with their level.
 LEVELS = {"section": 1, "subsection": 2, "subsubsection": 3}
 CITES = ("cite", "citep", "citet")
 VERBATIM = ("verbatim", "verbatim*", "lstlisting", "minted", "comment")
-_SCAN = re.compile(r"\\(?P<edge>begin|end)\s*\{(?P<env>[^{}]*)\}|\\(?P<sec>section|subsection|subsubsection)\*?(?![a-zA-Z])|\\(?P<other>[a-zA-Z]+\*?|.)|(?P<comment>%[^\n]*)", re.S)
+_TOKEN = re.compile(r"\\(?P<edge>begin|end)\s*\{(?P<env>[^{}]*)\}|\\(?P<command>[a-zA-Z]+\*?|[^a-zA-Z])|(?P<comment>%[^\n]*)|(?P<open>\{)|(?P<close>\})|(?P<math>\$\$?)", re.S)
 
 ITEM = "struct<type:string,content:string,path:array<string>,labels:array<string>,citations:array<string>,refs:array<string>,caption:string>"
 
@@ -49,61 +49,101 @@ def argument(text: str, at: int) -> tuple[str, int] | None:
     return text[m.end() : end - 1 if end <= len(text) and text[end - 1] == "}" else end], end
 
 
+def tokens(text: str) -> Iterator[tuple[str, str, int, int]]:
+    """The text's tokens (kind, name, start, end): begin, end, command, comment, verbatim, open, close, math.
+
+    A verbatim environment and what ``\\verb`` shows are one token each, an environment's name belongs to its begin and end;
+    text that is none of these has no token.
+    """
+    at = 0
+    while (m := _TOKEN.search(text, at)) is not None:
+        at = m.end()
+        if m["edge"] == "begin" and m["env"] in VERBATIM and (close := text.find(f"\\end{{{m['env']}}}", at)) >= 0:
+            at = close + len(m["env"]) + 6
+            yield "verbatim", m["env"], m.start(), at
+        elif m["edge"]:
+            yield m["edge"], m["env"], m.start(), at
+        elif m["command"] in ("verb", "verb*"):
+            mark = text[at : at + 1]
+            close = text.find(mark, at + 1) if mark else -1
+            at = close + 1 if close >= 0 else at
+            yield "verbatim", "", m.start(), at
+        elif m["command"] in ("(", "[", ")", "]"):
+            yield "math", m["command"], m.start(), at
+        elif m["command"]:
+            yield "command", m["command"], m.start(), at
+        else:
+            kind = next(k for k in ("comment", "open", "close", "math") if m[k])
+            yield kind, m[kind], m.start(), at
+
+
 def top_level(text: str) -> Iterator[tuple[str, str, int, int]]:
     """(kind, name, start, end) of the sectioning commands and environments that stand outside any environment."""
-    at, stack = 0, []
-    while (m := _SCAN.search(text, at)) is not None:
-        at = m.end()
-        if m["edge"] == "begin":
-            name = m["env"]
-            close = text.find(f"\\end{{{name}}}", at) if name in VERBATIM else -1
-            if close >= 0:
-                at = close + len(name) + 6
-                if not stack:
-                    yield "env", name, m.start(), at
-            else:
-                stack.append((name, m.start()))
-        elif m["edge"] == "end":
+    stack, past = [], 0
+    for kind, name, start, end in tokens(text):
+        if start < past:
+            continue
+        if kind == "verbatim" and name and not stack:
+            yield "env", name, start, end
+        elif kind == "begin":
+            stack.append((name, start))
+        elif kind == "end":
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == m["env"]:
-                    start = stack[k][1]
+                if stack[k][0] == name:
+                    first = stack[k][1]
                     del stack[k:]
                     if not stack:
-                        yield "env", m["env"], start, at
+                        yield "env", name, first, end
                     break
-        elif m["sec"] and not stack and (found := argument(text, at)) is not None:
-            at = found[1]
-            yield "sec", m["sec"], m.start(), at
-        elif m["other"] == "verb":
-            mark = text[at : at + 1]
-            close = text.find(mark, at + 1) if mark else -1
-            at = close + 1 if close >= 0 else at
+        elif kind == "command" and name.rstrip("*") in LEVELS and not stack and (found := argument(text, end)) is not None:
+            past = found[1]
+            yield "sec", name.rstrip("*"), start, past
 
 
 def _unclosed(text: str) -> int | None:
     """Start of the first environment that is opened at the top and never closed."""
     stack = []
-    for m in _SCAN.finditer(text):
-        if m["edge"] == "begin":
-            stack.append((m["env"], m.start()))
-        elif m["edge"] == "end":
+    for kind, name, start, _ in tokens(text):
+        if kind == "begin":
+            stack.append((name, start))
+        elif kind == "end":
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == m["env"]:
+                if stack[k][0] == name:
                     del stack[k:]
                     break
     return stack[0][1] if stack else None
 
 
+def _open_commands(text: str, names: set[str], nested: bool) -> Iterator[tuple[str, str]]:
+    """(name, argument) of these commands outside groups, arguments of other commands, formulas, comments and verbatim text;
+    those inside environments only if ``nested``."""
+    groups = environments = past = 0
+    formula = ""
+    for kind, name, start, end in tokens(text):
+        if start < past:
+            continue
+        if kind == "open":
+            groups += 1
+        elif kind == "close":
+            groups = max(0, groups - 1)
+        elif kind == "math":
+            closing = {"(": ")", "[": "]"}.get(name, name)
+            formula = "" if formula and name == formula else formula or ("" if name in (")", "]") else closing)
+        elif kind in ("begin", "end"):
+            environments = max(0, environments + (1 if kind == "begin" else -1))
+        elif kind == "command" and name in names and not groups and not formula and (nested or not environments) and (found := argument(text, end)) is not None:
+            past = found[1]
+            yield name, found[0].strip("{}")
+
+
 def metadata(text: str) -> dict:
-    """Labels, citations and references of a piece, in order."""
+    """Labels, citations and references of a piece, in order (P6c); of its own and of environments in it, not of what is
+    an argument of another command or stands in a group, a formula, a comment or verbatim text."""
     found = {"labels": [], "citations": [], "refs": []}
-    for m in re.finditer(r"(?<!\\)\\(label|ref|cite[pt]?)(?![a-zA-Z])", text):
-        if (arg := argument(text, m.end())) is None:
-            continue
-        value = arg[0].strip("{}")
-        if m[1] == "label":
+    for name, value in _open_commands(text, {"label", "ref", *CITES}, nested=True):
+        if name == "label":
             found["labels"].append(value.strip())
-        elif m[1] == "ref":
+        elif name == "ref":
             found["refs"].append(value.strip())
         else:
             found["citations"] += [c.strip() for c in value.split(",")]
@@ -112,11 +152,7 @@ def metadata(text: str) -> dict:
 
 def caption(body: str) -> str | None:
     """The caption that is a direct child of an environment (P6d)."""
-    nested = [(start, end) for kind, _, start, end in top_level(body) if kind == "env"]
-    for m in re.finditer(r"\\caption\*?(?![a-zA-Z])", body):
-        if not any(a <= m.start() < b for a, b in nested) and (arg := argument(body, m.end())) is not None:
-            return arg[0].strip("{}")
-    return None
+    return next((value for _, value in _open_commands(body, {"caption", "caption*"}, nested=False)), None)
 
 
 def parse(text: str | None, path: list[str] | None = None) -> list[dict]:
@@ -143,7 +179,8 @@ def parse(text: str | None, path: list[str] | None = None) -> list[dict]:
         else:
             whole = text[start:end]
             inner = whole[whole.index("}") + 1 : whole.rindex("\\end")]
-            out.append({"type": name, "content": whole, "path": list(path), **metadata(inner), "caption": caption(inner)})
+            inside = inner if name not in VERBATIM else ""
+            out.append({"type": name, "content": whole, "path": list(path), **metadata(inside), "caption": caption(inside)})
     paragraph(text[at:])
     return out
 
@@ -156,3 +193,19 @@ def parse_latex(body: Column, path: Column) -> Column:
         return pd.Series([parse(b, list(p) if p is not None else []) for b, p in zip(bodies, paths, strict=True)])
 
     return run(body, path)
+
+
+class LatexChunks:
+    """A table function: chunks of a LaTeX body, one row each."""
+
+    def eval(self, body: str, path: list[str] | None = None):
+        for n, c in enumerate(parse(body, path)):
+            yield n, c["type"], c["content"], c["path"], c["labels"], c["citations"], c["refs"], c["caption"]
+
+
+ROWS = "pos int, type string, content string, path array<string>, labels array<string>, citations array<string>, refs array<string>, caption string"
+
+
+def register_latex(spark: SparkSession, name: str = "latex_chunks") -> None:
+    """Makes the table function known to SQL: ``select * from docs, lateral latex_chunks(content, array())``."""
+    spark.udtf.register(name, F.udtf(LatexChunks, returnType=ROWS))

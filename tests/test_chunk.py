@@ -135,3 +135,28 @@ def test_templates(spark):
     assert [r["title"] for r in got if r["generative"]] == ["Summary", "Abstract"]
     assert [r["title"] for r in got if r["dynamic_subsections"]] == ["14. System Tests"]
     assert len(templates.flatten({"A": {"subsections": {}}, "stray": "text"})) == 1
+
+
+LATEX = r"""intro \label{a} \footnote{\cite{no}} {\ref{no}} $ \label{no} $ \[ \label{no} \] % \label{no}
+\begin{verbatim}\label{no}\end{verbatim} \verb|\label{no}| \cite[p.~3]{x, y} \citep{z} \textbf{\label{no}}
+\begin{figure}[h] \label{in} % \caption{no}
+\begin{tabular}{c} \caption{no} \ref{deep} \end{tabular} \caption{real} \ref{r1} \end{figure} \section{S} after \ref{r2} 100\% \label{b} \$ \ref{r3}"""
+
+
+def test_latex_tokens():
+    """What stands in comments, verbatim text, groups, formulas and other commands' arguments is not taken; environments are."""
+    assert latex.metadata(LATEX) == {"labels": ["a", "in", "b"], "citations": ["x", "y", "z"], "refs": ["deep", "r1", "r2", "r3"]}
+    chunks = latex.parse(LATEX)
+    assert [c["type"] for c in chunks] == ["paragraph", "verbatim", "paragraph", "figure", "paragraph"]
+    assert [c["labels"] for c in chunks] == [["a"], [], [], ["in"], ["b"]] and [c["caption"] for c in chunks] == [None, None, None, "real", None] and chunks[4]["path"] == ["S"]
+    text = "x {y $z$ \\verb+%+ % c\n\\begin{a}\\end{a}"
+    assert [t[0] for t in latex.tokens(text)] == ["open", "math", "math", "verbatim", "comment", "begin", "end"]
+
+
+def test_latex_table_function(spark):
+    latex.register_latex(spark)
+    docs = spark.createDataFrame([(1, LATEX), (2, "plain"), (3, None), (4, " ")], "doc_id long, content string")
+    docs.createOrReplaceTempView("latex_docs")
+    got = spark.sql("select doc_id, pos, type, labels, path, caption from latex_docs, lateral latex_chunks(content, array('P')) order by doc_id, pos").collect()
+    want = [(d, n, c["type"], c["labels"], c["path"], c["caption"]) for d, t in ((1, LATEX), (2, "plain")) for n, c in enumerate(latex.parse(t, ["P"]))]
+    assert [tuple(r) for r in got] == want
