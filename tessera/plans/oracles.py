@@ -361,3 +361,41 @@ select id // 1000 as doc_id, (id % 1000)::int as chunk_id, new_idx::int as node_
 _ONCE = filled("hierarchical_refactor", node_path="path_key", global_context=q(CONTEXT), parent_context="''", node_content="content")
 ORACLES["self_critique"] = f"""with {_NODES}, n as (select doc_id, array_to_string(path, ' -> ') as path_key, content from nodes where len(path) = 2)
 select doc_id, path_key, {rewritten(filled("self_critique_and_refine", node_path="path_key", refactored_text=_ONCE), _LATEX)} as text from n"""
+
+
+# --- the context store, event by event --------------------------------------------------------------------------------
+def _terms(text: str) -> str:
+    return rf"list_filter(string_split_regex(lower({text}), '[^\p{{L}}\p{{N}}]+'), lambda v: v <> '')"
+
+
+def _cosine(a: str, b: str) -> str:
+    """The cosine of the counts of two lists of terms."""
+    times = lambda terms: f"len(list_filter({terms}, lambda v: v = w))"
+    square = lambda terms: f"list_sum(list_transform(map_values(list_histogram({terms})), lambda v: v::bigint * v::bigint))"
+    return f"coalesce(list_sum(list_transform(list_distinct({a}), lambda w: {times(a)} * {times(b)})) / nullif(sqrt({square(a)} * {square(b)}), 0), 0.0)"
+
+
+def _store(kind: str, limit: int) -> str:
+    """The recursive table ``st``: each user's store after each event (k); ``kind`` says which events are queries."""
+    item = "struct(c varchar, s varchar, i double, t varchar, a double, u int, r double)"
+    shown = "array_to_string(list_transform(list_sort(list_transform(st.items, lambda x, n: {'n': -x.i, 'k': n, 'c': x.c})), lambda z: case when length(z.c) > 200 then left(z.c, 200) || '...' else z.c end), chr(10) || chr(10))"
+    ranked = "list_sort(list_transform(q.items, lambda x, n: {'n': -(x.i * 0.4 + x.r * 0.4 + least(x.u / 10.0::double, 0.2)), 'k': n, 'x': x}))"
+    best = f"list_sort(list_transform(st.items, lambda x, n: {{'n': -({_cosine('e.terms', _terms('x.c'))} * 0.6 + x.i * 0.3 + greatest(0.1, 1 - (e.at - x.a) / 3600 / 24) * 0.1), 'k': n, 'x': x}}))[:5]"
+    line = "'[' || upper(z.x.t) || case when z.x.s <> '' then ' (' || z.x.s || ')' else '' end || ']: ' || left(z.x.c, 300)"
+    return f"""{ITEMS_SQL}, e as (select *, {_terms("content")} as terms, sum((kind = 'add' and section_name <> '')::int) over (partition by user_id, section_name, kind order by position) as seen from
+  (select *, {kind} as kind, epoch_us(timestamp) / 1e6 as at, row_number() over (partition by user_id order by position) as k from items)),
+st as (select user_id, 0::bigint as k, []::{item}[] as items, null::double as relevance, null::varchar as context from (select distinct user_id from e)
+  union all select e.user_id, e.k, case when e.kind = 'ask' or list_sum(list_transform(q.items, lambda x: length(x.c))) <= {limit} then q.items
+      else list_transform(list_filter(p.l, lambda z, n: list_sum(list_transform(p.l[:n], lambda y: length(y.x.c))) <= {limit}), lambda z: z.x) end,
+    case when e.kind = 'add' then r.r end, case when e.kind = 'ask' then array_to_string(list_transform({best}, lambda z: {line}), chr(10) || chr(10)) end
+  from st join e on e.user_id = st.user_id and e.k = st.k + 1, lateral (select {shown} as b) b, lateral (select case when b.b = '' then 0.0 else {_cosine("e.terms", _terms("b.b"))} end as r) r,
+    lateral (select case when e.kind = 'ask' then list_transform(st.items, lambda x: {{'c': x.c, 's': x.s, 'i': x.i, 't': x.t, 'a': x.a, 'u': x.u + 1, 'r': x.r}}::{item})
+      else list_append(st.items, {{'c': e.content, 's': e.section_name, 'i': e.importance_score, 't': e.context_type, 'a': e.at, 'u': 0, 'r': r.r}}::{item}) end as items) q, lateral (select {ranked} as l) p),
+o as (select e.user_id, e.position, e.kind, st.relevance, st.context, len(st.items) as n_items, coalesce(list_sum(list_transform(st.items, lambda x: length(x.c))), 0)::bigint as total_chars,
+  coalesce(list_sum(list_transform(st.items, lambda x: x.u)), 0)::bigint as uses, case when e.kind = 'add' and e.section_name <> '' then e.seen::bigint end as in_section from st join e on e.user_id = st.user_id and e.k = st.k)"""
+
+
+ORACLES["store_answers"] = f"""with recursive {_store("case when position % 5 = 4 then 'ask' else 'add' end", 300)}
+select user_id, position as event_id, kind, round(relevance, 6) as relevance_score, context, n_items, total_chars, uses, in_section from o"""
+ORACLES["store_stream"] = ORACLES["store_answers"]
+ORACLES["add_context"] = f"with recursive {_store(q('add'), 2000)} select user_id::varchar as key, position as seq, round(relevance, 6) as relevance_score, n_items, total_chars from o"

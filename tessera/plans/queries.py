@@ -303,7 +303,7 @@ def section_index(spark, d) -> DataFrame:
 
 def add_context(spark, d) -> DataFrame:
     rows = inputs.context_items(spark, d).select(F.col("user_id").alias("key"), F.col("position").alias("seq"), "content", "section_name", "importance_score", "context_type")
-    return context.add_context(rows)
+    return context.add_context(rows).withColumn("relevance_score", R("relevance_score"))
 
 
 # --- analysis ---------------------------------------------------------------------------------------------------------
@@ -579,13 +579,15 @@ def store_answers(spark, d) -> DataFrame:
 
 
 def store_stream(spark, d) -> DataFrame:
-    """The same on a stream of events, in batches, with the stores as state between them."""
+    """The same on a stream of events that arrive in three parts, with the stores as state between them."""
     at = _folder(spark)
     events = _store_events(spark, d)
-    events.repartitionByRange(3, "seq").write.parquet(f"{at}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    write = state.store_stream(stream, 300).writeStream.outputMode("update").option("checkpointLocation", f"{at}/state")
-    write.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{at}/out/batch={n}")).trigger(availableNow=True).start().awaitTermination()
+    first, second = events.approxQuantile("seq", [1 / 3, 2 / 3], 0.01) or (0, 0)
+    for k, part in enumerate((F.col("seq") <= first, (F.col("seq") > first) & (F.col("seq") <= second), F.col("seq") > second)):
+        events.where(part).write.mode("append").parquet(f"{at}/in")
+        stream = state.store_stream(spark.readStream.schema(events.schema).parquet(f"{at}/in"), 300)
+        write = stream.writeStream.outputMode("update").option("checkpointLocation", f"{at}/state")
+        write.foreachBatch(lambda rows, n, k=k: rows.write.mode("overwrite").parquet(f"{at}/out/batch={k}-{n}")).trigger(availableNow=True).start().awaitTermination()
     return _answers(spark.read.schema(context.ANSWERS).parquet(f"{at}/out"))
 
 
