@@ -8,7 +8,9 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.effects import CALL_SECONDS, MAX_TOKENS, TEMPERATURE, GuardedModel, TimedModel, language_model
+from tessera.functions.effects import CALL_SECONDS, EMBEDDERS, MAX_TOKENS, TEMPERATURE, GuardedModel, TimedModel, language_model
+from tessera.operators.chunk import SPLIT_THRESHOLD
+from tessera.operators.mapping import THRESHOLD
 from tessera.plans.restructure import STAGES, Options, analyse, restructure
 from tessera.session import session
 from tessera.sources import files, sinks, templates
@@ -42,6 +44,10 @@ def main(args: list[str] | None = None) -> str:
     p.add_argument("--remediate-orphans", action="store_true")
     p.add_argument("--no-polish", action="store_true")
     p.add_argument("--analysis", action="store_true", help="compare the result with the source")
+    p.add_argument("--embedder", choices=sorted(EMBEDDERS), help="what sections and chunks are compared by; their terms if it isn't given")
+    p.add_argument("--threshold", type=float, default=THRESHOLD, help="least similarity of a chunk with its section")
+    p.add_argument("--split", action="store_true", help="let the model split long paragraphs")
+    p.add_argument("--split-threshold", type=int, default=SPLIT_THRESHOLD, help="characters from which on a paragraph is long")
     p.add_argument("--provider", default="echo")
     p.add_argument("--max-tokens", type=int, default=MAX_TOKENS)
     p.add_argument("--temperature", type=float, default=TEMPERATURE)
@@ -56,7 +62,8 @@ def main(args: list[str] | None = None) -> str:
             p.error("--source2 needs a single source")
         more = read_sources(spark, [a.source2])[0].drop("doc_id").crossJoin(docs.select("doc_id"))  # two single rows
     model = GuardedModel(TimedModel(language_model(a.provider), a.max_tokens, a.temperature, a.timeout))
-    options = Options(a.stage, a.format, remediate=a.remediate_orphans, polish=not a.no_polish)
+    embedder = EMBEDDERS[a.embedder]() if a.embedder else None
+    options = Options(a.stage, a.format, a.split, a.remediate_orphans, not a.no_polish, threshold=a.threshold, embedder=embedder, split_threshold=a.split_threshold)
     found = restructure(docs, templates.skeleton(spark, a.template, a.templates), model, options, more, a.combine, paragraphs)
     if a.stage != "all":
         sinks.save_checkpoint(found, folder, a.stage)

@@ -70,6 +70,10 @@ class EchoModel:
 PROVIDERS: dict[str, Callable[..., LanguageModel]] = {"echo": EchoModel}
 
 
+#: Embedders by name; others are registered by their users.
+EMBEDDERS: dict[str, Callable[..., Embedder]] = {"hashing": HashingEmbedder}
+
+
 def language_model(provider: str, **options) -> LanguageModel:
     if provider not in PROVIDERS:
         raise ModelError(f"unknown provider: {provider}")

@@ -99,11 +99,9 @@ def polish(nodes: DataFrame, model: LanguageModel, fmt: str | None = None) -> Da
     return rows.withColumn("processed_content", enforce_format(F.col("processed_content"), fmt)["fixed"]) if fmt else rows
 
 
-def split_markers(content: Column, model: LanguageModel) -> Column:
-    """Markers of a long paragraph by a model (P8); null if it fails."""
-    from tessera.operators.chunk import markers_of_reply
-
-    return markers_of_reply(ask(render_prompt("semantic_split_paragraph", text_content=content), model)["text"])
+def split_reply(content: Column, model: LanguageModel) -> Column:
+    """A model's markers of a long paragraph (P8), for ``chunk.markers_of_reply``; null if it fails."""
+    return ask(render_prompt("semantic_split_paragraph", text_content=content), model)["text"]
 
 
 def orphan_replies(orphans: DataFrame, details: Column, model: LanguageModel) -> DataFrame:

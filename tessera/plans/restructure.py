@@ -19,7 +19,7 @@ STAGES = ("chunk", "map", "all")
 @dataclass
 class Options:
     """``stage``: where to stop; ``split``: long paragraphs by the model; ``remediate``: orphans by the model; ``embedder``:
-    what chunks and sections are compared by, instead of by their terms."""
+    what chunks and sections are compared by, instead of by their terms; ``split_threshold``: characters of a long paragraph."""
 
     stage: str = "all"
     fmt: str = "latex"
@@ -29,12 +29,15 @@ class Options:
     critique: bool = False
     threshold: float = mapping.THRESHOLD
     embedder: Embedder | None = None
+    split_threshold: int = chunk.SPLIT_THRESHOLD
 
 
 def chunks_of(docs: DataFrame, model: LanguageModel, options: Options, paragraphs: DataFrame | None = None) -> DataFrame:
     found = chunk.chunk_documents(docs, paragraphs)
     if options.split:
-        found = chunk.split_long_chunks(found, process.split_markers(F.when((F.col("type") == "paragraph") & (F.length("content") > chunk.SPLIT_THRESHOLD), F.col("content")), model))
+        long_ = F.when((F.col("type") == "paragraph") & (F.length("content") > options.split_threshold), F.col("content"))
+        asked = materialized(found.withColumn("_reply", F.when(long_.isNotNull(), process.split_reply(long_, model))))  # asked once
+        found = chunk.split_long_chunks(asked, chunk.markers_of_reply(F.col("_reply")), options.split_threshold)
     return materialized(found)
 
 

@@ -53,3 +53,28 @@ def test_command(spark, tmp_path):
     assert "\\begin{document}" in text and "zebra" in text
     folder = main([str(tmp_path / "a.tex"), "--out", str(tmp_path / "out"), "--stage", "chunk"])
     assert spark.read.parquet(f"{folder}/chunk").where(F.col("content") == "zebra").count() == 1
+
+
+def test_embedder_and_thresholds(spark):
+    """A run by an embedder: each chunk's section is that of the highest cosine of their vectors, from the threshold on."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tessera.functions import effects
+    from tessera.plans.restructure import Options, restructure
+    from tessera.sources import templates
+
+    body = "% --- Introduction ---\nDigital cash without a trusted third party.\n\nTransactions are chains of signatures.\n% --- Network ---\nNodes gossip transactions and blocks over the network.\n"
+    docs = spark.createDataFrame([(1, ".tex", body)], "doc_id long, ext string, content string")
+    embedder = effects.HashingEmbedder(64)
+    sections = templates.skeleton(spark, "bitcoin_paper_hierarchical")
+    how = Options(stage="map", embedder=embedder, threshold=0.1)
+    got = {r["chunk_id"]: (r["node_idx"], r["assignment_score"]) for r in restructure(docs, sections, effects.EchoModel(), how).where("method <> 'neighbor'").collect()}
+    chunks = {r["chunk_id"]: r["content"] for r in restructure(docs, sections, effects.EchoModel(), Options(stage="chunk")).collect()}
+    rows = sections.orderBy("node_idx").select(F.coalesce("description", "title").alias("d")).collect()
+    vectors = np.array(embedder.embed([r["d"] for r in rows]))
+    for k, (node, score) in got.items():
+        scores = np.round(vectors @ np.array(embedder.embed([chunks[k]])[0]), 9)
+        assert abs(score - scores.max()) < 1e-8 and node == (int(scores.argmax()) if scores.max() >= 0.1 else None)
+    split = restructure(docs, sections, effects.EchoModel(), Options(stage="chunk", split=True, split_threshold=10)).count()
+    assert split >= len(chunks)
