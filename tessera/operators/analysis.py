@@ -81,14 +81,19 @@ def scored_pairs(pairs: DataFrame, by: list[str], augmented: bool = False) -> Da
     return rows.withColumn("quality_score", quality_score(rates, F.col("char_change_percent"), F.col("original_depth"), F.col("processed_depth"), augmented))
 
 
+def tenths(value: str, signed: bool = False) -> Column:
+    """A double with one decimal, as printf writes it: by its exact value, ties to even (``format_string`` rounds ties up)."""
+    return F.expr(f"format_number(cast(`{value}` as double), '{'+0.0;-0.0' if signed else '0.0'}')")
+
+
 def report(rows: DataFrame, by: list[str]) -> DataFrame:
     """A Markdown report of each row of ``scored_pairs`` (A5)."""
-    line = lambda e: F.format_string(f"| {e.capitalize():<9} | %-8d | %-9d | %.1f%%              |", f"{e}_original", f"{e}_processed", F.col(e).cast("double"))
+    line = lambda e: F.format_string(f"| {e.capitalize():<9} | %-8d | %-9d | %s%%              |", f"{e}_original", f"{e}_processed", tenths(e))
     text = F.concat_ws(
         "\n",
-        F.lit("# Document Processing Analysis Report"), F.lit("---"), F.format_string("**Overall Quality Score: %.1f/100**", F.col("quality_score").cast("double")),
+        F.lit("# Document Processing Analysis Report"), F.lit("---"), F.format_string("**Overall Quality Score: %s/100**", tenths("quality_score")),
         F.lit("\n## 1. Content Preservation Analysis"), F.lit("| Element   | Original | Processed | Preservation Rate |"), F.lit("|-----------|----------|-----------|-------------------|"), *[line(e) for e in ELEMENTS],
-        F.lit("\n## 2. Structural & Size Analysis"), F.format_string("- **Character Count Change:** %+.1f%%", F.col("char_change_percent").cast("double")),
+        F.lit("\n## 2. Structural & Size Analysis"), F.format_string("- **Character Count Change:** %s%%", tenths("char_change_percent", signed=True)),
         F.format_string("- **Section Count:** %d -> %d", "original_sections", "processed_sections"), F.format_string("- **Subsection/Depth Count:** %d -> %d", "original_depth", "processed_depth"),
     )
     return rows.select(*by, text.alias("report"))
