@@ -219,16 +219,15 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 #
 # Two sets of shingles that reach the similarity share one in their first few, in any order of all shingles that both use
 # (prefix filtering).  So each text's shingles are ordered, rare ones first, and the first of them, its tokens, are joined.
-# Sets that are alike differ in few shingles, so their sketches, the parities of their hashes' counts in SKETCH bits, differ
-# in no more bits: a pair whose sketches are further apart needn't be compared.  All links are found that way.
+# Sets that are alike differ in few shingles, so their sketches, the parities of their hashes' counts in SKETCH bits or more,
+# differ in no more bits: a pair whose sketches are further apart needn't be compared.  All links are found that way.  A sketch
+# has at least two bits for each shingle, else long texts fill it and none of their pairs is left out.
 #
 # A group of thousands of copies shares most of its tokens.  So a token first proposes one link for each of its texts only,
 # to a leader drawn for the token; of its proposals a text tries the closest.  That is linear in the tokens, and what is
 # linked then counts as one: after ``rounds`` of that, all pairs of a token's texts that aren't in one component yet are
 # compared.  What the rounds miss costs time, not links.
 SKETCH = 512
-#: Share of its tokens that a text must have in common with a leader to be compared with it in a round, if its sketch is full.
-LIKELY = 0.3
 #: Texts of a token from which on pairs are left out by their sketches in the join itself.
 CROWDED = 8
 #: First tokens of a text that tell whether a pair has been met before.
@@ -272,16 +271,34 @@ def prefix_of(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, n
 
 
 def sketch_of(hashes: np.ndarray) -> np.ndarray:
-    """SKETCH bits as signed integers: whether an odd number of the hashes has a bit's place."""
-    counts = np.bincount((hashes & (SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+    """Bits as signed integers: whether an odd number of the hashes has a bit's place.
+
+    There are SKETCH of them or, from half as many hashes on, the power of two from two a hash; a longer sketch folds to a
+    shorter one.
+    """
+    width = max(SKETCH, 1 << max(2 * len(hashes) - 1, 1).bit_length())
+    counts = np.bincount((hashes & (width - 1)).astype(np.int64), minlength=width)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _folded(bits: Column, words: Column) -> Column:
+    """A sketch of so many words from one of as many or more."""
+    place = lambda i: F.aggregate(F.sequence(i, F.size(bits) - 1, words), F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(F.get(bits, j)))
+    return F.when(F.size(bits) == words, bits).otherwise(F.transform(F.sequence(F.lit(0), words - 1), place))
 
 
 def _apart(a: str, b: str) -> Column:
-    """Bits in which two sketches differ."""
+    """Bits in which two sketches of SKETCH bits differ."""
     return sum((F.bit_count(F.get(a, k).bitwiseXOR(F.get(b, k))) for k in range(1, SKETCH // 64)), F.bit_count(F.get(a, 0).bitwiseXOR(F.get(b, 0))))
 
 
+def _apart_folded(a: str, b: str) -> Column:
+    """Bits in which two sketches differ, of any lengths: the longer is folded."""
+    words = F.least(F.size(a), F.size(b))
+    both = F.zip_with(_folded(F.col(a), words), _folded(F.col(b), words), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.when((F.size(a) == SKETCH // 64) & (F.size(b) == SKETCH // 64), _apart(a, b)).otherwise(F.aggregate(both, F.lit(0), lambda s, x: s + x))
+
+
 def _may(apart: Column, na: Column, nb: Column, similarity: float) -> Column:
     return apart <= (1 - similarity) / (1 + similarity) * (na + nb) + 1e-9
 
@@ -289,7 +306,7 @@ def _may(apart: Column, na: Column, nb: Column, similarity: float) -> Column:
 def sketched(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """The ``pairs`` (a, b) whose sketches allow the similarity, with na, nb (sizes) and apart (bits)."""
     own = lambda x: nodes.select(F.col("uid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
-    both = pairs.join(own("a"), "a").join(own("b"), "b").withColumn("apart", _apart("bits_a", "bits_b")).drop("bits_a", "bits_b")
+    both = pairs.join(own("a"), "a").join(own("b"), "b").withColumn("apart", _apart_folded("bits_a", "bits_b")).drop("bits_a", "bits_b")
     return both.where(_may(F.col("apart"), F.col("na"), F.col("nb"), similarity))
 
 
@@ -298,8 +315,7 @@ def proposals(mixed: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     of the token's leader)."""
     alike = (F.least("n", "lead.n") >= similarity * F.greatest("n", "lead.n") - 1e-9) & (F.col("label") != F.col("lead.label"))
     met = mixed.where(alike).groupBy(F.col("uid").alias("a"), F.col("lead.uid").alias("b")).agg(F.count(F.lit(1)).alias("times"))
-    close = sketched(met, nodes, similarity).where((F.col("na") <= SKETCH) | (F.col("times") >= LIKELY * (1 - similarity) * F.col("na")))
-    best = close.groupBy("a").agg(F.min(F.struct(F.round(F.col("apart") / (F.col("na") + F.col("nb")), 2).alias("far"), (-F.col("times")).alias("times"), "b")).alias("best"))
+    best = sketched(met, nodes, similarity).groupBy("a").agg(F.min(F.struct(F.round(F.col("apart") / (F.col("na") + F.col("nb")), 2).alias("far"), (-F.col("times")).alias("times"), "b")).alias("best"))
     return best.select("a", "best.b")
 
 
@@ -307,25 +323,34 @@ def all_pairs(mixed: DataFrame, nodes: DataFrame, similarity: float, crowd: int)
     """Candidates (a, b): every pair of one token's texts in ``mixed`` (token, uid, label, n, pos, size) whose labels differ
     and that can reach the similarity.
 
-    A token of more than ``crowd`` texts is dealt out: its smaller sets into parts, the others to every part, so that all
-    its pairs are still compared, but not in one task.  In a token of more than ``CROWDED`` texts rows carry their sketch and
-    their first tokens: pairs too far apart, and those that an earlier token has met, are left out where they are made.
+    Texts that are alike in part share hundreds of tokens of few texts.  So the texts of a token of up to ``CROWDED`` are one
+    list, and each list gives its pairs once.  In larger tokens rows carry their sketch, folded, and their first tokens: pairs
+    too far apart, and those that an earlier token has met, are left out where they are made.  A token of more than ``crowd``
+    texts is dealt out: its smaller sets into parts, the others to every part, so that all its pairs are still compared, but
+    not in one task.
     """
     both = similarity / (1 + similarity)
-    mixed = mixed.select("token", "uid", "label", "n", "pos", F.ceil(F.col("size") / crowd).cast("int").alias("parts"), (F.col("size") > CROWDED).alias("crowded"))
-    many = mixed.where("crowded").join(nodes.select("uid", "bits", F.slice("prefix", 1, HEAD).alias("head")), "uid")
-    many = many.withColumn("head", F.slice("head", 1, F.least(F.col("pos"), F.lit(HEAD))))
-    few = mixed.where("not crowded").withColumn("bits", F.lit(None).cast("array<long>")).withColumn("head", F.lit(None).cast("array<long>"))
-    mixed = cut(many.select(*few.columns).unionByName(few))
+
+    def pairs(x: Column, y: Column) -> Column:
+        """Whether y is the smaller of two sets of different labels that can reach the similarity."""
+        smaller = (y["n"] < x["n"]) | ((y["n"] == x["n"]) & (y["uid"] < x["uid"]))
+        return (x["label"] != y["label"]) & smaller & (y["n"] >= similarity * x["n"] - 1e-9)
+
+    lists = mixed.where(F.col("size") <= CROWDED).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("uid", "label", "n"))).alias("texts")).select("texts").distinct()
+    of = lambda x: F.transform(F.filter("texts", lambda y: pairs(x, y)), lambda y: F.struct(x["uid"].alias("a"), y["uid"].alias("b")))
+    few = lists.select(F.explode(F.flatten(F.transform("texts", of))).alias("pair")).select("pair.*")
+    many = mixed.where(F.col("size") > CROWDED).withColumn("parts", F.ceil(F.col("size") / crowd).cast("int"))
+    many = many.join(nodes.select("uid", _folded(F.col("bits"), F.lit(SKETCH // 64)).alias("bits"), F.slice("prefix", 1, HEAD).alias("head")), "uid")
+    many = cut(many.withColumn("head", F.slice("head", 1, F.least(F.col("pos"), F.lit(HEAD)))))
     # of a pair the smaller set has a shared one among even fewer
-    y = mixed.where(F.col("pos") <= F.col("n") - F.ceil(2 * both * F.col("n") - 1e-9)).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
-    x, y = mixed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("x"), y.alias("y")
-    ordered = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.uid") < F.col("x.uid")))
-    left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    able = (F.col("y.n") >= similarity * F.col("x.n") - 1e-9) & (left >= both * (F.col("x.n") + F.col("y.n")) - 1e-9)
-    close = ~F.col("x.crowded") | (_may(_apart("x.bits", "y.bits"), F.col("x.n"), F.col("y.n"), similarity) & ~F.arrays_overlap("x.head", "y.head"))
-    found = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.label") != F.col("y.label")) & ordered & able & close)
-    return sketched(found.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct(), nodes, similarity).select("a", "b")
+    y = many.where(F.col("pos") <= F.col("n") - F.ceil(2 * both * F.col("n") - 1e-9)).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
+    x, y = many.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("x"), y.alias("y")
+    able = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= both * (F.col("x.n") + F.col("y.n")) - 1e-9
+    close = _may(_apart("x.bits", "y.bits"), F.col("x.n"), F.col("y.n"), similarity) & ~F.arrays_overlap("x.head", "y.head")
+    row = lambda side: {c: F.col(f"{side}.{c}") for c in ("uid", "label", "n")}
+    found = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & pairs(row("x"), row("y")) & able & close)
+    found = found.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).unionByName(few).distinct()
+    return sketched(found, nodes, similarity).select("a", "b")
 
 
 def verified(links: DataFrame, sets_of, similarity: float) -> DataFrame:

@@ -201,6 +201,35 @@ def test_near_copies_of_few_words(spark):
     assert linked_to_twins(spark, pairs) == 1
 
 
+def test_long_texts_alike_in_part(spark):
+    """Long texts of which each shares three fifths with every other: only the twins among them are candidates."""
+    rng = np.random.default_rng(14)
+    draw = lambda n: rng.integers(-(2**63), 2**63, size=n, dtype=np.int64)
+    form, sets = draw(1500), []
+    for i in range(24):
+        sets.append(np.unique(np.concatenate([form, draw(500)])))
+    sets.append(np.unique(np.concatenate([sets[3][:-150], draw(150)])))
+    prefixes = [simhash.prefix_of(h, 0.8, (np.array([]), np.array([]))).tolist() for h in sets]
+    size = collections.Counter(t for x in prefixes for t in x)
+    mixed = spark.createDataFrame([(t, i, i, len(sets[i]), pos, size[t]) for i, x in enumerate(prefixes) for pos, t in enumerate(x) if size[t] > 1], "token long, uid long, label long, n int, pos int, size long")
+    nodes = spark.createDataFrame([(i, len(h), prefixes[i], simhash.sketch_of(h).tolist()) for i, h in enumerate(sets)], "uid long, n int, prefix array<long>, bits array<long>")
+    assert {frozenset(r) for r in simhash.all_pairs(mixed, nodes, 0.8, 2000).collect()} == {frozenset((3, 24))}
+
+
+def test_sketches_fold(spark):
+    """The bits in which sketches of unlike lengths differ are those of the shorter length, and no more than the shingles."""
+    rng = np.random.default_rng(15)
+    base = rng.integers(-(2**63), 2**63, size=1100, dtype=np.int64)
+    sets = [base[:n] for n in (3, 200, 256, 257, 300, 500, 512, 600, 1000, 1100)]
+    rows = [(i, simhash.sketch_of(h).tolist()) for i, h in enumerate(sets)]
+    df = spark.createDataFrame(rows, "i long, bits array<long>")
+    both = df.select(F.col("i").alias("x"), F.col("bits").alias("p")).crossJoin(df.select(F.col("i").alias("y"), F.col("bits").alias("q")))
+    for r in both.select("x", "y", simhash._apart_folded("p", "q").alias("apart")).collect():
+        width = 64 * min(len(rows[r["x"]][1]), len(rows[r["y"]][1]))
+        odd = [np.bincount(sets[i] & (width - 1), minlength=width) & 1 for i in (r["x"], r["y"])]
+        assert r["apart"] == int((odd[0] != odd[1]).sum()) <= abs(len(sets[r["x"]]) - len(sets[r["y"]]))
+
+
 @pytest.mark.parametrize("rounds", [0, 1, 3])
 def test_rounds_change_no_component(spark, rounds):
     """With and without rounds that propose leaders the components are those of all pairs."""
