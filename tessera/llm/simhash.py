@@ -223,10 +223,11 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 # differ in no more bits: a pair whose sketches are further apart needn't be compared.  All links are found that way.  A sketch
 # has at least two bits for each shingle, else long texts fill it and none of their pairs is left out.
 #
-# A group of thousands of copies shares most of its tokens.  So a token first proposes one link for each of its texts only,
-# to a leader drawn for the token; of its proposals a text tries the closest.  That is linear in the tokens, and what is
-# linked then counts as one: after ``rounds`` of that, all pairs of a token's texts that aren't in one component yet are
-# compared.  What the rounds miss costs time, not links.
+# A group of thousands of copies shares most of its tokens.  So the pigeonhole above goes first, over fingerprints of the same
+# shingles: it proposes the pairs within ``tau`` bits.  A token then proposes one link for each of its texts only, to a leader
+# drawn for the token; of its proposals a text tries the closest.  Both are linear in crowds, and what is linked then counts
+# as one: after ``rounds`` of leaders, all pairs of a token's texts that aren't in one component yet are compared.  What these
+# steps miss costs time, not links; every link is one whose sets reach the similarity.
 SKETCH = 512
 #: Texts of a token from which on pairs are left out by their sketches in the join itself.
 CROWDED = 8
@@ -270,6 +271,12 @@ def prefix_of(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, n
     return own[np.lexsort((own, often))[: len(own) - ceil(similarity * len(own) - 1e-9) + 1]] if len(own) else own
 
 
+def print_of(hashes: np.ndarray) -> int:
+    """64 bits as a signed integer; a bit is 1 if set in over half the hashes."""
+    counts = sum((np.unpackbits(hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) for at in range(0, len(hashes), _CHUNK)), np.zeros(BITS, dtype=np.int64))
+    return int(np.packbits(counts * 2 > len(hashes)).view(np.int64)[0])
+
+
 def sketch_of(hashes: np.ndarray) -> np.ndarray:
     """Bits as signed integers: whether an odd number of the hashes has a bit's place.
 
@@ -310,6 +317,15 @@ def sketched(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
     return both.where(_may(F.col("apart"), F.col("na"), F.col("nb"), similarity))
 
 
+def fingerprint_pairs(nodes: DataFrame, similarity: float, tau: int) -> DataFrame:
+    """Candidates (a, b) by the pigeonhole: of the ``nodes`` (uid, n, bits, fp) those whose fingerprints are within ``tau`` bits;
+    of nodes of one fingerprint each with the first of them."""
+    own = nodes.where("n > 0").select("uid", "fp")
+    prints = cut(own.groupBy("fp").agg(F.min("uid").alias("rep")))
+    same = salted_join(own, prints, "fp").where("uid <> rep").select(F.col("uid").alias("a"), F.col("rep").alias("b"))
+    return sketched(hamming_links(prints, tau).distinct().unionByName(same), nodes, similarity).select("a", "b")
+
+
 def proposals(mixed: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Candidates (a, b): of each text the closest of its tokens' leaders; from ``mixed`` (uid, label, n, lead: uid, label and n
     of the token's leader)."""
@@ -375,19 +391,18 @@ def shared_tokens(nodes: DataFrame, common: DataFrame) -> DataFrame:
     return cut(each.where("size > 1 or parts is not null").select("token", "uid", "n", "pos"))
 
 
-def similar_sets(nodes: DataFrame, common: DataFrame, sets_of, similarity: float, rounds: int = 2, crowd: int = 2000) -> DataFrame:
-    """Rows (node, root): components of the ``nodes`` (uid, n, prefix, bits) linked by the similarity of their sets."""
+def similar_sets(nodes: DataFrame, common: DataFrame, sets_of, similarity: float, rounds: int = 1, crowd: int = 2000, tau: int = 2) -> DataFrame:
+    """Rows (node, root): components of the ``nodes`` (uid, n, prefix, bits, fp) linked by the similarity of their sets."""
+    links = verified(fingerprint_pairs(nodes, similarity, tau), sets_of, similarity)
+    labels = connected_components(links)
     shared = shared_tokens(nodes, common)
-    links = labels = None
     for k in range(rounds + 1):
-        tokens = shared.withColumn("label", F.col("uid"))
-        if labels is not None:
-            tokens = shared.join(labels, shared["uid"] == labels["node"], "left").select(*shared.columns, F.coalesce("root", "uid").alias("label"))
+        tokens = shared.join(labels, shared["uid"] == labels["node"], "left").select(*shared.columns, F.coalesce("root", "uid").alias("label"))
         drawn = F.struct(F.xxhash64("uid", "token", F.lit(k)).alias("drawn"), "uid", "label", "n")
         each = tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"), F.min(drawn).alias("lead"))
         mixed = tokens.join(each.where("low <> high").select("token", "size", "lead"), "token")
         found = verified(proposals(mixed, nodes, similarity) if k < rounds else all_pairs(mixed, nodes, similarity, crowd), sets_of, similarity)
-        links = found if links is None else cut(links.unionByName(found))
+        links = cut(links.unionByName(found))
         tokens = each = mixed = found = None
         labels = connected_components(links)
     return labels
@@ -407,13 +422,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hot = sample[1] >= 200  # of 20,000 sampled texts
     common = spark.createDataFrame(pd.DataFrame({"token": sample[0][hot], "parts": sample[1][hot]}), "token long, parts long")
 
-    @F.pandas_udf("n int, prefix array<long>, bits array<long>")
+    @F.pandas_udf("n int, prefix array<long>, bits array<long>, fp long")
     def described(texts: pd.Series) -> pd.DataFrame:
         found = []  # a text's hashes are many: none are held longer than it takes
         for t in texts:
             own = shingle_hashes(t, k)
-            found.append((len(own), prefix_of(own, similarity, often.value), sketch_of(own)))
-        return pd.DataFrame(found, columns=["n", "prefix", "bits"])
+            found.append((len(own), prefix_of(own, similarity, often.value), sketch_of(own), print_of(own)))
+        return pd.DataFrame(found, columns=["n", "prefix", "bits", "fp"])
 
     @F.pandas_udf("array<long>")
     def hashes(texts: pd.Series) -> pd.Series:
@@ -429,7 +444,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         with small_batches(spark):
             return cut(rows.select("id", same, "text").join(wanted, ["id", "same"]).dropDuplicates(["uid"]).select("uid", hashes("text").alias("h")))
 
-    roots = similar_sets(nodes.select("uid", "n", "prefix", "bits"), common, sets_of, similarity, **how)
+    roots = similar_sets(nodes.select("uid", "n", "prefix", "bits", "fp"), common, sets_of, similarity, **how)
     grouped = cut(nodes.select("same", "rep", "last", "uid").join(roots, nodes["uid"] == roots["node"], "left").where("root is not null or rep <> last").select("same", "rep", F.coalesce("root", "uid").alias("root")))
     least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
     # equal texts may be many: each is one of a few rows to which its copies are dealt

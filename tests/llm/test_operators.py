@@ -230,6 +230,22 @@ def test_sketches_fold(spark):
         assert r["apart"] == int((odd[0] != odd[1]).sum()) <= abs(len(sets[r["x"]]) - len(sets[r["y"]]))
 
 
+def test_near_copies_go_through_the_pigeonhole(spark, monkeypatch):
+    """Near copies whose fingerprints are within two bits are found by the pigeonhole, without leaders or all pairs."""
+    rng = np.random.default_rng(16)
+    rows = []
+    for i in range(8):
+        words = [f"w{x}" for x in rng.integers(10**9, size=3000)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-2], f"x{i}", f"y{i}"]))]
+    prints = {i: simhash.print_of(simhash.shingle_hashes(t, 5)) for i, t in rows}
+    close = {2 * i + 1 for i in range(8) if ((prints[2 * i] ^ prints[2 * i + 1]) & (2**64 - 1)).bit_count() <= 2}
+    none = lambda mixed, *_: mixed.select(F.col("uid").alias("a"), F.col("uid").alias("b")).limit(0)
+    monkeypatch.setattr(simhash, "proposals", none)
+    monkeypatch.setattr(simhash, "all_pairs", none)
+    kept = {r["doc_id"] for r in simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i, _ in rows} - close and len(close) > 4
+
+
 @pytest.mark.parametrize("rounds", [0, 1, 3])
 def test_rounds_change_no_component(spark, rounds):
     """With and without rounds that propose leaders the components are those of all pairs."""
