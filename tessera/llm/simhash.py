@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, fresh, salted_join, sized, small_batches, table
+from tessera.llm.common import cut, fresh, salted_join, sized, small_batches, table, tidy
 from tessera.llm.components import connected_components
 
 BITS = 64
@@ -344,6 +344,9 @@ def all_pairs(mixed: DataFrame, nodes: DataFrame, similarity: float, crowd: int)
     too far apart, and those that an earlier token has met, are left out where they are made.  A token of more than ``crowd``
     texts is dealt out: its smaller sets into parts, the others to every part, so that all its pairs are still compared, but
     not in one task.
+
+    Each of the steps is a query of its own: a task reports the figures of all steps of its query to the driver, and the join
+    may have thousands of tasks.
     """
     both = similarity / (1 + similarity)
 
@@ -354,7 +357,7 @@ def all_pairs(mixed: DataFrame, nodes: DataFrame, similarity: float, crowd: int)
 
     lists = mixed.where(F.col("size") <= CROWDED).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("uid", "label", "n"))).alias("texts")).select("texts").distinct()
     of = lambda x: F.transform(F.filter("texts", lambda y: pairs(x, y)), lambda y: F.struct(x["uid"].alias("a"), y["uid"].alias("b")))
-    few = lists.select(F.explode(F.flatten(F.transform("texts", of))).alias("pair")).select("pair.*")
+    few = cut(lists.select(F.explode(F.flatten(F.transform("texts", of))).alias("pair")).select("pair.*").distinct())
     many = mixed.where(F.col("size") > CROWDED).withColumn("parts", F.ceil(F.col("size") / crowd).cast("int"))
     many = many.join(nodes.select("uid", _folded(F.col("bits"), F.lit(SKETCH // 64)).alias("bits"), F.slice("prefix", 1, HEAD).alias("head")), "uid")
     many = cut(many.withColumn("head", F.slice("head", 1, F.least(F.col("pos"), F.lit(HEAD)))))
@@ -365,8 +368,11 @@ def all_pairs(mixed: DataFrame, nodes: DataFrame, similarity: float, crowd: int)
     close = _may(_apart("x.bits", "y.bits"), F.col("x.n"), F.col("y.n"), similarity) & ~F.arrays_overlap("x.head", "y.head")
     row = lambda side: {c: F.col(f"{side}.{c}") for c in ("uid", "label", "n")}
     found = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & pairs(row("x"), row("y")) & able & close)
-    found = found.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).unionByName(few).distinct()
-    return sketched(found, nodes, similarity).select("a", "b")
+    tidy(nodes.sparkSession)
+    found = cut(found.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct())
+    many = x = y = None
+    tidy(nodes.sparkSession)
+    return sketched(found.unionByName(few).distinct(), nodes, similarity).select("a", "b")
 
 
 def verified(links: DataFrame, sets_of, similarity: float) -> DataFrame:

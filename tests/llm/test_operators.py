@@ -190,6 +190,23 @@ def test_crowds_are_dealt_out(spark):
     assert whole == dealt and want <= whole and want
 
 
+def test_crowds_are_compared_in_short_queries(spark, monkeypatch):
+    """No query of the comparison has all its steps: with each step the figures grow that every task sends to the driver."""
+    rng = np.random.default_rng(17)
+    sets = [sorted({*range(40), *(int(x) for x in rng.integers(100, 10**6, size=4))}) for _ in range(30)]
+    mixed = spark.createDataFrame([(t, i, i, len(h), pos, 30) for i, h in enumerate(sets) for pos, t in enumerate(h[:6])], "token long, uid long, label long, n int, pos int, size long")
+    nodes = spark.createDataFrame([(i, len(h), h[:6], simhash.sketch_of(np.array(h)).tolist()) for i, h in enumerate(sets)], "uid long, n int, prefix array<long>, bits array<long>")
+    steps, cut = [], simhash.cut
+
+    def seen(df):
+        steps.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return cut(df)
+
+    monkeypatch.setattr(simhash, "cut", seen)
+    seen(simhash.all_pairs(mixed, nodes, 0.8, 2000))
+    assert max(steps) <= 5
+
+
 def test_near_copies_of_few_words(spark):
     """Texts of few distinct words, in common or of their own, whose shingles are alike all the same."""
     rng = np.random.default_rng(12)
